@@ -63,18 +63,19 @@ def hot_blocks(rows: DataFrame, key: str, member: str, block: int, broadcast_lim
     A bucket of at most ``block`` rows is one pair (0, 0). A larger one is split by a hash of ``member``
     into blocks, and every pair of blocks meets once, so all pairs of rows can still be compared while no
     task holds the whole bucket. The list of large buckets is broadcast only if it is at most
-    ``broadcast_limit`` rows; beyond that it is joined by a shuffle.
+    ``broadcast_limit`` rows; beyond that it is joined by a shuffle. ``__b`` is the row's own block: two rows
+    of one block are to be compared in its pair with itself alone (see ``near_pairs``).
     """
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
     hot = materialise(hot.select(F.col(key).alias("__hot"), F.ceil(F.col("__n") / F.lit(block)).cast("int").alias("__nb")))
     known = hot.count()
     if known == 0:
-        return rows.withColumns({"__i": F.lit(0), "__j": F.lit(0)})
+        return rows.withColumns({"__i": F.lit(0), "__j": F.lit(0), "__b": F.lit(0)})
     joined = rows.join(F.broadcast(hot) if known <= broadcast_limit else hot, rows[key] == hot["__hot"], "left").drop("__hot")
     nb = F.coalesce(F.col("__nb"), F.lit(1))
     dealt = joined.withColumn("__nb", nb).withColumn("__b", F.pmod(F.xxhash64(member), F.col("__nb")).cast("int"))
     dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
-    return dealt.withColumns({"__i": F.least("__b", "__o"), "__j": F.greatest("__b", "__o")}).drop("__b", "__o", "__nb")
+    return dealt.withColumns({"__i": F.least("__b", "__o"), "__j": F.greatest("__b", "__o")}).drop("__o", "__nb")
 
 
 def scan_groups(rows: DataFrame, keys: list[str], columns: list[str], compare: Callable[[np.ndarray, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -83,6 +84,7 @@ def scan_groups(rows: DataFrame, keys: list[str], columns: list[str], compare: C
     Rows are shuffled and sorted by ``keys``; a task streams through its rows and keeps back only the
     last, perhaps unfinished group, which is bounded by what ``hot_blocks`` dealt to it.
     """
+    columns = list(dict.fromkeys([*columns, "__i", "__j", "__b"]))
     dealt = rows.select(*dict.fromkeys([*keys, *columns])).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +116,17 @@ def _arrays(rows: pa.Table, columns: list[str]) -> dict:
     return {c: rows.column(c).to_numpy() if pa.types.is_primitive(rows.schema.field(c).type) else rows.column(c) for c in columns}
 
 
-def near_pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays (left, right) of all row pairs of the same group, one distance in the list at a time."""
+def near_pairs(group: np.ndarray, x: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index arrays (left, right) of all row pairs to compare in each group, one distance in the list at a time."""
+    own, alone = x["__b"], x["__i"] == x["__j"]
     n, shift = len(group), 1
     while shift < n:
         left = np.flatnonzero(group[shift:] == group[:-shift])
         if not len(left):
             return
-        yield left, left + shift
+        left = left[alone[left] | (own[left] != own[left + shift])]
+        if len(left):
+            yield left, left + shift
         shift += 1
 
 

@@ -126,7 +126,7 @@ def index_links(nodes: DataFrame, words: int, keys: list[tuple[int, ...]], max_d
         prints = np.stack([x[n] for n in names], axis=1).view(np.uint64)
         octets = np.ascontiguousarray(prints).view(np.uint8).reshape(len(node), 8 * words)
         found = []
-        for left, right in near_pairs(group):
+        for left, right in near_pairs(group, x):
             tally = (octets[left] == octets[right]).sum(axis=1)
             ok = tally >= min_match
             left, right = left[ok], right[ok]
