@@ -29,11 +29,16 @@ def materialise(df: DataFrame) -> DataFrame:
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; only a session that
     names none (a test) gets a temporary one.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; set here only where the session has none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def hashed_prefix(df: DataFrame, group: list[str], order: str, ties: list[str], value: str, out: str, digits: int = 3) -> DataFrame:

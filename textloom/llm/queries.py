@@ -5,10 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm.common import table
 from textloom.llm.embeddings import vector_components
+from textloom.llm.mixing import curriculum
+from textloom.llm.sharding import shard_documents
 from textloom.llm.simhash import simhash_components
+from textloom.llm.tokens import encode_documents
+
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +37,17 @@ def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(table(spark, sf_dir, "embeddings"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = curriculum(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+    rows = mix.withColumn("position", F.round(F.when(F.col("copies") > 0, F.element_at("positions", 1)), 9))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash, "op9_embedding_neardup": op9_embedding_neardup}
+    return {
+        "op3_sharding": op3_sharding,
+        "op4_tokens": op4_tokens,
+        "op5_simhash": op5_simhash,
+        "op9_embedding_neardup": op9_embedding_neardup,
+        "op10_mixing": op10_mixing,
+    }

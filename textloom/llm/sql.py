@@ -2,6 +2,44 @@
 
 from __future__ import annotations
 
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(COALESCE(CAST(doc_id AS VARCHAR), '')) AS ord
+  FROM documents),
+totals AS (
+  SELECT source, SUM(size)::DOUBLE AS source_size,
+         (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS k
+  FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, CASE k WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, 2 * source_size AS most,
+         CASE k WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS b,
+         CASE k WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS e
+  FROM totals),
+levels AS (
+  SELECT most / weight AS ratio,
+         (1.5 * (SELECT SUM(source_size) FROM totals) - COALESCE((SELECT SUM(x.most) FROM weighted x WHERE x.most / x.weight < w.most / w.weight), 0))
+         / (SELECT SUM(x.weight) FROM weighted x WHERE x.most / x.weight >= w.most / w.weight) AS level
+  FROM weighted w),
+level AS (SELECT COALESCE(arg_min(level, ratio), 'infinity'::DOUBLE) AS level FROM levels WHERE level <= ratio),
+targets AS (
+  SELECT source, source_size, b, e,
+         CASE WHEN level * weight > most THEN most ELSE level * weight END AS target
+  FROM weighted, level),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.b, t.e,
+         COALESCE(SUM(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+passed AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM placed),
+taken AS (
+  SELECT *, passes + CASE WHEN size > 0 AND 2 * before + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END AS copies,
+         LEAST(1.0, (before + size / 2) / GREATEST(target, 1.0)) AS done
+  FROM passed)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (copies * size)::BIGINT AS taken,
+       CASE WHEN copies > 0 THEN round(CASE WHEN b = e THEN done ELSE (sqrt(b * b + (e * e - b * b) * done) - b) / (e - b) END, 9) END AS position
+FROM taken
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": MIXING}
