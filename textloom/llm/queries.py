@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import table
+from textloom.llm.decontaminate import contaminated
 from textloom.llm.embeddings import vector_components
+from textloom.llm.licenses import scan_licenses
 from textloom.llm.mixing import curriculum
 from textloom.llm.sharding import shard_documents
 from textloom.llm.simhash import simhash_components
@@ -33,6 +35,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "matched", "coverage")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +59,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_tokens": op4_tokens,
         "op5_simhash": op5_simhash,
+        "op6_decontamination": op6_decontamination,
+        "op7_licenses": op7_licenses,
         "op9_embedding_neardup": op9_embedding_neardup,
         "op10_mixing": op10_mixing,
     }
