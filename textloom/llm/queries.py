@@ -15,6 +15,7 @@ from textloom.llm.mixing import curriculum
 from textloom.llm.sharding import shard_documents
 from textloom.llm.simhash import simhash_components
 from textloom.llm.tokens import encode_documents
+from textloom.llm.toxicity import toxicity
 
 
 def word_vocabulary() -> str:
@@ -44,6 +45,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(table(spark, sf_dir, "embeddings"))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_decontamination": op6_decontamination,
         "op7_licenses": op7_licenses,
+        "op8_toxicity": op8_toxicity,
         "op9_embedding_neardup": op9_embedding_neardup,
         "op10_mixing": op10_mixing,
     }
