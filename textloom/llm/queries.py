@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import table
+from textloom.llm.cotraining import classify_quality
 from textloom.llm.decontaminate import contaminated
 from textloom.llm.embeddings import vector_components
 from textloom.llm.licenses import scan_licenses
+from textloom.llm.linkgraph import filter_urls
 from textloom.llm.mixing import curriculum
 from textloom.llm.sharding import shard_documents
 from textloom.llm.simhash import simhash_components
@@ -24,6 +26,14 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -61,6 +71,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op2_urls": op2_urls,
         "op3_sharding": op3_sharding,
         "op4_tokens": op4_tokens,
         "op5_simhash": op5_simhash,
