@@ -42,6 +42,13 @@ def test_capacity_is_the_smallest(spark, points, hot):
     assert set(cuts) <= set(ends) and max(b - a for a, b in zip(edges, edges[1:])) == capacity
 
 
+def test_many_groups_and_shards(spark):
+    sizes = np.random.default_rng(8).integers(1, 4000, 20000).tolist()
+    ends = np.cumsum(sizes).tolist()
+    sums = spark.createDataFrame(list(zip(sizes, ends)), "size bigint, end bigint").repartition(8)
+    assert minimax_cuts(sums, 16)[0] == least_capacity(sizes, 16)
+
+
 def test_documents_keep_copies_together_and_count_slots(spark):
     rows = [(i, f"text {i % 90} " * (1 + i % 5), "clash") for i in range(400)] + [(1000 + i, "copy", "clash") for i in range(300)] + [(5000, None, None), (5001, "", None), (None, "é", None)]
     got = shard_documents(spark.createDataFrame(rows, DOCS), shards=5).collect()

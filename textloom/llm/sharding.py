@@ -72,13 +72,19 @@ def minimax_cuts(sums: DataFrame, shards: int, points: int = 4096) -> tuple[int,
         cuts = known.cuts(high, shards, hopeful=False)
         if low == high:
             return high, cuts[:-1]
-        bands: list[list[int]] = []
+        stretches = []
         for a, b in zip(known.cuts(low, shards, hopeful=False), known.cuts(high, shards, hopeful=True)):
-            first, last = (int(np.searchsorted(known.ends, x, side="left")) for x in (a + 1, b))
-            for k in range(first, min(last, len(known.ends) - 1) + 1):
-                if known.open[k]:
-                    bands.append([int(known.ends[k - 1]) if k else 0, int(known.ends[k])])
-        bands = sorted(map(list, {tuple(x) for x in bands}))
+            first = int(np.searchsorted(known.ends, a + 1, side="left"))
+            last = min(int(np.searchsorted(known.ends, b, side="left")), len(known.ends) - 1)
+            within = np.flatnonzero(known.open[first : last + 1]) + first
+            if len(within):
+                stretches.append((int(known.ends[within[0] - 1]) if within[0] else 0, int(known.ends[within[-1]])))
+        bands: list[list[int]] = []
+        for a, b in sorted(stretches):
+            if bands and a < bands[-1][1]:
+                bands[-1][1] = max(b, bands[-1][1])
+            else:
+                bands.append([a, b])
         share = max(2, points // (2 * len(bands)))
         steps = [max(1, -(-(b - a) // share)) for a, b in bands]
         inside = [(F.col("end") > a) & (F.col("end") <= b) for a, b in bands]
