@@ -4,10 +4,9 @@ Rows are range-partitioned and sorted by id, encoded in place, and written by Sp
 ids dictionary-encoded, the sorted ids and counts delta-encoded, row groups and pages of controlled size,
 with page indexes, so that a reader of a range of ids or of the counts alone skips the rest.
 
-The encoder asks the tokenizer only for texts' pieces that it has not met lately. A piece is a stretch
-between white space, which the vocabulary's own pre-tokenizer never crosses; trailing ASCII punctuation after a letter or digit
-is such a border, too. Texts that may hold special tokens or separators on which libraries differ are
-encoded whole.
+The encoder asks the tokenizer only for pieces that it has not met lately; a piece is a match of the
+vocabulary's own pre-tokenizer pattern in the lower-case text, so merges never cross its borders. Texts
+that are not in normal form or hold special tokens or characters on which libraries may differ are encoded whole.
 
 Defined results: a null or empty text has the end id only; repeated rows are encoded each; null ids come
 first; an empty table gives files without rows; extra columns are ignored.
@@ -19,6 +18,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,10 @@ from pyspark.sql import Window
 
 from textloom.llm.common import materialise, shared_folder
 
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-WHOLE = re.compile(r"<\||[\x1c-\x1f]")
+#: Texts with other characters than these are encoded whole: separators, and characters on which libraries may differ.
+WHOLE = re.compile("[^\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
+#: What the vocabulary's pre-tokenizer takes as pieces of the remaining texts.
+PIECE = re.compile(r"[^\W\d_]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -37,45 +39,41 @@ _encoders: dict[str, "Encoder"] = {}
 class Encoder:
     """A tokenizer with a bounded memory of pieces."""
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        split, asked = {}, set()
-        for w in words:
-            core = w.rstrip(PUNCTUATION)
-            tail = w[len(core) :] if core and core[-1].isalnum() else ""
-            core = w[: len(w) - len(tail)]
-            if core.isascii():
-                core = core.lower()
-            split[w] = (core, tail)
-            asked.add(core)
-            if tail:
-                asked.add(tail)
-        new = [p for p in asked if p not in self.known]
-        self.known.update(zip(new, self._ids(new)))
-        for w, (core, tail) in split.items():
-            self.known[w] = self.known[core] + self.known[tail] if tail else self.known[core]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces as one text; the last id of each piece carries the end-of-word mark."""
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.final[ids]) + 1
+        if len(ends) == len(pieces) and (not len(ends) or ends[-1] == len(ids)):
+            raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
+            self.known.update((p, raw[a:b]) for p, a, b in zip(pieces, at, at[1:]))
+        else:
+            self.known.update((p, self.whole(p)) for p in pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > self.memory:
             self.known.clear()
-        words = [None if WHOLE.search(t) else t.split() for t in texts]
-        new = set().union(*[w for w in words if w]).difference(self.known)
+        pieces = [None if "<|" in t or WHOLE.search(t) or not is_normalized("NFC", t) else PIECE.findall(t.lower()) for t in texts]
+        new = set().union(*[p for p in pieces if p]).difference(self.known)
         if new:
-            self._learn(new)
+            self._learn(sorted(new))
         known = self.known
-        return [self._ids([t])[0] if w is None else b"".join([known[x] for x in w]) for t, w in zip(texts, words)]
+        return [self.whole(t) if p is None else b"".join([known[x] for x in p]) for t, p in zip(texts, pieces)]
 
 
 def encoder(path: str) -> Encoder:
