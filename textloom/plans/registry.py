@@ -5,11 +5,139 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions.lists import PHRASES, STOP
+from textloom.operators import checks, grams, text, vectors
+from textloom.plans.twins import TWINS
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over several partitions, also where the table is one small file."""
+    return _table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = text.documents_as_sources(_docs(spark, sf_dir))
+    count = sources.groupBy("topic_id").agg(F.countDistinct("src_idx").alias("n_sources"))
+    return grams.weight_grams(grams.gram_stats(grams.ngrams(grams.tokens(sources))), count)
+
+
+def a3_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.filter_urls(_table(spark, sf_dir, "pages"), ["utm_source", "blog."]).select("page_id", "url")
+
+
+def a4_admit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(text.admit_sources(text.documents_as_sources(_docs(spark, sf_dir))).select("topic_id", "src_idx", "doc_id", "chars", "word_count"), "src_idx", "chars", "word_count")
+
+
+def a6_with_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", text.domain_of(F.col("url")).alias("domain"))
+
+
+def a10_strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(text.strip_markup(F.col("text"))).alias("digest"))
+
+
+def b1_html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(text.html_headings(_table(spark, sf_dir, "pages"), level=1), "pos")
+
+
+def b2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", text.html_main_text(F.col("html")).alias("content"))
+
+
+def b4_strip_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_artifacts(F.col("html"))).alias("digest"))
+
+
+def b5_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text.line_features(text.lines_of(_docs(spark, sf_dir)), STOP)
+    return _long(rows.select("doc_id", "pos", "chars", "n_words", F.round("density", 6).alias("density"), F.round("capital", 6).alias("capital"), "boilerplate"), "pos", "chars", "n_words")
+
+
+def b7_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.clean_lines(_docs(spark, sf_dir), r"(?i)licen[cs]e|cookie|menu")
+
+
+def b8_finish_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(text.finish_text(F.col("text"))).alias("digest"))
+
+
+def d1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = grams.tokens(text.documents_as_sources(_docs(spark, sf_dir)))
+    return _long(rows.select("doc_id", F.size("words").alias("n_tokens"), F.md5(F.array_join("words", " ")).alias("digest")), "n_tokens")
+
+
+def d4_gram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = grams.gram_stats(grams.ngrams(grams.tokens(text.documents_as_sources(_docs(spark, sf_dir)))))
+    return stats.filter("freq >= 3")
+
+
+def d7_weight_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weighted(spark, sf_dir).select("topic_id", "gram", "freq", "sources", "weight")
+
+
+def d8_top_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = grams.top_grams(_weighted(spark, sf_dir))
+    return _long(rows.select("topic_id", "rank", "gram", "freq", "sources", "freq_min", "freq_median", "freq_max", "weight"), "rank")
+
+
+def d9_extended_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = _weighted(spark, sf_dir)
+    return _long(grams.extended_terms(weighted, grams.top_grams(weighted)).select("topic_id", "rank", "gram", "sources", "weight"), "rank")
+
+
+def d13_repeated_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grams.repeated_trigrams(_docs(spark, sf_dir))
+
+
+def j2_phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.phrase_hits(_docs(spark, sf_dir), PHRASES)
+
+
+def j3_opener_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.opener_hits(checks.sentences(_docs(spark, sf_dir)), ["the ", "de ", "le "])
+
+
+def j4_char_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.char_hits(_docs(spark, sf_dir), "%$#|")
+
+
+def j5_entity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.entity_coverage(_docs(spark, sf_dir), ["license", "the", "idiot"])
+
+
+def j7_uniform_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.uniform_paragraphs(_docs(spark, sf_dir))
+
+
+def j8_list_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.list_groups(_docs(spark, sf_dir))
+
+
+def j15_style_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.style_score(_docs(spark, sf_dir), PHRASES, "%$#|")
+
+
+def h6_keyword_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.keyword_cosine(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = [a3_filter_urls, a4_admit_sources, a6_with_domain, a10_strip_markup, b1_html_headings, b2_html_main_text, b4_strip_artifacts, b5_line_features, b7_clean_lines, b8_finish_text, d1_tokens, d4_gram_stats, d7_weight_grams, d8_top_grams, d9_extended_terms, d13_repeated_trigrams, h6_keyword_cosine, j2_phrase_hits, j3_opener_hits, j4_char_hits, j5_entity_coverage, j7_uniform_paragraphs, j8_list_groups, j15_style_score]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(TWINS)
