@@ -108,4 +108,4 @@ def clean_lines(docs: DataFrame, nav: str, key: str = "doc_id", text: str = "tex
         keep = F.concat(acc["out"], F.array(line))
         return F.when(hit, F.struct(F.lit(True).alias("skip"), F.lit(0).alias("n"), acc["out"].alias("out"))).when(acc["skip"] & ~resumed, F.struct(F.lit(True).alias("skip"), count.alias("n"), acc["out"].alias("out"))).otherwise(F.struct(F.lit(False).alias("skip"), F.lit(0).alias("n"), keep.alias("out")))
 
-    return docs.select(key, F.array_join(F.aggregate(F.transform(F.split(text, "\n"), F.trim), start, step)["out"], "\n").alias("text"))
+    return docs.select(key, F.array_join(F.aggregate(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), start, step)["out"], "\n").alias("text"))
