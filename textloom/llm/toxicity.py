@@ -18,7 +18,6 @@ labels of both classes every score is 0; repeated rows score alike; extra column
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,13 +117,14 @@ class Tagger:
 
     def tag(self, texts: list[str | None]) -> list[np.ndarray]:
         """The probability of each word of each text."""
-        words = [split_words(t) for t in texts]
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        return self._marginals([self.emission(split_words(t)) for t in texts])
+
+    def _marginals(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+        lengths = np.array([len(e) for e in emissions], dtype=np.int64)
         chains = Chains(lengths)
         if not chains.total:
-            return [np.zeros(0) for _ in texts]
-        values = np.concatenate([self.emission(w) for w in words if w])
-        prob, _, _ = marginals(chains.spread(values), chains.spread(np.ones(chains.total)) > 0, self.trans)
+            return [np.zeros(0) for _ in emissions]
+        prob, _, _ = marginals(chains.spread(np.concatenate(emissions)), chains.spread(np.ones(chains.total)) > 0, self.trans)
         return np.split(prob[chains.row, chains.col], np.cumsum(lengths)[:-1])
 
     def features(self, prob: np.ndarray) -> np.ndarray:
@@ -134,44 +134,46 @@ class Tagger:
     def score(self, prob: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(prob) @ self.score_weights, -30, 30))))
 
-    def fit(self, texts: list[str | None], toxic: list[int], epochs: int = 100, lift: float = 20.0, evidence: float = 24.0) -> Tagger:
-        own: dict[bytes, bytes] = {}
-        words = [[own.setdefault(w, w) for w in split_words(t)] for t in texts]
+    def fit(self, texts: list[str | None], toxic: list[int], epochs: int = 60, lift: float = 20.0, evidence: float = 24.0) -> Tagger:
+        number: dict[bytes, int] = {}
+        docs = []
+        for t in texts:
+            words = split_words(t)
+            docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int32, count=len(words)))
         label = np.array(toxic, dtype=bool)
-        fresh = distinct_texts(words)
-        counts = [Counter(), Counter()]
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], dtype=np.uint64)
+        slots = np.array([word_slots(w) for w in number], dtype=np.int32).reshape(-1, 3)
+        fresh = distinct_texts([hashes[d] for d in docs])
         sizes = [max(1, int((fresh & (label == y)).sum())) for y in (False, True)]
-        for w, y, new in zip(words, label, fresh):
+        found = np.zeros((2, len(number)), dtype=np.int64)
+        for d, y, new in zip(docs, label, fresh):
             if new:
-                counts[int(y)].update(set(w))
-        marked = {w for w, c in counts[1].items() if contrast(c, counts[0][w], sizes[1] / sum(sizes)) >= evidence and c / sizes[1] >= lift * (counts[0][w] + 0.1) / sizes[0]}
-        chosen = np.flatnonzero(fresh)
-        flat = [w for i in chosen for w in words[i]]
-        gold = np.array([w in marked and bool(label[i]) for i in chosen for w in words[i]], dtype=float)
-        chains = Chains(np.array([len(words[i]) for i in chosen], dtype=np.int64))
-        if chains.total:
-            self._descend(flat, gold, chains, epochs)
-        x = np.array([self.features(p) for p in self.tag(texts)])
-        self._calibrate(x[fresh], label[fresh].astype(float))
+                found[int(y), np.unique(d)] += 1
+        marked = (contrast(found[1], found[0], sizes[1] / sum(sizes)) >= evidence) & (found[1] / sizes[1] >= lift * (found[0] + 0.1) / sizes[0])
+        chosen = [docs[i] for i in np.flatnonzero(fresh)]
+        lengths = np.array([len(d) for d in chosen], dtype=np.int64)
+        if lengths.sum():
+            flat = np.concatenate(chosen)
+            self._descend(slots, flat, marked[flat] & np.repeat(label[fresh], lengths), Chains(lengths), epochs)
+        score = self.weights[slots[:, 0]] + 0.5 * (self.weights[slots[:, 1]] + self.weights[slots[:, 2]]) + self.bias
+        x = [self.features(p) for at in range(0, len(chosen), 100) for p in self._marginals([score[d] for d in chosen[at : at + 100]])]
+        self._calibrate(np.array(x).reshape(-1, 3), label[fresh].astype(float))
         return self
 
-    def _descend(self, flat: list[bytes], gold: np.ndarray, chains: Chains, epochs: int) -> None:
-        mask = chains.spread(np.ones(chains.total)) > 0
-        truth = chains.spread(gold)
+    def _descend(self, slots: np.ndarray, flat: np.ndarray, gold: np.ndarray, chains: Chains, epochs: int) -> None:
         # chains without a toxic token are many and alike: one in a few, in order, weighs for the rest
-        hot = truth.any(axis=1)
+        hot = np.bincount(chains.row, gold, chains.n) > 0
         cold = np.flatnonzero(~hot)
-        every = max(1, len(cold) // max(2000, 4 * int(hot.sum())))
+        every = max(1, len(cold) // max(1500, 2 * int(hot.sum())))
         rows = np.sort(np.concatenate((np.flatnonzero(hot), cold[::every])))
         place = np.full(chains.n, -1)
         place[rows] = np.arange(len(rows))
         inside = place[chains.row] >= 0
-        slots = np.array([word_slots(w) for w, ok in zip(flat, inside) if ok], dtype=np.int64)
-        r, c = place[chains.row[inside]], chains.col[inside]
-        mask, truth = mask[rows], truth[rows]
+        r, c, own = place[chains.row[inside]], chains.col[inside], slots[flat[inside]]
+        mask, truth = np.zeros((len(rows), CHAIN), dtype=bool), np.zeros((len(rows), CHAIN))
+        mask[r, c], truth[r, c] = True, gold[inside]
         heavy = np.where(hot[rows], 1.0, min(every, 4))
-        states = truth.astype(int)
-        pairs = mask[:, 1:] & mask[:, :-1]
+        states, pairs = truth.astype(int), mask[:, 1:] & mask[:, :-1]
         gold_moves = np.zeros((2, 2))
         np.add.at(gold_moves, (states[:, :-1][pairs], states[:, 1:][pairs]), 1.0)
         n = max(1.0, truth.sum())
@@ -180,13 +182,13 @@ class Tagger:
         for step in range(1, epochs + 1):
             w, bias, trans = theta[:SLOTS], theta[SLOTS], theta[SLOTS + 1 :].reshape(2, 2)
             e = np.zeros(mask.shape)
-            e[r, c] = w[slots[:, 0]] + 0.5 * (w[slots[:, 1]] + w[slots[:, 2]]) + bias
+            e[r, c] = w[own[:, 0]] + 0.5 * (w[own[:, 1]] + w[own[:, 2]]) + bias
             prob, moves, _ = marginals(e, mask, trans)
             error = ((prob - truth) * heavy[:, None])[r, c]
-            grad = np.bincount(slots[:, 0], error, SLOTS) + 0.5 * (np.bincount(slots[:, 1], error, SLOTS) + np.bincount(slots[:, 2], error, SLOTS))
+            grad = np.bincount(own[:, 0], error, SLOTS) + 0.5 * (np.bincount(own[:, 1], error, SLOTS) + np.bincount(own[:, 2], error, SLOTS))
             grad = np.concatenate((grad / n + 1e-5 * w, [error.sum() / n], ((moves - gold_moves) / n + 1e-3 * trans).ravel()))
             first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
-            theta = theta - 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+            theta = theta - 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
         self.weights, self.bias, self.trans = theta[:SLOTS].copy(), float(theta[SLOTS]), theta[SLOTS + 1 :].reshape(2, 2).copy()
         self.memory = {}
 
@@ -199,20 +201,22 @@ class Tagger:
         self.score_weights = w
 
 
-def contrast(toxic: int, clean: int, share: float) -> float:
-    """Log-likelihood ratio of a word's documents being toxic more often than the sample's ``share``."""
-    n = toxic + clean
-    if toxic <= share * n:
-        return 0.0
-    return 2 * (toxic * np.log(toxic / n / share) + (clean * np.log(clean / n / (1 - share)) if clean else 0.0))
+def contrast(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio of words' documents being toxic more often than the sample's ``share``."""
+    n = np.maximum(1, toxic + clean)
+    gain = toxic * np.log(np.maximum(toxic, 1) / n / share) + clean * np.log(np.maximum(clean, 1) / n / max(1e-9, 1 - share))
+    return np.where(toxic > share * n, 2 * gain, 0.0)
 
 
-def distinct_texts(words: list[list[bytes]]) -> np.ndarray:
-    """False for texts that share the least hash of their five-word runs with an earlier one: copies count once."""
+def distinct_texts(texts: list[np.ndarray]) -> np.ndarray:
+    """False for texts that share the least or largest hash of their five-word runs with an earlier one: copies count once."""
     seen, out = set(), []
-    for w in words:
-        runs = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))]
-        marks = {(0, min(runs)), (1, max(runs))}
+    for h in texts:
+        n = max(1, len(h) - 4)
+        run = np.zeros(n, dtype=np.uint64)
+        for k in range(min(5, len(h))):
+            run = (run ^ (run >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k]
+        marks = {(0, int(run.min())), (1, int(run.max()))}
         out.append(not marks & seen)
         seen |= marks
     return np.array(out, dtype=bool)
@@ -232,7 +236,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
 
-def train_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = (2500, 1000)) -> Tagger | None:
+def train_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = (2500, 800)) -> Tagger | None:
     texts, toxic = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
     return Tagger().fit(texts, toxic) if len(set(toxic)) == 2 else None
 
@@ -263,14 +267,14 @@ def score_toxicity(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:bigint,end:bigint,probability:double>>")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = (2500, 1000)) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = (2500, 800)) -> DataFrame:
     """``(doc_id, held_out, score, predicted, spans)`` of every document."""
     scored = score_toxicity(docs, train_tagger(docs, labels, id_col, text_col, per_class=per_class), id_col, text_col)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = (2500, 1000), step: int = 400) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = (2500, 800), step: int = 400) -> DataFrame:
     """``docs`` without the rows whose score is 0.5 or more; rows pass through whole, with all columns."""
     tagger = train_tagger(docs, labels, id_col, text_col, per_class=per_class)
     if tagger is None:
