@@ -30,6 +30,9 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Odd multipliers (fixed values) that derive further 64-bit words of a wide fingerprint from one hash.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
+#: Links that a task holds before it thins them to a forest.
+FOUND = 100_000
+
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """XXH64 (seed 42) of every ``size``-word shingle, repeats included; fewer words give one shingle."""
@@ -100,6 +103,12 @@ def grouped_pairs(groups: int = 6, size: int = 5) -> list[tuple[int, ...]]:
     return [(g * size + a, g * size + b) for g in range(groups) for a, b in combinations(range(size), 2)]
 
 
+def spanning(node: np.ndarray, found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    left, right, distance = (np.concatenate(c) for c in zip(*found))
+    kept = forest(node[left], node[right], distance)
+    return left[kept], right[kept], distance[kept]
+
+
 def index_links(nodes: DataFrame, words: int, keys: list[tuple[int, ...]], max_distance: int, min_match: int, block: int = 512) -> DataFrame:
     """``(src, dst, distance)``: links of a spanning forest per block of ``nodes(content, f0 ..)``.
 
@@ -125,7 +134,7 @@ def index_links(nodes: DataFrame, words: int, keys: list[tuple[int, ...]], max_d
         node, own = x["content"], x["key"] >> wide
         prints = np.stack([x[n] for n in names], axis=1).view(np.uint64)
         octets = np.ascontiguousarray(prints).view(np.uint8).reshape(len(node), 8 * words)
-        found = []
+        found, held = [], 0
         for left, right in near_pairs(group, x):
             tally = (octets[left] == octets[right]).sum(axis=1)
             ok = tally >= min_match
@@ -138,12 +147,14 @@ def index_links(nodes: DataFrame, words: int, keys: list[tuple[int, ...]], max_d
                 first = same[:, table].all(axis=2).argmax(axis=1)
                 ok = first == own[left]
                 found.append((left[ok], right[ok], distance[ok]))
+                held += int(ok.sum())
+            if held > FOUND:  # the forest of a forest and further links is the forest of all links
+                found = [spanning(node, found)]
+                held = len(found[0][0])
         if found:
-            left, right, distance = (np.concatenate(c) for c in zip(*found))
-            kept = forest(node[left], node[right], distance)
-            if len(kept):
-                a, b = node[left[kept]], node[right[kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(distance[kept])], names=["src", "dst", "distance"])
+            left, right, distance = spanning(node, found)
+            if len(left):
+                yield pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(node[right]), pa.array(distance)], names=["src", "dst", "distance"])
 
     return scan_groups(dealt, ["key", "__i", "__j"], ["content", *names, "key"], compare, "src bigint, dst bigint, distance bigint")
 
