@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from textloom.operators import checks, grams, text
+from textloom.functions.lists import FACTS, SCRIPTS
+from textloom.operators import checks, entities, facts, grams, headings, text
 
 
 def test_markup_and_domain(spark):
@@ -55,3 +56,46 @@ def test_list_groups(spark):
 def test_instructions(spark):
     frame = spark.createDataFrame([("Remove this",), ("a better phrase",), ("ok",)], "replacement string")
     assert [r.is_instruction for r in checks.flag_instructions(frame).collect()] == [True, False, True]
+
+
+def test_chains_and_clamps(spark):
+    rows = [("t", "rain falls hard", "the river rises", "causes", 2.0), ("t", "the river rises fast", "flood", "odd", 0.1), ("t", "x", "too short", "causes", 0.5)]
+    frame = spark.createDataFrame(rows, "topic_id string, cause string, effect string, relation string, confidence double")
+    got = {r.cause: r for r in facts.mark_chains(facts.normalise_causal(frame)).collect()}
+    assert set(got) == {"rain falls hard", "the river rises fast"}
+    assert all(r.is_chain for r in got.values())
+    assert (got["rain falls hard"].confidence, got["the river rises fast"].confidence, got["the river rises fast"].relation) == (0.95, 0.3, "causes")
+
+
+def test_budget_lines(spark):
+    rows = [("t", 1, "Red car: 2-5x"), ("t", 2, "blue: 3"), ("t", 3, "bare phrase"), ("t", 4, "red car: 1 – 4"), ("t", 5, " ")]
+    got = {r.phrase: (r.low, r.high) for r in facts.parse_budgets(spark.createDataFrame(rows, "topic_id string, pos int, line string")).collect()}
+    assert got == {"red car": (1, 4), "blue": (1, 3), "bare phrase": (1, 99)}
+
+
+def test_facts_scripts_and_ranges(spark):
+    frame = spark.createDataFrame([(1, "en", "costs $ 5.50, 12 % off, 3 kg on 2024-01-02 привет"), (2, "en", "$5.50 again"), (3, "en", None)], "doc_id int, lang string, text string")
+    got = {(r.kind, r.value): r.n for r in facts.hard_facts(frame, FACTS).collect()}
+    assert got == {("price", "$5.50"): 2, ("percent", "12%"): 1, ("measure", "3kg"): 1, ("date", "2024-01-02"): 1}
+    assert [tuple(r) for r in checks.foreign_scripts(frame, SCRIPTS).collect()] == [(1, "cyrillic", "привет")]
+    cover = {r.doc_id: tuple(r)[1:] for r in checks.gram_coverage(frame, [("costs", 1, 1), ("5", 3, 9), ("kg", 0, 0)]).collect()}
+    assert cover[1] == (0, 1, 1, 1, 33.33)
+
+
+def test_records_without_signature_stay(spark):
+    rows = [(1, 0, "A b"), (1, 1, "ab"), (2, 0, " "), (2, 1, None)]
+    got = facts.dedup_records(spark.createDataFrame(rows, "conv_id int, turn int, text string"), ["conv_id", "turn"])
+    assert sorted(map(tuple, got.collect())) == [(1, 0), (2, 0), (2, 1)]
+
+
+def test_headings(spark):
+    rows = [("t", "a", 1, 0, "Best red cars"), ("t", "b", 2, 0, "best RED cars!"), ("t", "c", 3, 0, "short"), ("t", "c", 3, 1, "add to cart now")]
+    frame = spark.createDataFrame(rows, "topic_id string, src string, page_id int, pos int, heading string")
+    assert [r.page_id for r in headings.clean_headings(frame, ["the"], ["add to cart"]).collect()] == [1]
+    top = headings.topical_coverage(frame).orderBy("rank").first()
+    assert (top.pattern, top.sources, top["class"]) == ("best red cars", 2, "HIGH")
+
+
+def test_pairs_in_one_sentence(spark):
+    frame = spark.createDataFrame([("t", "Ann met Bob"), ("t", "bob and ann"), ("t", "ann alone")], "topic_id string, sentence string")
+    assert [tuple(r) for r in entities.cooccurrence(frame, ["Bob", "Ann", "Cy"]).collect()] == [("t", "ann", "bob", 2, 0.12, 1)]

@@ -99,3 +99,29 @@ def flag_instructions(corrections: DataFrame, markers: tuple = ("remove", "rephr
     for m in markers:
         flag = flag | low.startswith(m)
     return corrections.withColumn("is_instruction", flag)
+
+
+def foreign_scripts(docs: DataFrame, scripts: dict[str, tuple[str, int]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, script, run)``: the first runs of letters of each listed script."""
+    def runs(script: str, pattern: str, first: int) -> Column:
+        found = F.slice(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), 1, first)
+        return F.transform(found, lambda r: F.struct(F.lit(script).alias("script"), r.alias("run")))
+
+    each = F.concat(*[runs(k, p, n) for k, (p, n) in scripts.items()])
+    return docs.select(key, F.explode(each).alias("r")).select(key, "r.script", "r.run")
+
+
+def gram_coverage(docs: DataFrame, budgets: list[tuple[str, int, int]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, n_missing, n_under, n_over, n_ok, coverage_pct)``: uses of each phrase against its range; no join."""
+    low = F.lower(F.col(text))
+
+    def state(phrase: str, least: int, most: int) -> Column:
+        n = occurrences(low, F.lit(phrase))
+        return F.when((n == 0) & F.lit(least > 0), "missing").when(n < least, "under").when(n > most, "over").otherwise("ok")
+
+    rows = docs.select(key, F.array(*[state(*b) for b in budgets]).alias("s"))
+    def count(of: str) -> Column:
+        return F.size(F.filter("s", lambda x: x == of)).cast("long").alias(f"n_{of}")
+
+    rows = rows.select(key, *[count(k) for k in ("missing", "under", "over", "ok")])
+    return rows.withColumn("coverage_pct", F.round(100 * F.col("n_ok") / len(budgets), 2))

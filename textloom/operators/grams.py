@@ -71,3 +71,9 @@ def repeated_trigrams(docs: DataFrame, key: str = "doc_id", text: str = "text",
     counts = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("gram"))
     return counts.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= first) & (F.col("n") >= least) & (F.length("gram") > 10)).drop("rank")
+
+
+def keyphrase_priority(weighted: DataFrame, n: int = 30) -> DataFrame:
+    """The first ``n`` grams by class (1 for a weight of 0.5 or more, 2 of 0.3, else 3), then weight."""
+    rows = weighted.filter("freq_max > 0").withColumn("priority", F.when(F.col("weight") >= 0.5, 1).when(F.col("weight") >= 0.3, 2).otherwise(3))
+    return ranked(rows, n, F.asc("priority"), F.desc("weight"), F.asc("gram"))

@@ -23,9 +23,16 @@ def filter_urls(df: DataFrame, skip: list[str], extensions: tuple = ("pdf", "doc
 
 
 def admit_sources(df: DataFrame, min_chars: int = 500, cap: int = 200_000) -> DataFrame:
-    """Sources of at least ``min_chars``, in order, while the size before them is under ``cap``."""
-    before = Window.partitionBy("topic_id").orderBy("src_idx", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    """Sources of at least ``min_chars``, in order, while the size before them is under ``cap``.
+
+    No more than ``cap / min_chars`` of them can be admitted, so the rank limit loses nothing, and every
+    partition drops the rest of a topic before the shuffle.
+    """
+    order = Window.partitionBy("topic_id").orderBy("src_idx", "doc_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     sized = df.withColumn("chars", F.length("content")).filter(F.col("chars") >= min_chars)
+    if min_chars > 0:
+        sized = sized.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap // min_chars + 1).drop("rank")
     sized = sized.withColumn("before", F.coalesce(F.sum("chars").over(before), F.lit(0)))
     return sized.filter(F.col("before") < cap).withColumn("word_count", F.size(F.filter(F.split("content", r"\s+"), lambda w: w != "")))
 
@@ -109,3 +116,16 @@ def clean_lines(docs: DataFrame, nav: str, key: str = "doc_id", text: str = "tex
         return F.when(hit, F.struct(F.lit(True).alias("skip"), F.lit(0).alias("n"), acc["out"].alias("out"))).when(acc["skip"] & ~resumed, F.struct(F.lit(True).alias("skip"), count.alias("n"), acc["out"].alias("out"))).otherwise(F.struct(F.lit(False).alias("skip"), F.lit(0).alias("n"), keep.alias("out")))
 
     return docs.select(key, F.array_join(F.aggregate(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), start, step)["out"], "\n").alias("text"))
+
+
+def flag_nav_lines(features: DataFrame) -> DataFrame:
+    """Add ``nav`` to the rows of ``line_features``: boilerplate, or one of the shapes of navigation lines."""
+    line, n = F.col("line"), F.length("line")
+    shape = (n < 3) | ((n < 30) & line.rlike("[→►»›]$")) | line.rlike(r"^[-=_*|•·]+$") | line.rlike(r"^\d+$") | line.rlike(r"^\p{L}{1,4}$")
+    return features.withColumn("nav", F.col("boilerplate") | shape | (F.col("n_words").between(1, 2) & (F.col("capital") == 1)))
+
+
+def strip_css(text: Column, patterns: list[str]) -> Column:
+    for p in patterns:
+        text = F.regexp_replace(text, p, " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))

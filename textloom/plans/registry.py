@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.lists import PHRASES, STOP
-from textloom.operators import checks, grams, text, vectors
+from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, PHRASES, SCRIPTS, SHOP, STOP
+from textloom.operators import checks, entities, facts, grams, headings, text, vectors
 from textloom.plans.twins import TWINS
 
 
@@ -132,7 +132,97 @@ def h6_keyword_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.keyword_cosine(_table(spark, sf_dir, "embeddings"))
 
 
+def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """h1 headings of the pages: topic = language in the path, source = domain."""
+    pages = _table(spark, sf_dir, "pages")
+    rows = text.html_headings(pages.withColumn("src", text.domain_of(F.col("url"))), level=1, keys=("page_id", "url", "src"))
+    topic = F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})(?:/|$)", 1)
+    return _long(rows.select(topic.alias("topic_id"), "src", "page_id", "pos", "heading"), "pos")
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gazetteer = spark.createDataFrame(ENTITIES, "phrase string, etype string")
+    return entities.match_entities(grams.tokens(text.documents_as_sources(_docs(spark, sf_dir))), gazetteer)
+
+
+def b6_flag_nav_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text.flag_nav_lines(text.line_features(text.lines_of(_docs(spark, sf_dir)), STOP))
+    return _long(rows.select("doc_id", "pos", "nav"), "pos")
+
+
+def b9_strip_css(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_css(F.col("html"), CSS)).alias("digest"))
+
+
+def d16_keyphrase_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = grams.keyphrase_priority(_weighted(spark, sf_dir)).select("topic_id", "rank", "gram", "priority", "weight")
+    return _long(rows, "rank", "priority")
+
+
+def e1_clean_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.clean_headings(_headings(spark, sf_dir), STOP, SHOP)
+
+
+def e2_heading_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(headings.heading_support(_headings(spark, sf_dir)), "rank")
+
+
+def e5_topical_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(headings.topical_coverage(_headings(spark, sf_dir)), "rank")
+
+
+def f1_match_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_mentions(spark, sf_dir).select("topic_id", "doc_id", "pos", "phrase", "etype"), "pos")
+
+
+def f2_entity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = text.documents_as_sources(_docs(spark, sf_dir))
+    count = sources.groupBy("topic_id").agg(F.countDistinct("src_idx").alias("n_sources"))
+    return _long(entities.entity_stats(_mentions(spark, sf_dir), count), "rank")
+
+
+def f13_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    sents = docs.select(F.col("lang").alias("topic_id"), F.explode(F.split("text", r"[.!?]+\s+")).alias("sentence"))
+    return _long(entities.cooccurrence(sents, [p for p, _ in ENTITIES]), "rank")
+
+
+def g1_bundle_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.bundle_texts(text.documents_as_sources(_docs(spark, sf_dir)))
+    return rows.select("topic_id", F.length("bundle").cast("long").alias("chars"), F.md5("bundle").alias("digest"))
+
+
+def h10_target_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.target_length(_docs(spark, sf_dir))
+
+
+def h11_hard_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(facts.hard_facts(_docs(spark, sf_dir), FACTS), "rank")
+
+
+def h14_dedup_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.dedup_records(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+
+
+def j1_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(checks.sentences(_docs(spark, sf_dir)).select("doc_id", "pos", F.md5("sentence").alias("digest")), "pos")
+
+
+def j9_foreign_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.foreign_scripts(_docs(spark, sf_dir), SCRIPTS)
+
+
+def j17_gram_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.gram_coverage(_docs(spark, sf_dir), BUDGETS)
+
+
+def l3_budgets_from_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = grams.top_grams(_weighted(spark, sf_dir))
+    return rows.select("topic_id", "gram", F.col("freq_min").alias("low"), F.greatest("freq_max", F.lit(1)).alias("high"))
+
+
 QUERIES = [a3_filter_urls, a4_admit_sources, a6_with_domain, a10_strip_markup, b1_html_headings, b2_html_main_text, b4_strip_artifacts, b5_line_features, b7_clean_lines, b8_finish_text, d1_tokens, d4_gram_stats, d7_weight_grams, d8_top_grams, d9_extended_terms, d13_repeated_trigrams, h6_keyword_cosine, j2_phrase_hits, j3_opener_hits, j4_char_hits, j5_entity_coverage, j7_uniform_paragraphs, j8_list_groups, j15_style_score]
+QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_headings, e2_heading_support, e5_topical_coverage, f1_match_entities, f2_entity_stats, f13_cooccurrence, g1_bundle_texts, h10_target_length, h11_hard_facts, h14_dedup_records, j1_sentences, j9_foreign_scripts, j17_gram_coverage, l3_budgets_from_grams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

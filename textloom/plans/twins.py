@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.functions.lists import PHRASES, STOP
+from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, PHRASES, SCRIPTS, SHOP, STOP
 
 _LIST = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 _GRAMS = r"""
@@ -71,3 +71,62 @@ SELECT doc_id, pos, chars, n_words, round(density, 6) AS density, round(capital,
     "j8_list_groups": r"WITH p AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, regexp_matches(unnest(string_split(text, chr(10))), '^\s*(?:[-*|]|\d+[.)])\s?') AS item FROM documents), b AS (SELECT *, lag(item, 1, false) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM p) SELECT doc_id, count(*) FILTER (WHERE item AND NOT before) AS groups, count(*) FILTER (WHERE item) AS items FROM b GROUP BY doc_id HAVING count(*) FILTER (WHERE item) > 0",
     "j15_style_score": f"WITH {_SENT}, n AS (SELECT doc_id, len({_WORDS.format('sentence')}) AS n FROM sents), sp AS (SELECT doc_id, count(*) AS sents, round(stddev_pop(n), 6) AS spread FROM n WHERE n > 2 GROUP BY 1), r AS (SELECT doc_id, " + " + ".join(f"({_COUNT.format(p)} > 0)::BIGINT" for p in PHRASES) + f" AS n_phrases, {_BANNED} AS n_banned FROM documents), j AS (SELECT r.*, spread, GREATEST(0, 100 - 5 * n_phrases - 2 * LEAST(n_banned, 10) - CASE WHEN sents >= 5 AND spread < 3.0 THEN 3 ELSE 0 END)::BIGINT AS score FROM r LEFT JOIN sp USING (doc_id)) SELECT *, CASE WHEN score >= 80 THEN 'HIGH' WHEN score >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS class FROM j",
 }
+
+_HEADS = r"""
+f AS (SELECT page_id, url, COALESCE(NULLIF(regexp_extract(url, '^https?://(?:www\.)?([^/?#]+)', 1), ''), substring(url, 1, 30)) AS src, regexp_extract_all(substring(html, 1, 120000), '(?is)<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages),
+e AS (SELECT page_id, url, src, unnest(range(len(hs))) AS pos, trim(regexp_replace(unnest(hs), '<[^>]+>', '', 'g'), ' ') AS heading FROM f),
+heads AS (SELECT regexp_extract(url, '^https?://[^/]+/([a-z]{2})(?:/|$)', 1) AS topic_id, src, page_id, pos, heading FROM e WHERE length(heading) > 0 AND length(heading) < 200 AND NOT regexp_matches(heading, '[{}]|webkit|@media'))"""
+_NSRC = "ns AS (SELECT topic_id, count(DISTINCT src) AS n_sources FROM heads GROUP BY 1)"
+_MENTIONS = _GRAMS + ", gaz(phrase, etype) AS (VALUES " + ", ".join(f"('{p}', '{t}')" for p, t in ENTITIES) + "), runs AS (" + " UNION ALL ".join(
+    f"SELECT topic_id, src_idx, doc_id, unnest(range(len(words) - {k - 1})) AS pos, unnest(list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i:i + {k - 1}], ' '))) AS phrase FROM tok WHERE len(words) >= {k}" for k in (1, 2, 3, 4)
+) + "), m AS (SELECT * FROM runs JOIN gaz USING (phrase))"
+_PHRASES = sorted(p for p, _ in ENTITIES)
+
+
+def _css() -> str:
+    x = "html"
+    for p in CSS:
+        x = f"regexp_replace({x}, '{p}', ' ', 'g')"
+    return rf"SELECT page_id, md5(trim(regexp_replace({x}, '\s+', ' ', 'g'), ' ')) AS digest FROM pages"
+
+
+def _clean_headings() -> str:
+    garbage = " OR ".join(f"contains(lower(heading), '{g}')" for g in SHOP)
+    return (
+        f"WITH {_HEADS}, w AS (SELECT *, {_WORDS.format('lower(heading)')} AS words, trim(regexp_replace(lower(heading), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') AS norm FROM heads), "
+        f"c AS (SELECT *, row_number() OVER (PARTITION BY topic_id, norm ORDER BY page_id, pos) AS k FROM w WHERE length(heading) BETWEEN 8 AND 120 AND len(words) BETWEEN 2 AND 15 AND len(list_filter(words, lambda x: NOT list_contains({_LIST}, x))) > 0 "
+        rf"AND NOT ({garbage} OR regexp_matches(heading, '[{{}}<>|\\@#$^*=~]|https?://|www\.') OR regexp_matches(heading, '^[\d\s]+$'))) SELECT topic_id, src, page_id, pos, heading FROM c WHERE k = 1"
+    )
+
+
+def _state(phrase: str, least: int, most: int) -> str:
+    n = _COUNT.format(phrase)
+    return f"CASE WHEN {n} = 0 AND {least} > 0 THEN 'missing' WHEN {n} < {least} THEN 'under' WHEN {n} > {most} THEN 'over' ELSE 'ok' END"
+
+
+def _pairs() -> str:
+    return " UNION ALL ".join(f"SELECT topic_id, '{a}' AS a, '{b}' AS b FROM low WHERE contains(s, '{a}') AND contains(s, '{b}')" for i, a in enumerate(_PHRASES) for b in _PHRASES[i + 1 :])
+
+
+_SHAPES = r"length(line) < 3 OR (length(line) < 30 AND regexp_matches(line, '[→►»›]$')) OR regexp_matches(line, '^[-=_*|•·]+$') OR regexp_matches(line, '^\d+$') OR regexp_matches(line, '^\p{L}{1,4}$')"
+TWINS |= {
+    "b6_flag_nav_lines": f"WITH b AS ({TWINS['b5_line_features']}), l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) SELECT doc_id, pos, boilerplate OR {_SHAPES} OR (n_words BETWEEN 1 AND 2 AND capital = 1) AS nav FROM b JOIN l USING (doc_id, pos)",
+    "b9_strip_css": _css(),
+    "d16_keyphrase_priority": f"WITH {_WEIGHT}, p AS (SELECT topic_id, gram, weight, CASE WHEN weight >= 0.5 THEN 1 WHEN weight >= 0.3 THEN 2 ELSE 3 END::BIGINT AS priority FROM weighted WHERE freq_max > 0), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY priority, weight DESC, gram) AS rank FROM p) SELECT topic_id, rank, gram, priority, weight FROM r WHERE rank <= 30",
+    "e1_clean_headings": _clean_headings(),
+    "e2_heading_support": f"WITH {_HEADS}, {_NSRC}, c AS (SELECT topic_id, lower(heading) AS heading, count(DISTINCT src) AS sources FROM heads GROUP BY ALL), r AS (SELECT c.*, row_number() OVER (PARTITION BY topic_id ORDER BY sources DESC, heading) AS rank FROM c JOIN ns USING (topic_id) WHERE sources >= CASE WHEN n_sources <= 5 THEN 2 ELSE 3 END) SELECT * FROM r WHERE rank <= 40",
+    "e5_topical_coverage": f"WITH {_HEADS}, {_NSRC}, c AS (SELECT topic_id, array_to_string(regexp_extract_all(lower(heading), '\\p{{L}}{{3,}}')[1:3], ' ') AS pattern, count(DISTINCT src) AS sources, min(heading) AS sample FROM heads WHERE length(heading) >= 5 GROUP BY ALL), "
+    "r AS (SELECT topic_id, pattern, sources, sample, CASE WHEN sources / n_sources >= 0.7 THEN 'MUST' WHEN sources / n_sources >= 0.5 THEN 'HIGH' WHEN sources / n_sources >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS class, round(sources / n_sources, 6) AS ratio, row_number() OVER (PARTITION BY topic_id ORDER BY sources DESC, pattern) AS rank FROM c JOIN ns USING (topic_id) WHERE pattern <> '') SELECT * FROM r WHERE rank <= 15",
+    "f1_match_entities": f"WITH {_MENTIONS} SELECT topic_id, doc_id, pos, phrase, etype FROM m",
+    "f2_entity_stats": f"WITH {_MENTIONS}, ns AS (SELECT topic_id, count(DISTINCT src_idx) AS n_sources FROM src GROUP BY 1), c AS (SELECT topic_id, phrase, etype, count(*) AS freq, count(DISTINCT src_idx) AS sources FROM m GROUP BY ALL), "
+    "i AS (SELECT c.*, round(LEAST(1.0::DOUBLE, 0.3::DOUBLE + CASE WHEN etype IN ('PERSON', 'ORGANIZATION', 'PRODUCT') THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + LEAST(0.25::DOUBLE, 0.08::DOUBLE * ln(freq + 1)) + 0.25::DOUBLE * sources / n_sources), 6) AS importance FROM c JOIN ns USING (topic_id)), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY importance DESC, phrase) AS rank FROM i) SELECT * FROM r WHERE rank <= 50",
+    "f13_cooccurrence": rf"WITH low AS (SELECT lang AS topic_id, lower(unnest(regexp_split_to_array(text, '[.!?]+\s+'))) AS s FROM documents), p AS ({_pairs()}), c AS (SELECT topic_id, a, b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT *, round(LEAST(1.0::DOUBLE, 3 * n / 50), 6) AS strength, row_number() OVER (PARTITION BY topic_id ORDER BY n DESC, a, b) AS rank FROM c) SELECT * FROM r WHERE rank <= 20",
+    "g1_bundle_texts": f"WITH {_GRAMS}, q AS (SELECT topic_id, src_idx, doc_id, substring(content, 1, 3000) AS piece FROM src WHERE length(content) > 100), run AS (SELECT *, COALESCE(sum(length(piece)) OVER (PARTITION BY topic_id ORDER BY src_idx, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q), b AS (SELECT topic_id, string_agg(piece, chr(10) ORDER BY src_idx, doc_id) AS bundle FROM run WHERE before < 8000 GROUP BY 1) SELECT topic_id, length(bundle) AS chars, md5(bundle) AS digest FROM b WHERE length(bundle) >= 200",
+    "h10_target_length": f"WITH n AS (SELECT lang, len({_WORDS.format('text')}) AS n FROM documents), a AS (SELECT lang, floor(COALESCE(quantile_cont(n, 0.5) FILTER (n > 200), 2000))::BIGINT AS target, round(COALESCE(avg(n) FILTER (n > 200), 0.0), 4) AS mean_words FROM n GROUP BY 1) SELECT *, LEAST(180, target // 9) AS intro FROM a",
+    "h11_hard_facts": "WITH v AS (" + " UNION ALL ".join(f"SELECT lang, '{k}' AS kind, regexp_replace(unnest(regexp_extract_all(text, '{p}')), '\\s+', '', 'g') AS value FROM documents" for k, p in FACTS.items()) + "), c AS (SELECT lang, kind, value, count(*) AS n FROM v WHERE length(value) > 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, kind, value) AS rank FROM c) SELECT * FROM r WHERE rank <= 25",
+    "h14_dedup_records": r"WITH s AS (SELECT conv_id, turn, upper(regexp_replace(text, '\s+', '', 'g')) AS s FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY conv_id, turn) AS k FROM s) SELECT conv_id, turn FROM r WHERE k = 1 OR s IS NULL OR s = ''",
+    "j1_sentences": r"WITH p AS (SELECT doc_id, regexp_split_to_array(text, '[.!?]+\s+') AS a FROM documents), q AS (SELECT doc_id, unnest(range(len(a))) AS pos, trim(unnest(a), ' ') AS s FROM p) SELECT doc_id, pos, md5(s) AS digest FROM q WHERE s <> ''",
+    "j9_foreign_scripts": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS script, unnest(regexp_extract_all(text, '{p}')[1:{n}]) AS run FROM documents" for k, (p, n) in SCRIPTS.items()),
+    "j17_gram_coverage": "WITH s AS (SELECT doc_id, [" + ", ".join(_state(*b) for b in BUDGETS) + "] AS s FROM documents) SELECT doc_id, " + ", ".join(f"len(list_filter(s, lambda x: x = '{k}')) AS n_{k}" for k in ("missing", "under", "over", "ok")) + f", round(100 * len(list_filter(s, lambda x: x = 'ok')) / {len(BUDGETS)}, 2) AS coverage_pct FROM s",
+    "l3_budgets_from_grams": f"WITH {_WEIGHT} SELECT topic_id, gram, freq_min AS low, GREATEST(freq_max, 1) AS high FROM topped WHERE rank <= 30",
+}
