@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, PHRASES, SCRIPTS, SHOP, STOP
 from textloom.operators import checks, entities, facts, grams, headings, text, vectors
 from textloom.plans.twins import TWINS
+from textloom.streaming import budgets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -221,8 +222,16 @@ def l3_budgets_from_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("topic_id", "gram", F.col("freq_min").alias("low"), F.greatest("freq_max", F.lit(1)).alias("high"))
 
 
+def k1_budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budgets.budget_batches(_table(spark, sf_dir, "conversations"), BUDGETS, "conv_id", "turn")
+
+
+def k2_check_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budgets.check_parts(_table(spark, sf_dir, "conversations"), PHRASES, "%$#|", ["conv_id", "turn"])
+
+
 QUERIES = [a3_filter_urls, a4_admit_sources, a6_with_domain, a10_strip_markup, b1_html_headings, b2_html_main_text, b4_strip_artifacts, b5_line_features, b7_clean_lines, b8_finish_text, d1_tokens, d4_gram_stats, d7_weight_grams, d8_top_grams, d9_extended_terms, d13_repeated_trigrams, h6_keyword_cosine, j2_phrase_hits, j3_opener_hits, j4_char_hits, j5_entity_coverage, j7_uniform_paragraphs, j8_list_groups, j15_style_score]
-QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_headings, e2_heading_support, e5_topical_coverage, f1_match_entities, f2_entity_stats, f13_cooccurrence, g1_bundle_texts, h10_target_length, h11_hard_facts, h14_dedup_records, j1_sentences, j9_foreign_scripts, j17_gram_coverage, l3_budgets_from_grams]
+QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_headings, e2_heading_support, e5_topical_coverage, f1_match_entities, f2_entity_stats, f13_cooccurrence, g1_bundle_texts, h10_target_length, h11_hard_facts, h14_dedup_records, j1_sentences, j9_foreign_scripts, j17_gram_coverage, l3_budgets_from_grams, k1_budget_batches, k2_check_parts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

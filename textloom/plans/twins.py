@@ -130,3 +130,8 @@ TWINS |= {
     "j17_gram_coverage": "WITH s AS (SELECT doc_id, [" + ", ".join(_state(*b) for b in BUDGETS) + "] AS s FROM documents) SELECT doc_id, " + ", ".join(f"len(list_filter(s, lambda x: x = '{k}')) AS n_{k}" for k in ("missing", "under", "over", "ok")) + f", round(100 * len(list_filter(s, lambda x: x = 'ok')) / {len(BUDGETS)}, 2) AS coverage_pct FROM s",
     "l3_budgets_from_grams": f"WITH {_WEIGHT} SELECT topic_id, gram, freq_min AS low, GREATEST(freq_max, 1) AS high FROM topped WHERE rank <= 30",
 }
+TWINS |= {
+    "k1_budget_batches": "WITH u AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{p}' AS phrase, {a} AS low, {b} AS high, COALESCE({_COUNT.format(p)}, 0) AS used FROM conversations" for p, a, b in BUDGETS)
+    + "), s AS (SELECT *, sum(used) OVER (PARTITION BY conv_id, phrase ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM u) SELECT conv_id, turn, phrase, used, CASE WHEN used > GREATEST(high - (spent - used), 0) THEN 'OVER' ELSE 'OK' END AS status, GREATEST(low - spent, 0) AS low_left, GREATEST(high - spent, 0) AS high_left FROM s",
+    "k2_check_parts": "WITH c AS (SELECT conv_id, turn, " + " + ".join(f"contains(lower(COALESCE(text, '')), '{p}')::BIGINT" for p in PHRASES) + f" AS n_phrases, COALESCE({_BANNED}, 0) AS n_chars FROM conversations) SELECT *, GREATEST(0, 100 - 5 * n_phrases - n_chars) AS score FROM c",
+}
