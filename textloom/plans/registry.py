@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, PHRASES, SCRIPTS, SHOP, STOP
 from textloom.operators import checks, entities, facts, grams, headings, text, vectors
+from textloom.plans import articles
 from textloom.plans.twins import TWINS
 from textloom.streaming import budgets
 
@@ -235,8 +236,8 @@ QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_he
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in QUERIES + articles.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(TWINS)
+    return TWINS | articles.TWINS
