@@ -9,30 +9,12 @@ from pyspark.sql import functions as F
 
 from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, PHRASES, SCRIPTS, SHOP, STOP
 from textloom.operators import checks, entities, facts, grams, headings, text, vectors
-from textloom.plans import articles
+from textloom.plans import articles, terms
+from textloom.plans.tables import docs as _docs, headings as _headings, long as _long, mentions as _mentions, table as _table, weighted as _weighted
 from textloom.plans.twins import TWINS
 from textloom.streaming import budgets
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents over several partitions, also where the table is one small file."""
-    return _table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
-
-
-def _long(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("long") for c in columns})
-
-
-def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = text.documents_as_sources(_docs(spark, sf_dir))
-    count = sources.groupBy("topic_id").agg(F.countDistinct("src_idx").alias("n_sources"))
-    return grams.weight_grams(grams.gram_stats(grams.ngrams(grams.tokens(sources))), count)
-
-
 def a3_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.filter_urls(_table(spark, sf_dir, "pages"), ["utm_source", "blog."]).select("page_id", "url")
 
@@ -134,19 +116,6 @@ def h6_keyword_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.keyword_cosine(_table(spark, sf_dir, "embeddings"))
 
 
-def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """h1 headings of the pages: topic = language in the path, source = domain."""
-    pages = _table(spark, sf_dir, "pages")
-    rows = text.html_headings(pages.withColumn("src", text.domain_of(F.col("url"))), level=1, keys=("page_id", "url", "src"))
-    topic = F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})(?:/|$)", 1)
-    return _long(rows.select(topic.alias("topic_id"), "src", "page_id", "pos", "heading"), "pos")
-
-
-def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gazetteer = spark.createDataFrame(ENTITIES, "phrase string, etype string")
-    return entities.match_entities(grams.tokens(text.documents_as_sources(_docs(spark, sf_dir))), gazetteer)
-
-
 def b6_flag_nav_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text.flag_nav_lines(text.line_features(text.lines_of(_docs(spark, sf_dir)), STOP))
     return _long(rows.select("doc_id", "pos", "nav"), "pos")
@@ -236,8 +205,8 @@ QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_he
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES + articles.QUERIES}
+    return {q.__name__: q for q in QUERIES + articles.QUERIES + terms.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return TWINS | articles.TWINS
+    return TWINS | articles.TWINS | terms.TWINS
