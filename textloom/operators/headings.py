@@ -50,3 +50,9 @@ def topical_coverage(headings: DataFrame, limit: int = 15) -> DataFrame:
     rows = rows.withColumn("class", F.when(ratio >= 0.7, "MUST").when(ratio >= 0.5, "HIGH").when(ratio >= 0.3, "MEDIUM").otherwise("LOW")).withColumn("ratio", F.round(ratio, 6)).drop("n_sources")
     order = Window.partitionBy("topic_id").orderBy(F.desc("sources"), "pattern")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def plan_size(median: Column, strong: Column, entities: Column, length: Column) -> Column:
+    """Sections of a plan: the middle of three estimates, at least four, at most eight and one per 250 words."""
+    guesses = F.array(median.cast("long"), F.greatest(F.lit(4), strong).cast("long"), F.greatest(F.lit(4), F.ceil(entities / 3)).cast("long"))
+    return F.greatest(F.lit(4), F.least(F.element_at(F.array_sort(guesses), 2), F.lit(8), F.floor(length / 250))).cast("long")
