@@ -48,3 +48,8 @@ def test_heading_echo_and_paragraphs(spark):
 def test_brands_inside_sentences(spark):
     got = A.brand_candidates(rows(spark, TEXT), ["license"]).collect()
     assert [tuple(r) for r in got if r.brand == "Foundation"] == [(0, "Foundation", 1)]
+
+
+def test_density_counts_sections_between_headings(spark):
+    text = "car car\n# Car one\ncar car car\n## two\ncar"
+    assert [tuple(r) for r in A.keyword_density(rows(spark, text, None), "car").collect()] == [(0, 1, 4)]
