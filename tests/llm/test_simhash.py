@@ -108,3 +108,39 @@ def test_drop_keeps_one_row_of_each_group(spark):
     left = drop_near_duplicates(spark.createDataFrame(rows, DOCS))
     assert left.columns == ["doc_id", "text", "lang"]
     assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4]
+
+
+def boundary_texts(seed=11):
+    """Texts of few and many words with copies whose Jaccard similarity lies about 0.8."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for n in [*range(5, 30)] * 4 + [60, 120, 300] * 8:
+        words = [f"v{i}" for i in rng.integers(0, 5000, n)]
+        texts.append(" ".join(words))
+        texts.append(" ".join([*words, *[f"x{i}" for i in rng.integers(0, 5000, max(1, n // 6))]]))
+        changed = list(words)
+        for at in rng.integers(0, n, max(1, n // 55)):
+            changed[at] = "changed"
+        texts.append(" ".join(changed))
+    return texts
+
+
+def test_near_duplicate_groups_lose_no_link(spark):
+    texts = boundary_texts()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.group_id for r in near_duplicate_groups(docs).collect()}
+    assert got == brute_components(dict(enumerate(texts)), lambda a, b: jaccard(a, b) >= 0.8)
+
+
+def test_lists_that_are_thinned_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for _ in range(260):
+        words = list(base)
+        for at in rng.integers(0, 100, int(rng.integers(1, 4))):
+            words[at] = f"y{rng.integers(0, 10**9)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.group_id for r in near_duplicate_groups(docs, block=64).collect()}
+    assert got == brute_components(dict(enumerate(texts)), lambda a, b: jaccard(a, b) >= 0.8)

@@ -15,6 +15,7 @@ component of their fingerprint; an empty table gives an empty result; extra colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import connected_components, forest, hot_blocks, materialise, near_pairs, scan_groups
+from textloom.llm.decontaminate import bitmap_of
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Odd multipliers (fixed values) that derive further 64-bit words of a wide fingerprint from one hash.
@@ -32,6 +34,10 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB8665
 
 #: Links that a task holds before it thins them to a forest.
 FOUND = 100_000
+#: Room for rounding in bounds on counts of shingles.
+SLACK = 1e-6
+#: Columns of the 256 parity bits of a shingle set.
+PARITIES = ("s0", "s1", "s2", "s3")
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -175,45 +181,185 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 54) -> DataFrame:
-    """``(doc_id, content, group_id, kept)``: groups of texts whose shingle sets have Jaccard ``similarity`` or more.
+def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int = 5000, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that are frequent in a sample of the texts.
 
-    256-bit fingerprints; 60 posting lists keyed by two byte positions each find a pair at similarity 0.8
-    with a probability of about 0.95, and nearly all above 0.9. Each link of the minimum spanning forests
-    is then checked on the shingle sets themselves. ``kept`` marks the rows with the smallest id of a group.
+    They only place frequent shingles last in the order of the prefixes; any order gives the same links.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle, words=4))
-    nodes = prints.groupBy("content").agg(F.min("doc_id").alias("least"), *[F.first(f"f{w}").alias(f"f{w}") for w in range(4)])
-    links = materialise(index_links(nodes, 4, grouped_pairs(), max_distance, 2).select("src", "dst").distinct())
-    asked = links.select(F.col("src").alias("content")).unionByName(links.select(F.col("dst").alias("content"))).distinct()
-    asked = asked.join(nodes.select("content", "least"), "content")
-    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(asked, "least")
+    part = max(1, docs.count() // sample)
+    taken = docs.select(F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents, members = batch.column(0), []
-            good = []
-            for k, text in enumerate(batch.column(1)):
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), shingle)).view(np.int64))], names=["h"])
+
+    counted = taken.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    rows = counted.orderBy(F.desc("n"), "h").limit(most).toArrow()
+    hashes, counts = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    by = np.argsort(hashes)
+    return hashes[by], counts[by]
+
+
+def shingle_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``(doc_id, row, content, size, s0 .. s3, prefix)`` per row of ``docs``.
+
+    ``row`` is the XXH64 of the text, ``content`` hashes its set of shingles and ``size`` counts them. A bit
+    of ``s`` is the parity of the shingles that fall to it, so two sets differ in at least as many shingles
+    as their bits differ. ``prefix`` has the rarest shingles, so many that sets of Jaccard ``similarity`` share one.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = common.value
+        for batch in batches:
+            n = batch.num_rows
+            content, size, bits = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64), np.zeros((n, 4), dtype=np.uint64)
+            prefixes = []
+            for k, text in enumerate(batch.column(2)):
                 h = np.unique(shingle_hashes(text.as_py(), shingle))
-                if xxhash.xxh64_intdigest(h.tobytes(), 42) == contents[k].as_py() % (1 << 64):
-                    good.append(k)
-                    members.append(h.view(np.int64))
+                content[k], size[k] = xxhash.xxh64_intdigest(h.tobytes(), 42), len(h)
+                bits[k] = np.packbits(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1, bitorder="little").view(np.uint64)
+                if len(hashes) and len(h):
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
+                prefixes.append(h[: max(0, len(h) - math.ceil(similarity * len(h) - SLACK) + 1)].view(np.int64))
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32))
+            values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
+            columns = [pa.array(content.view(np.int64)), pa.array(size), *[pa.array(bits[:, w].view(np.int64)) for w in range(4)], pa.ListArray.from_arrays(offsets, values)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "content", "size", *PARITIES, "prefix"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = ", ".join([f"doc_id {kind}, row bigint, content bigint, size bigint", *[f"{s} bigint" for s in PARITIES], "prefix array<bigint>"])
+    return docs.select(F.col(id_col).alias("doc_id"), row_of(text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def row_of(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def prefix_pairs(rows: DataFrame, similarity: float, whole: bool, block: int = 512) -> DataFrame:
+    """``(src, dst, thinned)``: the pairs of ``rows(key, pos, content, size, s0 .. s3, component)`` that may be similar.
+
+    Pairs of one component are left out. Length, places and parities only reject pairs whose similarity is
+    below the bound. Unless ``whole``, lists with very many pairs give a spanning forest, and a row with
+    their key in ``thinned``: those keys are to be read again, ``whole``, with the components found.
+    """
+    dealt = hot_blocks(rows, "key", "content", block)
+    share = similarity / (1 + similarity)
+
+    def out(node: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+        left, right = (np.concatenate(c) for c in list(zip(*found))[:2])
+        pairs = np.unique(np.stack([np.minimum(node[left], node[right]), np.maximum(node[left], node[right])], axis=1), axis=0)
+        return batch_of(pairs[:, 0], pairs[:, 1], None)
+
+    def batch_of(src, dst, thinned) -> pa.RecordBatch:
+        n = len(src) if src is not None else len(thinned)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, type=pa.int64()) for c in (src, dst, thinned)], names=["src", "dst", "thinned"])
+
+    def compare(group: np.ndarray, x: dict) -> Iterator[pa.RecordBatch]:
+        node, size, rest, part = x["content"], x["size"], x["size"] - x["pos"], x["component"]
+        bits = np.stack([x[s] for s in PARITIES], axis=1).view(np.uint64)
+        found, held, thinned, limit = [], 0, set(), max(20_000, 4 * len(node))
+        for left, right in near_pairs(group, x):
+            need = share * (size[left] + size[right]) - SLACK
+            ok = (part[left] != part[right]) & (np.minimum(rest[left], rest[right]) >= need)
+            left, right, need = left[ok], right[ok], need[ok]
+            distance = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
+            ok = distance <= size[left] + size[right] - 2 * need
+            left, right, distance = left[ok], right[ok], distance[ok]
+            if len(left):
+                found.append((left, right, distance))
+                held += len(left)
+            if held > limit:
+                if whole:
+                    yield out(node, found)
+                    found, held = [], 0
+                else:
+                    thinned |= set(np.unique(x["key"][np.concatenate([f[0] for f in found])]).tolist())
+                    found = [spanning(node, found)]
+                    held = len(found[0][0])
+        if held:
+            yield out(node, found)
+        if thinned:
+            yield batch_of(None, None, sorted(thinned))
+
+    return scan_groups(dealt, ["key", "__i", "__j"], ["content", "size", "pos", "component", *PARITIES, "key"], compare, "src bigint, dst bigint, thinned bigint")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 512) -> DataFrame:
+    """``(doc_id, row, content, group_id, kept)``: groups of texts linked by a Jaccard of ``similarity`` or more of their shingle sets.
+
+    Exact: two such sets share a shingle of their prefixes, and every candidate pair that could join two
+    groups is checked on the sets themselves. ``kept`` marks the rows with the smallest id of a group.
+    """
+    prints = materialise(shingle_prefixes(docs, id_col, text_col, shingle, similarity))
+    nodes = materialise(prints.drop("doc_id").dropDuplicates(["content"]))
+    rows = shared_rows(nodes)
+    first = materialise(prefix_pairs(rows.withColumn("component", F.col("content")), similarity, False, block).distinct())
+    thinned = first.filter("thinned IS NOT NULL").select(F.col("thinned").alias("key")).distinct()
+    again = materialise(rows.join(thinned, "key", "left_semi"))
+    asked = first.filter("thinned IS NULL").select("src", "dst")
+    held = shingle_members(docs, text_col, nodes, asked.select(F.explode(F.array("src", "dst")).alias("content")).unionByName(again.select("content")), shingle)
+    links = materialise(similar_pairs(held, asked, similarity))
+    component = materialise(connected_components(links))
+    if not again.isEmpty():
+        known = again.join(component.withColumnRenamed("id", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
+        further = materialise(prefix_pairs(materialise(known), similarity, True, block).select("src", "dst").distinct().join(asked, ["src", "dst"], "left_anti"))
+        more = materialise(similar_pairs(held, further, similarity))
+        if not more.isEmpty():
+            component = materialise(connected_components(links.unionByName(more)))
+    placed = prints.select("doc_id", "row", "content").join(component.withColumnRenamed("id", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
+    placed = materialise(placed)
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("group_id"))
+    return placed.join(smallest, "component").select("doc_id", "row", "content", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+
+
+def shared_rows(nodes: DataFrame, bits: int = 25) -> DataFrame:
+    """``(content, size, s0 .. s3, pos, key)`` of the prefixes' shingles that more than one prefix may hold.
+
+    A bitmap of fixed size tells them; where its places meet, a shingle of one prefix stays, which pairs with none.
+    """
+    often = nodes.select(F.explode("prefix").alias("hash")).groupBy("hash").count().filter("count > 1").select("hash")
+    seen = nodes.sparkSession.sparkContext.broadcast(np.packbits(bitmap_of(often, bits)))
+    names = ["content", "size", *PARITIES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = seen.value
+        for batch in batches:
+            lists = batch.column(len(names))
+            key, length = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(length)), length)
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
+            low = key & ((1 << bits) - 1)
+            ok = np.flatnonzero(packed[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
+            for at in range(0, len(ok), 10_000):
+                k = ok[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(of[k])) for c in range(len(names))], pa.array(pos[k].astype(np.int64)), pa.array(key[k])], names=[*names, "pos", "key"])
+
+    return materialise(nodes.select(*names, "prefix").mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "pos", "key"])))
+
+
+def shingle_members(docs: DataFrame, text_col: str, nodes: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """``(content, members)``: the shingle sets of the contents ``asked``."""
+    asked = asked.distinct().join(nodes.select("content", "row"), "content")
+    texts = docs.select(row_of(text_col).alias("row"), F.col(text_col).alias("text")).join(asked, "row")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = [np.unique(shingle_hashes(text.as_py(), shingle)).view(np.int64) for text in batch.column(1)]
             values = pa.array(np.concatenate(members) if members else np.zeros(0, dtype=np.int64))
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(m) for m in members]))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([contents.take(pa.array(good, type=pa.int32())), pa.ListArray.from_arrays(offsets, values)], names=["content", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=["content", "members"])
+
+    return materialise(texts.dropDuplicates(["content"]).select("content", "text").mapInArrow(sets, "content bigint, members array<bigint>"))
 
-    held = texts.select("content", "text").mapInArrow(sets, "content bigint, members array<bigint>").dropDuplicates(["content"])
-    held = materialise(held)
-    pair = links.join(held.select(F.col("content").alias("src"), F.col("members").alias("a")), "src").join(held.select(F.col("content").alias("dst"), F.col("members").alias("b")), "dst")
+
+def similar_pairs(held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(src, dst)`` of contents whose shingle sets, ``held(content, members)``, have Jaccard ``similarity`` or more."""
+    pair = pairs.join(held.select(F.col("content").alias("src"), F.col("members").alias("a")), "src").join(held.select(F.col("content").alias("dst"), F.col("members").alias("b")), "dst")
     shared = F.size(F.array_intersect("a", "b"))
-    good = pair.filter(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
-    component = connected_components(good)
-    placed = nodes.join(component, nodes["content"] == component["id"], "left").select("content", "least", F.coalesce("component", "content").alias("component"))
-    placed = materialise(placed)
-    smallest = placed.groupBy("component").agg(F.min("least").alias("group_id"))
-    named = placed.join(smallest, "component").select("content", "group_id")
-    joined = prints.select("doc_id", "content").join(named, "content")
-    return joined.select("doc_id", "content", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+    return pair.filter(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared) - F.lit(SLACK)).select("src", "dst")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
