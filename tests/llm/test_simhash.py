@@ -144,3 +144,15 @@ def test_lists_that_are_thinned_lose_no_link(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
     got = {r.doc_id: r.group_id for r in near_duplicate_groups(docs, block=64).collect()}
     assert got == brute_components(dict(enumerate(texts)), lambda a, b: jaccard(a, b) >= 0.8)
+
+
+def test_repeated_lines_do_not_hide_a_link(spark):
+    rng = np.random.default_rng(2)
+    line = " ".join(f"l{i}" for i in range(20))
+    texts = []
+    for n, times in enumerate((5, 20, 60)):
+        words = [f"d{n}w{i}" for i in rng.integers(0, 10**6, 400)]
+        texts += [" ".join(words) + "\n" + line, " ".join([*words[:200], "changed", *words[201:]]) + ("\n" + line) * times]
+    assert all(jaccard(a, b) > 0.9 for a, b in zip(texts[::2], texts[1::2]))
+    got = {r.doc_id: r.group_id for r in near_duplicate_groups(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
