@@ -156,3 +156,10 @@ def test_repeated_lines_do_not_hide_a_link(spark):
     assert all(jaccard(a, b) > 0.9 for a, b in zip(texts[::2], texts[1::2]))
     got = {r.doc_id: r.group_id for r in near_duplicate_groups(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_drop_tells_rows_without_or_with_shared_ids_apart(spark):
+    text = "one text that also has a row with an id"
+    rows = [(1, text, "x"), (None, text, "x"), (None, "second words of another kind", "x"), (None, "third text entirely", "x"), (None, "third text entirely", "y"), (5, "shared id and first text", "x"), (5, "other words under that id", "x"), (5, "other words under that id", "x")]
+    left = drop_near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "second words of another kind"), (0, "third text entirely"), (1, text), (5, "other words under that id"), (5, "shared id and first text")]

@@ -291,7 +291,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``(doc_id, row, content, group_id, kept)``: groups of texts linked by a Jaccard of ``similarity`` or more of their shingle sets.
 
     Exact: two such sets share a shingle of their prefixes, and every candidate pair that could join two
-    groups is checked on the sets themselves. ``kept`` marks the rows with the smallest id of a group.
+    groups is checked on the sets themselves. ``kept`` marks one text of a group: of the smallest id, else,
+    if no row of the group has one, of a row without.
     """
     prints = materialise(shingle_prefixes(docs, id_col, text_col, shingle, similarity))
     nodes = materialise(prints.drop("doc_id").dropDuplicates(["content"]))
@@ -311,8 +312,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             component = materialise(connected_components(links.unionByName(more)))
     placed = prints.select("doc_id", "row", "content").join(component.withColumnRenamed("id", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
     placed = materialise(placed)
-    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("group_id"))
-    return placed.join(smallest, "component").select("doc_id", "row", "content", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    joined = placed.join(placed.groupBy("component").agg(first_row), "component")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row"))
+    return joined.select("doc_id", "row", "content", F.col("least.doc_id").alias("group_id"), kept.alias("kept"))
 
 
 def shared_rows(nodes: DataFrame, bits: int = 25) -> DataFrame:
@@ -368,7 +371,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without an id stay only if no member of their group has one, and then once.
     """
     groups = materialise(near_duplicate_groups(docs, id_col, text_col, shingle, similarity))
-    losers = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(losers, docs[id_col].eqNullSafe(losers["__id"]), "left_anti")
-    repeated = groups.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates([id_col])
+    losers = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    left = docs.join(losers, docs[id_col].eqNullSafe(losers["__id"]) & (row_of(text_col) == losers["__row"]), "left_anti")
+    repeated = groups.filter("kept").groupBy("doc_id", "row").count().filter("count > 1")
+    return left if repeated.isEmpty() else left.withColumn("__row", row_of(text_col)).dropDuplicates([id_col, "__row"]).drop("__row")
