@@ -64,3 +64,10 @@ def test_drop_keeps_columns_repeats_and_clean_rows(spark):
     assert sorted(r.doc_id for r in left.collect()) == [1, 2, 2, 3]
     assert drop_contaminated(spark.createDataFrame([], DOCS), spark.createDataFrame([(10, ITEM)], ITEMS)).count() == 0
     assert drop_contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame([], ITEMS)).count() == 6
+
+
+def test_passages_in_capitals_and_short_items(spark):
+    short, heavy = "What is 12 times 7?", "Anna Bell 4 5 6 7 8 9 10 11 12 Tom Smith 13 14 15"
+    docs = [(1, words(30, 1) + "\n" + ITEM.upper() + "\n" + words(20, 2), "x"), (2, words(9, 3) + " " + OTHER.title(), "x"), (3, "so WHAT IS 12 TIMES 7? and on", "x"), (4, "a b " + heavy.lower() + " c", "x"), (5, "what is 13 times 7?", "x"), (6, "what is 12 times", "x")]
+    got = found(spark, docs, [(10, ITEM), (11, OTHER), (12, short), (13, heavy), (14, "..."), (15, None)])
+    assert set(got) == {(1, 10), (2, 11), (3, 12), (4, 13)}
