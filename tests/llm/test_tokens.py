@@ -17,6 +17,7 @@ TEXTS = [
     "1234 ١٢ 5kg 3.14 v2.0-rc1 a_b__c (d) [e] {f}. ... --- ***",
     "<|endoftext|> in <|startoftext|> text<|",
     "日本語 テキスト。漢字！ 한국어 👍🏽 👨‍👩‍👧",
+    "\x01a \x7f\x02 b\x1b_'s \xad\xa0x\x85y ½² ŁÓDŹ ǅ",
     "w’s l’été “quoted” — dash – x​zero‍width",
     "",
     " \n ",
@@ -27,14 +28,20 @@ def test_pieces_equal_whole_texts():
     plain, own = Tokenizer.from_file(PATH), Encoder(PATH)
     for text in TEXTS * 2:
         want = plain.encode(text, add_special_tokens=False).ids
-        assert list(memoryview(own.encode([text])[0]).cast("I")) == want, text
+        assert list(memoryview(own.encode(text)).cast("I")) == want, text
 
 
 def test_memory_is_bounded():
     own = Encoder(PATH, memory=10)
     for k in range(20):
-        own.encode([f"w{k}a w{k}b"])
-    assert len(own.known) < 40
+        own.encode(f"w{k}a w{k}b, w{k}c")
+    assert len(own.known) <= 12
+
+
+def test_sample_texts_equal_the_tokenizer(spark, sf):
+    plain, own = Tokenizer.from_file(PATH), Encoder(PATH, memory=3000)
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
+        assert list(memoryview(own.encode(r.text or "")).cast("I")) == plain.encode(r.text or "", add_special_tokens=False).ids
 
 
 def test_files_give_the_ids_back(spark, tmp_path):

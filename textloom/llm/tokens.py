@@ -4,12 +4,14 @@ Rows are range-partitioned and sorted by id, encoded in place, and written by Sp
 ids dictionary-encoded, the sorted ids and counts delta-encoded, row groups and pages of controlled size,
 with page indexes, so that a reader of a range of ids or of the counts alone skips the rest.
 
-The encoder asks the tokenizer only for pieces that it has not met lately; a piece is a match of the
-vocabulary's own pre-tokenizer pattern in the lower-case text, so merges never cross its borders. Texts
-that are not in normal form or hold special tokens or characters on which libraries may differ are encoded whole.
-
-Defined results: a null or empty text has the end id only; repeated rows are encoded each; null ids come
-first; an empty table gives files without rows; extra columns are ignored.
+The encoder looks up the blank-separated chunks of the lower-case text, cuts chunks that it has not met into
+pieces, and asks the tokenizer only for pieces that it has not met lately; a piece is a match of the vocabulary's
+own pre-tokenizer pattern, so merges never cross its borders. Texts that hold special tokens or characters on
+which libraries may differ, all that could break the normal form among them, are encoded whole.
+
+Defined results: a null or empty text has the end id only; repeated rows are encoded each; rows of one id are
+dealt and sorted by their text too; null ids come first; an empty table gives files without rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,46 @@ from textloom.llm.common import materialise, shared_folder
 #: Texts with other characters than these are encoded whole: separators, and characters on which libraries may differ.
 WHOLE = re.compile("[^\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
 #: What the vocabulary's pre-tokenizer takes as pieces of the remaining texts.
+BLANKS = "\x1c\x1d\x1e\x1f"
 PIECE = re.compile(r"[^\W\d_]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+#: How byte-level vocabularies write bytes: printable ones as they are, the others from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(PRINTABLE)))}
+
+
+class Memory(dict):
+    """The ids of chunks, asked of the tokenizer's model piece by piece where they are missing.
+
+    A full memory keeps what it holds, since frequent chunks come early, and starts anew once as many chunks were missing.
+    """
+
+    def __init__(self, model, limit: int):
+        super().__init__()
+        self.model, self.limit, self.missed = model, limit, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        pieces = PIECE.findall(chunk)
+        if len(pieces) == 1:
+            letters = chunk.encode().decode("latin-1").translate(LETTERS)
+            ids = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
+        else:
+            ids = b"".join([self[p] for p in pieces])
+        if len(self) >= self.limit:
+            self.missed += 1
+            if self.missed < self.limit:
+                return ids
+            self.clear()
+            self.missed = 0
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
-    """A tokenizer with a bounded memory of pieces."""
+    """A tokenizer with a bounded memory of chunks."""
 
     def __init__(self, path: str, memory: int = 600_000):
         import os
@@ -45,35 +79,21 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
-        vocabulary = self.tokenizer.get_vocab()
-        self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces as one text; the last id of each piece carries the end-of-word mark."""
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(self.final[ids]) + 1
-        if len(ends) == len(pieces) and (not len(ends) or ends[-1] == len(ids)):
-            raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
-            self.known.update((p, raw[a:b]) for p, a, b in zip(pieces, at, at[1:]))
-        else:
-            self.known.update((p, self.whole(p)) for p in pieces)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > self.memory:
-            self.known.clear()
-        pieces = [None if "<|" in t or WHOLE.search(t) or not is_normalized("NFC", t) else PIECE.findall(t.lower()) for t in texts]
-        new = set().union(*[p for p in pieces if p]).difference(self.known)
-        if new:
-            self._learn(sorted(new))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = Memory(self.tokenizer.model, memory)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text."""
+        if self._odd(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         known = self.known
-        return [self.whole(t) if p is None else b"".join([known[x] for x in p]) for t, p in zip(texts, pieces)]
+        return b"".join([known[c] for c in text.lower().split()])
+
+    @staticmethod
+    def _odd(text: str) -> bool:
+        if text.isascii():
+            return "<|" in text or any(b in text for b in BLANKS)
+        return "<|" in text or WHOLE.search(text) is not None
 
 
 def encoder(path: str) -> Encoder:
@@ -90,7 +110,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2, step: int = 256
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                ids = [x + end for x in encoder(tokenizer).encode([t or "" for t in batch.column(1).to_pylist()])]
+                ids = [x + end for x in map(encoder(tokenizer).encode, [t or "" for t in batch.column(1).to_pylist()])]
                 counts = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 values = np.frombuffer(b"".join(ids), dtype="<i4")
@@ -100,12 +120,13 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2, step: int = 256
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, tokens array<int>")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000) -> None:
-    """Write the token file set: part files in ascending order of ids."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, file_rows: int = 1_000_000) -> None:
+    """Write the token file set: part files of at most ``file_rows`` rows in ascending order of ids."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     options = {
         "compression": "zstd",
+        "maxRecordsPerFile": file_rows,
         "parquet.block.size": row_group_bytes,
         "parquet.page.size": page_bytes,
         "parquet.page.row.count.limit": page_rows,
@@ -131,9 +152,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], sums], names=["doc_id", "n_tokens", "file", "row", "ids_crc32"])
 
     rows = materialise(files.mapInArrow(checksums, f"doc_id {kind}, n_tokens bigint, file string, row bigint, ids_crc32 bigint"))
-    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("part", number)
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    part, piece = (F.regexp_extract("file", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)"))
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumns({"part": part, "piece": piece})
+    before = Window.orderBy("part", "piece", "file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(totals, "file")
