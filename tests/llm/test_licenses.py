@@ -1,3 +1,4 @@
+import random
 import re
 
 from textloom.llm.licenses import NOTICES, PHRASES, Scanner, pieces, scan_licenses
@@ -37,19 +38,71 @@ def test_fuzzy_matches_add_labels_and_spans():
     s = Scanner()
     r = s.scan(TEXTS[2])
     assert r["labels"] == "apache" and r["base_labels"] == "" and 0 < r["score"] < 1
-    assert {"label": "apache", "first_word": 3, "words": 2, "errors": 1} in r["spans"]
+    assert {"label": "apache", "first_word": 3, "words": 2, "errors": 1, "notice_chars": 14} in r["spans"]
+    assert r["score"] == max(1 - x["errors"] / x["notice_chars"] for x in r["spans"])
+    assert s.scan("a mit licence")["score"] == 1 - 1 / len("mit license")
     assert s.scan(TEXTS[3])["labels"] == "mit"
     assert s.scan("plain words about a permit or license")["labels"] == ""
 
 
-def distance_within(a, b, k):
+def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
         row = new
-    return row[-1] <= k
+    return row[-1]
+
+
+def brute_spans(text, notice, errors):
+    """(first word, errors) of the notice's matches: fewest errors first, then the first word; later ones must not overlap."""
+    words = text.split()
+    found = []
+    for i in range(len(words)):
+        ends = [(distance(" ".join(words[i:j]), notice), j) for j in range(i + 1, min(len(words), i + len(notice.split()) + errors + 1) + 1)]
+        e, j = min(ends)
+        if e <= errors:
+            found.append((e, i, j))
+    taken = []
+    for e, i, j in sorted(found):
+        if all(j <= a or b <= i for _, a, b in taken):
+            taken.append((e, i, j))
+    return sorted((i, e) for e, i, _ in taken)
+
+
+def damaged(rng, notice, n):
+    out = list(notice)
+    for _ in range(n):
+        at = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        if kind == 0:
+            out[at] = "q"
+        elif kind == 1:
+            del out[at]
+        else:
+            out.insert(at, "z")
+    return " ".join("".join(out).split())
+
+
+def test_spans_equal_edit_distance_over_all_substrings():
+    rng = random.Random(4)
+    for notice, label, errors in [n for n in NOTICES if len(n[0]) < 40]:
+        own = Scanner(notices=((notice, label, errors),))
+        for gap in (0, 1, 2, 3):
+            for _ in range(12):
+                parts = [damaged(rng, notice, rng.randrange(errors + 2)) for _ in range(3)]
+                text = "see " + (" " + "of the x "[: 3 * gap] + " ").join(parts) + " end"
+                text = " ".join(text.split())
+                got = sorted((r["first_word"], r["errors"]) for r in own.scan(text)["spans"])
+                assert got == brute_spans(text, notice, errors), (notice, text)
+
+
+def test_adjacent_notices_are_all_reported():
+    s = Scanner()
+    spans = lambda text, label: [(x["first_word"], x["errors"]) for x in s.scan(text)["spans"] if x["label"] == label]
+    assert {(0, 1), (3, 0)} <= set(spans("mit licensa x mit license", "mit"))
+    assert [x for x in spans("gnu genral public licnse see gnu general public license", "gpl")] == [(0, 2), (5, 0)]
 
 
 def test_every_notice_is_found_with_its_errors():
@@ -63,7 +116,7 @@ def test_every_notice_is_found_with_its_errors():
                 if broken[at] != " ":
                     broken[at] = "x"
             text = "".join(broken)
-            assert distance_within(text, notice, errors)
+            assert distance(text, notice) <= errors
             assert label in s.scan(f"before {text} after")["labels"].split(",")
 
 

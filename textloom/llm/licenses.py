@@ -2,8 +2,10 @@
 
 A text becomes its lower-case words, single-spaced. Phrases are counted where their words stand
 consecutively. A notice with at most k errors, split into k + 1 pieces, contains one piece unharmed
-(pigeonhole), so exact finds of pieces locate candidates; around them the ``regex`` library matches the
-notice with at most k errors between word borders and reports the span and its errors.
+(pigeonhole), so exact finds of pieces locate candidates: a match that holds a piece begins within k characters
+of where the piece puts it. At each word that begins there the ``regex`` library matches the notice with at most
+k errors up to a word border. Of matches of a notice that overlap, those with fewer errors stay, then the first.
+The score is 1 for a phrase, else the largest share of a matched notice's characters that is without error.
 
 Defined results: a null, empty or wordless text has no words, no places, empty label strings and score 0;
 repeated rows are scanned each; an empty table gives an empty result; extra columns are ignored.
@@ -11,6 +13,7 @@ repeated rows are scanned each; an empty table gives an empty result; extra colu
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,7 +62,7 @@ class Scanner:
         self.notices = []
         for notice, label, errors in notices:
             raw = notice.encode()
-            pattern = regex.compile(rb"(?b)(?<= )(?:" + regex.escape(raw, special_only=True) + rb"){e<=%d}(?= )" % errors)
+            pattern = regex.compile(rb"(?b)(?:" + regex.escape(raw, special_only=True) + rb"){e<=%d}(?= )" % errors)
             self.notices.append((raw, label, errors, pieces(raw, errors), pattern))
 
     def places(self, line: bytes) -> list[tuple[int, str]]:
@@ -74,32 +77,40 @@ class Scanner:
                 at = line.find(phrase, at + 1)
         return out
 
-    def spans(self, line: bytes) -> list[tuple[str, int, int, int]]:
-        """(label, first word, words, errors) of every fuzzy match."""
+    def spans(self, line: bytes) -> list[tuple[str, int, int, int, int]]:
+        """(label, first word, words, errors, characters of the notice) of every fuzzy match."""
         out = []
         for raw, label, errors, seeds, pattern in self.notices:
-            windows: list[list[int]] = []
+            starts = set()
             for offset, piece in seeds:
                 at = line.find(piece)
                 while at >= 0:
-                    windows.append([max(0, at - offset - errors - 1), at - offset + len(raw) + errors + 1])
+                    first, last = max(0, at - offset - errors - 1), at - offset + errors
+                    while (first := line.find(b" ", first, max(0, last))) >= 0:
+                        first += 1
+                        starts.add(first)
                     at = line.find(piece, at + 1)
-            merged: list[list[int]] = []
-            for a, b in sorted(windows):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                for m in pattern.finditer(line, a, min(b, len(line))):
-                    out.append((label, line.count(b" ", 0, m.start()) - 1, m.group().count(b" ") + 1, sum(m.fuzzy_counts)))
+            found = []
+            for at in starts:
+                if m := pattern.match(line, at, min(len(line), at + len(raw) + errors + 1)):
+                    found.append((sum(m.fuzzy_counts), at, m.end()))
+            taken: list[tuple[int, int, int]] = []
+            for e, a, b in sorted(found):
+                k = bisect(taken, (a, b, e))
+                if (not k or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                    taken.insert(k, (a, b, e))
+            words, counted = 0, 1
+            for a, b, e in taken:
+                words += line.count(b" ", counted, a)
+                counted = a
+                out.append((label, words, line.count(b" ", a, b) + 1, e, len(raw)))
         return sorted(set(out))
 
     def scan(self, text: str | None) -> dict:
         words = (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
         line = b" " + b" ".join(words) + b" "
         exact, fuzzy = self.places(line), self.spans(line)
-        similar = [1 - e / len(n[0]) for label, _, _, e in fuzzy for n in self.notices if n[1] == label and e <= n[2]]
+        similar = [1 - e / size for *_, e, size in fuzzy]
         base = sorted({label for _, label in exact})
         return {
             "n_words": len(words),
@@ -109,11 +120,11 @@ class Scanner:
             "base_labels": ",".join(base),
             "labels": ",".join(sorted({*base, *(s[0] for s in fuzzy)})),
             "score": 1.0 if exact else max(similar, default=0.0),
-            "spans": [dict(zip(("label", "first_word", "words", "errors"), s)) for s in fuzzy],
+            "spans": [dict(zip(("label", "first_word", "words", "errors", "notice_chars"), s)) for s in fuzzy],
         }
 
 
-SPANS = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("errors", pa.int64())]))
+SPANS = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("errors", pa.int64()), ("notice_chars", pa.int64())]))
 KINDS = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": SPANS}
 
 
@@ -127,5 +138,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[c] for f in found], type=k) for c, k in KINDS.items()]], names=["doc_id", *KINDS])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,first_word:bigint,words:bigint,errors:bigint>>"
+    schema = f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,first_word:bigint,words:bigint,errors:bigint,notice_chars:bigint>>"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
