@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import connected_components, forest, hot_blocks, materialise, near_pairs, scan_groups
@@ -202,11 +202,12 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int =
 
 
 def shingle_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``(doc_id, row, content, size, s0 .. s3, prefix)`` per row of ``docs``.
+    """``(doc_id, row, content, size, s0 .. s3, wide, prefix)`` per row of ``docs``.
 
     ``row`` is the XXH64 of the text, ``content`` hashes its set of shingles and ``size`` counts them. A bit
     of ``s`` is the parity of the shingles that fall to it, so two sets differ in at least as many shingles
-    as their bits differ. ``prefix`` has the rarest shingles, so many that sets of Jaccard ``similarity`` share one.
+    as their bits differ; ``wide`` is the same with a bit for each shingle, rounded up to a power of two.
+    ``prefix`` has the rarest shingles, so many that sets of Jaccard ``similarity`` share one.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
 
@@ -215,26 +216,32 @@ def shingle_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         for batch in batches:
             n = batch.num_rows
             content, size, bits = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64), np.zeros((n, 4), dtype=np.uint64)
-            prefixes = []
+            prefixes, wide = [], []
             for k, text in enumerate(batch.column(2)):
                 h = np.unique(shingle_hashes(text.as_py(), shingle))
+                wide.append(parities(h, 1 << max(8, (len(h) - 1).bit_length())).tobytes())
                 content[k], size[k] = xxhash.xxh64_intdigest(h.tobytes(), 42), len(h)
-                bits[k] = np.packbits(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1, bitorder="little").view(np.uint64)
+                bits[k] = parities(h >> np.uint64(56), 256).view(np.uint64)
                 if len(hashes) and len(h):
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
                 prefixes.append(h[: max(0, len(h) - math.ceil(similarity * len(h) - SLACK) + 1)].view(np.int64))
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32))
             values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
-            columns = [pa.array(content.view(np.int64)), pa.array(size), *[pa.array(bits[:, w].view(np.int64)) for w in range(4)], pa.ListArray.from_arrays(offsets, values)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "content", "size", *PARITIES, "prefix"])
+            columns = [pa.array(content.view(np.int64)), pa.array(size), *[pa.array(bits[:, w].view(np.int64)) for w in range(4)], pa.array(wide, type=pa.binary()), pa.ListArray.from_arrays(offsets, values)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "content", "size", *PARITIES, "wide", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}, row bigint, content bigint, size bigint", *[f"{s} bigint" for s in PARITIES], "prefix array<bigint>"])
+    schema = ", ".join([f"doc_id {kind}, row bigint, content bigint, size bigint", *[f"{s} bigint" for s in PARITIES], "wide binary, prefix array<bigint>"])
     return docs.select(F.col(id_col).alias("doc_id"), row_of(text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def row_of(text_col: str):
+def parities(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of the parities of the hashes that fall to each of ``bits`` places, a power of two."""
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def row_of(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
@@ -301,15 +308,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     thinned = first.filter("thinned IS NOT NULL").select(F.col("thinned").alias("key")).distinct()
     again = materialise(rows.join(thinned, "key", "left_semi"))
     asked = first.filter("thinned IS NULL").select("src", "dst")
-    held = shingle_members(docs, text_col, nodes, asked.select(F.explode(F.array("src", "dst")).alias("content")).unionByName(again.select("content")), shingle)
-    links = materialise(similar_pairs(held, asked, similarity))
+    links = similar_pairs(docs, text_col, nodes, asked, shingle, similarity)
     component = materialise(connected_components(links))
-    if not again.isEmpty():
-        known = again.join(component.withColumnRenamed("id", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
-        further = materialise(prefix_pairs(materialise(known), similarity, True, block).select("src", "dst").distinct().join(asked, ["src", "dst"], "left_anti"))
-        more = materialise(similar_pairs(held, further, similarity))
-        if not more.isEmpty():
-            component = materialise(connected_components(links.unionByName(more)))
+    known = again.join(component.withColumnRenamed("id", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
+    further = prefix_pairs(materialise(known), similarity, True, block).select("src", "dst").distinct().join(asked, ["src", "dst"], "left_anti")
+    more = similar_pairs(docs, text_col, nodes, materialise(further), shingle, similarity)
+    component = materialise(connected_components(links.unionByName(more)))
     placed = prints.select("doc_id", "row", "content").join(component.withColumnRenamed("id", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
     placed = materialise(placed)
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
@@ -358,11 +362,38 @@ def shingle_members(docs: DataFrame, text_col: str, nodes: DataFrame, asked: Dat
     return materialise(texts.dropDuplicates(["content"]).select("content", "text").mapInArrow(sets, "content bigint, members array<bigint>"))
 
 
-def similar_pairs(held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(src, dst)`` of contents whose shingle sets, ``held(content, members)``, have Jaccard ``similarity`` or more."""
-    pair = pairs.join(held.select(F.col("content").alias("src"), F.col("members").alias("a")), "src").join(held.select(F.col("content").alias("dst"), F.col("members").alias("b")), "dst")
+def plausible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(src, dst)`` whose wide parities allow Jaccard ``similarity``; they reject pairs below it only."""
+    side = lambda end, k: nodes.select(F.col("content").alias(end), F.col("size").alias(f"size{k}"), F.col("wide").alias(f"wide{k}"))
+    both = pairs.join(side("src", 0), "src").join(side("dst", 1), "dst").select("src", "dst", "size0", "size1", "wide0", "wide1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = total - 2 * (similarity / (1 + similarity) * total - SLACK)
+            a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            yield batch.select(["src", "dst"]).filter(pa.array([parity_distance(x, y) <= m for x, y, m in zip(a, b, most)], type=pa.bool_()))
+
+    return both.mapInArrow(run, "src bigint, dst bigint")
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """Differing parities, the longer ones folded to the length of the shorter."""
+    x, y = (np.frombuffer(v, dtype=np.uint64) for v in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def similar_pairs(docs: DataFrame, text_col: str, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs(src, dst)`` of contents whose shingle sets have Jaccard ``similarity`` or more."""
+    asked = materialise(plausible_pairs(pairs, nodes, similarity))
+    held = shingle_members(docs, text_col, nodes, asked.select(F.explode(F.array("src", "dst")).alias("content")), shingle)
+    pair = asked.join(held.select(F.col("content").alias("src"), F.col("members").alias("a")), "src").join(held.select(F.col("content").alias("dst"), F.col("members").alias("b")), "dst")
     shared = F.size(F.array_intersect("a", "b"))
-    return pair.filter(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared) - F.lit(SLACK)).select("src", "dst")
+    return materialise(pair.filter(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared) - F.lit(SLACK)).select("src", "dst"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -370,8 +401,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows without an id stay only if no member of their group has one, and then once.
     """
-    groups = materialise(near_duplicate_groups(docs, id_col, text_col, shingle, similarity))
-    losers = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
-    left = docs.join(losers, docs[id_col].eqNullSafe(losers["__id"]) & (row_of(text_col) == losers["__row"]), "left_anti")
-    repeated = groups.filter("kept").groupBy("doc_id", "row").count().filter("count > 1")
-    return left if repeated.isEmpty() else left.withColumn("__row", row_of(text_col)).dropDuplicates([id_col, "__row"]).drop("__row")
+    groups = near_duplicate_groups(docs, id_col, text_col, shingle, similarity)
+    kept = groups.filter("kept").select(row_key(F.col("doc_id"), F.col("row")).alias("__kept")).distinct()
+    keyed = docs.withColumn("__key", row_key(F.col(id_col), row_of(text_col)))
+    return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+
+
+def row_key(doc_id: Column, row: Column) -> Column:
+    """A row's id and text, also where the id is null, as one column: the join and the removal of repeats share its shuffle."""
+    return F.concat_ws(":", F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n")), row.cast("string"))
