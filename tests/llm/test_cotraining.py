@@ -47,6 +47,13 @@ def test_logistic_and_calibration():
     assert abs(w[0] - 0.5) < 0.2 and abs(w[1] - 2) < 0.3
 
 
+def test_rows_of_one_id_with_unlike_columns(spark):
+    docs, labels = corpus(200)
+    more = [(1, f"zz word{k}", "en", "s0", k, None) for k in range(300)]
+    a, b = (classify_quality(spark.createDataFrame(x, DOCS).repartition(n), spark.createDataFrame(labels, LABELS)).collect() for x, n in ((docs + more, 3), (more + docs, 7)))
+    assert sorted((r.doc_id, r.score) for r in a) == sorted((r.doc_id, r.score) for r in b) and len(a) == 500
+
+
 def test_odd_rows(spark):
     docs, labels = corpus(200)
     rows = [*docs, (900, None, None, None, None, None), (901, "", "en", "s0", 0, None), (None, "word1", "en", "s0", 5, None), (0, *docs[0][1:]), (902, "word1 " * 50000, "en", "s0", 300000, None)]

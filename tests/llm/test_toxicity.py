@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from textloom.llm.toxicity import Chains, Tagger, drop_toxic, marginals, split_words, toxicity
+from textloom.llm.toxicity import Chains, Tagger, drop_toxic, labelled_sample, marginals, split_words, toxicity
 
 DOCS = "doc_id bigint, text string, score string"
 
@@ -41,6 +41,26 @@ def test_chains_place_every_word_once():
     assert chains.n == 1 + 1 + 3 + 1 and len(set(zip(chains.row.tolist(), chains.col.tolist()))) == 197
 
 
+def test_stretches_of_a_text_are_one_chain():
+    rng = np.random.default_rng(3)
+    own = Tagger()
+    own.trans = rng.normal(size=(2, 2)) * 2
+    texts = [rng.normal(size=n) * 3 for n in (1, 0, 64, 65, 128, 700)]
+    for e, p in zip(texts, own._marginals(texts)):
+        if len(e):
+            assert np.allclose(p, marginals(e[None], np.ones((1, len(e)), dtype=bool), own.trans)[0][0])
+
+
+def test_rows_of_one_id_with_unlike_texts(spark):
+    docs, labels = corpus(200)
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    more = [(1, f"zz word{k} and more", None) for k in range(300)]
+    a, b = (toxicity(spark.createDataFrame(x, DOCS).repartition(n), known).collect() for x, n in ((docs + more, 3), (more + docs, 7)))
+    assert sorted((r.doc_id, r.score) for r in a) == sorted((r.doc_id, r.score) for r in b) and len(a) == 500
+    texts, toxic = labelled_sample(spark.createDataFrame(docs + more + [(4, "w " * 200, None)], DOCS), known, "doc_id", "text", "toxic", (500, 500), 300)
+    assert len(texts) == len(toxic) <= 200 and max(map(len, texts)) <= 300
+
+
 def test_held_out_accuracy_and_spans(spark):
     docs, labels = corpus()
     got = toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()

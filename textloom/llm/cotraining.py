@@ -7,11 +7,13 @@ them as pseudo-labels. Their scores are then calibrated and combined on labelled
 every document is scored in one pass.
 
 The sample holds at most ``per_class`` labelled documents of each class and ``pool`` unlabelled ones, in
-hashed order of their ids.
+hashed order of their ids, of at most ``most_chars`` characters each and one row of each id (the smallest). One
+labelled row in eight calibrates the views, another one in eight their combination.
 
 Defined results: null and empty texts and null metadata have the features of nothing and get a score;
 labels without id or class are ignored, contradicting ones count as good; without labels of both classes
-every score is 0.5 and every document is kept; repeated rows score alike; extra columns are ignored.
+every score is 0.5 and every document is kept; repeated rows score alike; rows of one id with other columns are
+scored each by its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,7 +124,8 @@ class CoTrained:
     def fit(self, rows: list[tuple], y: np.ndarray, pool: list[tuple], rounds: int = 4, sure: float = 0.95, most: int = 150) -> CoTrained:
         content = Content()
         views = [np.array([content.features(r[0]) for r in [*rows, *pool]]), np.array([metadata(*r) for r in [*rows, *pool]])]
-        kept_back = np.arange(len(rows)) % 4 == 3
+        place = np.arange(len(rows)) % 8
+        kept_back = place % 4 == 3
         learn = [np.concatenate((~kept_back, np.zeros(len(pool), dtype=bool))) for _ in views]
         given = [np.concatenate((y, np.zeros(len(pool)))) for _ in views]
         free = np.concatenate((np.zeros(len(rows), dtype=bool), np.ones(len(pool), dtype=bool)))
@@ -148,11 +151,11 @@ class CoTrained:
             if not len(taken):
                 break
         self.models = models
-        back = np.flatnonzero(kept_back)
-        z = np.column_stack([m.logit(v[back]) for m, v in zip(models, views)])
-        self.single = [calibrated(z[:, [k]], y[back]) for k in range(2)]
-        both = np.column_stack([self.calibrate(k, z[:, k]) for k in range(2)])
-        self.joint = calibrated(both, y[back])
+        logits = lambda at: np.column_stack([m.logit(v[at]) for m, v in zip(models, views)])
+        one, other = np.flatnonzero(place == 3), np.flatnonzero(place == 7)
+        self.single = [calibrated(logits(one)[:, [k]], y[one]) for k in range(2)]
+        both = np.column_stack([self.calibrate(k, logits(other)[:, k]) for k in range(2)])
+        self.joint = calibrated(both, y[other])
         return self
 
     def calibrate(self, view: int, z: np.ndarray) -> np.ndarray:
@@ -164,7 +167,7 @@ class CoTrained:
         return sigmoid(both[0]), sigmoid(both[1]), joint
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, pool: int) -> tuple[list, np.ndarray, list]:
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, pool: int, most_chars: int) -> tuple[list, np.ndarray, list]:
     """Bounded samples: labelled rows with their classes, and unlabelled rows, in hashed order."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
@@ -173,15 +176,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class:
     if not chosen:
         return [], np.zeros(0), []
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], f"id {docs.schema['id'].dataType.simpleString()}, y int")
-    rows = docs.join(F.broadcast(ids), "id").orderBy("id").collect()
+    rows = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= most_chars).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"), F.first("y").alias("y")).select("id", "y", "r.*").orderBy("id").collect()  # one row of each chosen id
     row = lambda r: (r["text"], r["lang"], r["source"], r["n_chars"])
     return [row(r) for r in rows if r["y"] >= 0], np.array([r["y"] for r in rows if r["y"] >= 0], dtype=float), [row(r) for r in rows if r["y"] < 0]
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", per_class: int = 900, pool: int = 1200, step: int = 400) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", per_class: int = 900, pool: int = 1200, most_chars: int = 200_000, step: int = 400) -> DataFrame:
     """``(doc_id, content_score, metadata_score, score, keep)`` of every row; ``keep`` where the score is at least 0.5."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(chars_col).cast("long").alias("n_chars"))
-    sample, y, unlabelled = training_rows(rows, labels, label_col, per_class, pool)
+    sample, y, unlabelled = training_rows(rows, labels, label_col, per_class, pool, most_chars)
     fitted = CoTrained().fit(sample, y, unlabelled) if len(set(y.tolist())) == 2 and len(y) >= 8 else None
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 

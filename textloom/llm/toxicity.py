@@ -6,13 +6,15 @@ identity, affix and transition weights is trained on them by gradient descent on
 forward-backward marginals give each token's probability. A document's score calibrates the strongest
 marginal and the expected number of offending tokens; offending tokens are returned with their offsets.
 
-Training uses at most ``per_class`` labelled documents of the clean and the toxic class, taken in hashed order, and only rows
-whose crc32(id) mod 5 is not 0; scoring covers every document and its whole text, in chains of at most
-``CHAIN`` words.
+Training uses at most ``per_class`` labelled documents of the clean and the toxic class, taken in hashed order, of at most
+``most_chars`` characters each, one row of each id (the smallest text), and only ids whose crc32 mod 5 is not 0. It
+reads them in stretches of ``CHAIN`` words. Scoring covers every document and its whole text as one chain: stretches
+of ``CHAIN`` words are computed side by side, and messages pass from one to the next over the stretches' products.
 
 Defined results: a null, empty or wordless text scores as a document without offending tokens, and has no
 spans; rows of ``labels`` without id or label are ignored, contradicting ones count as toxic; without
-labels of both classes every score is 0; repeated rows score alike; extra columns are ignored.
+labels of both classes every score is 0; repeated rows score alike; rows of one id with other texts are scored
+each by its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,10 +47,10 @@ def word_slots(word: bytes) -> tuple[int, int, int]:
 
 
 class Chains:
-    """Two-state chains of many texts, padded to a common length."""
+    """Words of many texts in stretches of a common length; ``parts`` has the number of stretches of each text."""
 
     def __init__(self, lengths: np.ndarray):
-        parts = np.maximum(1, -(-lengths // CHAIN))
+        self.parts = parts = np.maximum(1, -(-lengths // CHAIN))
         ends = np.cumsum(lengths)
         self.total = int(ends[-1]) if len(ends) else 0
         self.row = np.zeros(self.total, dtype=np.int64)
@@ -64,17 +66,18 @@ class Chains:
         return out
 
 
-def marginals(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward in scaled form.
 
-    ``emission`` is the log-odds of state 1, ``trans`` the 2 x 2 log weights. Gives the probability of
-    state 1, the expected transitions (2, 2) and each chain's log normaliser.
+    ``emission`` is the log-odds of state 1, ``trans`` the 2 x 2 log weights; ``enter`` has the forward messages
+    before the first words, after the transition, ``leave`` the backward messages after the last. Gives the
+    probability of state 1, the expected transitions (2, 2) and each chain's log normaliser.
     """
     n, length = emission.shape
     t = np.exp(trans)
     e = np.exp(np.clip(emission, -30, 30))
     forward, scale = np.zeros((length, n, 2)), np.ones((length, n))
-    a = np.stack([np.ones(n), e[:, 0]], axis=1)
+    a = (np.ones((n, 2)) if enter is None else enter) * np.stack([np.ones(n), e[:, 0]], axis=1)
     for k in range(length):
         if k:
             step = a @ t
@@ -83,7 +86,7 @@ def marginals(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tupl
         scale[k] = np.where(mask[:, k], a.sum(axis=1), 1.0)
         a = a / scale[k][:, None]
         forward[k] = a
-    b, prob, moves = np.ones((n, 2)), np.zeros((n, length)), np.zeros((2, 2))
+    b, prob, moves = np.ones((n, 2)) if leave is None else leave, np.zeros((n, length)), np.zeros((2, 2))
     for k in range(length - 1, -1, -1):
         both = forward[k] * b
         prob[:, k] = np.where(mask[:, k], both[:, 1] / both.sum(axis=1), 0.0)
@@ -95,6 +98,29 @@ def marginals(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tupl
     return prob, moves, np.log(scale).sum(axis=0)
 
 
+def border_messages(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``marginals`` is to enter and leave each stretch with, so that the stretches of a text are one chain."""
+    n, length = emission.shape
+    t = np.exp(trans)
+    e = np.exp(np.clip(emission, -30, 30))
+    product = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()  # of weights and transitions, up to the last word
+    for k in range(length):
+        step = (product.reshape(-1, 2) @ t).reshape(n, 2, 2) if k else product.copy()
+        step[:, :, 1] *= e[:, k, None]
+        product = np.where(mask[:, k, None, None], step, product)
+        product /= np.maximum(product.sum(axis=(1, 2)), 1e-300)[:, None, None]
+    enter, leave = np.ones((n, 2)), np.ones((n, 2))
+    first = np.concatenate(([0], np.cumsum(parts)[:-1]))
+    for j in range(1, int(parts.max(initial=1))):
+        at = first[parts > j] + j
+        enter[at] = (enter[at - 1, None] @ product[at - 1])[:, 0] @ t
+        enter[at] /= enter[at].sum(axis=1, keepdims=True)
+        at = (first + parts)[parts > j] - 1 - j
+        leave[at] = (t @ product[at + 1] @ leave[at + 1, :, None])[:, :, 0]
+        leave[at] /= leave[at].sum(axis=1, keepdims=True)
+    return enter, leave
+
+
 class Tagger:
     """Weights of the chain and of the document score."""
 
@@ -124,7 +150,8 @@ class Tagger:
         chains = Chains(lengths)
         if not chains.total:
             return [np.zeros(0) for _ in emissions]
-        prob, _, _ = marginals(chains.spread(np.concatenate(emissions)), chains.spread(np.ones(chains.total)) > 0, self.trans)
+        emission, mask = chains.spread(np.concatenate(emissions)), chains.spread(np.ones(chains.total)) > 0
+        prob, _, _ = marginals(emission, mask, self.trans, *border_messages(emission, mask, self.trans, chains.parts))
         return np.split(prob[chains.row, chains.col], np.cumsum(lengths)[:-1])
 
     def features(self, prob: np.ndarray) -> np.ndarray:
@@ -222,8 +249,8 @@ def distinct_texts(texts: list[np.ndarray]) -> np.ndarray:
     return np.array(out, dtype=bool)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: tuple[int, int]) -> tuple[list, list]:
-    """Texts and labels of at most ``per_class`` training documents of class 0 and 1, in hashed order."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: tuple[int, int], most_chars: int) -> tuple[list, list]:
+    """Texts and labels of at most ``per_class`` training documents of class 0 and 1, in hashed order, one text of an id."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     known = known.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).groupBy("id").agg(F.max("y").alias("y"))
     chosen = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class[y]) for y in (0, 1)]
@@ -232,12 +259,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         return [], []
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r["id"], r["y"]) for r in chosen], f"id {docs.schema[id_col].dataType.simpleString()}, y int")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").orderBy("id").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= most_chars).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("id").collect()  # one row of each chosen id
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
 
-def train_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = (2500, 800)) -> Tagger | None:
-    texts, toxic = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
+def train_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = (2500, 800), most_chars: int = 200_000) -> Tagger | None:
+    texts, toxic = labelled_sample(docs, labels, id_col, text_col, label_col, per_class, most_chars)
     return Tagger().fit(texts, toxic) if len(set(toxic)) == 2 else None
 
 
