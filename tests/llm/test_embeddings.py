@@ -1,6 +1,6 @@
 import numpy as np
 
-from textloom.llm.embeddings import vector_components
+from textloom.llm.embeddings import index_sizes, vector_components
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, extra string"
 
@@ -46,6 +46,33 @@ def test_links_and_components_reach_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def near_bound(n=6000, dims=64, seed=8):
+    """Pairs of unit vectors whose cosine lies within 0.975 and 0.99, in two labels."""
+    rng = np.random.default_rng(seed)
+    a, b = (rng.standard_normal((n // 2, dims)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.975, 0.99, (n // 2, 1))
+    x = np.concatenate((a, c * a + np.sqrt(1 - c * c) * b)).astype(np.float32)
+    return x, np.concatenate((np.arange(n // 2) % 2,) * 2)
+
+
+def test_recall_about_the_bound(spark):
+    x, label = near_bound()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = sum(int(((unit[label == y] @ unit[label == y].T) >= 0.98).sum() - (label == y).sum()) for y in (0, 1))
+    frame = spark.createDataFrame([(i, v.tolist(), int(y), "x") for i, (v, y) in enumerate(zip(x, label))], VECTORS)
+    got = sum(r.n_links for r in vector_components(frame).select("n_links").collect())
+    assert 0.98 * want <= got <= want and want > 3000
+
+
+def test_the_index_grows_with_a_small_power_of_the_vectors():
+    sizes = [index_sizes(10**k, 0.98, 2.0, 0.1, 0.005) for k in range(2, 10)]
+    assert all(p < q for (_, p), (_, q) in zip(sizes, sizes[1:]))
+    assert sizes[-1][0] < 10**7 ** 0.2 * sizes[0][0]
+
+
 def test_large_bucket_in_blocks_counts_each_pair_once(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal(16)
