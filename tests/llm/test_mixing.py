@@ -66,6 +66,17 @@ def test_mixed_documents_repeat_rows_with_their_columns(spark):
     assert counts == {i: n for i, n in plan.items() if n}
 
 
+def test_rows_that_share_ids_or_have_none(spark):
+    rows = [(None, f"w {i}", "a", None) for i in range(40)] + [(7, f"v {i} x", "a", None) for i in range(40)] + [(8, "same text", None, None)] * 20 + [(8, "same text", "", None)] * 9
+    frame = spark.createDataFrame(rows, DOCS)
+    plan, taken = {}, {}
+    for r in curriculum(frame).collect():
+        plan[r.doc_id, r.source] = plan.get((r.doc_id, r.source), 0) + r.copies
+    for r in mixed_documents(frame.repartition(5)).collect():
+        taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + 1
+    assert taken == {k: n for k, n in plan.items() if n}
+
+
 def test_nulls_repeats_and_empty_table(spark):
     rows = [(None, None, None, None), (1, "", "a", None), (1, "", "a", None), (2, "one two", "a", None), (2, "one two", "a", None)]
     got = curriculum(spark.createDataFrame(rows, DOCS)).collect()

@@ -26,21 +26,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written rows.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only a session that
-    names none (a test) gets a temporary one.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir`` (see ``shared_folder``).
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; set here only where the session has none."""
+    """The checkpoint folder that all executors share; a temporary one only for a local session that names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textloom-"))
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove written rows that nothing reads any more, in whatever store they lie."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def hashed_prefix(df: DataFrame, group: list[str], order: str, ties: list[str], value: str, out: str, digits: int = 3) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one, within ``group``, by ``order``.
 
@@ -175,6 +183,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         if (now := _state(e)) == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     leaves = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     roots = e.select(F.col("v").alias("id")).distinct().join(leaves.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
     return leaves.unionByName(roots)

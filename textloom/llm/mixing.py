@@ -9,8 +9,9 @@ this position.
 
 Defined results: a null text has no words, is never needed and is taken any number of times at no cost;
 a null source is a source of its own, after all others; null ids and repeated rows are rows like any
-other; an empty table gives an empty result; extra columns are ignored. The order depends on the ids
-alone, so reruns agree.
+other; an empty table gives an empty result; extra columns are ignored. The order depends on a row's id,
+source and text alone, so reruns agree and rows of one id, or without one, spread like others; only rows that
+are equal in all three stand together.
 """
 
 from __future__ import annotations
@@ -64,19 +65,20 @@ def schedule_position(done: Column, start: Column, end: Column) -> Column:
     return F.when(start == end, done).otherwise((root - start) / F.when(start == end, F.lit(1.0)).otherwise(end - start))
 
 
-def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, schedules: tuple[tuple[float, float], ...] = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, copies, taken, positions``.
+def row_order(doc_id: Column, source: Column, text: Column) -> Column:
+    """A hash of a row's id, source and text: its place in the order of its source."""
+    named = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
+    return F.md5(F.concat_ws("|", named(doc_id.cast("string")), named(source), named(F.md5(text))))
 
-    ``positions`` has the training position of each copy. ``schedules`` (start, end) repeat over the
-    sources like ``weights``.
-    """
+
+def placed_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float, schedules: tuple[tuple[float, float], ...]) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    rows = materialise(rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    order = row_order(F.col(id_col), F.col(source_col), F.col(text_col))
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("order")))
     targets = source_targets(rows, weights, share, cap)
     begin, finish = (F.element_at(F.array(*[F.lit(float(s[k])) for s in schedules]), (F.pmod("rank", F.lit(len(schedules))) + 1).cast("int")) for k in (0, 1))
     targets = targets.select(F.col("source").alias("__source"), "source_size", "target", begin.alias("begin"), finish.alias("finish"))
-    placed = hashed_prefix(rows, ["source"], "order", ["doc_id", "size"], "size", "before")
+    placed = hashed_prefix(rows, ["source"], "order", [], "size", "before")
     joined = placed.join(targets, placed["source"].eqNullSafe(targets["__source"])).drop("__source")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     joined = joined.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -85,19 +87,24 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     middle = lambda i: (i * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.greatest("target", F.lit(1.0))
     each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda i: schedule_position(F.least(F.lit(1.0), middle(i)), F.col("begin"), F.col("finish")))
     positions = F.when(F.col("copies") > 0, each).otherwise(F.array().cast("array<double>"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"), "order")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix) -> DataFrame:
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, schedules: tuple[tuple[float, float], ...] = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))) -> DataFrame:
+    """One row per document: ``doc_id, source, size, source_size, target, copies, taken, positions``.
+
+    ``positions`` has the training position of each copy. ``schedules`` (start, end) repeat over the
+    sources like ``weights``.
+    """
+    return placed_rows(docs, id_col, text_col, source_col, weights, share, cap, schedules).drop("order")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, schedules: tuple[tuple[float, float], ...] = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))) -> DataFrame:
     """The documents of the mix with their own columns, each as often as it is taken, range-sorted by position.
 
-    Rows that agree in id, source and size are taken alike.
+    Rows that agree in id, source and text are taken as often as all of them together, with the columns of one of them.
     """
-    plan = curriculum(docs, id_col, text_col, source_col, **mix).filter("copies > 0")
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max("positions").alias("__positions"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__positions")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("__own", size)
-    on = rows[id_col].eqNullSafe(plan["__id"]) & rows[source_col].eqNullSafe(plan["__source"]) & (rows["__own"] == plan["__size"])
-    taken = rows.join(plan, on).withColumn("__position", F.explode("__positions"))
-    return taken.orderBy("__position", id_col).select(*docs.columns)
+    plan = placed_rows(docs, id_col, text_col, source_col, weights, share, cap, schedules).filter("copies > 0")
+    plan = plan.select(F.col("order").alias("__order"), F.explode("positions").alias("__position"))
+    rows = docs.withColumn("__row", row_order(F.col(id_col), F.col(source_col), F.col(text_col))).dropDuplicates(["__row"])
+    return rows.join(plan, F.col("__row") == F.col("__order")).orderBy("__position", "__order").select(*docs.columns)

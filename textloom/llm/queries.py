@@ -65,8 +65,9 @@ def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = curriculum(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
-    rows = mix.withColumn("position", F.round(F.when(F.col("copies") > 0, F.element_at("positions", 1)), 9))
-    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position")
+    written = F.array_join(F.transform("positions", lambda p: F.round(p, 9).cast("decimal(12,9)").cast("string")), ",")
+    rows = mix.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", written.alias("positions"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(COALESCE(CAST(doc_id AS VARCHAR), '')) AS ord
+         md5(concat_ws('|', CASE WHEN doc_id IS NULL THEN 'n' ELSE 's' || CAST(doc_id AS VARCHAR) END,
+                            CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END,
+                            CASE WHEN text IS NULL THEN 'n' ELSE 's' || md5(text) END)) AS ord
   FROM documents),
 totals AS (
   SELECT source, SUM(size)::DOUBLE AS source_size,
@@ -28,16 +30,16 @@ targets AS (
   FROM weighted, level),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.b, t.e,
-         COALESCE(SUM(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         COALESCE(SUM(s.size) OVER (PARTITION BY s.source ORDER BY s.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 passed AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM placed),
 taken AS (
-  SELECT *, passes + CASE WHEN size > 0 AND 2 * before + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END AS copies,
-         LEAST(1.0, (before + size / 2) / GREATEST(target, 1.0)) AS done
-  FROM passed)
+  SELECT *, (passes + CASE WHEN size > 0 AND 2 * before + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END)::BIGINT AS copies FROM passed),
+done AS (
+  SELECT *, list_transform(range(copies), lambda i: LEAST(1.0::DOUBLE, (i * source_size + before + size / 2) / GREATEST(target, 1.0))) AS shares FROM taken)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (copies * size)::BIGINT AS taken,
-       CASE WHEN copies > 0 THEN round(CASE WHEN b = e THEN done ELSE (sqrt(b * b + (e * e - b * b) * done) - b) / (e - b) END, 9) END AS position
-FROM taken
+       array_to_string(list_transform(shares, lambda d: CAST(CAST(round(CASE WHEN b = e THEN d ELSE (sqrt(b * b + (e * e - b * b) * d) - b) / (e - b) END, 9) AS DECIMAL(12, 9)) AS VARCHAR)), ',') AS positions
+FROM done
 """
 
 
