@@ -43,6 +43,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Remove written rows that nothing reads any more, in whatever store they lie."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -44,7 +44,7 @@ TYPED, BLIND, WHOLE = range(3)
 class Canonicaliser:
     """Texts to template tokens: hashes, kinds and the values behind placeholders."""
 
-    def __init__(self, memory: int = 300_000):
+    def __init__(self, memory: int = 150_000):
         self.memory = memory
         self.clear()
 

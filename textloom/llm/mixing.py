@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from textloom.llm.common import hashed_prefix, materialise
+from textloom.llm.common import free_name, hashed_prefix, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -105,6 +105,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that agree in id, source and text are taken as often as all of them together, with the columns of one of them.
     """
     plan = placed_rows(docs, id_col, text_col, source_col, weights, share, cap, schedules).filter("copies > 0")
-    plan = plan.select(F.col("order").alias("__order"), F.explode("positions").alias("__position"))
-    rows = docs.withColumn("__row", row_order(F.col(id_col), F.col(source_col), F.col(text_col))).dropDuplicates(["__row"])
-    return rows.join(plan, F.col("__row") == F.col("__order")).orderBy("__position", "__order").select(*docs.columns)
+    row, at = free_name(docs, "row"), free_name(docs, "position")
+    plan = plan.select(F.col("order").alias(row), F.explode("positions").alias(at))
+    rows = docs.withColumn(row, row_order(F.col(id_col), F.col(source_col), F.col(text_col))).dropDuplicates([row])
+    return rows.join(plan, row).orderBy(at, row).select(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import connected_components, forest, hot_blocks, materialise, near_pairs, scan_groups
+from textloom.llm.common import connected_components, forest, free_name, hot_blocks, materialise, near_pairs, scan_groups
 from textloom.llm.decontaminate import bitmap_of
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -347,10 +347,22 @@ def shared_rows(nodes: DataFrame, bits: int = 25) -> DataFrame:
     return materialise(nodes.select(*names, "prefix").mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "pos", "key"])))
 
 
-def shingle_members(docs: DataFrame, text_col: str, nodes: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
-    """``(content, members)``: the shingle sets of the contents ``asked``."""
-    asked = asked.distinct().join(nodes.select("content", "row"), "content")
-    texts = docs.select(row_of(text_col).alias("row"), F.col(text_col).alias("text")).join(asked, "row")
+def shingle_members(docs: DataFrame, text_col: str, nodes: DataFrame, asked: DataFrame, shingle: int, bits: int = 25) -> DataFrame:
+    """``(content, members)``: the shingle sets of the contents ``asked``.
+
+    A bitmap of fixed size keeps most texts that are not asked for out of the shuffle.
+    """
+    asked = materialise(asked.distinct().join(nodes.select("content", "row"), "content"))
+    seen = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap_of(asked.select(F.col("row").alias("hash")), bits)))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = batch.column(0).to_numpy() & ((1 << bits) - 1)
+            at = np.flatnonzero(seen.value[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
+            if len(at):
+                yield batch.take(pa.array(at))
+
+    texts = docs.select(row_of(text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(held, "row bigint, text string").join(asked, "row")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,9 +414,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without an id stay only if no member of their group has one, and then once.
     """
     groups = near_duplicate_groups(docs, id_col, text_col, shingle, similarity)
-    kept = groups.filter("kept").select(row_key(F.col("doc_id"), F.col("row")).alias("__kept")).distinct()
-    keyed = docs.withColumn("__key", row_key(F.col(id_col), row_of(text_col)))
-    return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    key = free_name(docs, "key")
+    kept = groups.filter("kept").select(row_key(F.col("doc_id"), F.col("row")).alias(key)).distinct()
+    return docs.withColumn(key, row_key(F.col(id_col), row_of(text_col))).join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def row_key(doc_id: Column, row: Column) -> Column:

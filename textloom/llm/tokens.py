@@ -35,7 +35,7 @@ WHOLE = re.compile("[^\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f\\
 BLANKS = "\x1c\x1d\x1e\x1f"
 PIECE = re.compile(r"[^\W\d_]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
 #: How byte-level vocabularies write bytes: printable ones as they are, the others from 256 on.
@@ -96,13 +96,15 @@ class Encoder:
         return "<|" in text or WHOLE.search(text) is not None
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, memory: int) -> Encoder:
+    """One encoder of a worker, for all its tasks."""
+    if (path, memory) not in _encoders:
+        _encoders.clear()
+        _encoders[path, memory] = Encoder(path, memory)
+    return _encoders[path, memory]
 
 
-def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2, step: int = 256) -> DataFrame:
+def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2, step: int = 256, memory: int = 600_000) -> DataFrame:
     """``(doc_id, n_tokens, tokens)`` of ``docs(doc_id, text)``, in the rows' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2, step: int = 256
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                ids = [x + end for x in map(encoder(tokenizer).encode, [t or "" for t in batch.column(1).to_pylist()])]
+                ids = [x + end for x in map(encoder(tokenizer, memory).encode, [t or "" for t in batch.column(1).to_pylist()])]
                 counts = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 values = np.frombuffer(b"".join(ids), dtype="<i4")
@@ -120,7 +122,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2, step: int = 256
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, tokens array<int>")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, file_rows: int = 1_000_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, file_rows: int = 1_000_000, memory: int = 600_000) -> None:
     """Write the token file set: part files of at most ``file_rows`` rows in ascending order of ids."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -135,7 +137,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         "parquet.enable.dictionary#doc_id": "false",
         "parquet.enable.dictionary#n_tokens": "false",
     }
-    token_rows(rows, tokenizer, end_id).write.mode("overwrite").options(**{k: str(v) for k, v in options.items()}).parquet(path)
+    token_rows(rows, tokenizer, end_id, memory=memory).write.mode("overwrite").options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -161,9 +163,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("doc_id", (F.col("inner") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Write the token files of ``docs`` (to the shared folder unless ``path`` is given) and read them back."""
+def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, memory: int = 600_000) -> DataFrame:
+    """Write the token files of ``docs`` (to the shared folder unless ``path`` is given) and read them back.
+
+    ``memory`` bounds the chunks that a worker remembers, about 170 bytes each.
+    """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, tokenizer, id_col, text_col)
+    write_tokens(docs, path, tokenizer, id_col, text_col, memory=memory)
     return read_tokens(spark, path)

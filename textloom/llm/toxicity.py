@@ -134,7 +134,7 @@ class Tagger:
 
     def emission(self, words: list[bytes]) -> np.ndarray:
         memory = self.memory
-        if len(memory) > 400_000:
+        if len(memory) > 150_000:
             memory.clear()
         for w in set(words).difference(memory):
             a, b, c = word_slots(w)
