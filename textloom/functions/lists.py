@@ -11,3 +11,5 @@ FACTS = {"percent": r"\d+(?:[.,]\d+)?\s?%", "price": r"[$€£]\s?\d+(?:[.,]\d+)
 SCRIPTS = {"cyrillic": (r"[\x{0400}-\x{04FF}]+", 5), "cjk": (r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]+", 3), "arabic": (r"[\x{0600}-\x{06FF}]+", 3)}
 ENTITIES = [("mit license", "PRODUCT"), ("apache license", "PRODUCT"), ("gnu general public license", "PRODUCT"), ("the", "CONCEPT"), ("than the", "CONCEPT"), ("idiot", "PERSON")]
 BUDGETS = [("the", 1, 20), ("license", 1, 2), ("than", 2, 6), ("idiot", 0, 0)]
+#: Written forms and their lemmas (fixed values).
+LEXICON = [("licenses", "license"), ("licensed", "license"), ("words", "word"), ("les", "le"), ("las", "la"), ("des", "de"), ("das", "der"), ("die", "der")]

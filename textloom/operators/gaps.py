@@ -169,7 +169,7 @@ def competitor_table(pages: DataFrame, limit: int = 6) -> DataFrame:
     Texts are cut before the ranking, and every partition drops all but its own first rows of a topic.
     """
     main = page_text.html_main_text(F.col("html"))
-    heads = F.transform(F.regexp_extract_all(F.substring("html", 1, 120_000), F.lit(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), lambda h: F.trim(F.regexp_replace(h, "<[^>]+>", "")))
+    heads = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), lambda h: F.trim(F.regexp_replace(h, "<[^>]+>", "")))
     rows = pages.withColumns({"main": main, "heads": heads}).withColumn("words", F.size(words_of(F.col("main"))).cast("long"))
     rows = rows.select("topic_id", "page_id", "words", F.size("heads").cast("long").alias("n_headings"), F.array_join(F.slice("heads", 1, 12), " | ").alias("headings"), F.substring("main", 1, 400).alias("opening"))
     return ranked(rows, limit, F.desc("words"), F.asc("page_id"))
@@ -181,5 +181,5 @@ def flatten_payload(events: DataFrame, text: str = "props", keys: tuple = ("even
 
 
 def best_text(html: Column) -> Column:
-    """Main text of a page without artifacts, blanks collapsed, cut to length, in one projection."""
+    """Main text of a page without artifacts, blanks collapsed, in one projection."""
     return page_text.finish_text(page_text.strip_artifacts(page_text.html_main_text(html)))

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-def tokens(sources: DataFrame, limit: int = 50_000, lexicon: DataFrame | None = None) -> DataFrame:
-    """``(topic_id, src_idx, doc_id, words)``: lower-case letter runs of the first ``limit`` characters, in order."""
+def tokens(sources: DataFrame, limit: int | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """``(topic_id, src_idx, doc_id, words)``: lower-case letter runs, of the first ``limit`` characters if it is given, in order.
+
+    With ``lexicon(surface, lemma)`` one row per word: ``pos, surface, lemma``; unlisted words are their own lemma.
+    """
     if lexicon is None:
-        return sources.select("topic_id", "src_idx", "doc_id", F.regexp_extract_all(F.lower(F.substring("content", 1, limit)), F.lit(r"(\p{L}+)"), F.lit(1)).alias("words"))
+        text = F.col("content") if limit is None else F.substring("content", 1, limit)
+        return sources.select("topic_id", "src_idx", "doc_id", F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)).alias("words"))
     rows = tokens(sources, limit).select("topic_id", "src_idx", "doc_id", F.posexplode("words").alias("pos", "surface"))
     return rows.join(lexicon, "surface", "left").withColumn("lemma", F.coalesce("lemma", "surface"))
 
@@ -25,27 +29,77 @@ def ngrams(toks: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
     return toks.select("topic_id", "src_idx", F.explode(F.concat(*[of(n) for n in range(low, high + 1)])).alias("gram"))
 
 
+def lemma_grams(toks: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
+    """``(topic_id, src_idx, gram, surface)`` of the rows of ``tokens`` with a lexicon: grams of lemmas and how they are written."""
+    order = Window.partitionBy("topic_id", "src_idx", "doc_id").orderBy("pos")
+    lead = lambda c, n: F.concat_ws(" ", *[F.lead(c, k).over(order) for k in range(n)])
+    rows = toks.withColumns({f"g{n}": F.when(F.lead("lemma", n - 1).over(order).isNotNull(), F.struct(lead("lemma", n).alias("gram"), lead("surface", n).alias("surface"))) for n in range(low, high + 1)})
+    return rows.select("topic_id", "src_idx", F.explode(F.array_compact(F.array(*[f"g{n}" for n in range(low, high + 1)]))).alias("g")).select("topic_id", "src_idx", "g.*")
+
+
+def gram_displays(grams: DataFrame) -> DataFrame:
+    """``(topic_id, gram, display, freq)`` of ``grams(topic_id, gram, surface)``: the most frequent way of writing, of equals the first in order."""
+    per = grams.groupBy("topic_id", "gram", "surface").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("topic_id", "gram").agg(F.min_by("surface", F.struct(-F.col("n"), "surface")).alias("display"), F.sum("n").alias("freq"))
+
+
+def source_counts(grams: DataFrame) -> DataFrame:
+    """``(topic_id, gram, src_idx, n)``; search signals are the source null."""
+    return grams.groupBy("topic_id", "gram", "src_idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gram_counts(per: DataFrame, *more: Column) -> DataFrame:
+    """Per topic and gram: uses in sources and in all, sources, presence in signals, and the least and largest count of a source."""
+    own = F.when(F.col("src_idx").isNotNull(), F.col("n"))
+    some = lambda c: F.coalesce(c, F.lit(1).cast("long"))
+    return per.groupBy("topic_id", "gram").agg(F.coalesce(F.sum(own), F.lit(0).cast("long")).alias("freq"), F.sum("n").alias("freq_total"), F.count("src_idx").alias("sources"), F.max(F.col("src_idx").isNull()).alias("in_signals"), some(F.min(own)).alias("freq_min"), some(F.max(own)).alias("freq_max"), *more)
+
+
+def median_count(per: DataFrame) -> DataFrame:
+    """``(topic_id, gram, freq_median)``: the floor median of the counts of the sources, 1 where only signals hold the gram."""
+    counts = per.groupBy("topic_id", "gram").agg(F.array_sort(F.collect_list(F.when(F.col("src_idx").isNotNull(), F.col("n")))).alias("counts"))
+    half = F.expr("(element_at(counts, cast((size(counts) + 1) div 2 as int)) + element_at(counts, cast(size(counts) div 2 + 1 as int))) div 2")
+    return counts.select("topic_id", "gram", F.when(F.size("counts") > 0, half).otherwise(1).alias("freq_median"))
+
+
 def gram_stats(grams: DataFrame) -> DataFrame:
-    """Per topic and gram: total count, sources, and smallest, median (floor) and largest count of a source."""
-    per = grams.groupBy("topic_id", "gram", "src_idx").agg(F.count(F.lit(1)).alias("n"))
-    stats = per.groupBy("topic_id", "gram").agg(F.sum("n").alias("freq"), F.count(F.lit(1)).alias("sources"), F.array_sort(F.collect_list("n")).alias("counts"))
+    """``gram_counts`` with the floor median of the counts of the sources."""
+    counts = F.array_sort(F.collect_list(F.when(F.col("src_idx").isNotNull(), F.col("n")))).alias("counts")
     half = F.expr("(element_at(counts, cast((size(counts) + 1) div 2 as int)) + element_at(counts, cast(size(counts) div 2 + 1 as int))) div 2")
-    return stats.select("topic_id", "gram", "freq", "sources", F.element_at("counts", 1).alias("freq_min"), half.alias("freq_median"), F.element_at("counts", -1).alias("freq_max"))
+    rows = gram_counts(source_counts(grams), counts)
+    return rows.withColumn("freq_median", F.when(F.size("counts") > 0, half).otherwise(1)).drop("counts")
 
 
-def weight_grams(stats: DataFrame, n_sources: DataFrame) -> DataFrame:
-    """Drop rare and boilerplate grams, weigh the rest by frequency and spread.
+def shares_keyword() -> Column:
+    """True where a gram has a word of its topic's keyword."""
+    return F.arrays_overlap(F.split("gram", " "), F.split(F.lower("keyword"), r"\s+"))
 
-    The largest frequency of a topic comes from a small aggregation that is joined back, not from a window over the topic.
+
+def filter_grams(stats: DataFrame, topics: DataFrame) -> DataFrame:
+    """Drop rare grams, and boilerplate of one or of nearly all sources that shares no word with the keyword.
+
+    Of ``topics(topic_id, n_sources, keyword)``; grams that only signals hold stay.
     """
-    top = stats.groupBy("topic_id").agg(F.max("freq").alias("top"))
-    rows = stats.join(F.broadcast(top.join(n_sources, "topic_id")), "topic_id")
+    rows = stats.join(topics, "topic_id")
     cover, mean = F.col("sources") / F.col("n_sources"), F.col("freq") / F.col("sources")
+    lone = (F.col("sources") <= 1) & (F.col("freq") >= 20)
     plate = (F.col("n_sources") >= 3) & (F.col("sources") >= 2) & (cover >= 0.8) & (mean <= 1.5)
-    lone = (F.col("sources") == 1) & (F.col("freq") >= 20)
-    base = F.round(0.5 * F.col("freq") / F.col("top") + 0.5 * cover, 4)
-    weight = F.least(F.lit(1.0), F.when((cover >= 0.6) & (mean <= 1.0), base * 0.2).otherwise(base))
-    return rows.filter((F.col("freq") >= 2) & ~lone & ~plate).withColumn("weight", F.round(weight, 6)).drop("top")
+    only = F.col("in_signals") & (F.col("sources") == 0)
+    return rows.filter(((F.col("freq") >= 2) | only) & (shares_keyword() | ~(lone | plate)))
+
+
+def weight_grams(stats: DataFrame, topics: DataFrame) -> DataFrame:
+    """Filter grams and weigh them by frequency and spread, more where they hold the keyword or stand in signals.
+
+    The largest frequency of a topic comes from a small aggregation that is joined back, not from a window over the topic.
+    """
+    top = stats.groupBy("topic_id").agg(F.max("freq_total").alias("top"))
+    rows = filter_grams(stats, topics.join(top, "topic_id"))
+    cover, mean = F.col("sources") / F.col("n_sources"), F.col("freq") / F.col("sources")
+    faint = (F.col("n_sources") >= 3) & (F.col("sources") >= 2) & (cover >= 0.6) & (mean <= 1.0) & ~shares_keyword()
+    weight = F.round(0.5 * F.col("freq") / F.col("top") + 0.5 * cover, 4) + F.when(F.contains("gram", F.lower("keyword")), 0.1).otherwise(0.0) + F.when(F.col("in_signals"), 0.08).otherwise(0.0)
+    weight = F.least(F.lit(1.0), F.when(faint, weight * 0.2).otherwise(weight))
+    return rows.withColumn("weight", F.round(weight, 6)).drop("top", "keyword")
 
 
 def ranked(rows: DataFrame, n: int, *order) -> DataFrame:

@@ -17,15 +17,6 @@ def shares_word(text: Column, words: list[str]) -> Column:
     return F.arrays_overlap(words_of(F.lower(text)), F.array(*[F.lit(w) for w in words]))
 
 
-def filter_grams(stats: DataFrame, n_sources: DataFrame, keyword: list[str]) -> DataFrame:
-    """Drop rare grams, and boilerplate of one or of nearly all sources that shares no word with the keyword."""
-    rows = stats.join(F.broadcast(n_sources), "topic_id")
-    cover, mean, own = F.col("sources") / F.col("n_sources"), F.col("freq") / F.col("sources"), shares_word(F.col("gram"), keyword)
-    lone = (F.col("sources") == 1) & (F.col("freq") >= 20)
-    plate = (F.col("n_sources") >= 3) & (F.col("sources") >= 2) & (cover >= 0.8) & (mean <= 1.5)
-    return rows.filter((F.col("freq") >= 2) & (own | ~(lone | plate)))
-
-
 def clean_grams(grams: DataFrame, stop: list[str], css: list[str], generic: list[str], keyword: list[str]) -> DataFrame:
     """Grams without style words, generic phrases, special characters, bare numbers or stop words only, and without weak or one-sided counts."""
     words = words_of(F.col("gram"))
@@ -160,13 +151,13 @@ def coverage_role(entities: DataFrame, n_sources: DataFrame) -> DataFrame:
     """``(topic_id, phrase, role)`` by the share of sources: 70 % must, 40 % should, else a differentiator."""
     share = F.col("sources") / F.col("n_sources")
     role = F.when(share.isNull(), "SHOULD").when(share >= 0.7, "MUST").when(share >= 0.4, "SHOULD").otherwise("DIFFERENTIATOR")
-    return entities.join(F.broadcast(n_sources), "topic_id", "left").select("topic_id", "phrase", role.alias("role"))
+    return entities.join(n_sources, "topic_id", "left").select("topic_id", "phrase", role.alias("role"))
 
 
 def drop_single_source_names(entities: DataFrame, n_sources: DataFrame) -> DataFrame:
     """Without names of persons and organisations that one source uses at most three times, in topics of three sources or more."""
     lone = (F.col("n_sources") >= 3) & F.col("etype").isin("PERSON", "ORGANIZATION") & (F.col("sources") == 1) & (F.col("freq") <= 3)
-    return entities.join(F.broadcast(n_sources), "topic_id").filter(~lone).drop("n_sources")
+    return entities.join(n_sources, "topic_id").filter(~lone).drop("n_sources")
 
 
 def strong_pairs(pairs: DataFrame, limit: int = 8) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import Window
 
 
 def documents_as_sources(docs: DataFrame) -> DataFrame:
-    """``sources(topic_id, src_idx, doc_id, content)``: topic = lang, source index = rank of the source name."""
-    names = docs.select("source").distinct().withColumn("src_idx", F.row_number().over(Window.orderBy("source")) - 1)
-    return docs.join(F.broadcast(names), "source").select(F.col("lang").alias("topic_id"), "src_idx", "doc_id", F.col("text").alias("content"))
+    """``sources(topic_id, src_idx, doc_id, content)``: topic = lang, source = its name, a null one empty."""
+    return docs.select(F.col("lang").alias("topic_id"), F.coalesce("source", F.lit("")).alias("src_idx"), "doc_id", F.col("text").alias("content"))
 
 
 def filter_urls(df: DataFrame, skip: list[str], extensions: tuple = ("pdf", "doc", "docx", "xls", "xlsx"), url: str = "url") -> DataFrame:
@@ -22,15 +21,15 @@ def filter_urls(df: DataFrame, skip: list[str], extensions: tuple = ("pdf", "doc
     return df.filter(~bad)
 
 
-def admit_sources(df: DataFrame, min_chars: int = 500, cap: int = 200_000) -> DataFrame:
-    """Sources of at least ``min_chars``, in order, while the size before them is under ``cap``.
+def admit_sources(df: DataFrame, min_chars: int = 500, cap: int = 200_000, most_headings: int = 15) -> DataFrame:
+    """Sources of at least ``min_chars`` and at most ``most_headings`` markdown headings, in order, while the size before them is under ``cap``.
 
     No more than ``cap / min_chars`` of them can be admitted, so the rank limit loses nothing, and every
     partition drops the rest of a topic before the shuffle.
     """
     order = Window.partitionBy("topic_id").orderBy("src_idx", "doc_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    sized = df.withColumn("chars", F.length("content")).filter(F.col("chars") >= min_chars)
+    sized = df.withColumn("chars", F.length("content")).filter((F.col("chars") >= min_chars) & (F.regexp_count("content", F.lit(r"(?m)^#{1,6}\s")) <= most_headings))
     if min_chars > 0:
         sized = sized.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap // min_chars + 1).drop("rank")
     sized = sized.withColumn("before", F.coalesce(F.sum("chars").over(before), F.lit(0)))
@@ -54,26 +53,35 @@ def strip_markup(text: Column) -> Column:
 
 
 def html_headings(pages: DataFrame, level: int = 2, keys: tuple = ("page_id",)) -> DataFrame:
-    """``(keys, pos, heading)``: inner tags removed, trimmed, under 200 characters; the first 120 000 are read."""
-    found = F.regexp_extract_all(F.substring("html", 1, 120_000), F.lit(rf"(?is)<h{level}[^>]*>(.*?)</h{level}>"), F.lit(1))
+    """``(keys, pos, heading)``: inner tags removed, trimmed, under 200 characters."""
+    found = F.regexp_extract_all("html", F.lit(rf"(?is)<h{level}[^>]*>(.*?)</h{level}>"), F.lit(1))
     rows = pages.select(*keys, F.posexplode(found).alias("pos", "raw"))
     rows = rows.withColumn("heading", F.trim(F.regexp_replace("raw", "<[^>]+>", ""))).drop("raw")
     return rows.filter((F.length("heading") > 0) & (F.length("heading") < 200) & ~F.col("heading").rlike(r"[{}]|webkit|@media"))
 
 
-def html_main_text(html: Column, cap: int = 60_000) -> Column:
-    """Visible text: chrome blocks and tags removed, space collapsed."""
-    x = F.substring(html, 1, cap)
+#: Roles and class names of page chrome, and phrases of cookie banners.
+ROLES = ("navigation", "banner", "contentinfo", "complementary")
+CHROME = ("sidebar", "breadcrumb", "cookie", "newsletter", "social", "related", "comments", "advert", "widget", "menu", "pagination")
+COOKIES = (r"(?i)we use cookies[^.\n]*\.?", r"(?i)accept (?:all )?cookies", r"(?i)cookie (?:policy|settings|preferences)")
+
+
+def html_main_text(html: Column, cap: int | None = None, chrome: tuple = CHROME) -> Column:
+    """Visible text: chrome blocks by tag, role and class and then tags removed, space collapsed."""
+    x = html if cap is None else F.substring(html, 1, cap)
     for tag in ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"):
         x = F.regexp_replace(x, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    x = F.regexp_replace(x, r'(?is)<(\w+)[^>]*role="(?:navigation|banner|contentinfo|complementary)"[^>]*>.*?</\1>', " ")
+    marks = [rf"role\s*=\s*[\"']?(?:{'|'.join(ROLES)})", rf"(?:class|id)\s*=\s*[\"'][^\"'>]*(?:{'|'.join(chrome)})"]
+    for mark in marks:
+        for tag in ("div", "section", "ul", "p", "form"):
+            x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*{mark}[^>]*>.*?</{tag}>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", " "), r"\s+", " "))
 
 
 def strip_artifacts(text: Column) -> Column:
-    """Entities to spaces; footnote marks, templates, urls and long upper-case or digit runs out."""
+    """Entities to spaces; footnote marks, templates, urls, long upper-case or digit runs and cookie banners out."""
     x = F.regexp_replace(text, r"&[a-zA-Z]+;|&#\d+;", " ")
-    for p in (r"\[\d+\]", r"\{\{[^}]*\}\}", r"https?://\S+", r"[A-Z0-9]{20,}"):
+    for p in (r"\[\d+\]", r"\{\{[^}]*\}\}", r"https?://\S+", r"\b[A-Z0-9]{20,}\b", *COOKIES):
         x = F.regexp_replace(x, p, "")
     return x
 
@@ -96,9 +104,9 @@ def line_features(lines: DataFrame, stop: list[str]) -> DataFrame:
     return rows.withColumn("final", final).withColumn("boilerplate", flag).drop("words")
 
 
-def finish_text(text: Column, cap: int = 30_000) -> Column:
-    x = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.substring(F.trim(F.regexp_replace(x, r"[ \t]+", " ")), 1, cap)
+def finish_text(text: Column, cap: int | None = None) -> Column:
+    x = F.trim(F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"[ \t]+", " "))
+    return x if cap is None else F.substring(x, 1, cap)
 
 
 def clean_lines(docs: DataFrame, nav: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,7 +129,7 @@ def clean_lines(docs: DataFrame, nav: str, key: str = "doc_id", text: str = "tex
 def flag_nav_lines(features: DataFrame) -> DataFrame:
     """Add ``nav`` to the rows of ``line_features``: boilerplate, or one of the shapes of navigation lines."""
     line, n = F.col("line"), F.length("line")
-    shape = (n < 3) | ((n < 30) & line.rlike("[→►»›]$")) | line.rlike(r"^[-=_*|•·]+$") | line.rlike(r"^\d+$") | line.rlike(r"^\p{L}{1,4}$")
+    shape = (n < 3) | ((n < 30) & line.rlike("[→►»›]$")) | line.rlike(r"^[-=_*|•·]+$") | line.rlike(r"^\d+$") | line.rlike(r"^\p{L}{1,4}$") | line.rlike(r"^\p{L}{3,12}\.? (?:19|20)\d\d$")
     return features.withColumn("nav", F.col("boilerplate") | shape | (F.col("n_words").between(1, 2) & (F.col("capital") == 1)))
 
 

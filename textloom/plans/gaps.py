@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.lists import STOP
 from textloom.operators import checks, gaps, grams, headings, text
 from textloom.plans import tables as t
-from textloom.plans.twins import _GRAMS, _HEADS, _LIST, _WORDS, TWINS as _BASE, _main_text
+from textloom.plans.twins import _GRAMS, _HEADS, _LIST, _WORDS, TWINS as _BASE, _artifacts, _main_text
 
 CLASSES = {"legal": ["license", "law", "the"], "health": ["heal", "doc"], "plain": ["th", "re", "la"]}
 RULES = [("of the", "style"), ("idiot", "tone"), ("license", "terms"), ("the the", "grammar"), ("worthless", "tone")]
@@ -115,7 +115,7 @@ def _content(x: str) -> str:
 
 _ASKED = rf"""{_HEADS}, qs AS (SELECT 'en' AS topic_id, conv_id * 1000 + turn AS id, text AS question, {_content('text')} AS words FROM conversations WHERE role = 'user'),
 hw AS (SELECT topic_id, {_content('heading')} AS hw FROM heads), bare AS (SELECT * FROM qs WHERE len(words) >= 2 AND NOT EXISTS (SELECT 1 FROM hw WHERE hw.topic_id = qs.topic_id AND len(list_intersect(hw.hw, qs.words)) >= 2))"""
-_OPEN = rf"""{_ASKED}, kn AS (SELECT DISTINCT lang AS topic_id, unnest(regexp_extract_all(lower(substring(text, 1, 50000)), '\p{{L}}+')) AS word FROM documents), ask AS (SELECT topic_id, id, unnest(words) AS word FROM bare WHERE length(question) >= 10),
+_OPEN = rf"""{_ASKED}, kn AS (SELECT DISTINCT lang AS topic_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM documents), ask AS (SELECT topic_id, id, unnest(words) AS word FROM bare WHERE length(question) >= 10),
 un AS (SELECT a.topic_id, id, round(avg(CASE WHEN kn.word IS NULL THEN 0 ELSE 1 END), 6) AS share FROM ask a LEFT JOIN kn ON a.topic_id = kn.topic_id AND a.word = kn.word GROUP BY ALL), gap AS (SELECT *, CASE WHEN share < 0.6 THEN 'high' ELSE 'medium' END AS priority FROM un WHERE share < 0.8)"""
 _FACTS = rf"""parts AS (SELECT doc_id, lang, regexp_split_to_array(text, '[.!?]+\s+') AS a FROM documents), q AS (SELECT doc_id, lang, unnest(range(len(a))) AS pos, unnest(a) AS s FROM parts), fw AS (SELECT *, {_WORDS.format('s')} AS w FROM q WHERE trim(s, ' ') <> ''),
 facts AS (SELECT lang AS topic_id, doc_id, pos, w[1] AS subject, w[2] AS predicate, w[3] AS object, CASE WHEN len(w) > 8 THEN 'eav' ELSE 'spo' END AS ttype, 'property' AS category, GREATEST(0.3::DOUBLE, LEAST(0.95::DOUBLE, len(w) / 10)) AS confidence FROM fw WHERE len(w) >= 3 AND length(w[1]) >= 2 AND length(w[3]) >= 2)"""
@@ -157,7 +157,7 @@ TWINS = {
     "i10_fallback_variants": rf"WITH {_HEADS}, l AS (SELECT page_id, pos, lower(trim(heading, ' ')) AS v FROM heads) SELECT page_id, pos, v AS variant FROM l UNION ALL SELECT page_id, pos, array_to_string(list_reverse(regexp_split_to_array(v, '\s+')), ' ') FROM l WHERE regexp_matches(v, '\s')",
     "l2_sequence_hits": _sequences(),
     "b3_crosscheck_lines": f"WITH d AS (SELECT doc_id, text AS a, substring(text, length(text) // 2 + 1) AS b FROM documents) SELECT doc_id, md5(CASE WHEN trim(a, ' ') = '' THEN b WHEN length(b) <= 200 THEN a ELSE array_to_string(list_filter(string_split(a, chr(10)), lambda x: length(x) >= 50 OR 2 * len(list_filter({_LONG}, lambda w: contains(lower(b), w))) >= len({_LONG})), chr(10)) END) AS digest FROM d",
-    "b10_best_text": rf"WITH {_MAIN}, s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '&[a-zA-Z]+;|&#\d+;', ' ', 'g'), '\[\d+\]', '', 'g'), '\{{\{{[^}}]*\}}\}}', '', 'g'), 'https?://\S+', '', 'g'), '[A-Z0-9]{{20,}}', '', 'g') AS c FROM mt) SELECT page_id, substring(trim(regexp_replace(regexp_replace(c, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' '), 1, 30000) AS content FROM s",
+    "b10_best_text": rf"WITH {_MAIN} SELECT page_id, trim(regexp_replace(regexp_replace({_artifacts('content')}, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ') AS content FROM mt",
     "a2_flatten_payload": "SELECT event_id, unnest(json_keys(props::JSON)) AS name, json_extract_string(props::JSON, '$.' || unnest(json_keys(props::JSON))) AS value FROM events",
-    "a7_competitor_table": rf"WITH {_MAIN}, h AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]{{2}})(?:/|$)', 1) AS topic_id, list_transform(regexp_extract_all(substring(html, 1, 120000), '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'), ' ')) AS hs FROM pages), j AS (SELECT topic_id, page_id, len({_WORDS.format('content')}) AS words, len(hs) AS n_headings, array_to_string(hs[1:12], ' | ') AS headings, substring(content, 1, 400) AS opening FROM h JOIN mt USING (page_id)), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY words DESC, page_id) AS rank FROM j) SELECT * FROM r WHERE rank <= 6",
+    "a7_competitor_table": rf"WITH {_MAIN}, h AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]{{2}})(?:/|$)', 1) AS topic_id, list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'), ' ')) AS hs FROM pages), j AS (SELECT topic_id, page_id, len({_WORDS.format('content')}) AS words, len(hs) AS n_headings, array_to_string(hs[1:12], ' | ') AS headings, substring(content, 1, 400) AS opening FROM h JOIN mt USING (page_id)), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY words DESC, page_id) AS rank FROM j) SELECT * FROM r WHERE rank <= 6",
 }

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, PHRASES, SCRIPTS, SHOP, STOP
+from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, LEXICON, PHRASES, SCRIPTS, SHOP, STOP
 from textloom.operators import checks, entities, facts, grams, headings, text, vectors
 from textloom.plans import articles, gaps, stored, terms
-from textloom.plans.tables import docs as _docs, headings as _headings, long as _long, mentions as _mentions, table as _table, weighted as _weighted
+from textloom.plans.tables import docs as _docs, headings as _headings, long as _long, mentions as _mentions, all_grams as _all_grams, table as _table, topics as _topics, weighted as _weighted
 from textloom.plans.twins import TWINS
 from textloom.streaming import budgets
 
@@ -20,7 +20,7 @@ def a3_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a4_admit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(text.admit_sources(text.documents_as_sources(_docs(spark, sf_dir))).select("topic_id", "src_idx", "doc_id", "chars", "word_count"), "src_idx", "chars", "word_count")
+    return _long(text.admit_sources(text.documents_as_sources(_docs(spark, sf_dir))).select("topic_id", "src_idx", "doc_id", "chars", "word_count"), "chars", "word_count")
 
 
 def a6_with_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,17 +62,26 @@ def d1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d4_gram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = grams.gram_stats(grams.ngrams(grams.tokens(text.documents_as_sources(_docs(spark, sf_dir)))))
-    return stats.filter("freq >= 3")
+    return grams.gram_stats(_all_grams(spark, sf_dir))
+
+
+def d4_gram_displays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a lexicon that takes plurals and forms of some words together."""
+    lexicon = spark.createDataFrame(LEXICON, "surface string, lemma string")
+    rows = grams.lemma_grams(grams.tokens(text.documents_as_sources(_docs(spark, sf_dir)), lexicon=lexicon), 2, 2)
+    return grams.gram_displays(rows).filter("freq >= 2")
 
 
 def d7_weight_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weighted(spark, sf_dir).select("topic_id", "gram", "freq", "sources", "weight")
+    return _weighted(spark, sf_dir).select("topic_id", "gram", "freq", "sources", "in_signals", "weight")
 
 
 def d8_top_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grams.top_grams(_weighted(spark, sf_dir))
-    return _long(rows.select("topic_id", "rank", "gram", "freq", "sources", "freq_min", "freq_median", "freq_max", "weight"), "rank")
+    """Medians are taken for the ranked grams alone, from the same counts of grams by source."""
+    per = grams.source_counts(_all_grams(spark, sf_dir))
+    top = grams.top_grams(grams.weight_grams(grams.gram_counts(per), _topics(spark, sf_dir)))
+    halves = grams.median_count(per.join(top.select("topic_id", "gram"), ["topic_id", "gram"], "left_semi"))
+    return _long(top.join(halves, ["topic_id", "gram"]).select("topic_id", "rank", "gram", "freq", "sources", "freq_min", "freq_median", "freq_max", "weight"), "rank")
 
 
 def d9_extended_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +156,7 @@ def f1_match_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f2_entity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = text.documents_as_sources(_docs(spark, sf_dir))
-    count = sources.groupBy("topic_id").agg(F.countDistinct("src_idx").alias("n_sources"))
-    return _long(entities.entity_stats(_mentions(spark, sf_dir), count), "rank")
+    return _long(entities.entity_stats(_mentions(spark, sf_dir), _topics(spark, sf_dir).drop("keyword")), "rank")
 
 
 def f13_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +207,7 @@ def k2_check_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budgets.check_parts(_table(spark, sf_dir, "conversations"), PHRASES, "%$#|", ["conv_id", "turn"])
 
 
-QUERIES = [a3_filter_urls, a4_admit_sources, a6_with_domain, a10_strip_markup, b1_html_headings, b2_html_main_text, b4_strip_artifacts, b5_line_features, b7_clean_lines, b8_finish_text, d1_tokens, d4_gram_stats, d7_weight_grams, d8_top_grams, d9_extended_terms, d13_repeated_trigrams, h6_keyword_cosine, j2_phrase_hits, j3_opener_hits, j4_char_hits, j5_entity_coverage, j7_uniform_paragraphs, j8_list_groups, j15_style_score]
+QUERIES = [a3_filter_urls, a4_admit_sources, a6_with_domain, a10_strip_markup, b1_html_headings, b2_html_main_text, b4_strip_artifacts, b5_line_features, b7_clean_lines, b8_finish_text, d1_tokens, d4_gram_stats, d4_gram_displays, d7_weight_grams, d8_top_grams, d9_extended_terms, d13_repeated_trigrams, h6_keyword_cosine, j2_phrase_hits, j3_opener_hits, j4_char_hits, j5_entity_coverage, j7_uniform_paragraphs, j8_list_groups, j15_style_score]
 QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_headings, e2_heading_support, e5_topical_coverage, f1_match_entities, f2_entity_stats, f13_cooccurrence, g1_bundle_texts, h10_target_length, h11_hard_facts, h14_dedup_records, j1_sentences, j9_foreign_scripts, j17_gram_coverage, l3_budgets_from_grams, k1_budget_batches, k2_check_parts]
 
 

@@ -6,26 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.lists import ENTITIES
-from textloom.operators import entities, grams, text
+from textloom.operators import entities, grams, terms, text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The keyword of each topic, as the operators get it from a caller.
+KEYWORDS = [("en", "the"), ("fr", "la"), ("de", "die"), ("es", "mit license")]
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents over several partitions, also where the table is one small file."""
-    return table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    """Documents in the splits of their scan; only a scan of fewer splits than cores, one small file, is dealt anew."""
+    rows, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def long(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
 
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(topic_id, n_sources, keyword)``."""
+    sources = text.documents_as_sources(table(spark, sf_dir, "documents"))
+    keywords = spark.createDataFrame(KEYWORDS, "topic_id string, keyword string")
+    return sources.groupBy("topic_id").agg(F.countDistinct("src_idx").alias("n_sources")).join(keywords, "topic_id")
+
+
+def all_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grams of the documents and, under the source null, of the signals of the topic ``en``, the benchmark's texts."""
+    signals = table(spark, sf_dir, "benchmark").select(F.lit("en").alias("topic_id"), F.col("item_id").alias("pos"), "text")
+    joined = terms.signal_sources(signals).select("topic_id", F.lit(None).cast("string").alias("src_idx"), F.lit(None).cast("long").alias("doc_id"), "content")
+    return grams.ngrams(grams.tokens(text.documents_as_sources(docs(spark, sf_dir)).unionByName(joined)))
+
+
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = text.documents_as_sources(docs(spark, sf_dir))
-    count = sources.groupBy("topic_id").agg(F.countDistinct("src_idx").alias("n_sources"))
-    return grams.weight_grams(grams.gram_stats(grams.ngrams(grams.tokens(sources))), count)
+    return grams.weight_grams(grams.gram_counts(grams.source_counts(all_grams(spark, sf_dir))), topics(spark, sf_dir))
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _n_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sources(spark, sf_dir).groupBy("topic_id").agg(F.countDistinct("src_idx").alias("n_sources"))
+    return t.topics(spark, sf_dir).drop("keyword")
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ def d3_add_signal_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d6_filter_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = grams.gram_stats(grams.ngrams(grams.tokens(_sources(spark, sf_dir))))
-    return terms.filter_grams(stats, _n_sources(spark, sf_dir), KEYWORD).select("topic_id", "gram", "freq", "sources")
+    counts = grams.gram_counts(grams.source_counts(t.all_grams(spark, sf_dir)))
+    return grams.filter_grams(counts, t.topics(spark, sf_dir)).select("topic_id", "gram", "freq", "sources", "in_signals")
 
 
 def d10_clean_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ SELECT page_id, pos, CASE WHEN length(c) BETWEEN 3 AND 80 AND len(w) <= 5 AND le
 TWINS = {
     "a9_trim_for_consumer": f"WITH {_TOP} SELECT topic_id, gram, freq_min || '-' || freq_max AS range FROM top WHERE rank <= 25",
     "d3_add_signal_source": "WITH s AS (SELECT conv_id::VARCHAR AS topic_id, turn, text, COALESCE(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WHERE role = 'user' AND length(text) > 0) SELECT conv_id::VARCHAR AS topic_id, turn AS src_idx, false AS is_signal, md5(text) AS digest FROM conversations WHERE role <> 'user' UNION ALL SELECT topic_id, -1, true, md5(string_agg(text, ' . ' ORDER BY turn)) FROM s WHERE before < 20000 GROUP BY 1",
-    "d6_filter_grams": f"WITH {_STATS}, ns AS (SELECT topic_id, count(DISTINCT src_idx) AS n_sources FROM src GROUP BY 1) SELECT topic_id, gram, freq, sources FROM stats JOIN ns USING (topic_id) WHERE freq >= 2 AND (list_contains(string_split(gram, ' '), 'the') OR NOT ((sources = 1 AND freq >= 20) OR (n_sources >= 3 AND sources >= 2 AND sources / n_sources >= 0.8 AND freq / sources <= 1.5)))",
+    "d6_filter_grams": f"WITH {_WEIGHT} SELECT topic_id, gram, freq, sources, in_signals FROM weighted",
     "d10_clean_grams": rf"WITH {_WEIGHT}, q AS (SELECT *, string_split(gram, ' ') AS w FROM weighted) SELECT topic_id, gram, weight FROM q WHERE NOT (list_has_any(w, {_quoted(CSS_WORDS)}) OR list_contains({_quoted(GENERIC)}, gram) OR length(gram) < 4 OR regexp_matches(gram, '[{{}}<>|\\@#$^*=~]|https?://|www\.|^[\d\s]+$') OR len(list_filter(w, lambda v: NOT list_contains({_LIST}, v))) = 0 OR (NOT list_contains(w, 'the') AND (weight < 0.05 OR freq < 2)) OR (sources = 1 AND freq_min >= 20) OR (sources <= 2 AND freq_min = freq_max AND freq_min >= 15))",
     "d11_gram_quality": f"WITH {_WEIGHT}, r AS ({_reason('gram', 'weighted', 'topic_id, gram')}) SELECT * FROM r WHERE reason IS NOT NULL",
     "d12_drop_flagged": f"WITH {_WEIGHT}, {_BENCH} SELECT topic_id, count(*) AS n_before, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM bp WHERE term = gram)) AS n_after FROM weighted GROUP BY 1",

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, PHRASES, SCRIPTS, SHOP, STOP
+from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, LEXICON, PHRASES, SCRIPTS, SHOP, STOP
+from textloom.operators.text import CHROME, COOKIES, ROLES
+from textloom.plans.tables import KEYWORDS
 
 _LIST = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 _GRAMS = r"""
-names AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS src_idx FROM (SELECT DISTINCT source FROM documents)),
-src AS (SELECT d.lang AS topic_id, n.src_idx, d.doc_id, d.text AS content FROM documents d JOIN names n USING (source)),
-tok AS (SELECT topic_id, src_idx, doc_id, regexp_extract_all(lower(substring(content, 1, 50000)), '(\p{L}+)', 1) AS words FROM src)"""
+src AS (SELECT lang AS topic_id, COALESCE(source, '') AS src_idx, doc_id, text AS content FROM documents),
+tok AS (SELECT topic_id, src_idx, doc_id, regexp_extract_all(lower(content), '(\p{L}+)', 1) AS words FROM src)"""
 _STATS = _GRAMS + r""",
+sg AS (SELECT item_id, text, COALESCE(sum(length(text)) OVER (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM benchmark WHERE length(text) > 0),
+sig AS (SELECT 'en' AS topic_id, NULL::VARCHAR AS src_idx, regexp_extract_all(lower(string_agg(text, ' . ' ORDER BY item_id)), '(\p{L}+)', 1) AS words FROM sg WHERE before < 20000),
+alltok AS (SELECT topic_id, src_idx, words FROM tok UNION ALL SELECT * FROM sig),
 gr AS (
-  SELECT topic_id, src_idx, unnest(list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' '))) AS gram FROM tok
-  UNION ALL SELECT topic_id, src_idx, unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) FROM tok
-  UNION ALL SELECT topic_id, src_idx, unnest(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) FROM tok),
+  SELECT topic_id, src_idx, unnest(list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' '))) AS gram FROM alltok
+  UNION ALL SELECT topic_id, src_idx, unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) FROM alltok
+  UNION ALL SELECT topic_id, src_idx, unnest(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) FROM alltok),
 per AS (SELECT topic_id, gram, src_idx, count(*) AS n FROM gr GROUP BY ALL),
-counted AS (SELECT topic_id, gram, sum(n)::BIGINT AS freq, count(*) AS sources, list_sort(list(n)) AS c FROM per GROUP BY ALL),
-stats AS (SELECT topic_id, gram, freq, sources, c[1] AS freq_min, (c[(len(c) + 1) // 2] + c[len(c) // 2 + 1]) // 2 AS freq_median, c[-1] AS freq_max FROM counted)"""
-_WEIGHT = _STATS + r""",
+counted AS (SELECT topic_id, gram, COALESCE(sum(n) FILTER (src_idx IS NOT NULL), 0)::BIGINT AS freq, sum(n)::BIGINT AS freq_total, count(src_idx) AS sources, bool_or(src_idx IS NULL) AS in_signals, list_sort(list(n) FILTER (src_idx IS NOT NULL)) AS c FROM per GROUP BY ALL),
+stats AS (SELECT topic_id, gram, freq, freq_total, sources, in_signals, COALESCE(c[1], 1) AS freq_min, COALESCE((c[(len(c) + 1) // 2] + c[len(c) // 2 + 1]) // 2, 1) AS freq_median, COALESCE(c[-1], 1) AS freq_max FROM counted)"""
+_KEYWORDS = "kw(topic_id, keyword) AS (VALUES " + ", ".join(f"('{t}', '{k}')" for t, k in KEYWORDS) + ")"
+_WEIGHT = _STATS + f""",
+{_KEYWORDS},
 ns AS (SELECT topic_id, count(DISTINCT src_idx) AS n_sources FROM src GROUP BY 1),
-mx AS (SELECT topic_id, max(freq) AS top FROM stats GROUP BY 1),
-joined AS (SELECT s.*, n_sources, sources / n_sources AS cover, freq / sources AS mean, round(0.5::DOUBLE * freq / top + 0.5::DOUBLE * (sources / n_sources), 4) AS base FROM stats s JOIN ns USING (topic_id) JOIN mx USING (topic_id)),
+mx AS (SELECT topic_id, max(freq_total) AS top FROM stats GROUP BY 1),
+joined AS (SELECT s.*, n_sources, keyword, sources / n_sources AS cover, freq / NULLIF(sources, 0) AS mean, list_has_any(string_split(gram, ' '), string_split(keyword, ' ')) AS own, round(0.5::DOUBLE * freq / top + 0.5::DOUBLE * (sources / n_sources), 4) + CASE WHEN contains(gram, keyword) THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN in_signals THEN 0.08::DOUBLE ELSE 0 END AS base FROM stats s JOIN ns USING (topic_id) JOIN mx USING (topic_id) JOIN kw USING (topic_id)),
 weighted AS (
-  SELECT *, round(LEAST(1.0::DOUBLE, CASE WHEN cover >= 0.6 AND mean <= 1.0 THEN base * 0.2::DOUBLE ELSE base END), 6) AS weight FROM joined
-  WHERE freq >= 2 AND NOT (sources = 1 AND freq >= 20) AND NOT (n_sources >= 3 AND sources >= 2 AND cover >= 0.8 AND mean <= 1.5)),
+  SELECT *, round(LEAST(1.0::DOUBLE, CASE WHEN n_sources >= 3 AND sources >= 2 AND cover >= 0.6 AND mean <= 1.0 AND NOT own THEN base * 0.2::DOUBLE ELSE base END), 6) AS weight FROM joined
+  WHERE (freq >= 2 OR (in_signals AND sources = 0)) AND (own OR NOT ((sources <= 1 AND freq >= 20) OR (n_sources >= 3 AND sources >= 2 AND cover >= 0.8 AND mean <= 1.5)))),
 topped AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, gram) AS rank FROM weighted)"""
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
 _SENT = r"""
@@ -38,27 +44,40 @@ def _phrase(p: str) -> str:
 
 
 def _main_text() -> str:
-    x = "substring(html, 1, 60000)"
+    x = "html"
     for tag in ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"):
         x = f"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    for mark in (rf"role\s*=\s*[\"'']?(?:{'|'.join(ROLES)})", rf"(?:class|id)\s*=\s*[\"''][^\"''>]*(?:{'|'.join(CHROME)})"):
+        for tag in ("div", "section", "ul", "p", "form"):
+            x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*{mark}[^>]*>.*?</{tag}>', ' ', 'g')"
     return rf"SELECT page_id, trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS content FROM pages"
 
 
+def _artifacts(x: str) -> str:
+    x = rf"regexp_replace({x}, '&[a-zA-Z]+;|&#\d+;', ' ', 'g')"
+    for p in (r"\[\d+\]", r"\{\{[^}]*\}\}", r"https?://\S+", r"\b[A-Z0-9]{20,}\b", *COOKIES):
+        x = f"regexp_replace({x}, '{p}', '', 'g')"
+    return x
+
+
 TWINS = {
     "a3_filter_urls": r"SELECT page_id, url FROM pages WHERE NOT (contains(lower(url), 'utm_source') OR contains(lower(url), 'blog.') OR regexp_matches(lower(url), '\.(pdf|doc|docx|xls|xlsx)$'))",
-    "a4_admit_sources": f"WITH {_GRAMS}, sized AS (SELECT *, length(content) AS chars FROM src WHERE length(content) >= 500), run AS (SELECT *, COALESCE(sum(chars) OVER (PARTITION BY topic_id ORDER BY src_idx, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized) SELECT topic_id, src_idx, doc_id, chars, len({_WORDS.format('content')}) AS word_count FROM run WHERE before < 200000",
+    "a4_admit_sources": rf"WITH {_GRAMS}, sized AS (SELECT *, length(content) AS chars FROM src WHERE length(content) >= 500 AND len(regexp_extract_all(content, '(?m)^#{{1,6}}\s')) <= 15), run AS (SELECT *, COALESCE(sum(chars) OVER (PARTITION BY topic_id ORDER BY src_idx, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized) SELECT topic_id, src_idx, doc_id, chars, len({_WORDS.format('content')}) AS word_count FROM run WHERE before < 200000",
     "a6_with_domain": r"SELECT page_id, CASE WHEN regexp_extract(url, '^https?://(?:www\.)?([^/?#]+)', 1) <> '' THEN regexp_extract(url, '^https?://(?:www\.)?([^/?#]+)', 1) ELSE substring(url, 1, 30) END AS domain FROM pages",
     "a10_strip_markup": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{1,6}\s*', '', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^-{3,}$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS digest FROM documents""",
-    "b1_html_headings": r"""WITH f AS (SELECT page_id, regexp_extract_all(substring(html, 1, 120000), '(?is)<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages), e AS (SELECT page_id, unnest(range(len(hs))) AS pos, trim(regexp_replace(unnest(hs), '<[^>]+>', '', 'g'), ' ') AS heading FROM f) SELECT * FROM e WHERE length(heading) > 0 AND length(heading) < 200 AND NOT regexp_matches(heading, '[{}]|webkit|@media')""",
+    "b1_html_headings": r"""WITH f AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages), e AS (SELECT page_id, unnest(range(len(hs))) AS pos, trim(regexp_replace(unnest(hs), '<[^>]+>', '', 'g'), ' ') AS heading FROM f) SELECT * FROM e WHERE length(heading) > 0 AND length(heading) < 200 AND NOT regexp_matches(heading, '[{}]|webkit|@media')""",
     "b2_html_main_text": _main_text(),
-    "b4_strip_artifacts": r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&[a-zA-Z]+;|&#\d+;', ' ', 'g'), '\[\d+\]', '', 'g'), '\{\{[^}]*\}\}', '', 'g'), 'https?://\S+', '', 'g'), '[A-Z0-9]{20,}', '', 'g')) AS digest FROM pages""",
+    "b4_strip_artifacts": f"SELECT page_id, md5({_artifacts('html')}) AS digest FROM pages",
     "b5_line_features": rf"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents), w AS (SELECT *, {_WORDS.format('line')} AS words FROM l),
 c AS (SELECT doc_id, pos, line, length(line) AS chars, len(words) AS n_words, len(list_filter(words, lambda x: list_contains({_LIST}, lower(x)))) / GREATEST(len(words), 1) AS density, len(list_filter(words, lambda x: regexp_matches(x, '^\p{{Lu}}'))) / GREATEST(len(words), 1) AS capital, regexp_matches(line, '[.!?]$') AS fin FROM w)
 SELECT doc_id, pos, chars, n_words, round(density, 6) AS density, round(capital, 6) AS capital, (chars < 5) OR (chars < 60 AND density < 0.15 AND NOT fin) OR (chars < 60 AND capital > 0.6 AND n_words <= 5) OR (n_words <= 3 AND density = 0 AND NOT fin) AS boilerplate FROM c""",
-    "b8_finish_text": r"SELECT doc_id, md5(substring(trim(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' '), 1, 30000)) AS digest FROM documents",
+    "b8_finish_text": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ')) AS digest FROM documents",
     "d1_tokens": f"WITH {_GRAMS} SELECT doc_id, len(words) AS n_tokens, md5(array_to_string(words, ' ')) AS digest FROM tok",
-    "d4_gram_stats": f"WITH {_STATS} SELECT * FROM stats WHERE freq >= 3",
-    "d7_weight_grams": f"WITH {_WEIGHT} SELECT topic_id, gram, freq, sources, weight FROM weighted",
+    "d4_gram_stats": f"WITH {_STATS} SELECT * FROM stats",
+    "d4_gram_displays": f"WITH {_GRAMS}, lx(surface, lemma) AS (VALUES " + ", ".join(f"('{x}', '{y}')" for x, y in LEXICON) + "), lm AS (SELECT MAP(list(surface), list(lemma)) AS m FROM lx), "
+    "tw AS (SELECT topic_id, words, list_transform(words, lambda w: COALESCE(m[w], w)) AS lemmas FROM tok, lm), g AS (SELECT topic_id, unnest(list_transform(range(1, len(words)), lambda i: lemmas[i] || ' ' || lemmas[i + 1])) AS gram, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS surface FROM tw), "
+    "c AS (SELECT topic_id, gram, surface, count(*) AS n FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id, gram ORDER BY n DESC, surface) AS k, sum(n) OVER (PARTITION BY topic_id, gram)::BIGINT AS freq FROM c) SELECT topic_id, gram, surface AS display, freq FROM r WHERE k = 1 AND freq >= 2",
+    "d7_weight_grams": f"WITH {_WEIGHT} SELECT topic_id, gram, freq, sources, in_signals, weight FROM weighted",
     "d8_top_grams": f"WITH {_WEIGHT} SELECT topic_id, rank, gram, freq, sources, freq_min, freq_median, freq_max, weight FROM topped WHERE rank <= 30",
     "d9_extended_terms": f"WITH {_WEIGHT}, rest AS (SELECT * EXCLUDE (rank) FROM topped WHERE rank > 30 AND n_sources >= 3 AND sources >= GREATEST(2, floor(0.3::DOUBLE * n_sources)) AND sources <= floor(0.8::DOUBLE * n_sources)), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY sources DESC, weight DESC, gram) AS rank FROM rest) SELECT topic_id, rank, gram, sources, weight FROM r WHERE rank <= 15",
     "d13_repeated_trigrams": f"WITH w AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS words FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) AS gram FROM w WHERE len(words) > 5), c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS k FROM c) SELECT doc_id, gram, n FROM r WHERE k <= 10 AND n >= 4 AND length(gram) > 10",
@@ -73,7 +92,7 @@ SELECT doc_id, pos, chars, n_words, round(density, 6) AS density, round(capital,
 }
 
 _HEADS = r"""
-f AS (SELECT page_id, url, COALESCE(NULLIF(regexp_extract(url, '^https?://(?:www\.)?([^/?#]+)', 1), ''), substring(url, 1, 30)) AS src, regexp_extract_all(substring(html, 1, 120000), '(?is)<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages),
+f AS (SELECT page_id, url, COALESCE(NULLIF(regexp_extract(url, '^https?://(?:www\.)?([^/?#]+)', 1), ''), substring(url, 1, 30)) AS src, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages),
 e AS (SELECT page_id, url, src, unnest(range(len(hs))) AS pos, trim(regexp_replace(unnest(hs), '<[^>]+>', '', 'g'), ' ') AS heading FROM f),
 heads AS (SELECT regexp_extract(url, '^https?://[^/]+/([a-z]{2})(?:/|$)', 1) AS topic_id, src, page_id, pos, heading FROM e WHERE length(heading) > 0 AND length(heading) < 200 AND NOT regexp_matches(heading, '[{}]|webkit|@media'))"""
 _NSRC = "ns AS (SELECT topic_id, count(DISTINCT src) AS n_sources FROM heads GROUP BY 1)"
@@ -108,7 +127,7 @@ def _pairs() -> str:
     return " UNION ALL ".join(f"SELECT topic_id, '{a}' AS a, '{b}' AS b FROM low WHERE contains(s, '{a}') AND contains(s, '{b}')" for i, a in enumerate(_PHRASES) for b in _PHRASES[i + 1 :])
 
 
-_SHAPES = r"length(line) < 3 OR (length(line) < 30 AND regexp_matches(line, '[→►»›]$')) OR regexp_matches(line, '^[-=_*|•·]+$') OR regexp_matches(line, '^\d+$') OR regexp_matches(line, '^\p{L}{1,4}$')"
+_SHAPES = r"length(line) < 3 OR (length(line) < 30 AND regexp_matches(line, '[→►»›]$')) OR regexp_matches(line, '^[-=_*|•·]+$') OR regexp_matches(line, '^\d+$') OR regexp_matches(line, '^\p{L}{1,4}$') OR regexp_matches(line, '^\p{L}{3,12}\.? (?:19|20)\d\d$')"
 TWINS |= {
     "b6_flag_nav_lines": f"WITH b AS ({TWINS['b5_line_features']}), l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) SELECT doc_id, pos, boilerplate OR {_SHAPES} OR (n_words BETWEEN 1 AND 2 AND capital = 1) AS nav FROM b JOIN l USING (doc_id, pos)",
     "b9_strip_css": _css(),
