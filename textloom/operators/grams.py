@@ -81,7 +81,7 @@ def filter_grams(stats: DataFrame, topics: DataFrame) -> DataFrame:
     Of ``topics(topic_id, n_sources, keyword)``; grams that only signals hold stay.
     """
     rows = stats.join(topics, "topic_id")
-    cover, mean = F.col("sources") / F.col("n_sources"), F.col("freq") / F.col("sources")
+    cover, mean = F.col("sources") / F.col("n_sources"), F.col("freq") / F.greatest("sources", F.lit(1))
     lone = (F.col("sources") <= 1) & (F.col("freq") >= 20)
     plate = (F.col("n_sources") >= 3) & (F.col("sources") >= 2) & (cover >= 0.8) & (mean <= 1.5)
     only = F.col("in_signals") & (F.col("sources") == 0)
@@ -95,7 +95,7 @@ def weight_grams(stats: DataFrame, topics: DataFrame) -> DataFrame:
     """
     top = stats.groupBy("topic_id").agg(F.max("freq_total").alias("top"))
     rows = filter_grams(stats, topics.join(top, "topic_id"))
-    cover, mean = F.col("sources") / F.col("n_sources"), F.col("freq") / F.col("sources")
+    cover, mean = F.col("sources") / F.col("n_sources"), F.col("freq") / F.greatest("sources", F.lit(1))
     faint = (F.col("n_sources") >= 3) & (F.col("sources") >= 2) & (cover >= 0.6) & (mean <= 1.0) & ~shares_keyword()
     weight = F.round(0.5 * F.col("freq") / F.col("top") + 0.5 * cover, 4) + F.when(F.contains("gram", F.lower("keyword")), 0.1).otherwise(0.0) + F.when(F.col("in_signals"), 0.08).otherwise(0.0)
     weight = F.least(F.lit(1.0), F.when(faint, weight * 0.2).otherwise(weight))

@@ -173,17 +173,21 @@ def must_cover(tiers: DataFrame, entities: DataFrame, main: str, limit: int = 12
     return ranked(first, limit, F.asc("o"), F.asc("phrase")).select("topic_id", "phrase", "rank")
 
 
-def noun_phrases(toks: DataFrame, noun: str, modifier: str) -> DataFrame:
-    """``(topic_id, phrase, n)``: maximal runs of two to five words that match ``modifier`` or ``noun`` and end in a noun.
+def noun_runs(toks: DataFrame, noun: str, modifier: str) -> DataFrame:
+    """``(topic_id, src_idx, phrase)``: maximal runs of two to five words that match ``modifier`` or ``noun`` and end in a noun.
 
     The patterns stand for a tagger's lexicon; runs are cut inside a document's own row.
     """
     marked = F.array_join(F.transform("words", lambda w: F.when(w.rlike(noun) | w.rlike(modifier), w).otherwise("|")), " ")
     runs = F.transform(F.split(marked, r"(?:^| )\|(?= |$)"), lambda r: F.trim(r))
-    rows = toks.select("topic_id", F.explode(F.filter(runs, lambda r: r != "")).alias("phrase"))
+    rows = toks.select("topic_id", "src_idx", F.explode(F.filter(runs, lambda r: r != "")).alias("phrase"))
     words = F.split("phrase", " ")
-    rows = rows.filter(F.size(words).between(2, 5) & F.element_at(words, -1).rlike(noun))
-    return rows.groupBy("topic_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    return rows.filter(F.size(words).between(2, 5) & F.element_at(words, -1).rlike(noun))
+
+
+def noun_phrases(toks: DataFrame, noun: str, modifier: str) -> DataFrame:
+    """``(topic_id, phrase, n)`` of ``noun_runs``."""
+    return noun_runs(toks, noun, modifier).groupBy("topic_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 def signal_sources(signals: DataFrame, cap: int = 20_000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, LEXICON, PHRASES, SCRIPTS, SHOP, STOP
 from textloom.operators import checks, entities, facts, grams, headings, text, vectors
-from textloom.plans import articles, gaps, stored, terms
+from textloom.plans import articles, gaps, salience, stored, terms
 from textloom.plans.tables import docs as _docs, headings as _headings, long as _long, mentions as _mentions, all_grams as _all_grams, table as _table, topics as _topics, weighted as _weighted
 from textloom.plans.twins import TWINS
 from textloom.streaming import budgets
@@ -212,8 +212,8 @@ QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_he
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES + articles.QUERIES + terms.QUERIES + gaps.QUERIES + stored.QUERIES}
+    return {q.__name__: q for q in QUERIES + articles.QUERIES + terms.QUERIES + gaps.QUERIES + stored.QUERIES + salience.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return TWINS | articles.TWINS | terms.TWINS | gaps.TWINS | stored.TWINS
+    return TWINS | articles.TWINS | terms.TWINS | gaps.TWINS | stored.TWINS | salience.TWINS
