@@ -151,21 +151,34 @@ def near_pairs(group: np.ndarray, x: dict) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Positions of a minimum spanning forest of the given edges: at most one edge per node joins it."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    keep = []
-    for k in np.argsort(weight, kind="stable"):
-        a, b = root(int(left[k])), root(int(right[k]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep.append(k)
-    return np.array(keep, dtype=np.int64)
+    """Positions of the minimum spanning forest of the given edges: at most one edge per node joins it.
+
+    Equal weights are ordered by the nodes, so lists with the same nodes give the same edges. Every component takes its
+    least edge to another one until none is left.
+    """
+    if not len(left):
+        return np.zeros(0, dtype=np.int64)
+    low, high = np.minimum(left, right), np.maximum(left, right)
+    order = np.lexsort((high, low, weight))
+    nodes, ends = np.unique(np.concatenate((low[order], high[order])), return_inverse=True)
+    a, b = ends[: len(order)], ends[len(order) :]
+    component, keep = np.arange(len(nodes)), np.zeros(len(order), dtype=bool)
+    while True:
+        x, y = component[a], component[b]
+        alive = np.flatnonzero(x != y)
+        if not len(alive):
+            return np.sort(order[keep])
+        both, edge = np.concatenate((x[alive], y[alive])), np.concatenate((alive, alive))
+        by = np.argsort(edge, kind="stable")
+        own, first = np.unique(both[by], return_index=True)
+        least = edge[by][first]
+        keep[least] = True
+        parent = np.arange(len(nodes))
+        parent[own] = np.where(x[least] == own, y[least], x[least])
+        parent = np.where((parent[parent] == np.arange(len(nodes))) & (np.arange(len(nodes)) < parent), np.arange(len(nodes)), parent)
+        while (up := parent[parent]).tolist() != parent.tolist():
+            parent = up
+        component = parent[component]
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 40) -> DataFrame:

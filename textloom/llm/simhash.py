@@ -249,8 +249,9 @@ def prefix_pairs(rows: DataFrame, similarity: float, whole: bool, block: int = 5
     """``(src, dst, thinned)``: the pairs of ``rows(key, pos, content, size, s0 .. s3, component)`` that may be similar.
 
     Pairs of one component are left out. Length, places and parities only reject pairs whose similarity is
-    below the bound. Unless ``whole``, lists with very many pairs give a spanning forest, and a row with
-    their key in ``thinned``: those keys are to be read again, ``whole``, with the components found.
+    below the bound. Unless ``whole``, lists with several times as many pairs as rows give a minimum spanning forest,
+    the same for lists of the same sets, and a row with their key in ``thinned``: those keys are to be read again,
+    ``whole``, with the components found.
     """
     dealt = hot_blocks(rows, "key", "content", block)
     share = similarity / (1 + similarity)
@@ -267,7 +268,7 @@ def prefix_pairs(rows: DataFrame, similarity: float, whole: bool, block: int = 5
     def compare(group: np.ndarray, x: dict) -> Iterator[pa.RecordBatch]:
         node, size, rest, part = x["content"], x["size"], x["size"] - x["pos"], x["component"]
         bits = np.stack([x[s] for s in PARITIES], axis=1).view(np.uint64)
-        found, held, thinned, limit = [], 0, set(), max(20_000, 4 * len(node))
+        found, held, thinned, limit = [], 0, set(), 4 * len(node)
         for left, right in near_pairs(group, x):
             need = share * (size[left] + size[right]) - SLACK
             ok = (part[left] != part[right]) & (np.minimum(rest[left], rest[right]) >= need)
@@ -286,6 +287,8 @@ def prefix_pairs(rows: DataFrame, similarity: float, whole: bool, block: int = 5
                     thinned |= set(np.unique(x["key"][np.concatenate([f[0] for f in found])]).tolist())
                     found = [spanning(node, found)]
                     held = len(found[0][0])
+        if thinned:
+            found = [spanning(node, found)]
         if held:
             yield out(node, found)
         if thinned:
