@@ -13,3 +13,8 @@ ENTITIES = [("mit license", "PRODUCT"), ("apache license", "PRODUCT"), ("gnu gen
 BUDGETS = [("the", 1, 20), ("license", 1, 2), ("than", 2, 6), ("idiot", 0, 0)]
 #: Written forms and their lemmas (fixed values).
 LEXICON = [("licenses", "license"), ("licensed", "license"), ("words", "word"), ("les", "le"), ("las", "la"), ("des", "de"), ("das", "der"), ("die", "der")]
+BANNED = ["worth it", "is the", "pour le"]
+STYLE_STOP = ["the", "a", "in", "le", "de"]
+PART_ENTITIES = ["the", "license"]
+#: Phrases with a range of uses and a weight (fixed values); None is the variant's own upper limit.
+WEIGHTED = [("the", 1, 20, 0.5), ("license", 1, 2, 0.4), ("than", 2, None, 0.2), ("idiot", 0, 0, 0.1), ("with", 3, None, 0.35), ("apache license", 1, 3, 0.6), ("la", 1, None, 0.9)]

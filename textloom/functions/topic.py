@@ -14,6 +14,7 @@ QUESTIONS = ["which license covers the software", "elleai pour leaux"]
 OPENERS = ["the ", "de ", "le "]
 META_OPENERS = ["in this article", "the of", "as "]
 META = [r"needs? verification", r"TODO|FIXME", r"\[(?:citation|source)[^\]]*\]", r"worth noting"]
+BANNED = ["worth it", "the and", "pour le"]
 FORBIDDEN = ["it is worth", "in summary", "of the"]
 SPELLED = ["License", "licensed under", "software"]
 WEIGHTS = {"salience": 25, "triples": 15, "causal": 15, "pairs": 10, "variety": 10, "grams": 10, "opening": 10, "facts": 5}

@@ -209,12 +209,14 @@ def bold_spans(body: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(body, r"(?m)^#.*$", ""), F.lit(r"(\*\*[^*\n]+\*\*|<strong>[^<]*</strong>)"), F.lit(1))
 
 
-def with_findings(rows: DataFrame, forbidden: list[str], entities: list[str], facts: list[str], openers: list[str], chars: str, mark: str = r"^\s*(?:[-*|]|\d+[.)])\s?") -> DataFrame:
-    """Add one count per kind of finding: the numbers behind ``validate``."""
+def with_findings(rows: DataFrame, forbidden: list[str], entities: list[str], facts: list[str], openers: list[str], chars: str, banned: list[str] = [], main: str = "", mark: str = r"^\s*(?:[-*|]|\d+[.)])\s?") -> DataFrame:
+    """Add one count per kind of finding, sections without the ``main`` entity among them: the numbers behind ``validate``."""
     low, body = F.col("low"), F.col("body")
     per = F.transform("paras", lambda p: F.size(F.filter(F.split(p, r"[.!?]+"), lambda s: F.trim(s) != "")))
     rows = rows.withColumns({"__c": per, "__i": F.transform(F.split("body", "\n"), lambda x: x.rlike(mark))})
     same = F.filter("__c", lambda c, i: (F.get("__c", i + 1) == c) & (F.get("__c", i + 2) == c) & (F.get("__c", i + 3) == c))
+    parts = F.split("low", r"<h2|##\s")
+    bare = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda s: ~F.contains(s, F.lit(main.lower())))
     groups = F.filter("__i", lambda x, i: x & ~((i > 0) & F.coalesce(F.get("__i", i - 1), F.lit(False))))
     return rows.withColumns({
         "n_forbidden": count_of([low.contains(p) for p in forbidden]),
@@ -225,12 +227,14 @@ def with_findings(rows: DataFrame, forbidden: list[str], entities: list[str], fa
         "n_bold": F.size(bold_spans(body)).cast("long"),
         "n_openers": F.size(F.filter("sents", lambda s: any_of([F.trim(s).startswith(o) for o in openers]))).cast("long"),
         "n_chars": (F.length("body") - F.length(F.translate("body", chars, ""))).cast("long"),
+        "n_banned": count_of([low.contains(p) for p in banned]),
+        "n_sections_without": F.size(bare).cast("long"),
     }).drop("__c", "__i")
 
 
 def validate(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, findings, score)``: 100 less the points of each finding, 0 to 100."""
-    points = {"n_forbidden": 5, "n_missing": 3, "n_facts_missing": 2, "n_uniform": 2, "n_bold": 2, "n_openers": 2, "n_chars": 1}
+    points = {"n_forbidden": 5, "n_missing": 3, "n_facts_missing": 2, "n_uniform": 2, "n_bold": 2, "n_openers": 2, "n_chars": 1, "n_banned": 2, "n_sections_without": 3}
     lost = reduce(lambda a, b: a + b, [w * F.col(c) for c, w in points.items()]) + 3 * F.greatest(F.lit(0), F.col("n_lists") - 3)
     return rows.select(key, *points, "n_lists", F.greatest(F.lit(0), 100 - lost).cast("long").alias("score"))
 

@@ -41,7 +41,7 @@ def mark_chains(df: DataFrame, limit: int = 15) -> DataFrame:
     effects = rows.select("topic_id", F.col("__e").alias("__c"), F.lit(True).alias("__from")).distinct()
     rows = rows.join(causes, ["topic_id", "__e"], "left").join(effects, ["topic_id", "__c"], "left")
     rows = rows.withColumn("is_chain", F.coalesce("__to", "__from", F.lit(False))).drop("__c", "__e", "__to", "__from")
-    order = Window.partitionBy("topic_id").orderBy(F.desc("is_chain"), F.desc("confidence"), "cause", "effect")
+    order = Window.partitionBy("topic_id").orderBy(F.desc("is_chain"), F.desc("confidence"), "cause", "effect", "relation")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 

@@ -69,22 +69,33 @@ def topic_class(text: Column, lists: dict[str, list[str]]) -> Column:
     return F.when(best["hits"] > 0, F.struct(best["class"].alias("class"), F.round(F.least(F.lit(1.0), best["hits"] / 3), 4).alias("confidence")))
 
 
-def semantic_gaps(vectors: DataFrame, candidates: int = 20, limit: int = 15) -> DataFrame:
-    """``(label, vec_id, sim, coverage, score, priority, rank)``: candidates near the keyword vector that few others cover.
+def semantic_gaps(vectors: DataFrame, limit: int = 15, block: int = 64) -> DataFrame:
+    """``(label, vec_id, sim, coverage, score, priority, rank)``: vectors near the keyword vector, the smallest id, that few others cover.
 
-    A topic's keyword is its smallest id, its candidates the next ones; their number is fixed, so the join gives each other vector that many rows.
+    A score is at most the similarity to the keyword, so vectors under 0.15 are out. The others are read in blocks of
+    falling similarity, each against all vectors of its topic, until no similarity left can reach the last rank: the result
+    is that of all vectors, and a join gives each vector ``block`` rows at most.
     """
-    order = Window.partitionBy("label").orderBy("vec_id")
-    first = vectors.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= candidates + 1)
-    key = first.filter("k = 1").select("label", F.col("embedding").alias("key"))
-    cand = first.filter("k > 1").join(key, "label").select("label", F.col("vec_id").alias("cand"), F.col("embedding").alias("c"), cosine(F.col("embedding"), F.col("key")).alias("sim"))
-    others = vectors.join(first.select("vec_id"), "vec_id", "left_anti").select("label", "embedding")
-    near = cand.join(others, "label").groupBy("label", "cand").agg(F.avg(F.when(cosine(F.col("c"), F.col("embedding")) > 0.55, 1.0).otherwise(0.0)).alias("cov"))
-    rows = cand.drop("c").join(near, ["label", "cand"], "left").withColumn("coverage", F.coalesce("cov", F.lit(0.5))).withColumn("score", F.col("sim") * (1 - F.col("coverage"))).filter("score >= 0.15")
+    key = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("key"), F.min("vec_id").alias("first"))
+    rows = vectors.join(key, "label").filter("vec_id <> first").select("label", "vec_id", "embedding", cosine(F.col("embedding"), F.col("key")).alias("sim"))
+    near = rows.filter("sim >= 0.15").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("sim"), "vec_id")))
+    best, step, found = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id"), 0, None
+    while True:
+        part = near.filter((F.col("k") > step * block) & (F.col("k") <= (step + 1) * block)).select("label", F.col("vec_id").alias("cand"), F.col("embedding").alias("c"), "sim")
+        others = part.join(rows.select("label", "vec_id", "embedding"), "label").filter("vec_id <> cand")
+        cover = others.groupBy("label", "cand").agg(F.avg(F.when(cosine(F.col("c"), F.col("embedding")) > 0.55, 1.0).otherwise(0.0)).alias("cov"))
+        scored = part.drop("c").join(cover, ["label", "cand"], "left").select("label", F.col("cand").alias("vec_id"), "sim", F.coalesce("cov", F.lit(0.5)).alias("coverage"))
+        scored = scored.withColumn("score", F.col("sim") * (1 - F.col("coverage")))
+        found = scored if found is None else found.unionByName(scored)
+        found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).drop("rank")
+        bar = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        left = near.filter(F.col("k") == (step + 1) * block + 1).join(bar, "label", "left")
+        if left.filter((F.coalesce("n", F.lit(0)) < limit) | (F.col("sim") >= F.greatest("least", F.lit(0.15)))).isEmpty():
+            break
+        step += 1
+    rows = found.filter("score >= 0.15").withColumn("rank", F.row_number().over(best))
     level = F.when((F.col("coverage") < 0.25) & (F.col("sim") > 0.5), "high").when((F.col("coverage") < 0.5) & (F.col("sim") > 0.4), "medium").otherwise("low")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "cand"))
-    rows = rows.withColumn("priority", level).withColumn("rank", rank).filter(F.col("rank") <= limit)
-    return rows.select("label", F.col("cand").alias("vec_id"), F.round("sim", 6).alias("sim"), F.round("coverage", 6).alias("coverage"), F.round("score", 6).alias("score"), "priority", F.col("rank").cast("long").alias("rank"))
+    return rows.select("label", "vec_id", F.round("sim", 6).alias("sim"), F.round("coverage", 6).alias("coverage"), F.round("score", 6).alias("score"), level.alias("priority"), F.col("rank").cast("long").alias("rank"))
 
 
 def parse_triplets(payloads: DataFrame, schema: str, text: str = "payload") -> DataFrame:
@@ -180,6 +191,31 @@ def flatten_payload(events: DataFrame, text: str = "props", keys: tuple = ("even
     return events.select(*keys, F.explode(F.from_json(text, "map<string,string>")).alias("name", "value"))
 
 
+SERP = "organic_results array<struct<title:string,snippet:string,link:string>>, related_questions array<struct<question:string,snippet:string,link:string>>, answer_box struct<title:string,answer:string,snippet:string,link:string>, ai_overview struct<text:string,snippet:string,sources:array<struct<title:string,link:string>>>, related_searches array<struct<query:string>>"
+
+
+def flatten_serp(payloads: DataFrame, key: str = "topic_id", text: str = "payload") -> DataFrame:
+    """``(key, kind, pos, text, answer, link)``: the five kinds of search signals in a JSON payload; other text gives none.
+
+    Results, questions with answers, the answer box (its answer, else its snippet, of 1000 characters), the overview (its
+    text, else its snippet, of 2000, with its first five sources) and ten queries.
+    """
+    p = F.from_json(text, SERP)
+    rows = payloads.select(key, p.alias("p"))
+    row = lambda kind, pos, text, answer, link: F.struct(F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), text.alias("text"), answer.alias("answer"), link.alias("link"))
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast(rows.select(c).schema[0].dataType))
+    organic = F.transform(listed("p.organic_results"), lambda x, i: row("result", i, x["title"], x["snippet"], x["link"]))
+    asked = F.transform(listed("p.related_questions"), lambda x, i: row("question", i, x["question"], x["snippet"], x["link"]))
+    queries = F.filter(F.transform(listed("p.related_searches"), lambda x: x["query"]), lambda q: F.coalesce(q, F.lit("")) != "")
+    related = F.transform(F.slice(queries, 1, 10), lambda q, i: row("query", i, q, none, none))
+    box = F.coalesce(F.nullif("p.answer_box.answer", F.lit("")), F.col("p.answer_box.snippet"))
+    over = F.coalesce(F.nullif("p.ai_overview.text", F.lit("")), F.col("p.ai_overview.snippet"))
+    sources = F.array_join(F.transform(F.slice(F.coalesce("p.ai_overview.sources", F.array().cast("array<struct<title:string,link:string>>")), 1, 5), lambda s: s["link"]), " ")
+    single = F.array(F.when(box.isNotNull(), row("answer", zero, F.coalesce("p.answer_box.title", box), F.substring(box, 1, 1000), F.col("p.answer_box.link"))), F.when(over.isNotNull(), row("overview", zero, F.substring(over, 1, 2000), none, sources)))
+    return rows.select(key, F.explode(F.concat(organic, asked, related, F.array_compact(single))).alias("s")).select(key, "s.*").filter("text <> ''")
+
+
 def best_text(html: Column) -> Column:
     """Main text of a page without artifacts, blanks collapsed, in one projection."""
     return page_text.finish_text(page_text.strip_artifacts(page_text.html_main_text(html)))

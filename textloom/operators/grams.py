@@ -118,16 +118,16 @@ def extended_terms(weighted: DataFrame, top: DataFrame, limit: int = 15) -> Data
     return ranked(some, limit, F.desc("sources"), F.desc("weight"), F.asc("gram"))
 
 
-def repeated_trigrams(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 4, first: int = 10) -> DataFrame:
-    """Of a text's ``first`` most frequent word trigrams, those that occur ``least`` times and are longer than 10 characters."""
+def repeated_trigrams(docs: DataFrame, stop: list[str], key: str = "doc_id", text: str = "text", least: int = 4, first: int = 10) -> DataFrame:
+    """Of a text's ``first`` most frequent word trigrams, those that occur ``least`` times, are longer than 10 characters and more than stop words."""
     words = docs.select(key, F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "").alias("words")).filter(F.size("words") > 5)
     grams = words.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.array_join(F.slice("words", i, 3), " "))).alias("gram"))
     counts = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("gram"))
-    return counts.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= first) & (F.col("n") >= least) & (F.length("gram") > 10)).drop("rank")
+    return counts.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= first) & (F.col("n") >= least) & (F.length("gram") > 10) & F.exists(F.split("gram", " "), lambda w: ~w.isin(stop))).drop("rank")
 
 
-def keyphrase_priority(weighted: DataFrame, n: int = 30) -> DataFrame:
-    """The first ``n`` grams by class (1 for a weight of 0.5 or more, 2 of 0.3, else 3), then weight."""
-    rows = weighted.filter("freq_max > 0").withColumn("priority", F.when(F.col("weight") >= 0.5, 1).when(F.col("weight") >= 0.3, 2).otherwise(3))
+def keyphrase_priority(weighted: DataFrame, reason: Column, n: int = 30) -> DataFrame:
+    """The first ``n`` grams against which no ``reason`` speaks by class (1 for a weight of 0.5 or more, 2 of 0.3, else 3), then weight."""
+    rows = weighted.filter((F.col("freq_max") > 0) & reason.isNull()).withColumn("priority", F.when(F.col("weight") >= 0.5, 1).when(F.col("weight") >= 0.3, 2).otherwise(3))
     return ranked(rows, n, F.asc("priority"), F.desc("weight"), F.asc("gram"))

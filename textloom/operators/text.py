@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -110,20 +112,26 @@ def finish_text(text: Column, cap: int | None = None) -> Column:
 
 
 def clean_lines(docs: DataFrame, nav: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ordered line scan: a navigation line drops itself and the lines after it until text resumes.
+    """Without navigation lines and the lines after them until text resumes: a line of over 50 characters after the third, or the ninth.
 
-    One fold over the lines of a document, in its own row: nothing is shuffled.
+    A line looks back eight lines at most for the navigation line whose skip it may stand in, in its document's own row:
+    nothing is shuffled, and a document costs what its lines do.
     """
-    start = F.struct(F.lit(False).alias("skip"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        hit = line.rlike(nav) & (F.length(line) < 150)
-        count = acc["n"] + 1
-        resumed = ((count > 3) & (F.length(line) > 50)) | (count > 8)
-        keep = F.concat(acc["out"], F.array(line))
-        return F.when(hit, F.struct(F.lit(True).alias("skip"), F.lit(0).alias("n"), acc["out"].alias("out"))).when(acc["skip"] & ~resumed, F.struct(F.lit(True).alias("skip"), count.alias("n"), acc["out"].alias("out"))).otherwise(F.struct(F.lit(False).alias("skip"), F.lit(0).alias("n"), keep.alias("out")))
-
-    return docs.select(key, F.array_join(F.aggregate(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), start, step)["out"], "\n").alias("text"))
+    rows = docs.select(key, F.transform(F.split(text, "\n"), lambda x: F.trim(x)).alias("lines"))
+    rows = rows.withColumns({"hit": F.transform("lines", lambda x: x.rlike(nav) & (F.length(x) < 150)), "long": F.transform("lines", lambda x: F.length(x) > 50)})
+    at = lambda flags, i, back: F.coalesce(F.when(i >= back, F.get(flags, i - back)), F.lit(False))
+
+    def skipped(i: Column, back: int) -> Column:
+        """The skip begun ``back`` lines before lasts to this line."""
+        going = at("hit", i, back)
+        for k in range(back):
+            going = going & ~at("hit", i, k)
+            if back - k > 3:
+                going = going & ~at("long", i, k)
+        return going
+
+    kept = F.filter("lines", lambda x, i: ~reduce(lambda a, b: a | b, [skipped(i, back) for back in range(9)]))
+    return rows.select(key, F.array_join(kept, "\n").alias("text"))
 
 
 def flag_nav_lines(features: DataFrame) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from textloom.functions import topic as T
 from textloom.functions.lists import BUDGETS, SCRIPTS
 from textloom.operators import articles as A
+from textloom.plans import tables as t
 
 CHARS, TARGET = "%$#|", 400
 ENTITIES = ["license", "the", "idiot", "apache license"]
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return A.prepared(docs.repartition(spark.sparkContext.defaultParallelism, "doc_id"))
+    return A.prepared(t.articles(spark, sf_dir))
 
 
 def j6_fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def j13_bold_in_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j14_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.validate(A.with_findings(_rows(spark, sf_dir), T.FORBIDDEN, ENTITIES, T.HARD_FACTS, T.OPENERS, CHARS))
+    return A.validate(A.with_findings(_rows(spark, sf_dir), T.FORBIDDEN, ENTITIES, T.HARD_FACTS, T.OPENERS, CHARS, T.BANNED, T.KEYWORD))
 
 
 def j16_structure_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,8 @@ def _words(x: str) -> str:
 
 
 _ART = rf"""
-a0 AS (SELECT doc_id, COALESCE(text, '') AS body, lower(COALESCE(text, '')) AS low FROM documents),
+am AS (SELECT doc_id, {t.ARTICLE_SQL} AS text FROM documents),
+a0 AS (SELECT doc_id, COALESCE(text, '') AS body, lower(COALESCE(text, '')) AS low FROM am),
 art AS (SELECT *, list_filter(string_split(low, chr(10)), lambda p: trim(p, ' ') <> '') AS paras, list_filter(regexp_split_to_array(low, '[.!?]+\s+'), lambda p: trim(p, ' ') <> '') AS sents, {_words('low')} AS words,
   CASE WHEN len(regexp_split_to_array(low, '(?m)^##\s')) > 1 THEN regexp_split_to_array(low, '(?m)^##\s')[1] ELSE substring(low, 1, 500) END AS intro FROM a0)"""
 
@@ -253,8 +254,9 @@ def _validated() -> str:
         "n_forbidden": _sum([_any("low", [p]) for p in T.FORBIDDEN]), "n_missing": _sum(["NOT " + _any("low", [e]) for e in ENTITIES]), "n_facts_missing": _sum(["NOT " + _any("body", [f]) for f in T.HARD_FACTS]),
         "n_uniform": "len(list_filter(range(1, len(c) - 2), lambda i: c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] = c[i + 3]))", "n_lists": "len(list_filter(range(1, len(it) + 1), lambda i: it[i] AND (i = 1 OR NOT it[i - 1])))",
         "n_bold": f"len({bold})", "n_openers": f"len(list_filter(sents, lambda s: {starts}))", "n_chars": f"length(body) - length(translate(body, '{CHARS}', ''))",
+        "n_banned": _sum([_any("low", [p]) for p in T.BANNED]), "n_sections_without": rf"len(list_filter(regexp_split_to_array(low, '<h2|##\s')[2:], lambda s: NOT contains(s, '{T.KEYWORD}')))",
     }
-    return f"WITH {_ART} SELECT *, GREATEST(0, 100 - (5 * n_forbidden + 3 * n_missing + 2 * n_facts_missing + 2 * n_uniform + 2 * n_bold + 2 * n_openers + n_chars + 3 * GREATEST(0, n_lists - 3)))::BIGINT AS score FROM (SELECT doc_id, {', '.join(f'{x} AS {k}' for k, x in counts.items())} FROM ({inner}))"
+    return f"WITH {_ART} SELECT *, GREATEST(0, 100 - (5 * n_forbidden + 3 * n_missing + 2 * n_facts_missing + 2 * n_uniform + 2 * n_bold + 2 * n_openers + n_chars + 2 * n_banned + 3 * n_sections_without + 3 * GREATEST(0, n_lists - 3)))::BIGINT AS score FROM (SELECT doc_id, {', '.join(f'{x} AS {k}' for k, x in counts.items())} FROM ({inner}))"
 
 
 def _issues() -> str:
@@ -267,7 +269,7 @@ def _issues() -> str:
 
 
 def _brands() -> str:
-    return rf"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(COALESCE(text, ''), '[.!?]+\s+')) AS s FROM documents), w AS (SELECT doc_id, regexp_extract_all(s, '\p{{L}}+') AS w FROM s),
+    return rf"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(COALESCE(text, ''), '[.!?]+\s+')) AS s FROM (SELECT doc_id, {t.ARTICLE_SQL} AS text FROM documents)), w AS (SELECT doc_id, regexp_extract_all(s, '\p{{L}}+') AS w FROM s),
 j AS (SELECT doc_id, unnest(list_transform(list_filter(range(2, len(w) + 1), lambda i: regexp_matches(w[i], '^\p{{Lu}}\p{{Ll}}\p{{L}}{{3,}}$')), lambda i: CASE WHEN i < len(w) AND regexp_matches(w[i + 1], '^\p{{Lu}}\p{{L}}*$') THEN w[i] || ' ' || w[i + 1] ELSE w[i] END)) AS brand FROM w)
 SELECT doc_id, brand, count(*) AS n FROM j WHERE lower(brand) <> 'license' GROUP BY ALL"""
 
@@ -299,13 +301,13 @@ u AS (SELECT doc_id, substring(v, 1, 5) AS s FROM r WHERE k <= 10 UNION SELECT d
 SELECT doc_id, COALESCE(m, 0) AS naming_stems, {_grade('COALESCE(m, 0) <= 3', 'COALESCE(m, 0) <= 5')} AS naming_status FROM art LEFT JOIN n USING (doc_id)"""
 
 
-_BOLD = r"SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(?m)^#.*$', '', 'g'), '\*\*[^*\n]+\*\*|<strong>[^<]*</strong>')) AS span FROM documents"
+_BOLD = rf"SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(?m)^#.*$', '', 'g'), '\*\*[^*\n]+\*\*|<strong>[^<]*</strong>')) AS span FROM (SELECT doc_id, {t.ARTICLE_SQL} AS text FROM documents)"
 _AFTER = r"regexp_replace(body, '(?m)^.*[|•].*$|^\s*[-*].*$', '', 'g')"
 TWINS = {
     "j6_fact_coverage": f"WITH {_ART} {_facts()}",
     "j10_brand_candidates": _brands(),
-    "j11_meta_comments": " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '(?i).{{0,30}}(?:{p}).{{0,30}}')) AS context FROM documents" for p in [*T.META, "licen[cs]e"]),
-    "j12_keyword_density": r"WITH p AS (SELECT doc_id, regexp_split_to_array(lower(text), '(?m)^#{1,6}\s') AS p FROM documents), s AS (SELECT doc_id, unnest(range(len(p))) AS section, unnest(p) AS s FROM p), n AS (SELECT doc_id, section, (length(s) - length(replace(s, 'the', ''))) // 3 AS n FROM s) SELECT * FROM n WHERE n > 2",
+    "j11_meta_comments": " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '(?i).{{0,30}}(?:{p}).{{0,30}}')) AS context FROM (SELECT doc_id, {t.ARTICLE_SQL} AS text FROM documents)" for p in [*T.META, "licen[cs]e"]),
+    "j12_keyword_density": rf"WITH p AS (SELECT doc_id, regexp_split_to_array(lower({t.ARTICLE_SQL}), '(?m)^#{{1,6}}\s') AS p FROM documents), s AS (SELECT doc_id, unnest(range(len(p))) AS section, unnest(p) AS s FROM p), n AS (SELECT doc_id, section, (length(s) - length(replace(s, 'the', ''))) // 3 AS n FROM s) SELECT * FROM n WHERE n > 2",
     "j13_bold_in_prose": _BOLD,
     "j14_validate": _validated(),
     "j16_structure_issues": _issues(),

@@ -101,12 +101,28 @@ def a2_flatten_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.flatten_payload(t.table(spark, sf_dir, "events"))
 
 
+def a2_flatten_serp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a search payload: answers are results, questions are questions, the first turn the answer box, the second the overview."""
+    turn = F.struct("turn", "role", "text")
+    rows = t.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("x"))
+    of = lambda role: F.filter("x", lambda r: r["role"] == role)
+    text = lambda k: F.get("x", F.lit(k))["text"]
+    payload = F.to_json(F.struct(
+        F.transform(of("assistant"), lambda r: F.struct(F.substring(r["text"], 1, 40).alias("title"), r["text"].alias("snippet"))).alias("organic_results"),
+        F.transform(of("user"), lambda r: F.struct(r["text"].alias("question"))).alias("related_questions"),
+        F.struct(F.substring(text(0), 1, 10).alias("title"), text(0).alias("snippet")).alias("answer_box"),
+        F.struct(text(1).alias("text")).alias("ai_overview"),
+        F.transform("x", lambda r: F.struct(F.substring(r["text"], 1, 20).alias("query"))).alias("related_searches"),
+    ))
+    return gaps.flatten_serp(rows.select(F.col("conv_id").cast("string").alias("topic_id"), payload.alias("payload"))).select("topic_id", "kind", "pos", F.md5("text").alias("text"), F.md5(F.coalesce("answer", F.lit(""))).alias("answer"))
+
+
 def a7_competitor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = t.table(spark, sf_dir, "pages").withColumn("topic_id", F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})(?:/|$)", 1))
     return t.long(gaps.competitor_table(pages), "rank")
 
 
-QUERIES = [h1_gap_unanswered, h2_gap_subtopic, h4_merge_gaps, h7_semantic_gaps, h12_topic_class, g4_normalise_facts, g6_triplet_quality, g7_key_triplet, e6_heading_plan, i4_rank_issues, i10_fallback_variants, l2_sequence_hits, b3_crosscheck_lines, b10_best_text, a2_flatten_payload, a7_competitor_table]
+QUERIES = [h1_gap_unanswered, h2_gap_subtopic, h4_merge_gaps, h7_semantic_gaps, h12_topic_class, g4_normalise_facts, g6_triplet_quality, g7_key_triplet, e6_heading_plan, i4_rank_issues, i10_fallback_variants, l2_sequence_hits, b3_crosscheck_lines, b10_best_text, a2_flatten_payload, a2_flatten_serp, a7_competitor_table]
 
 
 def _content(x: str) -> str:
@@ -147,7 +163,11 @@ TWINS = {
     "h1_gap_unanswered": f"WITH {_OPEN} SELECT * FROM gap",
     "h2_gap_subtopic": f"WITH {_ASKED} SELECT topic_id, id FROM bare WHERE length(question) >= 5 AND array_to_string(words, ' ') <> 'license open'",
     "h4_merge_gaps": f"WITH {_OPEN}, m AS (SELECT g.topic_id, g.id, priority, array_to_string(words[1:3], ' ') AS norm FROM gap g JOIN bare b USING (topic_id, id)), d AS (SELECT *, row_number() OVER (PARTITION BY topic_id, norm ORDER BY priority, id) AS k FROM m), r AS (SELECT topic_id, id, priority, row_number() OVER (PARTITION BY topic_id ORDER BY priority, id) AS rank FROM d WHERE k = 1) SELECT * FROM r WHERE rank <= 15",
-    "h7_semantic_gaps": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), key AS (SELECT label, embedding AS key FROM k WHERE k = 1), c AS (SELECT k.label, vec_id, embedding AS e, list_cosine_similarity(embedding::DOUBLE[], key::DOUBLE[]) AS sim FROM k JOIN key ON k.label = key.label WHERE k.k BETWEEN 2 AND 21), o AS (SELECT label, embedding FROM k WHERE k > 21), v AS (SELECT c.vec_id, avg(CASE WHEN list_cosine_similarity(c.e::DOUBLE[], o.embedding::DOUBLE[]) > 0.55 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cov FROM c JOIN o ON c.label = o.label GROUP BY 1), s AS (SELECT label, vec_id, sim, COALESCE(cov, 0.5::DOUBLE) AS coverage, sim * (1 - COALESCE(cov, 0.5::DOUBLE)) AS score FROM c LEFT JOIN v USING (vec_id)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.15) SELECT label, vec_id, round(sim, 6) AS sim, round(coverage, 6) AS coverage, round(score, 6) AS score, CASE WHEN coverage < 0.25 AND sim > 0.5 THEN 'high' WHEN coverage < 0.5 AND sim > 0.4 THEN 'medium' ELSE 'low' END AS priority, rank FROM r WHERE rank <= 15",
+    "h7_semantic_gaps": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), key AS (SELECT label, embedding AS key FROM k WHERE k = 1), r AS (SELECT k.label, vec_id, embedding::DOUBLE[] AS e, list_cosine_similarity(embedding::DOUBLE[], key::DOUBLE[]) AS sim FROM k JOIN key ON k.label = key.label WHERE k.k > 1), "
+    "v AS (SELECT a.label, a.vec_id, avg(CASE WHEN list_cosine_similarity(a.e, b.e) > 0.55 THEN 1.0 ELSE 0.0 END) AS cov FROM r a JOIN r b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.sim >= 0.15 GROUP BY ALL), s AS (SELECT r.label, r.vec_id, sim, COALESCE(cov, 0.5) AS coverage, sim * (1 - COALESCE(cov, 0.5)) AS score FROM r LEFT JOIN v ON v.label = r.label AND v.vec_id = r.vec_id WHERE sim >= 0.15), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.15) SELECT label, vec_id, round(sim, 6) AS sim, round(coverage, 6) AS coverage, round(score, 6) AS score, CASE WHEN coverage < 0.25 AND sim > 0.5 THEN 'high' WHEN coverage < 0.5 AND sim > 0.4 THEN 'medium' ELSE 'low' END AS priority, rank FROM n WHERE rank <= 15",
+    "a2_flatten_serp": "WITH c AS (SELECT conv_id::VARCHAR AS topic_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, role, text) - 1 AS j FROM conversations), s AS (SELECT topic_id, 'result' AS kind, j AS pos, substring(text, 1, 40) AS text, text AS answer FROM c WHERE role = 'assistant' UNION ALL SELECT topic_id, 'question', j, text, NULL FROM c WHERE role = 'user' "
+    "UNION ALL SELECT topic_id, 'query', i, substring(text, 1, 20), NULL FROM c WHERE i < 10 UNION ALL SELECT topic_id, 'answer', 0, substring(text, 1, 10), substring(text, 1, 1000) FROM c WHERE i = 0 UNION ALL SELECT topic_id, 'overview', 0, substring(text, 1, 2000), NULL FROM c WHERE i = 1) SELECT topic_id, kind, pos, md5(text) AS text, md5(COALESCE(answer, '')) AS answer FROM s WHERE text <> ''",
     "h12_topic_class": _classes(),
     "g4_normalise_facts": f"WITH {_FACTS} SELECT * FROM facts",
     "g6_triplet_quality": f"WITH {_FACTS} SELECT topic_id, count(*) AS n FROM facts WHERE NOT regexp_matches(lower(subject) || ' ' || lower(object), 'shop|the ') GROUP BY 1",

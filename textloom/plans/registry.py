@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, LEXICON, PHRASES, SCRIPTS, SHOP, STOP
+from textloom.functions.lists import BANNED, BUDGETS, CSS, ENTITIES, FACTS, LEXICON, PART_ENTITIES, PHRASES, SCRIPTS, SHOP, STOP, STYLE_STOP, WEIGHTED
+from textloom.operators.terms import quality_reason
 from textloom.operators import checks, entities, facts, grams, headings, text, vectors
-from textloom.plans import articles, gaps, salience, stored, terms
-from textloom.plans.tables import docs as _docs, headings as _headings, long as _long, mentions as _mentions, all_grams as _all_grams, table as _table, topics as _topics, weighted as _weighted
+from textloom.plans import articles, editing, gaps, salience, sections, stored, terms
+from textloom.plans.tables import docs as _docs, headings as _headings, long as _long, mentions as _mentions, articles as _articles, all_grams as _all_grams, table as _table, topics as _topics, weighted as _weighted
 from textloom.plans.twins import TWINS
 from textloom.streaming import budgets
 
@@ -90,7 +91,7 @@ def d9_extended_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d13_repeated_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grams.repeated_trigrams(_docs(spark, sf_dir))
+    return grams.repeated_trigrams(_docs(spark, sf_dir), STOP)
 
 
 def j2_phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +115,11 @@ def j7_uniform_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j8_list_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.list_groups(_docs(spark, sf_dir))
+    return checks.list_groups(_articles(spark, sf_dir))
 
 
 def j15_style_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.style_score(_docs(spark, sf_dir), PHRASES, "%$#|")
+    return checks.style_score(_articles(spark, sf_dir), PHRASES, ["the ", "de "], BANNED, "%$#|", STYLE_STOP)
 
 
 def h6_keyword_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +136,7 @@ def b9_strip_css(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d16_keyphrase_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grams.keyphrase_priority(_weighted(spark, sf_dir)).select("topic_id", "rank", "gram", "priority", "weight")
+    rows = grams.keyphrase_priority(_weighted(spark, sf_dir), quality_reason(F.col("gram"), STOP, terms.CSS_WORDS, SHOP, terms.NAV)).select("topic_id", "rank", "gram", "priority", "weight")
     return _long(rows, "rank", "priority")
 
 
@@ -187,11 +188,16 @@ def j1_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j9_foreign_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.foreign_scripts(_docs(spark, sf_dir), SCRIPTS)
+    """Some letters are written in other scripts, which the given texts lack."""
+    return checks.foreign_scripts(_docs(spark, sf_dir).withColumn("text", F.translate("text", "zjqx", "жй中م")), SCRIPTS)
 
 
 def j17_gram_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.gram_coverage(_docs(spark, sf_dir), BUDGETS)
+    return checks.gram_coverage(_docs(spark, sf_dir), WEIGHTED)
+
+
+def j17_gram_coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.gram_coverage(_docs(spark, sf_dir), WEIGHTED, strict=False)
 
 
 def l3_budgets_from_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,16 +210,16 @@ def k1_budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k2_check_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budgets.check_parts(_table(spark, sf_dir, "conversations"), PHRASES, "%$#|", ["conv_id", "turn"])
+    return budgets.check_parts(_table(spark, sf_dir, "conversations"), PHRASES, "%$#|", ["conv_id", "turn"], PART_ENTITIES, "is")
 
 
 QUERIES = [a3_filter_urls, a4_admit_sources, a6_with_domain, a10_strip_markup, b1_html_headings, b2_html_main_text, b4_strip_artifacts, b5_line_features, b7_clean_lines, b8_finish_text, d1_tokens, d4_gram_stats, d4_gram_displays, d7_weight_grams, d8_top_grams, d9_extended_terms, d13_repeated_trigrams, h6_keyword_cosine, j2_phrase_hits, j3_opener_hits, j4_char_hits, j5_entity_coverage, j7_uniform_paragraphs, j8_list_groups, j15_style_score]
-QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_headings, e2_heading_support, e5_topical_coverage, f1_match_entities, f2_entity_stats, f13_cooccurrence, g1_bundle_texts, h10_target_length, h11_hard_facts, h14_dedup_records, j1_sentences, j9_foreign_scripts, j17_gram_coverage, l3_budgets_from_grams, k1_budget_batches, k2_check_parts]
+QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_headings, e2_heading_support, e5_topical_coverage, f1_match_entities, f2_entity_stats, f13_cooccurrence, g1_bundle_texts, h10_target_length, h11_hard_facts, h14_dedup_records, j1_sentences, j9_foreign_scripts, j17_gram_coverage, j17_gram_coverage_audit, l3_budgets_from_grams, k1_budget_batches, k2_check_parts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES + articles.QUERIES + terms.QUERIES + gaps.QUERIES + stored.QUERIES + salience.QUERIES}
+    return {q.__name__: q for q in QUERIES + articles.QUERIES + terms.QUERIES + gaps.QUERIES + stored.QUERIES + salience.QUERIES + sections.QUERIES + editing.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return TWINS | articles.TWINS | terms.TWINS | gaps.TWINS | stored.TWINS | salience.TWINS
+    return TWINS | articles.TWINS | terms.TWINS | gaps.TWINS | stored.TWINS | salience.TWINS | sections.TWINS | editing.TWINS

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ def a1_read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a8_upsert_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all topics are stored in the shared folder, those of ``en`` replaced by others, and all read back."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/topics-{uuid.uuid4().hex}"
+    path = f"{t.shared_folder(spark)}/topics-{uuid.uuid4().hex}"
     rows = a1_read_sources(spark, sf_dir).select("topic_id", "source", "n")
     pages.upsert_topics(rows, path)
     pages.upsert_topics(rows.filter("topic_id = 'en'").withColumn("n", F.col("n") * 2), path)

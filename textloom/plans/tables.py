@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,28 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)``: documents as markdown, which the tables lack.
+
+    The first line is the title, lines of up to three words are headings, those of up to six list items, and every third other line ends a paragraph.
+    """
+    n = lambda x: F.size(F.split(x, " "))
+    shaped = lambda x, i: F.when(i == 0, F.concat(F.lit("# "), x)).when(n(x) <= 3, F.concat(F.lit("## "), x)).when(n(x) <= 6, F.concat(F.lit("- "), x)).when(i % 3 == 2, F.concat(x, F.lit("\n"))).otherwise(x)
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), shaped), "\n").alias("text"))
+
+
+#: The same as a DuckDB expression on ``text``.
+ARTICLE_SQL = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i = 1 THEN '# ' || x WHEN len(string_split(x, ' ')) <= 3 THEN '## ' || x WHEN len(string_split(x, ' ')) <= 6 THEN '- ' || x WHEN (i - 1) % 3 = 2 THEN x || chr(10) ELSE x END), chr(10))"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only for a local session that names none."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="textloom-")
+
+
 def long(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 

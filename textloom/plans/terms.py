@@ -187,6 +187,7 @@ TWINS = {
     "d6_filter_grams": f"WITH {_WEIGHT} SELECT topic_id, gram, freq, sources, in_signals FROM weighted",
     "d10_clean_grams": rf"WITH {_WEIGHT}, q AS (SELECT *, string_split(gram, ' ') AS w FROM weighted) SELECT topic_id, gram, weight FROM q WHERE NOT (list_has_any(w, {_quoted(CSS_WORDS)}) OR list_contains({_quoted(GENERIC)}, gram) OR length(gram) < 4 OR regexp_matches(gram, '[{{}}<>|\\@#$^*=~]|https?://|www\.|^[\d\s]+$') OR len(list_filter(w, lambda v: NOT list_contains({_LIST}, v))) = 0 OR (NOT list_contains(w, 'the') AND (weight < 0.05 OR freq < 2)) OR (sources = 1 AND freq_min >= 20) OR (sources <= 2 AND freq_min = freq_max AND freq_min >= 15))",
     "d11_gram_quality": f"WITH {_WEIGHT}, r AS ({_reason('gram', 'weighted', 'topic_id, gram')}) SELECT * FROM r WHERE reason IS NOT NULL",
+    "d16_keyphrase_priority": f"WITH {_WEIGHT}, r AS ({_reason('gram', 'weighted', 'topic_id, gram, weight, freq_max')}), p AS (SELECT topic_id, gram, weight, CASE WHEN weight >= 0.5 THEN 1 WHEN weight >= 0.3 THEN 2 ELSE 3 END::BIGINT AS priority FROM r WHERE freq_max > 0 AND reason IS NULL), k AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY priority, weight DESC, gram) AS rank FROM p) SELECT topic_id, rank, gram, priority, weight FROM k WHERE rank <= 30",
     "d12_drop_flagged": f"WITH {_WEIGHT}, {_BENCH} SELECT topic_id, count(*) AS n_before, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM bp WHERE term = gram)) AS n_after FROM weighted GROUP BY 1",
     "d14_theme_importance": rf"WITH {_TOP}, {_HEADS.strip().replace('f AS', 'hf AS', 1).replace('FROM f)', 'FROM hf)')}, x AS (SELECT topic_id, 0 AS h, lower(gram) AS s FROM top UNION ALL SELECT topic_id, 1, lower(heading) FROM heads), w AS (SELECT topic_id, h, unnest(regexp_extract_all(s, '\p{{L}}{{3,}}')) AS theme FROM x), n AS (SELECT topic_id, h, theme, count(*) AS n FROM w GROUP BY ALL), c AS (SELECT topic_id, theme, row_number() OVER (PARTITION BY topic_id, h ORDER BY n DESC, theme) AS k FROM n), th AS (SELECT DISTINCT topic_id, theme FROM c WHERE k <= 10) SELECT topic_id, theme, sum(h)::BIGINT AS n_headings, sum(1 - h)::BIGINT AS n_grams FROM th JOIN x USING (topic_id) WHERE contains(s, theme) GROUP BY ALL",
     "d15_term_set_coverage": f"WITH {_WEIGHT}, {_BENCH} SELECT term, term IN (SELECT gram FROM weighted) AS covered FROM bp",

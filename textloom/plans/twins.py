@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.functions.lists import BUDGETS, CSS, ENTITIES, FACTS, LEXICON, PHRASES, SCRIPTS, SHOP, STOP
+from textloom.functions.lists import BANNED, BUDGETS, CSS, ENTITIES, FACTS, LEXICON, PART_ENTITIES, PHRASES, SCRIPTS, SHOP, STOP, STYLE_STOP, WEIGHTED
 from textloom.operators.text import CHROME, COOKIES, ROLES
-from textloom.plans.tables import KEYWORDS
+from textloom.plans.tables import ARTICLE_SQL, KEYWORDS
 
 _LIST = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 _GRAMS = r"""
@@ -60,6 +60,17 @@ def _artifacts(x: str) -> str:
     return x
 
 
+def _style() -> str:
+    uses = lambda phrases: " + ".join(_COUNT.format(p).replace("lower(text)", "low") for p in phrases)
+    chars = " + ".join(f"LEAST(10, length(body) - length(replace(body, '{c}', '')))" for c in "%$#|")
+    opens = " OR ".join(f"starts_with(trim(s, ' '), '{o}')" for o in ("the ", "de "))
+    return rf"""WITH b AS (SELECT doc_id, {ARTICLE_SQL} AS body FROM documents), l AS (SELECT *, lower(body) AS low FROM b), s AS (SELECT *, list_filter(string_split(regexp_replace(low, '([.!?])\s+', '\1' || chr(10) || chr(10) || chr(10), 'g'), chr(10) || chr(10) || chr(10)), lambda s: trim(s, ' ') <> '') AS sents FROM l),
+w AS (SELECT *, list_transform(sents, lambda s: regexp_split_to_array(trim(s, ' '), '\s+')[1]) AS starts, list_filter(list_transform(sents, lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> ''))), lambda n: n > 2) AS lens, list_transform(list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda p: trim(p, ' ')), lambda p: p <> '' AND NOT starts_with(p, '#')), lambda p: len(list_filter(regexp_split_to_array(p, '[.!?]+\s+'), lambda s: trim(s, ' ') <> ''))) AS c FROM s),
+n AS (SELECT doc_id, ({uses(PHRASES)})::BIGINT AS n_forbidden, len(list_filter(sents, lambda s: {opens})) AS n_openers, ({uses(BANNED)})::BIGINT AS n_banned, ({chars})::BIGINT AS n_chars, len(list_filter(list_distinct(starts), lambda x: NOT list_contains({STYLE_STOP!r}, x) AND len(list_filter(starts, lambda y: y = x)) > 3)) AS n_starts, len(list_filter(range(1, len(c) - 2), lambda i: c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] = c[i + 3])) > 0 AS even,
+CASE WHEN len(lens) >= 5 THEN round(list_stddev_pop(lens), 6) END AS spread, len(regexp_extract_all(body, '(?m)^\s*[-•*]\s+')) AS n_items, len(regexp_extract_all(body, '\*\*[^*]+\*\*')) AS n_bold, length(body) - length(replace(body, chr(39), '')) AS n_quotes FROM w),
+z AS (SELECT *, GREATEST(0, 100 - (5 * n_forbidden + 4 * n_openers + 3 * n_banned + 2 * n_chars + 2 * n_starts + CASE WHEN even THEN 3 ELSE 0 END + CASE WHEN spread < 3.0 THEN 3 ELSE 0 END + CASE WHEN n_items > 12 THEN 5 ELSE 0 END + CASE WHEN n_bold > 3 THEN 3 ELSE 0 END + CASE WHEN n_quotes > 2 THEN 2 ELSE 0 END))::BIGINT AS score FROM n) SELECT *, CASE WHEN score >= 80 THEN 'HIGH' WHEN score >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS class FROM z"""
+
+
 TWINS = {
     "a3_filter_urls": r"SELECT page_id, url FROM pages WHERE NOT (contains(lower(url), 'utm_source') OR contains(lower(url), 'blog.') OR regexp_matches(lower(url), '\.(pdf|doc|docx|xls|xlsx)$'))",
     "a4_admit_sources": rf"WITH {_GRAMS}, sized AS (SELECT *, length(content) AS chars FROM src WHERE length(content) >= 500 AND len(regexp_extract_all(content, '(?m)^#{{1,6}}\s')) <= 15), run AS (SELECT *, COALESCE(sum(chars) OVER (PARTITION BY topic_id ORDER BY src_idx, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized) SELECT topic_id, src_idx, doc_id, chars, len({_WORDS.format('content')}) AS word_count FROM run WHERE before < 200000",
@@ -71,6 +82,9 @@ TWINS = {
     "b5_line_features": rf"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents), w AS (SELECT *, {_WORDS.format('line')} AS words FROM l),
 c AS (SELECT doc_id, pos, line, length(line) AS chars, len(words) AS n_words, len(list_filter(words, lambda x: list_contains({_LIST}, lower(x)))) / GREATEST(len(words), 1) AS density, len(list_filter(words, lambda x: regexp_matches(x, '^\p{{Lu}}'))) / GREATEST(len(words), 1) AS capital, regexp_matches(line, '[.!?]$') AS fin FROM w)
 SELECT doc_id, pos, chars, n_words, round(density, 6) AS density, round(capital, 6) AS capital, (chars < 5) OR (chars < 60 AND density < 0.15 AND NOT fin) OR (chars < 60 AND capital > 0.6 AND n_words <= 5) OR (n_words <= 3 AND density = 0 AND NOT fin) AS boilerplate FROM c""",
+    "b7_clean_lines": rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents), h AS (SELECT *, regexp_matches(line, '(?i)licen[cs]e|cookie|menu') AND length(line) < 150 AS hit FROM l),
+st AS (SELECT doc_id, -1::BIGINT AS pos, false AS skip, 0 AS n, '' AS line, false AS keep FROM (SELECT DISTINCT doc_id FROM h) UNION ALL SELECT h.doc_id, h.pos, CASE WHEN hit THEN true WHEN skip AND NOT ((n + 1 > 3 AND length(h.line) > 50) OR n + 1 > 8) THEN true ELSE false END, CASE WHEN hit THEN 0 WHEN skip THEN n + 1 ELSE 0 END, h.line, NOT hit AND NOT (skip AND NOT ((n + 1 > 3 AND length(h.line) > 50) OR n + 1 > 8)) FROM st JOIN h ON h.doc_id = st.doc_id AND h.pos = st.pos + 1)
+SELECT doc_id, COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '') AS text FROM st GROUP BY 1""",
     "b8_finish_text": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ')) AS digest FROM documents",
     "d1_tokens": f"WITH {_GRAMS} SELECT doc_id, len(words) AS n_tokens, md5(array_to_string(words, ' ')) AS digest FROM tok",
     "d4_gram_stats": f"WITH {_STATS} SELECT * FROM stats",
@@ -80,15 +94,15 @@ SELECT doc_id, pos, chars, n_words, round(density, 6) AS density, round(capital,
     "d7_weight_grams": f"WITH {_WEIGHT} SELECT topic_id, gram, freq, sources, in_signals, weight FROM weighted",
     "d8_top_grams": f"WITH {_WEIGHT} SELECT topic_id, rank, gram, freq, sources, freq_min, freq_median, freq_max, weight FROM topped WHERE rank <= 30",
     "d9_extended_terms": f"WITH {_WEIGHT}, rest AS (SELECT * EXCLUDE (rank) FROM topped WHERE rank > 30 AND n_sources >= 3 AND sources >= GREATEST(2, floor(0.3::DOUBLE * n_sources)) AND sources <= floor(0.8::DOUBLE * n_sources)), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY sources DESC, weight DESC, gram) AS rank FROM rest) SELECT topic_id, rank, gram, sources, weight FROM r WHERE rank <= 15",
-    "d13_repeated_trigrams": f"WITH w AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS words FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) AS gram FROM w WHERE len(words) > 5), c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS k FROM c) SELECT doc_id, gram, n FROM r WHERE k <= 10 AND n >= 4 AND length(gram) > 10",
+    "d13_repeated_trigrams": f"WITH w AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS words FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) AS gram FROM w WHERE len(words) > 5), c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS k FROM c) SELECT doc_id, gram, n FROM r WHERE k <= 10 AND n >= 4 AND length(gram) > 10 AND len(list_filter(string_split(gram, ' '), lambda w: NOT list_contains({_LIST}, w))) > 0",
     "h6_keyword_cosine": "WITH k AS (SELECT label, arg_min(embedding, vec_id) AS key FROM embeddings GROUP BY label) SELECT vec_id, e.label, round(list_cosine_similarity(embedding::DOUBLE[], key::DOUBLE[]), 6) AS sim FROM embeddings e JOIN k ON e.label = k.label",
     "j2_phrase_hits": "SELECT * FROM (" + " UNION ALL ".join(map(_phrase, PHRASES)) + ") WHERE n > 0",
     "j3_opener_hits": f"WITH {_SENT}, o AS (SELECT doc_id, CASE WHEN starts_with(lower(sentence), 'the ') THEN 'the ' WHEN starts_with(lower(sentence), 'de ') THEN 'de ' WHEN starts_with(lower(sentence), 'le ') THEN 'le ' END AS opener FROM sents) SELECT doc_id, opener, count(*) AS n FROM o WHERE opener IS NOT NULL GROUP BY ALL",
     "j4_char_hits": f"SELECT doc_id, {_BANNED} AS n FROM documents WHERE {_BANNED} > 0",
     "j5_entity_coverage": "WITH p AS (SELECT doc_id, contains(lower(text), 'license')::BIGINT + contains(lower(text), 'the')::BIGINT + contains(lower(text), 'idiot')::BIGINT AS n_present FROM documents) SELECT doc_id, n_present, 3 - n_present AS n_missing FROM p",
     "j7_uniform_paragraphs": r"WITH p AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS par FROM documents), c AS (SELECT doc_id, pos, len(list_filter(regexp_split_to_array(par, '[.!?]+'), lambda s: trim(s, ' ') <> '')) AS n FROM p WHERE trim(par, ' ') <> ''), l AS (SELECT *, lead(n, 1) OVER w AS n1, lead(n, 2) OVER w AS n2, lead(n, 3) OVER w AS n3 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos, n FROM l WHERE n = n1 AND n = n2 AND n = n3",
-    "j8_list_groups": r"WITH p AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, regexp_matches(unnest(string_split(text, chr(10))), '^\s*(?:[-*|]|\d+[.)])\s?') AS item FROM documents), b AS (SELECT *, lag(item, 1, false) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM p) SELECT doc_id, count(*) FILTER (WHERE item AND NOT before) AS groups, count(*) FILTER (WHERE item) AS items FROM b GROUP BY doc_id HAVING count(*) FILTER (WHERE item) > 0",
-    "j15_style_score": f"WITH {_SENT}, n AS (SELECT doc_id, len({_WORDS.format('sentence')}) AS n FROM sents), sp AS (SELECT doc_id, count(*) AS sents, round(stddev_pop(n), 6) AS spread FROM n WHERE n > 2 GROUP BY 1), r AS (SELECT doc_id, " + " + ".join(f"({_COUNT.format(p)} > 0)::BIGINT" for p in PHRASES) + f" AS n_phrases, {_BANNED} AS n_banned FROM documents), j AS (SELECT r.*, spread, GREATEST(0, 100 - 5 * n_phrases - 2 * LEAST(n_banned, 10) - CASE WHEN sents >= 5 AND spread < 3.0 THEN 3 ELSE 0 END)::BIGINT AS score FROM r LEFT JOIN sp USING (doc_id)) SELECT *, CASE WHEN score >= 80 THEN 'HIGH' WHEN score >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS class FROM j",
+    "j8_list_groups": rf"WITH p AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, regexp_matches(unnest(string_split(text, chr(10))), '^\s*(?:[-*|]|\d+[.)])\s?') AS item FROM (SELECT doc_id, {ARTICLE_SQL} AS text FROM documents)), b AS (SELECT *, lag(item, 1, false) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM p) SELECT doc_id, count(*) FILTER (WHERE item AND NOT before) AS groups, count(*) FILTER (WHERE item) AS items FROM b GROUP BY doc_id HAVING count(*) FILTER (WHERE item) > 0",
+    "j15_style_score": _style(),
 }
 
 _HEADS = r"""
@@ -118,9 +132,17 @@ def _clean_headings() -> str:
     )
 
 
-def _state(phrase: str, least: int, most: int) -> str:
-    n = _COUNT.format(phrase)
-    return f"CASE WHEN {n} = 0 AND {least} > 0 THEN 'missing' WHEN {n} < {least} THEN 'under' WHEN {n} > {most} THEN 'over' ELSE 'ok' END"
+def _coverage(strict: bool) -> str:
+    states = []
+    for p, least, most, w in WEIGHTED:
+        if len(p) < (4 if strict else 3):
+            continue
+        least, n = max(least, 1) if strict else least, _COUNT.format(p)
+        most = most if most is not None else 3 * max(least, 1) if strict else 99
+        states.append(f"{{'p': '{p}', 'w': {w}::DOUBLE, 'k': CASE WHEN {n} = 0 AND {least} > 0 THEN 'missing' WHEN {n} < {least} THEN 'under' WHEN {n} > {most} THEN 'over' ELSE 'ok' END}}")
+    counts = ", ".join(f"len(list_filter(s, lambda x: x.k = '{k}')) AS n_{k}" for k in ("missing", "under", "over", "ok"))
+    covered = "n_ok" if strict else "n_ok + n_under"
+    return f"WITH s AS (SELECT doc_id, [{', '.join(states)}] AS s FROM documents), c AS (SELECT doc_id, {counts}, array_to_string(list_transform(list_sort(list_transform(list_filter(s, lambda x: x.k = 'missing' AND x.w >= 0.3), lambda x: {{'w': -x.w, 'p': x.p}})), lambda x: x.p), ', ') AS important FROM s) SELECT *, round(100 * ({covered}) / {len(states)}, 2) AS coverage_pct FROM c"
 
 
 def _pairs() -> str:
@@ -131,7 +153,6 @@ _SHAPES = r"length(line) < 3 OR (length(line) < 30 AND regexp_matches(line, '[
 TWINS |= {
     "b6_flag_nav_lines": f"WITH b AS ({TWINS['b5_line_features']}), l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) SELECT doc_id, pos, boilerplate OR {_SHAPES} OR (n_words BETWEEN 1 AND 2 AND capital = 1) AS nav FROM b JOIN l USING (doc_id, pos)",
     "b9_strip_css": _css(),
-    "d16_keyphrase_priority": f"WITH {_WEIGHT}, p AS (SELECT topic_id, gram, weight, CASE WHEN weight >= 0.5 THEN 1 WHEN weight >= 0.3 THEN 2 ELSE 3 END::BIGINT AS priority FROM weighted WHERE freq_max > 0), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY priority, weight DESC, gram) AS rank FROM p) SELECT topic_id, rank, gram, priority, weight FROM r WHERE rank <= 30",
     "e1_clean_headings": _clean_headings(),
     "e2_heading_support": f"WITH {_HEADS}, {_NSRC}, c AS (SELECT topic_id, lower(heading) AS heading, count(DISTINCT src) AS sources FROM heads GROUP BY ALL), r AS (SELECT c.*, row_number() OVER (PARTITION BY topic_id ORDER BY sources DESC, heading) AS rank FROM c JOIN ns USING (topic_id) WHERE sources >= CASE WHEN n_sources <= 5 THEN 2 ELSE 3 END) SELECT * FROM r WHERE rank <= 40",
     "e5_topical_coverage": f"WITH {_HEADS}, {_NSRC}, c AS (SELECT topic_id, array_to_string(regexp_extract_all(lower(heading), '\\p{{L}}{{3,}}')[1:3], ' ') AS pattern, count(DISTINCT src) AS sources, min(heading) AS sample FROM heads WHERE length(heading) >= 5 GROUP BY ALL), "
@@ -145,12 +166,14 @@ TWINS |= {
     "h11_hard_facts": "WITH v AS (" + " UNION ALL ".join(f"SELECT lang, '{k}' AS kind, regexp_replace(unnest(regexp_extract_all(text, '{p}')), '\\s+', '', 'g') AS value FROM documents" for k, p in FACTS.items()) + "), c AS (SELECT lang, kind, value, count(*) AS n FROM v WHERE length(value) > 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, kind, value) AS rank FROM c) SELECT * FROM r WHERE rank <= 25",
     "h14_dedup_records": r"WITH s AS (SELECT conv_id, turn, upper(regexp_replace(text, '\s+', '', 'g')) AS s FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY conv_id, turn) AS k FROM s) SELECT conv_id, turn FROM r WHERE k = 1 OR s IS NULL OR s = ''",
     "j1_sentences": r"WITH p AS (SELECT doc_id, regexp_split_to_array(text, '[.!?]+\s+') AS a FROM documents), q AS (SELECT doc_id, unnest(range(len(a))) AS pos, trim(unnest(a), ' ') AS s FROM p) SELECT doc_id, pos, md5(s) AS digest FROM q WHERE s <> ''",
-    "j9_foreign_scripts": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS script, unnest(regexp_extract_all(text, '{p}')[1:{n}]) AS run FROM documents" for k, (p, n) in SCRIPTS.items()),
-    "j17_gram_coverage": "WITH s AS (SELECT doc_id, [" + ", ".join(_state(*b) for b in BUDGETS) + "] AS s FROM documents) SELECT doc_id, " + ", ".join(f"len(list_filter(s, lambda x: x = '{k}')) AS n_{k}" for k in ("missing", "under", "over", "ok")) + f", round(100 * len(list_filter(s, lambda x: x = 'ok')) / {len(BUDGETS)}, 2) AS coverage_pct FROM s",
+    "j9_foreign_scripts": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS script, unnest(regexp_extract_all(translate(text, 'zjqx', 'жй中م'), '{p}')[1:{n}]) AS run FROM documents" for k, (p, n) in SCRIPTS.items()),
+    "j17_gram_coverage": _coverage(True),
+    "j17_gram_coverage_audit": _coverage(False),
     "l3_budgets_from_grams": f"WITH {_WEIGHT} SELECT topic_id, gram, freq_min AS low, GREATEST(freq_max, 1) AS high FROM topped WHERE rank <= 30",
 }
 TWINS |= {
     "k1_budget_batches": "WITH u AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{p}' AS phrase, {a} AS low, {b} AS high, COALESCE({_COUNT.format(p)}, 0) AS used FROM conversations" for p, a, b in BUDGETS)
     + "), s AS (SELECT *, sum(used) OVER (PARTITION BY conv_id, phrase ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM u) SELECT conv_id, turn, phrase, used, CASE WHEN used > GREATEST(high - (spent - used), 0) THEN 'OVER' ELSE 'OK' END AS status, GREATEST(low - spent, 0) AS low_left, GREATEST(high - spent, 0) AS high_left FROM s",
-    "k2_check_parts": "WITH c AS (SELECT conv_id, turn, " + " + ".join(f"contains(lower(COALESCE(text, '')), '{p}')::BIGINT" for p in PHRASES) + f" AS n_phrases, COALESCE({_BANNED}, 0) AS n_chars FROM conversations) SELECT *, GREATEST(0, 100 - 5 * n_phrases - n_chars) AS score FROM c",
+    "k2_check_parts": "WITH b AS (SELECT conv_id, turn, COALESCE(text, '') AS text, lower(COALESCE(text, '')) AS low FROM conversations), c AS (SELECT conv_id, turn, " + " + ".join(f"contains(low, '{p}')::BIGINT" for p in PHRASES) + f" AS n_phrases, {_BANNED} AS n_chars, " + " + ".join(f"(NOT contains(low, '{e}'))::BIGINT" for e in PART_ENTITIES)
+    + " AS n_missing, NOT contains(low, 'is') AS main_missing FROM b) SELECT *, CASE WHEN n_phrases > 0 THEN 'high' WHEN n_missing > 0 THEN 'medium' WHEN main_missing OR n_chars > 0 THEN 'low' ELSE 'none' END AS severity, GREATEST(0, 100 - 5 * n_phrases - n_chars - 3 * n_missing - CASE WHEN main_missing THEN 3 ELSE 0 END) AS score FROM c",
 }

@@ -17,3 +17,8 @@ def read_sources(spark: SparkSession, path: str, fmt: str = "parquet", schema: s
 def upsert_topics(rows: DataFrame, path: str, key: str = "topic_id") -> None:
     """Write ``rows`` by topic; a topic among them replaces its former rows, the others stay as they are."""
     rows.write.partitionBy(key).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "topic_id"):
+    """The same for a stream: each micro-batch replaces the topics that it holds; returns the started query."""
+    return stream.writeStream.foreachBatch(lambda batch, _: upsert_topics(batch, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

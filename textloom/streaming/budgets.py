@@ -62,14 +62,17 @@ def budget_stream(texts: DataFrame, budgets: list[tuple[str, int, int]], topic:
     return rows.groupBy(topic, "phrase").applyInPandasWithState(step, schema, "spent long", "append", GroupStateTimeout.NoTimeout)
 
 
-def check_parts(texts: DataFrame, phrases: list[str], chars: str, keys: list[str], text: str = "text") -> DataFrame:
-    """``(keys, n_phrases, n_chars, score)`` of each text part: five points off per phrase, one per character, at least 0.
+def check_parts(texts: DataFrame, phrases: list[str], chars: str, keys: list[str], entities: list[str] = [], main: str = "", text: str = "text") -> DataFrame:
+    """``(keys, n_phrases, n_chars, n_missing, main_missing, severity, score)`` of each text part.
 
-    A projection only, so ``texts`` may be a table or a stream.
+    Five points off per forbidden phrase, three per missing entity and for a missing main entity, one per banned character, at
+    least 0; forbidden phrases are a high finding, missing entities a medium one. A projection only, so ``texts`` may be a table or a stream.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(body)
-    hits = sum([F.contains(low, F.lit(p.lower())).cast("long") for p in phrases], F.lit(0).cast("long"))
+    count = lambda flags: sum([f.cast("long") for f in flags], F.lit(0).cast("long"))
     banned = (F.length(body) - F.length(F.translate(body, chars, ""))).cast("long")
-    rows = texts.select(*keys, hits.alias("n_phrases"), banned.alias("n_chars"))
-    return rows.withColumn("score", F.greatest(F.lit(0).cast("long"), 100 - 5 * F.col("n_phrases") - F.col("n_chars")))
+    rows = texts.select(*keys, count([F.contains(low, F.lit(p.lower())) for p in phrases]).alias("n_phrases"), banned.alias("n_chars"), count([~F.contains(low, F.lit(e.lower())) for e in entities]).alias("n_missing"), (~F.contains(low, F.lit(main.lower()))).alias("main_missing"))
+    severity = F.when(F.col("n_phrases") > 0, "high").when(F.col("n_missing") > 0, "medium").when(F.col("main_missing") | (F.col("n_chars") > 0), "low").otherwise("none")
+    lost = 5 * F.col("n_phrases") + F.col("n_chars") + 3 * F.col("n_missing") + F.when(F.col("main_missing"), 3).otherwise(0)
+    return rows.withColumn("severity", severity).withColumn("score", F.greatest(F.lit(0).cast("long"), 100 - lost))
