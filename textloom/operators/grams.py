@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -20,13 +22,14 @@ def tokens(sources: DataFrame, limit: int | None = None, lexicon: DataFrame | No
 
 
 def ngrams(toks: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
-    """One row per n-gram; grams cross sentence marks but not documents."""
-
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("words") - (n - 1))
-        return F.when(F.size("words") >= n, F.transform(starts, lambda i: F.array_join(F.slice("words", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """One row per n-gram; grams cross sentence marks but not documents.
 
-    return toks.select("topic_id", "src_idx", F.explode(F.concat(*[of(n) for n in range(low, high + 1)])).alias("gram"))
+    Each word meets its followers as columns of one row, so grams are joined in generated code, not in array functions.
+    """
+    follow = [F.slice("words", k + 1, 1 << 30).alias(f"w{k}") for k in range(high)]
+    rows = toks.filter(F.size("words") >= low).select("topic_id", "src_idx", F.explode(F.arrays_zip(*follow)).alias("w")).select("topic_id", "src_idx", "w.*")
+    joined = [reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.col(f"w{k}") for k in range(n)]) for n in range(low, high + 1)]  # null past the end
+    return rows.select("topic_id", "src_idx", F.explode(F.array(*joined)).alias("gram")).filter("gram IS NOT NULL")
 
 
 def lemma_grams(toks: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
@@ -44,8 +47,11 @@ def gram_displays(grams: DataFrame) -> DataFrame:
 
 
 def source_counts(grams: DataFrame) -> DataFrame:
-    """``(topic_id, gram, src_idx, n)``; search signals are the source null."""
-    return grams.groupBy("topic_id", "gram", "src_idx").agg(F.count(F.lit(1)).alias("n"))
+    """``(topic_id, gram, src_idx, n)``; search signals are the source null.
+
+    Rows without topic are left out here already, so that all that is built on these counts shares one shuffle.
+    """
+    return grams.filter("topic_id IS NOT NULL AND gram IS NOT NULL").groupBy("topic_id", "gram", "src_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gram_counts(per: DataFrame, *more: Column) -> DataFrame:
