@@ -161,7 +161,7 @@ class Tagger:
     def score(self, prob: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(prob) @ self.score_weights, -30, 30))))
 
-    def fit(self, texts: list[str | None], toxic: list[int], epochs: int = 60, lift: float = 20.0, evidence: float = 24.0) -> Tagger:
+    def fit(self, texts: list[str | None], toxic: list[int], epochs: int = 60, lift: float = 20.0, evidence: float = 12.0) -> Tagger:
         number: dict[bytes, int] = {}
         docs = []
         for t in texts:
