@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.operators import gaps
@@ -49,3 +50,33 @@ def test_issue_order_and_skips(spark):
     rows = spark.createDataFrame([(1, "bad then wrong and ugly"), (2, None)], "doc_id int, text string")
     got = gaps.rank_issues(rows, [("ugly", "style"), ("wrong", "grammar"), ("bad", "style"), ("then", "style")], {"grammar": 1, "style": 2}, ["then"]).collect()
     assert [(r.rank, r.rule, r.place) for r in got] == [(1, "wrong", 9), (2, "bad", 0), (3, "ugly", 19)]
+
+
+def test_semantic_gaps_equal_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 6)) + np.array([1.0, 0, 0, 0, 0, 0])
+    rows = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(x)] + [(999, [1.0] * 6, 7)]
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    want = {}
+    for y in range(3):
+        ids = [i for i, _, k in rows if k == y]
+        scored = []
+        for i in ids[1:]:
+            sim = cos(x[i], x[ids[0]])
+            others = [cos(x[i], x[j]) > 0.55 for j in ids[1:] if j != i]
+            score = sim * (1 - sum(others) / len(others))
+            if sim >= 0.15 and score >= 0.15:
+                scored.append((-round(score, 9), i))
+        want[y] = [i for _, i in sorted(scored)[:5]]
+    for block in (4, 7, 64):
+        got = {}
+        for r in gaps.semantic_gaps(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int"), limit=5, block=block).orderBy("label", "rank").collect():
+            got.setdefault(r.label, []).append(r.vec_id)
+        assert got == {y: ids for y, ids in want.items() if ids}
+
+
+def test_search_payloads(spark):
+    full = '{"organic_results": [{"title": "T", "snippet": "S", "link": "L"}, {"snippet": "no title"}], "related_questions": [{"question": "Q?", "snippet": "A"}], "answer_box": {"title": "B", "snippet": "box"}, "ai_overview": {"text": "", "snippet": "over", "sources": [{"link": "x"}, {"link": "y"}]}, "related_searches": [{"query": "q1"}, {"query": ""}, {"query": "q2"}]}'
+    rows = spark.createDataFrame([("a", full), ("b", '{"related_questions": []}'), ("c", "no json"), ("d", None)], "topic_id string, payload string")
+    got = sorted((r.topic_id, r.kind, r.pos, r.text, r.answer, r.link) for r in gaps.flatten_serp(rows).collect())
+    assert got == [("a", "answer", 0, "B", "box", None), ("a", "overview", 0, "over", None, "x y"), ("a", "query", 0, "q1", None, None), ("a", "query", 1, "q2", None, None), ("a", "question", 0, "Q?", "A", None), ("a", "result", 0, "T", "S", "L")]

@@ -99,3 +99,49 @@ def test_headings(spark):
 def test_pairs_in_one_sentence(spark):
     frame = spark.createDataFrame([("t", "Ann met Bob"), ("t", "bob and ann"), ("t", "ann alone")], "topic_id string, sentence string")
     assert [tuple(r) for r in entities.cooccurrence(frame, ["Bob", "Ann", "Cy"]).collect()] == [("t", "ann", "bob", 2, 0.12, 1)]
+
+
+def test_long_scan_equals_a_fold(spark):
+    import random
+    import re
+
+    rng = random.Random(1)
+    texts = ["\n".join(rng.choice(["menu bar", "short", "x" * 60, "menu " + "y" * 200, ""]) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+
+    def fold(lines):
+        skip, n, out = False, 0, []
+        for line in lines:
+            if re.search("menu", line) and len(line) < 150:
+                skip, n = True, 0
+            elif skip and not ((n + 1 > 3 and len(line) > 50) or n + 1 > 8):
+                n += 1
+            else:
+                skip, n = False, 0
+                out.append(line)
+        return "\n".join(out)
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.text for r in text.clean_lines(frame, "menu").collect()}
+    assert got == {i: fold(t.split("\n")) for i, t in enumerate(texts)}
+
+
+def test_grams_of_signals_keywords_and_lemmas(spark):
+    rows = [("t", s, "g h") for s in "aabbc"] + [("t", None, "g h"), ("t", None, "only signal"), ("t", "a", "rare one"), ("t", "a", "lone gram")] + [("t", "a", "lone gram")] * 19 + [("t", s, "key word") for s in "abc"]
+    topics = spark.createDataFrame([("t", 3, "key")], "topic_id string, n_sources long, keyword string")
+    stats = grams.gram_stats(spark.createDataFrame(rows, "topic_id string, src_idx string, gram string"))
+    got = {r.gram: (r.freq, r.freq_total, r.sources, r.in_signals, r.freq_min, r.freq_median, r.freq_max) for r in stats.collect()}
+    assert got["g h"] == (5, 6, 3, True, 1, 2, 2) and got["only signal"] == (0, 1, 0, True, 1, 1, 1)
+    kept = {r.gram: r.weight for r in grams.weight_grams(stats, topics).collect()}
+    assert kept == {"g h": round(0.5 * 5 / 20 + 0.5 + 0.08, 4), "only signal": 0.08, "key word": round(round(0.5 * 3 / 20 + 0.5, 4) + 0.1, 4)}
+    sources = spark.createDataFrame([("t", "a", 1, "Cats run cat run cats run"), ("t", "b", 2, "one")], "topic_id string, src_idx string, doc_id int, content string")
+    forms = grams.lemma_grams(grams.tokens(sources, lexicon=spark.createDataFrame([("cats", "cat")], "surface string, lemma string")), 2, 3)
+    shown = {r.gram: (r.display, r.freq) for r in grams.gram_displays(forms).collect()}
+    assert shown == {"cat run": ("cats run", 3), "run cat": ("run cat", 2), "cat run cat": ("cat run cats", 2), "run cat run": ("run cat run", 2)}
+
+
+def test_chrome_by_role_and_class(spark):
+    html = '<div role=banner>a</div><div class="x cookie-bar">b</div><section id="menu-top">c</section><p class="text">kept</p><div role="main">also</div>'
+    frame = spark.createDataFrame([(html,), (None,)], "h string")
+    assert [r[0] for r in frame.select(text.html_main_text(F.col("h"))).collect()] == ["kept also", None]
+    marks = spark.createDataFrame([("We use cookies here. Text ABCDEFGHIJKLMNOPQRSTUV1 end [3]",)], "t string")
+    assert marks.select(text.strip_artifacts(F.col("t"))).first()[0].split() == ["Text", "end"]

@@ -27,7 +27,7 @@ def ngrams(toks: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
     Each word meets its followers as columns of one row, so grams are joined in generated code, not in array functions.
     """
     follow = [F.slice("words", k + 1, 1 << 30).alias(f"w{k}") for k in range(high)]
-    rows = toks.filter(F.size("words") >= low).select("topic_id", "src_idx", F.explode(F.arrays_zip(*follow)).alias("w")).select("topic_id", "src_idx", "w.*")
+    rows = toks.select("topic_id", "src_idx", F.explode(F.arrays_zip(*follow)).alias("w")).select("topic_id", "src_idx", "w.*")
     joined = [reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.col(f"w{k}") for k in range(n)]) for n in range(low, high + 1)]  # null past the end
     return rows.select("topic_id", "src_idx", F.explode(F.array(*joined)).alias("gram")).filter("gram IS NOT NULL")
 
