@@ -78,8 +78,10 @@ def test_facts_scripts_and_ranges(spark):
     got = {(r.kind, r.value): r.n for r in facts.hard_facts(frame, FACTS).collect()}
     assert got == {("price", "$5.50"): 2, ("percent", "12%"): 1, ("measure", "3kg"): 1, ("date", "2024-01-02"): 1}
     assert [tuple(r) for r in checks.foreign_scripts(frame, SCRIPTS).collect()] == [(1, "cyrillic", "привет")]
-    cover = {r.doc_id: tuple(r)[1:] for r in checks.gram_coverage(frame, [("costs", 1, 1), ("5", 3, 9), ("kg", 0, 0)]).collect()}
-    assert cover[1] == (0, 1, 1, 1, 33.33)
+    budgets = [("costs", 1, 1, 0.5), ("off", 3, 9, 0.5), (" kg", 0, 0, 0.5), ("absent", 1, None, 0.4), ("5", 9, 9, 1.0)]
+    for strict, want in ((False, (1, 1, 1, 1, "absent", 50.0)), (True, (1, 0, 0, 1, "absent", 50.0))):
+        cover = {r.doc_id: tuple(r)[1:] for r in checks.gram_coverage(frame, budgets, strict).collect()}
+        assert cover[1] == want and cover[3][0] == 2 and cover[3][4] == "costs, absent"
 
 
 def test_records_without_signature_stay(spark):

@@ -18,7 +18,7 @@ def test_garbage_levels(spark):
 
 
 def test_noun_phrases_are_maximal_and_end_in_a_noun(spark):
-    toks = spark.createDataFrame([("t", "wooden station runs broken nation".split()), ("t", "station wooden".split())], "topic_id string, words array<string>")
+    toks = spark.createDataFrame([("t", "a", "wooden station runs broken nation".split()), ("t", "b", "station wooden".split())], "topic_id string, src_idx string, words array<string>")
     got = terms.noun_phrases(toks, "tion$", "en$").collect()
     assert sorted((r.phrase, r.n) for r in got) == [("broken nation", 1), ("wooden station", 1)]
 

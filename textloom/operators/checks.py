@@ -149,7 +149,7 @@ def gram_coverage(docs: DataFrame, budgets: list[tuple[str, int, int | None, flo
     times the least at most, and counts fair ones for coverage only if in range; the other phrases of three characters, of
     99 at most, a least of 0 is never missing, and too rare ones count for coverage too. ``important`` lists missing ones of weight 0.3 or more.
     """
-    low = F.lower(F.col(text))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
     known = [(p, least, most if most is not None else 3 * max(least, 1) if strict else 99, w) for p, least, most, w in budgets if len(p) >= (4 if strict else 3)]
 
     def state(phrase: str, least: int, most: int, weight: float) -> Column:
