@@ -61,13 +61,6 @@ def gram_counts(per: DataFrame, *more: Column) -> DataFrame:
     return per.groupBy("topic_id", "gram").agg(F.coalesce(F.sum(own), F.lit(0).cast("long")).alias("freq"), F.sum("n").alias("freq_total"), F.count("src_idx").alias("sources"), F.max(F.col("src_idx").isNull()).alias("in_signals"), some(F.min(own)).alias("freq_min"), some(F.max(own)).alias("freq_max"), *more)
 
 
-def median_count(per: DataFrame) -> DataFrame:
-    """``(topic_id, gram, freq_median)``: the floor median of the counts of the sources, 1 where only signals hold the gram."""
-    counts = per.groupBy("topic_id", "gram").agg(F.array_sort(F.collect_list(F.when(F.col("src_idx").isNotNull(), F.col("n")))).alias("counts"))
-    half = F.expr("(element_at(counts, cast((size(counts) + 1) div 2 as int)) + element_at(counts, cast(size(counts) div 2 + 1 as int))) div 2")
-    return counts.select("topic_id", "gram", F.when(F.size("counts") > 0, half).otherwise(1).alias("freq_median"))
-
-
 def gram_stats(grams: DataFrame) -> DataFrame:
     """``gram_counts`` with the floor median of the counts of the sources."""
     counts = F.array_sort(F.collect_list(F.when(F.col("src_idx").isNotNull(), F.col("n")))).alias("counts")

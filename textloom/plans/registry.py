@@ -11,7 +11,7 @@ from textloom.functions.lists import BANNED, BUDGETS, CSS, ENTITIES, FACTS, LEXI
 from textloom.operators.terms import quality_reason
 from textloom.operators import checks, entities, facts, grams, headings, text, vectors
 from textloom.plans import articles, editing, gaps, salience, sections, stored, terms
-from textloom.plans.tables import KEYWORDS, docs as _docs, headings as _headings, long as _long, mentions as _mentions, articles as _articles, all_grams as _all_grams, table as _table, topics as _topics, weighted as _weighted
+from textloom.plans.tables import docs as _docs, headings as _headings, long as _long, mentions as _mentions, articles as _articles, all_grams as _all_grams, table as _table, topics as _topics, weighted as _weighted
 from textloom.plans.twins import TWINS
 from textloom.streaming import budgets
 
@@ -78,16 +78,8 @@ def d7_weight_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d8_top_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians are taken for the ranked grams alone, from the same counts of grams by source.
-
-    A topic has 30 of them, so their number is known before; they are broadcast up to 10 000.
-    """
-    per = grams.source_counts(_all_grams(spark, sf_dir))
-    top = grams.top_grams(grams.weight_grams(grams.gram_counts(per), _topics(spark, sf_dir)), n=30)
-    wanted = top.select("topic_id", "gram")
-    wanted = F.broadcast(wanted) if 30 * len(KEYWORDS) <= 10_000 else wanted
-    halves = grams.median_count(per.join(wanted, ["topic_id", "gram"], "left_semi"))
-    return _long(top.join(halves, ["topic_id", "gram"]).select("topic_id", "rank", "gram", "freq", "sources", "freq_min", "freq_median", "freq_max", "weight"), "rank")
+    top = grams.top_grams(grams.weight_grams(grams.gram_stats(_all_grams(spark, sf_dir)), _topics(spark, sf_dir)), n=30)
+    return _long(top.select("topic_id", "rank", "gram", "freq", "sources", "freq_min", "freq_median", "freq_max", "weight"), "rank")
 
 
 def d9_extended_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
