@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over whole tables, with production parameters."""
+"""The operators as registered queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from textloom.llm.embeddings import vector_components
 from textloom.llm.licenses import scan_licenses
 from textloom.llm.linkgraph import filter_urls
 from textloom.llm.mixing import curriculum
+from textloom.llm.secrets import scan_secrets
 from textloom.llm.sharding import shard_documents
 from textloom.llm.simhash import simhash_components
 from textloom.llm.tokens import encode_documents
@@ -70,6 +71,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", written.alias("positions"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -82,4 +87,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_embedding_neardup": op9_embedding_neardup,
         "op10_mixing": op10_mixing,
+        "op13_secrets": op13_secrets,
     }
