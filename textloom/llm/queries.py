@@ -14,6 +14,7 @@ from textloom.llm.embeddings import vector_components
 from textloom.llm.licenses import scan_licenses
 from textloom.llm.linkgraph import filter_urls
 from textloom.llm.mixing import curriculum
+from textloom.llm.repair import repair_conversations
 from textloom.llm.secrets import scan_secrets
 from textloom.llm.sharding import shard_documents
 from textloom.llm.simhash import simhash_components
@@ -71,6 +72,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", written.alias("positions"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -87,5 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_embedding_neardup": op9_embedding_neardup,
         "op10_mixing": op10_mixing,
+        "op12_repair": op12_repair,
         "op13_secrets": op13_secrets,
     }
