@@ -18,6 +18,7 @@ from textloom.llm.repair import repair_conversations
 from textloom.llm.secrets import scan_secrets
 from textloom.llm.sharding import shard_documents
 from textloom.llm.simhash import simhash_components
+from textloom.llm.spelling import spelling_groups
 from textloom.llm.tokens import encode_documents
 from textloom.llm.toxicity import toxicity
 
@@ -72,6 +73,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", written.alias("positions"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_embedding_neardup": op9_embedding_neardup,
         "op10_mixing": op10_mixing,
+        "op11_spelling": op11_spelling,
         "op12_repair": op12_repair,
         "op13_secrets": op13_secrets,
     }
