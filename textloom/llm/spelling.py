@@ -71,13 +71,18 @@ def level_edges(state: DataFrame) -> DataFrame:
     return named.selectExpr("at", "first", "label", "below", "xxhash64(at, label) AS child", "label = lo AS stops")
 
 
-def near_words(words: DataFrame) -> DataFrame:
-    """``(word, near)`` in both directions for all ``words`` (distinct, column ``word``) one inserted, deleted or replaced code point apart."""
+def near_words(words: DataFrame, in_task: int = 100_000) -> DataFrame:
+    """``(word, near)`` in both directions for all ``words`` (distinct, column ``word``) one inserted, deleted or replaced code point apart.
+
+    A level is written in as many partitions as its states need, ``in_task`` for each, so late levels of few states are few tasks.
+    """
     ways = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("word").alias("text")), F.struct(F.lit(1).alias("side"), F.reverse("word").alias("text"))))
+    n_states = 2 * words.count()
     state = words.filter("word <> ''").select(ways.alias("w")).selectExpr("w.side", "w.text AS word", "w.text", "0 AS place", "bigint(w.side) AS node", "false AS stops", "0 AS edits")
     found = []
-    while True:
-        edges = materialise(level_edges(state))
+    while n_states:
+        parts = -(-n_states // in_task)
+        edges = materialise(level_edges(state).coalesce(parts))
         if edges.isEmpty():
             break
         late = "edits = 0 AND place >= length(word) div 2"
@@ -95,9 +100,10 @@ def near_words(words: DataFrame) -> DataFrame:
             "if(first = substring(text, place + 1, 1), edits, 1) AS edits", "below",
         )
         moved = moved.filter("(place < length(text) AND below > 1) OR (edits = 1 AND place = length(text) AND stops)").drop("below")
-        state = materialise(moved.unionByName(ended))
+        state = materialise(moved.unionByName(ended).coalesce(2 * parts))
         found.append(state.filter("place = length(text)").select("side", "word", "text"))
         state = state.filter("place < length(text)")
+        n_states = state.count()
     if not found:
         return words.selectExpr("word", "word AS near").limit(0)
     pairs = reduce(DataFrame.unionByName, found).selectExpr("if(side = 0, word, reverse(word)) AS a", "if(side = 0, text, reverse(text)) AS b")
