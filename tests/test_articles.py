@@ -53,3 +53,36 @@ def test_brands_inside_sentences(spark):
 def test_density_counts_sections_between_headings(spark):
     text = "car car\n# Car one\ncar car car\n## two\ncar"
     assert [tuple(r) for r in A.keyword_density(rows(spark, text, None), "car").collect()] == [(0, 1, 4)]
+
+
+def test_half_of_the_words_by_their_stems(spark):
+    frame = spark.createDataFrame([("the software foundation",), ("soft words",), ("an apache",), ("of it",)], "t string")
+    holds = lambda p: [r[0] for r in frame.select(A.fuzzy_share(F.col("t"), p)).collect()]
+    assert holds("Software licenses") == [True, True, False, False]
+    assert holds("apache software license terms") == [False, False, False, False] and holds("apache software found") == [True, False, False, False]
+    assert holds("of it") == [False, False, False, True]
+    found = A.fuzzy_hits(rows(spark, "first apache line\nsecond\nthe apache", "none"), ["apache license", "zebra"]).collect()
+    assert [(r.doc_id, r.phrase, r.whole, r.paragraphs) for r in found] == [(0, "apache license", True, 2)]
+
+
+def test_findings_have_a_row_for_each_triple_link_and_form(spark):
+    frame = rows(spark, "Cats chase mice.\nRain falls because clouds burst. It floods.", "cats run\nmice chase", "Rain. Floods", "cats eat mice")
+    triples = {(r.doc_id, r.subject): (r.found, r.clear, r.status) for r in A.triple_findings(frame, [("cats", "chase", "mice"), ("zebra", "is", "here")]).collect()}
+    assert triples == {(0, "cats"): (True, True, "pass"), (1, "cats"): (True, False, "warn"), (2, "cats"): (False, False, "fail"), (3, "cats"): (True, True, "pass"), **{(k, "zebra"): (False, False, "fail") for k in range(4)}}
+    links = {r.doc_id: (r.covered, r.explained, r.status) for r in A.causal_findings(frame, [("rain", "floods")], ["because"]).collect()}
+    assert links == {0: (True, True, "pass"), 1: (False, False, "fail"), 2: (True, False, "warn"), 3: (False, False, "fail")}
+    forms = A.naming_findings(rows(spark, "License licenses LICENSE licensed anana ananana", "nothing"), "license", ["license", "anana", "absent"]).collect()
+    assert {(r.form, r.n, r.known) for r in forms} == {("anana", 3, True), ("license", 4, True), ("licensed", 1, False), ("licenses", 1, False)}
+
+
+def test_grams_against_which_a_reason_speaks_do_not_count(spark):
+    frame = rows(spark, "one two two three")
+    for c in ("named_pct", "nominal_pct", "facts_pct"):
+        frame = frame.withColumn(c, F.lit(0.0))
+    for c in ("salience_points", "triples_pass", "triples_warn", "causal_covered", "causal_explained", "pairs_found", "opening_points"):
+        frame = frame.withColumn(c, F.lit(0))
+    budgets = [("one", 1, 1), ("two", 1, 1), ("bad", 1, 2), ("three", 1, 2)]
+    of = lambda reason: A.compliance_score(frame, {"grams": 1}, budgets, 1, 1, 1, reason).first().grams
+    assert of(None) == 40.0
+    assert of(lambda p: F.when(p == "bad", "x")) == round(200 / 3 - 10, 2)
+    assert of(lambda p: F.when(p != "", "x")) == 0.0

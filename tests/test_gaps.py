@@ -1,3 +1,4 @@
+import random
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -68,9 +69,9 @@ def test_semantic_gaps_equal_all_pairs(spark):
             if sim >= 0.15 and score >= 0.15:
                 scored.append((-round(score, 9), i))
         want[y] = [i for _, i in sorted(scored)[:5]]
-    for block in (4, 7, 64):
+    for first, block in ((4, 16), (7, 5), (64, 2048)):
         got = {}
-        for r in gaps.semantic_gaps(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int"), limit=5, block=block).orderBy("label", "rank").collect():
+        for r in gaps.semantic_gaps(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int"), limit=5, first=first, block=block).orderBy("label", "rank").collect():
             got.setdefault(r.label, []).append(r.vec_id)
         assert got == {y: ids for y, ids in want.items() if ids}
 
@@ -80,3 +81,77 @@ def test_search_payloads(spark):
     rows = spark.createDataFrame([("a", full), ("b", '{"related_questions": []}'), ("c", "no json"), ("d", None)], "topic_id string, payload string")
     got = sorted((r.topic_id, r.kind, r.pos, r.text, r.answer, r.link) for r in gaps.flatten_serp(rows).collect())
     assert got == [("a", "answer", 0, "B", "box", None), ("a", "overview", 0, "over", None, "x y"), ("a", "query", 0, "q1", None, None), ("a", "query", 1, "q2", None, None), ("a", "question", 0, "Q?", "A", None), ("a", "result", 0, "T", "S", "L")]
+
+
+def test_semantic_gaps_of_a_large_label_of_alike_vectors(spark):
+    """5000 vectors that nearly all cover each other, and some far ones, against all pairs in numpy."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(size=(4700, 16)) * 0.2 + 1, rng.normal(size=(300, 16)) + 0.4))
+    x[17] = 0
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sims, cover = unit[1:] @ unit[0], unit[1:] @ unit[1:].T > 0.55
+    shares = (cover.sum(axis=1) - np.diag(cover)) / (len(x) - 2)
+    scores = sims * (1 - shares)
+    want = sorted(((-round(s, 9), i + 1) for i, s in enumerate(scores) if s >= 0.15 and sims[i] >= 0.15))[:15]
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id int, embedding array<double>, label int")
+    got = gaps.semantic_gaps(frame).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [i for _, i in want] and got
+    assert all(abs(r.coverage - shares[r.vec_id - 1]) < 1e-5 for r in got)
+
+
+def plain_matches(words, phrase, most, wider=2):
+    """Exact places, then free windows from the left, as one reads them."""
+    k, exact, used, fuzzy = len(phrase), [], set(), 0
+    for i in range(len(words) - k + 1):
+        if words[i : i + k] == phrase:
+            exact.append(i)
+            used |= set(range(i, i + k))
+    for i in range(len(words)):
+        for n in range(k, k + wider + 1):
+            if i + n <= len(words) and fuzzy < most - len(exact) and not used & set(range(i, i + n)) and set(phrase) <= set(words[i : i + n]):
+                fuzzy += 1
+                used |= set(range(i, i + n))
+                break
+    return len(exact), fuzzy
+
+
+def test_lemma_matches_equal_a_plain_search(spark):
+    rng = random.Random(3)
+    phrases = [("a", 3), ("a b", 4), ("b a a", 9), ("c b a", 2), ("cats run", 5)]
+    lemmas = {"cats": "cat", "runs": "run"}
+    texts = [(i, rng.choices(["a", "b", "c", "d", "cats", "cat", "runs", "run"], k=rng.randrange(0, 40))) for i in range(150)]
+    got = {(r.doc_id, r.phrase): (r.exact, r.fuzzy) for r in gaps.lemma_matches(spark.createDataFrame(texts, "doc_id int, words array<string>"), phrases, lemmas).collect()}
+    want = {(i, p): plain_matches([lemmas.get(w, w) for w in words], [lemmas.get(w, w) for w in p.split()], most) for i, words in texts for p, most in phrases}
+    assert got == {k: v for k, v in want.items() if sum(v)}
+
+
+def test_payloads_of_other_shapes_keep_the_signals_that_they_hold(spark):
+    payloads = {
+        "extra": '{"organic_results": [{"title": "T", "snippet": 5, "position": 1, "rich": {"a": [1]}}, null, "odd", {"title": {"x": 1}, "snippet": "S"}, {"title": 7}], "more": {"organic_results": 3}}',
+        "object": '{"organic_results": {"title": "only", "link": true}, "related_searches": ["plain", {"query": "q"}, {"other": 1}, 4, []]}',
+        "wrong": '{"organic_results": "text", "related_questions": [{"question": ["no"]}, "Why?"], "answer_box": ["list"], "ai_overview": {"text": {"a": 1}, "snippet": "over", "sources": "none"}}',
+        "array": '[1, 2]',
+        "cut": '{"organic_results": [',
+        "null": "null",
+    }
+    rows = spark.createDataFrame(sorted(payloads.items()), "topic_id string, payload string")
+    got = sorted((r.topic_id, r.kind, r.pos, r.text, r.answer, r.link) for r in gaps.flatten_serp(rows).collect())
+    assert got == [
+        ("extra", "result", 0, "T", "5", None),
+        ("extra", "result", 4, "7", None, None),
+        ("object", "query", 0, "plain", None, None),
+        ("object", "query", 1, "q", None, None),
+        ("object", "query", 2, "4", None, None),
+        ("object", "result", 0, "only", None, "true"),
+        ("wrong", "overview", 0, "over", None, ""),
+        ("wrong", "question", 1, "Why?", None, None),
+    ]
+
+
+def test_merged_gaps_have_headings_and_suggestions(spark):
+    rows = [("t", k, "unanswered", f"is wooden boat{chr(97 + k)} hull strong? ", "high") for k in range(5)]
+    rows += [("t", 9, "subtopic", "HULL of wooden boata strong", "medium"), ("t", 10, "depth", "Repair yards", "high"), ("t", 11, "subtopic", "are the", "high")]
+    frame = spark.createDataFrame(rows, "topic_id string, id int, kind string, question string, priority string")
+    got = {r.id: r for r in gaps.merge_gaps(frame, ["wooden", "hull", "strong"], leads=["is", "are"]).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 10] and [got[k].suggested for k in (0, 1, 2, 3, 4, 10)] == [True, True, True, False, False, False]
+    assert got[0].heading == "Wooden boata hull strong" and got[10].heading == "Repair yards"

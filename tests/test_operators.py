@@ -1,7 +1,10 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from textloom.functions.lists import FACTS, SCRIPTS
-from textloom.operators import checks, entities, facts, grams, headings, text
+from textloom.operators import checks, facts, gaps, grams, headings, text
 
 
 def test_markup_and_domain(spark):
@@ -98,11 +101,6 @@ def test_headings(spark):
     assert (top.pattern, top.sources, top["class"]) == ("best red cars", 2, "HIGH")
 
 
-def test_pairs_in_one_sentence(spark):
-    frame = spark.createDataFrame([("t", "Ann met Bob"), ("t", "bob and ann"), ("t", "ann alone")], "topic_id string, sentence string")
-    assert [tuple(r) for r in entities.cooccurrence(frame, ["Bob", "Ann", "Cy"]).collect()] == [("t", "ann", "bob", 2, 0.12, 1)]
-
-
 def test_long_scan_equals_a_fold(spark):
     import random
     import re
@@ -147,3 +145,68 @@ def test_chrome_by_role_and_class(spark):
     assert [r[0] for r in frame.select(text.html_main_text(F.col("h"))).collect()] == ["kept also", None]
     marks = spark.createDataFrame([("We use cookies here. Text ABCDEFGHIJKLMNOPQRSTUV1 end [3]",)], "t string")
     assert marks.select(text.strip_artifacts(F.col("t"))).first()[0].split() == ["Text", "end"]
+
+
+def test_chrome_blocks_reach_to_their_own_closing_tag(spark):
+    html = {
+        1: '<div class="sidebar">a<div>b<div>c</div>d</div>e</div><p>kept</p>',
+        2: "<article><nav><ul><li>a</li></ul></nav>kept<nav>open <p>stays</article>",
+        3: '<table role="navigation"><tr><td>a</td></tr></table><span id="cookie-note">b<span>c</span></span>kept',
+        4: '<script>var t="<nav>";</script>kept<!-- <nav> --> too<style>p{}</style><nav/> still<br/>',
+        5: "</nav></div>kept<nav>a<nav>b</nav>c</nav>",
+    }
+    frame = spark.createDataFrame(sorted(html.items()), "id int, h string")
+    got = {r.id: r.t for r in frame.select("id", text.html_main_text(F.col("h")).alias("t")).collect()}
+    assert got == {1: "kept", 2: "kept open stays", 3: "kept", 4: "kept too still", 5: "kept"}
+    lines = spark.createDataFrame([("<h1>One  two</h1><p>a<b>b</b></p><ul><li>x<li>y</ul>",)], "h string")
+    assert lines.select(text.html_main_text(F.col("h"), lines=True)).first()[0] == "One two\na b\nx\ny"
+
+
+def test_lines_are_judged_after_the_skip(spark):
+    long = "this is a line that is long enough to end the skip, as it has over fifty characters."
+    lines = ["menu", "1", "2", "3", long, "word", "word7", "Home", "", "Two Names", "it is as it was on the day of the visit.", "12", "a b ."]
+    frame = spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string")
+    kept = text.clean_lines(frame, "menu", ["is", "a", "that", "to", "the", "as", "it", "has", "was", "on", "of", "in"]).first()["text"].split("\n")
+    assert kept == [long, "it is as it was on the day of the visit.", "a b ."]
+
+
+def test_page_text_as_a_chain(spark):
+    body = "The first paragraph of the page is long enough to be kept whole in the end [1]."
+    other = "It is also as it was in the second one, see https://example.com/x for the rest."
+    html = f'<nav>Menu of the page</nav><div class="menu">Start</div><h1>Unheard banner words</h1><p>{body}</p><p>{other}</p><div>Orphan caption phrase.</div><p>{body}</p>' + "<p>" + "All of it is in the text of the page as it was. " * 4 + "</p>"
+    got = gaps.best_text(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string"), "(?i)cookie", ["the", "of", "is", "to", "be", "in", "it", "as", "was"]).orderBy("page_id").collect()
+    lines = got[0].content.split("\n")
+    assert lines[0] == "The first paragraph of the page is long enough to be kept whole in the end ."
+    assert lines[1] == "It is also as it was in the second one, see for the rest." and len(lines) == 4
+    assert not got[1].content
+
+
+def test_the_key_path_prefers_a_chain(spark):
+    rows = [("t", "a", "b", "causes", 0.9, False), ("t", "c", "d", "prevents", 0.4, True), ("t", "e", "f", "causes", 0.3, True), ("u", "g", "h", "causes", 0.5, False), ("u", "i", "j", "", 0.7, False)]
+    frame = spark.createDataFrame(rows, "topic_id string, cause string, effect string, relation string, confidence double, is_chain boolean")
+    assert {r.topic_id: r.path for r in facts.key_path(frame).collect()} == {"t": "c → prevents → d", "u": "i → j"}
+
+
+def test_line_checks_equal_a_plain_reading(spark):
+    rng = random.Random(6)
+    pieces = ["The one. ", "de two! ", "other? ", "- item", "1. item", "", " ", "\n", "x. y. ", "The "]
+    texts = [(k, "".join(rng.choice(pieces) + rng.choice(["", "\n"]) for _ in range(rng.randrange(1, 25)))) for k in range(120)] + [(200, None), (201, "")]
+    frame = spark.createDataFrame(texts, "doc_id int, text string")
+    want_openers, want_even, want_lists = {}, set(), {}
+    for k, text in texts:
+        if text is None:
+            continue
+        for s in re.split(r"[.!?]+\s+", text.lower()):
+            for o in ("the ", "de "):
+                if s.strip(" ").startswith(o):
+                    want_openers[k, o] = want_openers.get((k, o), 0) + 1
+                    break
+        lines = text.split("\n")
+        counted = [(i, sum(x.strip(" ") != "" for x in re.split(r"[.!?]+", p))) for i, p in enumerate(lines) if p.strip(" ")]
+        want_even |= {(k, counted[i][0], counted[i][1]) for i in range(len(counted) - 3) if len({n for _, n in counted[i : i + 4]}) == 1}
+        items = [bool(re.match(r"\s*(?:[-*|]|\d+[.)])\s?", x)) for x in lines]
+        if any(items):
+            want_lists[k] = (sum(x and not (i and items[i - 1]) for i, x in enumerate(items)), sum(items))
+    assert {(r.doc_id, r.opener): r.n for r in checks.opener_hits(frame, ["The ", "de "]).collect()} == want_openers
+    assert {tuple(r) for r in checks.uniform_paragraphs(frame).collect()} == want_even
+    assert {r.doc_id: (r.groups, r.items) for r in checks.list_groups(frame).collect()} == want_lists

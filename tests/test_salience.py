@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -22,13 +23,34 @@ def test_concepts_are_shown_as_mostly_written(spark):
 
 def test_salience_by_place_headings_and_keyword(spark):
     concepts = spark.createDataFrame([("t", "red cars", 2), ("t", "absent", 1)], "topic_id string, display string, sources long")
-    sources = spark.createDataFrame([("t", "a", "Red cars first"), ("t", "b", "x" * 2000 + " red cars"), ("t", "b", None)], "topic_id string, src_idx string, content string")
+    sources = spark.createDataFrame([("t", "a", "Red cars first" + " pad" * 30), ("t", "a", "red cars"), ("t", "b", "x" * 2000 + " red cars"), ("t", "b", None)], "topic_id string, src_idx string, content string")
     heads = spark.createDataFrame([("t", 1, "Red Cars"), ("t", 2, "buy red cars"), ("u", 1, "red cars")], "topic_id string, level int, heading string")
     got = {r.display: r for r in salience.salience_topical(concepts, sources, heads, spark.createDataFrame([("t", 2, "red")], TOPICS)).collect()}
-    place = round(2001 / 2009 / 2, 6)
+    place = round(((1 + 0) / 2 + 2001 / 2009) / 2, 6)
     assert (got["red cars"].position, got["red cars"].early, got["red cars"].in_h1, got["red cars"].in_h2) == (place, 1, 1, 1)
     assert abs(got["red cars"].salience - (0.25 + 0.2 * (1 - place) + 3 * 0.075 + 0.1)) < 1e-5
     assert got["absent"].position == 1.0 and got["absent"].salience == 0.125
+    odd = spark.createDataFrame([("t", d, 2) for d in ("red cars", "ab", "menu home", "menu cars", "x .cars", "1.cars")], "topic_id string, display string, sources long")
+    left = salience.salience_topical(odd, sources, heads, spark.createDataFrame([("t", 2, "red")], TOPICS), nav=["menu", "home"])
+    assert {r.display for r in left.collect()} == {"red cars", "menu cars", "1.cars"}
+
+
+def test_running_position_equals_a_plain_fold(spark):
+    rng = random.Random(1)
+    weights = [("t", "a", 1), ("t", "b", 3), ("t", "c", 50), ("t", "d", 0), ("u", "a", 7)]
+    places, want = [], {}
+    for topic, display, n in weights:
+        mean = 1.0
+        for k in sorted(rng.sample(range(1000), 40)):
+            first = rng.random()
+            places.append((topic, display, f"s{k:04}", first, k % 2))
+            w = max(n - 1, 0)
+            mean = (mean * w + first) / (w + 1)
+        want[topic, display] = mean
+    rng.shuffle(places)
+    frame = spark.createDataFrame(places, "topic_id string, display string, src_idx string, first double, early long")
+    got = {(r.topic_id, r.display): r.position for r in salience.running_position(frame.repartition(5), spark.createDataFrame(weights, "topic_id string, display string, sources long")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
 
 
 def test_subjects_stand_in_the_first_words(spark):

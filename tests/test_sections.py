@@ -38,10 +38,26 @@ def test_facts_go_to_their_first_section_only(spark):
     assert sorted((r.section, r.kind, r.item) for r in got) == [(1, "fact", "cars cost 5"), (1, "pair", "Cars + roads"), (2, "fact", "fast one"), (2, "pair", "Cars + roads")]
 
 
-def test_short_sections_of_shared_headings(spark):
-    rows = [("t", s, h, n) for s, h, n in [("a", "One!", 50), ("b", "one", 100), ("c", "ONE", 75), ("d", "one", 5), ("a", "two", 200), ("b", "two", 200), ("c", "two", 200)]]
-    got = sections.gap_depth(spark.createDataFrame(rows, "topic_id string, src string, heading string, words int")).collect()
-    assert [(r.sources, r.mean_words, r.priority) for r in got] == [(4, 75.0, "high")]
+def test_short_sections_of_shared_headings_are_found_in_texts(spark):
+    words = lambda n: " ".join(["word"] * n)
+    texts = [
+        ("t", "a", 1, f"intro text\n# How to CARE for boats!\n{words(30)}\n\n{words(20)}\nand more\n\nNext part\n{words(500)}"),
+        ("t", "b", 2, f"{words(40)} how care boats line of over one hundred characters {words(20)}\nCare of boats how\n{words(60)}"),
+        ("t", "c", 3, f"care boats for how\nshort\n\n{words(5)}"),
+        ("t", "d", 4, "how care\n" + "\n".join([words(2)] * 80)),
+        ("u", "a", 5, f"how to care for boats\n{words(40)}"),
+    ]
+    heads = [("t", s, h) for s, h in [("a", "How to care for boats"), ("b", "how to care for BOATS?"), ("c", "How to care for boats"), ("a", "rare one")]]
+    texts, heads = spark.createDataFrame(texts, "topic_id string, src string, doc_id int, text string"), spark.createDataFrame(heads, "topic_id string, src string, heading string")
+    norms = heads.select("topic_id", sections.heading_norm(heads["heading"]).alias("norm")).distinct()
+    got = {(r.doc_id, r.norm): r.words for r in sections.find_sections(texts, norms).collect()}
+    assert got == {(1, "how to care for boats"): 52, (3, "how to care for boats"): 1}
+    norms = spark.createDataFrame([("t", "how care boats")], "topic_id string, norm string")
+    got = {(r.doc_id, r.norm): r.words for r in sections.find_sections(texts, norms).collect()}
+    assert got == {(1, "how care boats"): 52, (2, "how care boats"): 60, (3, "how care boats"): 1, (4, "how care boats"): 98}
+    heads = heads.withColumn("heading", F.regexp_replace("heading", "(?i) to | for ", " "))
+    row = sections.gap_depth(heads, texts).first()
+    assert (row.sources, row.sections, row.mean_words, row.priority) == (3, 3, 70.0, "high")
 
 
 def test_open_and_standard_questions(spark):

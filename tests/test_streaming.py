@@ -1,23 +1,29 @@
+import pytest
+from pyspark.sql import functions as F
+
 from textloom.streaming import budgets
 
 
-def test_stream_gives_the_batch_rows(spark, tmp_path):
-    parts = [("a", 1, "red red blue"), ("a", 2, "red"), ("a", 3, "red blue"), ("b", 1, "none"), ("b", 3, None)]
-    limits = [("red", 1, 3), ("blue", 0, 1)]
-    schema = "topic_id string, batch long, text string"
-    frame = spark.createDataFrame(parts, schema)
+LIMITS = [("red", 1, 3), ("blue", 0, 1)]
+SCHEMA = "topic_id string, turn long, text string"
+PARTS = [("a", 1, "red red blue"), ("a", 2, "red"), ("a", 3, "red blue"), ("a", 4, "blue red red"), ("b", 1, "none"), ("b", 3, None), ("c", 2, "red red red red"), ("c", 5, "red")]
+
+
+@pytest.mark.parametrize("batches", [[[1], [2], [3], [4], [5]], [[1, 2, 3, 4, 5]], [[1, 2], [3, 4, 5]]])
+def test_stream_gives_the_batch_rows_whatever_the_trigger(spark, tmp_path, batches):
+    """Every batch of turns is a run of its own, so each one restarts from the stored state."""
+    frame = spark.createDataFrame(PARTS, SCHEMA)
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
-    stream = None
-    for batch in (1, 2, 3):
-        frame.filter(f"batch = {batch}").coalesce(1).write.mode("append").parquet(source)
-        stream = budgets.budget_stream(spark.readStream.schema(schema).parquet(source), limits)
+    for turns in batches:
+        frame.filter(F.col("turn").isin(turns)).orderBy(F.desc("turn")).coalesce(1).write.mode("append").parquet(source)
+        stream = budgets.budget_stream(spark.readStream.schema(SCHEMA).parquet(source), LIMITS)
         query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
-    columns = ["topic_id", "phrase", "used", "status", "low_left", "high_left"]
+    columns = ["topic_id", "turn", "phrase", "used", "status", "low_left", "high_left"]
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(columns).collect()))
-    want = sorted(map(tuple, budgets.budget_batches(frame, limits, "topic_id", "batch").select(columns).collect()))
+    want = sorted(map(tuple, budgets.budget_batches(frame, LIMITS, "topic_id", "turn").select(columns).collect()))
     assert got == want
-    assert ("a", "red", 1, "OVER", 0, 0) in got and ("a", "red", 2, "OK", 0, 1) in got
+    assert ("a", 4, "red", 2, "OVER", 0, 0) in got and ("a", 2, "red", 1, "OK", 0, 0) in got
 
 
 def test_parts_score(spark):

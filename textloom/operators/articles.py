@@ -6,6 +6,8 @@ is one pass over the articles without a join or a shuffle. A null text counts as
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,15 @@ def fuzzy(text: Column, phrase: str) -> Column:
     return any_of([text.contains(s) for s in [p, *stems]])
 
 
+def fuzzy_share(text: Column, phrase: str) -> Column:
+    """Lower-case ``text`` holds the phrase, or the first 60 %, four letters at least, of half of its words of three letters or more."""
+    p = phrase.lower()
+    words = [w for w in p.split() if len(w) > 2]
+    stems = [w if len(w) < 4 else w[: max(4, len(w) * 6 // 10)] for w in words]
+    half = 2 * count_of([text.contains(w) for w in stems]) >= max(2, len(words)) if words else F.lit(False)
+    return text.contains(p) | half
+
+
 def any_of(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags, F.lit(False))
 
@@ -51,9 +62,10 @@ def percent(part: Column, whole: Column | int) -> Column:
 
 
 def fuzzy_hits(rows: DataFrame, phrases: list[str], key: str = "doc_id") -> DataFrame:
-    """``(key, phrase)`` for each phrase found by ``fuzzy``."""
-    found = F.array(*[F.struct(F.lit(p).alias("phrase"), fuzzy(F.col("low"), p).alias("hit")) for p in phrases])
-    return rows.select(key, F.explode(F.filter(found, lambda x: x["hit"])).alias("f")).select(key, "f.phrase")
+    """``(key, phrase, whole, paragraphs)`` for each phrase found: in the text by ``fuzzy``, and the number of its paragraphs that hold it by ``fuzzy_share``."""
+    near = lambda p: F.size(F.filter("paras", lambda x: fuzzy_share(x, p))).cast("long")
+    found = F.array(*[F.struct(F.lit(p).alias("phrase"), fuzzy(F.col("low"), p).alias("whole"), near(p).alias("paragraphs")) for p in phrases])
+    return rows.select(key, F.explode(found).alias("f")).select(key, "f.*").filter("whole OR paragraphs > 0")
 
 
 def with_facts(rows: DataFrame, facts: list[str]) -> DataFrame:
@@ -75,19 +87,27 @@ def with_pairs(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return rows.withColumn("pairs_status", F.when(2 * F.col("pairs_found") >= len(pairs), "pass").otherwise("warn"))
 
 
-def with_triples(rows: DataFrame, triples: list[tuple[str, str, str]]) -> DataFrame:
-    """Add ``triples_pass, triples_warn, triples_fail, triples_pct``.
+def triple_state(s: str, p: str, o: str) -> tuple[Column, Column]:
+    """(found, clear) of a triple: its parts stand in the text, and share a paragraph; where the text lacks the predicate, a paragraph with both ends does."""
+    low = F.col("low")
+    ends, whole = fuzzy(low, s) & fuzzy(low, o), fuzzy(low, p) if p else F.lit(True)
+    near = F.exists("paras", lambda x: fuzzy_share(x, s) & fuzzy_share(x, o) & ((fuzzy_share(x, p) if p else F.lit(True)) | ~whole))
+    return ends & (whole | near), ends & near
 
-    A triple passes if its three parts, or its ends where the text lacks the predicate, share a
-    paragraph; it is fair if all stand somewhere in the text.
-    """
-    def state(s: str, p: str, o: str) -> Column:
-        low = F.col("low")
-        ends, whole = fuzzy(low, s) & fuzzy(low, o), fuzzy(low, p)
-        near = F.exists("paras", lambda x: fuzzy(x, s) & fuzzy(x, o) & (fuzzy(x, p) | ~whole))
-        return graded(ends & near, ends & whole)
 
-    rows = rows.withColumn("__s", F.array(*[state(*t) for t in triples]))
+def triple_findings(rows: DataFrame, triples: list[tuple[str, str, str]], key: str = "doc_id") -> DataFrame:
+    """``(key, subject, predicate, object, found, clear, status)``: one row for each article and triple."""
+    def one(t: tuple[str, str, str]) -> Column:
+        found, clear = triple_state(*t)
+        return F.struct(*[F.lit(x).alias(c) for c, x in zip(("subject", "predicate", "object"), t)], found.alias("found"), clear.alias("clear"), graded(clear, found).alias("status"))
+
+    return rows.select(key, F.explode(F.array(*[one(t) for t in triples])).alias("t")).select(key, "t.*")
+
+
+def with_triples(rows: DataFrame, triples: list[tuple[str, str, str]]) -> DataFrame:
+    """Add ``triples_pass, triples_warn, triples_fail, triples_pct``: how many triples are clear, only found, or neither."""
+    states = [triple_state(*t) for t in triples]
+    rows = rows.withColumn("__s", F.array(*[graded(clear, found) for found, clear in states]))
     for k in ("pass", "warn", "fail"):
         rows = rows.withColumn(f"triples_{k}", F.size(F.filter("__s", lambda x: x == k)).cast("long"))
     return rows.drop("__s").withColumn("triples_pct", percent(F.col("triples_pass") + F.col("triples_warn"), len(triples)))
@@ -104,16 +124,26 @@ def with_variety(rows: DataFrame, named: list[str], nominal: list[str], pronomin
     return rows.withColumn("variety_status", F.when(poor, "warn").otherwise("pass"))
 
 
-def with_causal(rows: DataFrame, causal: list[tuple[str, str]], mechanism: list[str]) -> DataFrame:
-    """Add ``causal_covered, causal_explained, causal_pct``: both ends in the text; one of them in a sentence with a mechanism word."""
-    low = F.col("low")
-    covered = [fuzzy(low, a) & fuzzy(low, b) for a, b in causal]
+def causal_state(a: str, b: str, mechanism: list[str]) -> tuple[Column, Column]:
+    """(covered, explained) of a causal link: both ends stand in the text; and one of them in a sentence with a mechanism word."""
+    covered = fuzzy(F.col("low"), a) & fuzzy(F.col("low"), b)
+    return covered, covered & F.exists("sents", lambda s: (fuzzy(s, a) | fuzzy(s, b)) & any_of([s.contains(m) for m in mechanism]))
+
 
-    def explained(a: str, b: str) -> Column:
-        return F.exists("sents", lambda s: (fuzzy(s, a) | fuzzy(s, b)) & any_of([s.contains(m) for m in mechanism]))
+def causal_findings(rows: DataFrame, causal: list[tuple[str, str]], mechanism: list[str], key: str = "doc_id") -> DataFrame:
+    """``(key, cause, effect, covered, explained, status)``: one row for each article and link."""
+    def one(a: str, b: str) -> Column:
+        covered, explained = causal_state(a, b, mechanism)
+        return F.struct(F.lit(a).alias("cause"), F.lit(b).alias("effect"), covered.alias("covered"), explained.alias("explained"), graded(explained, covered).alias("status"))
 
-    told = [c & explained(*ends) for c, ends in zip(covered, causal)]
-    return rows.withColumns({"causal_covered": count_of(covered), "causal_explained": count_of(told)}).withColumn("causal_pct", percent(F.col("causal_covered"), len(causal)))
+    return rows.select(key, F.explode(F.array(*[one(*c) for c in causal])).alias("t")).select(key, "t.*")
+
+
+def with_causal(rows: DataFrame, causal: list[tuple[str, str]], mechanism: list[str]) -> DataFrame:
+    """Add ``causal_covered, causal_explained, causal_pct``."""
+    states = [causal_state(*c, mechanism) for c in causal]
+    rows = rows.withColumns({"causal_covered": count_of([c for c, _ in states]), "causal_explained": count_of([e for _, e in states])})
+    return rows.withColumn("causal_pct", percent(F.col("causal_covered"), len(causal)))
 
 
 def with_opening(rows: DataFrame, keyword: str, expected: list[str], definition: list[str], preview: list[str]) -> DataFrame:
@@ -125,14 +155,30 @@ def with_opening(rows: DataFrame, keyword: str, expected: list[str], definition:
     return rows.withColumn("opening_status", graded(F.col("opening_points") >= 3, F.col("opening_points") >= 2))
 
 
-def with_naming(rows: DataFrame, keyword: str, forms: list[str]) -> DataFrame:
-    """Add ``naming_stems`` and ``naming_status``: distinct five-letter stems of known forms found and of the ten most frequent variants."""
+def naming_forms(keyword: str, forms: list[str]) -> Column:
+    """``array<struct<n, form, known>>``: known forms found, with overlapping places, and of the ten most frequent words with the keyword's stem those not known.
+
+    The most frequent first, of equals in order.
+    """
     stem = keyword.lower()[: max(6, len(keyword) * 6 // 10)]
-    rows = rows.withColumn("__v", F.filter(F.regexp_extract_all("low", F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: w.startswith(stem)))
-    ranked = F.array_sort(F.transform(F.array_distinct("__v"), lambda v: F.struct((-F.size(F.filter("__v", lambda x: x == v))).alias("n"), v.alias("v"))))
-    known = F.filter(F.array(*[F.lit(f.lower()) for f in forms]), lambda f: F.contains("low", f))
-    stems = F.array_distinct(F.transform(F.concat(known, F.transform(F.slice(ranked, 1, 10), lambda x: x["v"])), lambda v: F.substring(v, 1, 5)))
-    rows = rows.withColumn("naming_stems", F.size(stems).cast("long")).drop("__v")
+    held = list(dict.fromkeys(f.lower() for f in forms))
+    known = F.array(*[F.struct((-F.regexp_count("low", F.lit(f"(?={re.escape(f)})"))).alias("n"), F.lit(f).alias("form"), F.lit(True).alias("known")) for f in held])
+    words = F.filter(F.regexp_extract_all("low", F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: w.startswith(stem))
+    variants = F.transform(F.array_distinct(words), lambda v: F.struct((-F.size(F.filter(words, lambda x: x == v))).alias("n"), v.alias("form"), F.lit(False).alias("known")))
+    others = F.filter(F.slice(F.array_sort(variants), 1, 10), lambda v: ~v["form"].isin(held))
+    return F.array_sort(F.concat(F.filter(known, lambda f: f["n"] < 0), others))
+
+
+def naming_findings(rows: DataFrame, keyword: str, forms: list[str], key: str = "doc_id") -> DataFrame:
+    """``(key, form, n, known)``: the ten most frequent forms of the main entity in each article."""
+    listed = F.slice(naming_forms(keyword, forms), 1, 10)
+    return rows.select(key, F.explode(listed).alias("f")).select(key, "f.form", (-F.col("f.n")).cast("long").alias("n"), "f.known")
+
+
+def with_naming(rows: DataFrame, keyword: str, forms: list[str]) -> DataFrame:
+    """Add ``naming_stems`` and ``naming_status``: distinct five-letter stems of the forms of the main entity."""
+    stems = F.array_distinct(F.transform(naming_forms(keyword, forms), lambda f: F.substring(f["form"], 1, 5)))
+    rows = rows.withColumn("naming_stems", F.size(stems).cast("long"))
     return rows.withColumn("naming_status", graded(F.col("naming_stems") <= 3, F.col("naming_stems") <= 5))
 
 
@@ -158,11 +204,16 @@ def with_salience(rows: DataFrame, keyword: str, expected: list[str], share: flo
     return rows.withColumn("salience_points", count_of(strict + [F.col(f"{c}_status") != "fail" for c in ("subject", "early")]))
 
 
-def compliance_score(rows: DataFrame, weights: dict[str, int], budgets: list[tuple[str, int, int]], n_pairs: int, n_triples: int, n_causal: int, key: str = "doc_id") -> DataFrame:
-    """``(key, component scores, score)`` of rows that carry the columns of the checks: their weighted mean, 0 to 100."""
-    counts = [(occurrences(F.col("low"), F.lit(p)), low, high) for p, low, high in budgets]
-    fine = count_of([(n >= low) & (n <= high) for n, low, high in counts])
-    over = count_of([n > high for n, _, high in counts])
+def compliance_score(rows: DataFrame, weights: dict[str, int], budgets: list[tuple[str, int, int]], n_pairs: int, n_triples: int, n_causal: int, reason: Callable[[Column], Column] | None = None, key: str = "doc_id") -> DataFrame:
+    """``(key, component scores, score)`` of rows that carry the columns of the checks: their weighted mean, 0 to 100.
+
+    Grams of ``budgets`` against which a ``reason`` speaks are left out and the rest counted anew; the optimizer folds these conditions to constants.
+    """
+    sound = lambda p: reason(F.lit(p)).isNull() if reason else F.lit(True)
+    counts = [(occurrences(F.col("low"), F.lit(p)), sound(p), low, high) for p, low, high in budgets]
+    kept = F.greatest(count_of([ok for _, ok, _, _ in counts]), F.lit(1))
+    fine = count_of([ok & (n >= low) & (n <= high) for n, ok, low, high in counts])
+    over = count_of([ok & (n > high) for n, ok, _, high in counts])
     named = F.when(F.col("named_pct").between(35, 55), 100.0).otherwise(F.greatest(F.lit(0.0), 100 - 2 * F.abs(F.col("named_pct") - 45)))
     nominal = F.least(F.lit(100.0), F.col("nominal_pct") / 15 * 100)
     parts = {
@@ -171,7 +222,7 @@ def compliance_score(rows: DataFrame, weights: dict[str, int], budgets: list[tup
         "causal": F.col("causal_covered") / n_causal * 60 + F.col("causal_explained") / n_causal * 40,
         "pairs": F.col("pairs_found") / n_pairs * 100,
         "variety": (named + nominal) / 2,
-        "grams": F.greatest(F.lit(0.0), fine / len(budgets) * 100 - 10 * over),
+        "grams": F.greatest(F.lit(0.0), fine / kept * 100 - 10 * over),
         "opening": F.col("opening_points") / 4 * 100,
         "facts": F.col("facts_pct"),
     }

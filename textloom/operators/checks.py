@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,11 +31,12 @@ def char_hits(docs: DataFrame, chars: str, key: str = "doc_id", text: str = "tex
     return docs.select(key, (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long").alias("n")).filter("n > 0")
 
 
-def opener_hits(sents: DataFrame, openers: list[str], key: str = "doc_id") -> DataFrame:
-    """``(key, opener, n)``: sentences by the first listed opener with which they start."""
-    low = F.lower("sentence")
-    first = F.coalesce(*[F.when(low.startswith(o.lower()), F.lit(o.lower())) for o in openers])
-    return sents.withColumn("opener", first).filter("opener IS NOT NULL").groupBy(key, "opener").agg(F.count(F.lit(1)).alias("n"))
+def opener_hits(docs: DataFrame, openers: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, opener, n)``: sentences by the first listed opener with which they start, counted in the text's own row."""
+    low = [o.lower() for o in openers]
+    starts = F.transform(F.split(F.lower(F.col(text)), r"[.!?]+\s+"), lambda s: F.coalesce(*[F.when(F.trim(s).startswith(o), F.lit(o)) for o in low]))
+    counts = F.array(*[F.struct(F.lit(o).alias("opener"), F.size(F.filter("starts", lambda s: s == o)).cast("long").alias("n")) for o in dict.fromkeys(low)])
+    return docs.select(key, starts.alias("starts")).select(key, F.explode(counts).alias("c")).select(key, "c.*").filter("n > 0")
 
 
 def entity_coverage(docs: DataFrame, required: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,21 +47,19 @@ def entity_coverage(docs: DataFrame, required: list[str], key: str = "doc_id", t
 
 
 def uniform_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, pos, n)``: four paragraphs in a row with as many sentences each."""
-    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "par")).filter(F.trim("par") != "")
-    rows = rows.withColumn("n", F.size(F.filter(F.split("par", r"[.!?]+"), lambda s: F.trim(s) != "")).cast("long"))
-    w = Window.partitionBy(key).orderBy("pos")
-    for k in (1, 2, 3):
-        rows = rows.withColumn(f"n{k}", F.lead("n", k).over(w))
-    return rows.filter("n = n1 AND n = n2 AND n = n3").select(key, F.col("pos").cast("long").alias("pos"), "n")
+    """``(key, pos, n)``: four paragraphs in a row with as many sentences each, found in the text's own row."""
+    sentences = lambda p: F.size(F.filter(F.split(p, r"[.!?]+"), lambda s: F.trim(s) != "")).cast("long")
+    counted = F.transform(F.split(text, "\n"), lambda p, i: F.when(F.trim(p) != "", F.struct(i.cast("long").alias("pos"), sentences(p).alias("n"))))
+    rows = docs.select(key, F.array_compact(counted).alias("p"))
+    even = F.filter("p", lambda x, i: reduce(lambda a, b: a & b, [F.coalesce(F.get("p", i + k)["n"] == x["n"], F.lit(False)) for k in (1, 2, 3)]))
+    return rows.select(key, F.explode(even).alias("e")).select(key, "e.pos", "e.n")
 
 
 def list_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = r"^\s*(?:[-*|]|\d+[.)])\s?") -> DataFrame:
-    """``(key, groups, items)``: runs of consecutive list lines."""
-    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("item", F.col("line").rlike(mark))
-    rows = rows.withColumn("before", F.lag("item", 1, False).over(Window.partitionBy(key).orderBy("pos")))
-    found = rows.groupBy(key).agg(F.count_if(F.col("item") & ~F.col("before")).alias("groups"), F.count_if("item").alias("items"))
-    return found.filter("items > 0")
+    """``(key, groups, items)``: runs of consecutive list lines, counted in the text's own row."""
+    rows = docs.select(key, F.transform(F.split(text, "\n"), lambda x: x.rlike(mark)).alias("item"))
+    first = F.filter("item", lambda x, i: x & ~F.coalesce(F.when(i > 0, F.get("item", i - 1)), F.lit(False)))
+    return rows.select(key, F.size(first).cast("long").alias("groups"), F.size(F.filter("item", lambda x: x)).cast("long").alias("items")).filter("items > 0")
 
 
 def style_score(docs: DataFrame, forbidden: list[str], openers: list[str], banned: list[str], chars: str, stop: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,22 +2,147 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from textloom.operators.grams import ranked
+
+WORD = regex.compile(r"\p{L}+")
+#: Where a sentence and where a paragraph ends.
+SENTENCE = re.compile(r"[.!?]+[ \t\n\f\r]+")
+PARAGRAPH = re.compile(r"\n[ \t\n\f\r]*\n")
+#: What ``match_entities`` adds to the keys of a text.
+PLACES = {"pos": pa.int64(), "n_words": pa.int64(), "start_char": pa.int64(), "end_char": pa.int64(), "sentence": pa.int64(), "paragraph": pa.int64(), "phrase": pa.string(), "etype": pa.string(), "surface": pa.string(), "context": pa.string(), "sentence_text": pa.string(), "paragraph_chars": pa.int64()}
+_DDL = ", ".join(f"{c} {'string' if k == pa.string() else 'bigint'}" for c, k in PLACES.items())
+
+
+class PhraseAutomaton:
+    """All phrases of a gazetteer in one walk over a text's words: a trie of words with the links of Aho and Corasick."""
+
+    def __init__(self, phrases: list[tuple[str, str]]):
+        self.go: list[dict[str, int]] = [{}]
+        self.out: list[list[tuple[int, str, str]]] = [[]]
+        for phrase, etype in phrases:
+            at, words = 0, WORD.findall(phrase.lower())
+            for w in words:
+                if w not in self.go[at]:
+                    self.go[at][w] = len(self.go)
+                    self.go.append({})
+                    self.out.append([])
+                at = self.go[at][w]
+            if words:
+                self.out[at].append((len(words), phrase, etype))
+        self.fail = [0] * len(self.go)
+        waiting = deque(self.go[0].values())
+        while waiting:
+            at = waiting.popleft()
+            for w, child in self.go[at].items():
+                back = self.fail[at]
+                while back and w not in self.go[back]:
+                    back = self.fail[back]
+                self.fail[child] = self.go[back].get(w, 0) if self.go[back].get(w, 0) != child else 0
+                self.out[child] = self.out[child] + self.out[self.fail[child]]
+                waiting.append(child)
+
+    def find(self, words: list[str]) -> list[tuple[int, int, str, str]]:
+        """(first word, words, phrase, kind) of every place."""
+        at, found = 0, []
+        for i, w in enumerate(words):
+            while at and w not in self.go[at]:
+                at = self.fail[at]
+            at = self.go[at].get(w, 0)
+            found += [(i - n + 1, n, phrase, etype) for n, phrase, etype in self.out[at]]
+        return found
+
+
+def widest(found: list[tuple]) -> list[tuple]:
+    """Places (first word, words, ...) that no longer one holds, in order."""
+    kept, reach = [], -1
+    for place in sorted(found, key=lambda f: (f[0], -f[1], *f[2:])):
+        end = place[0] + place[1]
+        if end > reach or (kept and kept[-1][:2] == place[:2]):
+            kept.append(place)
+        reach = max(reach, end)
+    return kept
 
-def match_entities(toks: DataFrame, gazetteer: DataFrame, longest: int = 4) -> DataFrame:
-    """``(topic_id, src_idx, doc_id, pos, phrase, etype)``: each place where a phrase of ``gazetteer(phrase, etype)`` stands.
 
-    Word runs of up to ``longest`` words meet the phrases by an equal-key join; its strategy is left to the
-    optimizer, since a gazetteer may be of any size. ``pos`` counts words from 0.
+def _described(text: str, found: list[tuple], around: int) -> Iterator[tuple]:
+    """The columns of ``PLACES`` for places in a text; without ``around`` no context and no sentence."""
+    words = [m.span() for m in WORD.finditer(text)]
+    units = []
+    for pattern in (SENTENCE, PARAGRAPH):
+        marks = [m.span() for m in pattern.finditer(text)]
+        units.append(([0, *(b for _, b in marks)], [*(a for a, _ in marks), len(text)]))
+    for first, n, phrase, etype in found:
+        start, end = words[first][0], words[first + n - 1][1]
+        (sentences, stops), (paragraphs, rests) = units
+        s, p = bisect_right(sentences, start) - 1, bisect_right(paragraphs, start) - 1
+        context = text[max(0, start - around) : end + around] if around else None
+        yield first, n, start, end, s, p, phrase, etype, text[start:end], context, text[sentences[s] : stops[s]].strip(" ")[:200] if around else None, rests[p] - paragraphs[p]
+
+
+def match_entities(sources: DataFrame, gazetteer: DataFrame, around: int = 0, limit: int | None = None, least_chars: int = 100, least: int = 2, most: int = 100, whole_table: int = 200_000) -> DataFrame:
+    """Each place where a phrase of ``gazetteer(phrase, etype)`` stands in ``sources(topic_id, src_idx, doc_id, content)``.
+
+    ``(topic_id, src_idx, doc_id, pos, n_words, start_char, end_char, sentence, paragraph, phrase, etype, surface, context,
+    sentence_text, paragraph_chars)``: ``pos`` counts words, ``start_char`` and ``end_char`` characters from 0, the others sentences and paragraphs; context
+    (``around`` characters on either side) and sentence are null without ``around``. Words are letter runs in any
+    case; of places within each other the longest stays, places that only overlap stay both. Texts under ``least_chars`` and phrases outside
+    ``least`` to ``most`` characters are left out; ``limit`` cuts texts.
+
+    A gazetteer of at most ``whole_table`` phrases is an automaton that walks each text once; of a larger one only the lengths are
+    gathered, and runs of those lengths meet the phrases by an equal-key join.
     """
-    width = F.col("width")
-    rows = toks.withColumn("width", F.explode(F.array(*[F.lit(k) for k in range(1, longest + 1)]))).filter(F.size("words") >= width)
-    runs = F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.array_join(F.slice("words", i, width), " "))
-    rows = rows.select("topic_id", "src_idx", "doc_id", F.posexplode(runs).alias("pos", "phrase"))
-    return rows.join(gazetteer, "phrase").select("topic_id", "src_idx", "doc_id", "pos", "phrase", "etype")
+    phrases = gazetteer.filter(F.length("phrase").between(least, most)).select("phrase", "etype").distinct()
+    text = F.col("content") if limit is None else F.substring("content", 1, limit)
+    rows = sources.filter(F.length("content") >= least_chars).select("topic_id", "src_idx", "doc_id", text.alias("content"))
+    listed = [(r.phrase, r.etype) for r in phrases.limit(whole_table + 1).collect()]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
+    if len(listed) <= whole_table:
+        automaton = PhraseAutomaton(sorted(listed, key=repr))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _places(batches, lambda words: widest(automaton.find(words)), around)
+
+        return rows.mapInArrow(run, f"{schema}, {_DDL}")
+    key = F.array_join(F.regexp_extract_all(F.lower("phrase"), F.lit(r"(\p{L}+)"), F.lit(1)), " ")
+    keyed = phrases.select(key.alias("key"), "phrase", "etype").filter("key <> ''")
+    lengths = sorted(r.n for r in keyed.select(F.size(F.split("key", " ")).alias("n")).distinct().collect())
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _places(batches, lambda words: [(i, n, " ".join(words[i : i + n]), None) for n in lengths for i in range(len(words) - n + 1)], around)
+
+    met = rows.mapInArrow(runs, f"{schema}, {_DDL}").withColumnRenamed("phrase", "key").drop("etype").join(keyed.select("key").distinct(), "key")
+    before = Window.partitionBy("topic_id", "src_idx", "doc_id").orderBy("pos", F.desc("n_words")).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("pos") + F.col("n_words")
+    kept = met.withColumn("reach", F.coalesce(F.max(end).over(before), F.lit(-1))).filter(F.col("reach") < end)
+    return kept.join(keyed, "key").select("topic_id", "src_idx", "doc_id", *PLACES)
+
+
+def _places(batches: Iterator[pa.RecordBatch], found_in: Callable[[list[str]], list[tuple]], around: int, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PLACES`` for what ``found_in`` finds in the words of each text, ``size`` or a text's at a time."""
+    for batch in batches:
+        at, rows = [], []
+        for k, content in enumerate(batch.column(3)):
+            text = content.as_py()
+            if found := found_in([w.lower() for w in WORD.findall(text)]):
+                rows += _described(text, found, around)
+                at += [k] * (len(rows) - len(at))
+            if rows and (len(rows) >= size or k + 1 == batch.num_rows):
+                keys = [batch.column(i).take(pa.array(at, type=pa.int64())) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, type=t) for c, t in zip(zip(*rows), PLACES.values())]], names=[*batch.schema.names[:3], *PLACES])
+                at, rows = [], []
+        if rows:
+            keys = [batch.column(i).take(pa.array(at, type=pa.int64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, type=t) for c, t in zip(zip(*rows), PLACES.values())]], names=[*batch.schema.names[:3], *PLACES])
 
 
 def entity_stats(mentions: DataFrame, n_sources: DataFrame, priority: tuple = ("PERSON", "ORGANIZATION", "PRODUCT"), limit: int = 50) -> DataFrame:
@@ -31,17 +156,47 @@ def entity_stats(mentions: DataFrame, n_sources: DataFrame, priority: tuple = ("
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def cooccurrence(sents: DataFrame, phrases: list[str], least: int = 2, limit: int = 20) -> DataFrame:
-    """``(topic_id, a, b, n, strength, rank)``: unordered pairs of phrases in one sentence.
+def first_contexts(rows: DataFrame, keys: list[str], context: str, order: Column, n: int = 3) -> DataFrame:
+    """``(keys, contexts)``: the first ``n`` different contexts of each key by ``order``.
 
-    A sentence's pairs come from the listed phrases that it holds, so their number is bounded by the
-    list; ``sents(topic_id, sentence)`` is never joined with itself.
+    Equal contexts are combined before the shuffle, and the rank limit drops all but ``n`` of a key in each partition, so no list
+    is longer than ``n`` however often a key occurs.
     """
-    low = F.lower("sentence")
-    found = F.filter(F.array(*[F.lit(p) for p in sorted({q.lower() for q in phrases})]), lambda p: F.contains(low, p))
-    rows = sents.select("topic_id", found.alias("f")).filter("size(f) > 1")
-    pairs = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    rows = rows.select("topic_id", F.explode(pairs).alias("p")).groupBy("topic_id", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.filter(F.col("n") >= least).withColumn("strength", F.round(F.least(F.lit(1.0), 3 * F.col("n") / 50), 6))
-    order = Window.partitionBy("topic_id").orderBy(F.desc("n"), "a", "b")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    each = rows.filter(F.col(context).isNotNull()).groupBy(*keys, context).agg(F.min(order).alias("__at"))
+    nearest = each.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy("__at", context))).filter(F.col("__rank") <= n)
+    return nearest.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", F.col(context).alias("c")))), lambda x: x["c"]).alias("contexts"))
+
+
+def entity_details(mentions: DataFrame, n: int = 3) -> DataFrame:
+    """``(topic_id, phrase, etype, surface, freq_min, freq_median, freq_max, contexts)`` of mentions with contexts.
+
+    The first way of writing by source and place, the range of the counts of sources with the floor of their median, and ``n`` contexts.
+    """
+    keys = ["topic_id", "phrase", "etype"]
+    place = F.struct("src_idx", "doc_id", "start_char")
+    per = mentions.groupBy(*keys, "src_idx").agg(F.count(F.lit(1)).alias("n"), F.min_by("surface", place).alias("surface"))
+    ranges = per.groupBy(*keys).agg(F.min_by("surface", "src_idx").alias("surface"), F.min("n").alias("freq_min"), F.floor(F.percentile("n", F.lit(0.5))).alias("freq_median"), F.max("n").alias("freq_max"))
+    return ranges.join(first_contexts(mentions, keys, "context", place, n), keys, "left")
+
+
+def cooccurrence(mentions: DataFrame, entities: DataFrame, n_sources: DataFrame, least_chars: int = 50, limit: int = 20) -> DataFrame:
+    """``(topic_id, a, b, n, paragraphs, sources, strength, context, rank)``: unordered pairs of ``entities(topic_id, phrase)`` in one sentence or paragraph.
+
+    Of ``mentions`` with sentences; paragraphs under ``least_chars`` are left out. A pair needs two places in a topic of over four sources, else one. Entities
+    come from a ranked list, so a sentence's pairs are bounded by that list, whatever its length; no sentence meets another one.
+    """
+    kept = mentions.join(entities.select("topic_id", "phrase").distinct(), ["topic_id", "phrase"])
+    text = ["topic_id", "src_idx", "doc_id"]
+
+    def pairs(rows: DataFrame, unit: str, *more: Column) -> DataFrame:
+        held = rows.groupBy(*text, unit).agg(F.array_sort(F.collect_set("phrase")).alias("f"), *more).filter("size(f) > 1")
+        each = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        return held.withColumn("p", F.explode(each))
+
+    near = pairs(kept, "sentence", F.min("sentence_text").alias("sentence_text")).groupBy("topic_id", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_idx").alias("sources"), F.min_by("sentence_text", F.struct("src_idx", "doc_id", "sentence")).alias("context"))
+    wide = pairs(kept.filter(F.col("paragraph_chars") >= least_chars), "paragraph").groupBy("topic_id", "p.a", "p.b").agg(F.count(F.lit(1)).alias("paragraphs"))
+    rows = near.join(wide, ["topic_id", "a", "b"], "full").fillna(0, ["n", "sources", "paragraphs"]).join(n_sources.select("topic_id", "n_sources"), "topic_id")
+    rows = rows.filter(F.col("n") + F.col("paragraphs") >= F.when(F.col("n_sources") <= 4, 1).otherwise(2))
+    spread = F.when(F.col("sources") >= 2, 1 + 0.2 * F.col("sources")).otherwise(1.0)
+    rows = rows.withColumn("strength", F.round(F.least(F.lit(1.0), (3 * F.col("n") + F.col("paragraphs")) * spread / 50), 6)).drop("n_sources")
+    return ranked(rows, limit, F.desc("strength"), "a", "b")

@@ -92,3 +92,10 @@ def parse_budgets(lines: DataFrame) -> DataFrame:
     got = got.when(line.rlike(single), made(F.regexp_extract(line, single, 1), F.lit(1), F.regexp_extract(line, single, 2)))
     rows = lines.select("topic_id", "pos", got.otherwise(made(line, F.lit(1), F.lit(99))).alias("b")).filter("b.phrase <> ''")
     return rows.groupBy("topic_id", "b.phrase").agg(F.max_by("b", "pos").alias("b")).select("topic_id", "phrase", "b.low", "b.high")
+
+
+def key_path(causal: DataFrame, plain: tuple[str, ...] = ("causes", "leads_to")) -> DataFrame:
+    """``(topic_id, path)`` of ``mark_chains``: a topic's first link of a chain, else its first link, by confidence, with the relation unless it is a ``plain`` one."""
+    first = causal.groupBy("topic_id").agg(F.min(F.struct((~F.col("is_chain")).alias("lone"), (-F.col("confidence")).alias("c"), "cause", "effect", "relation")).alias("b"))
+    middle = F.when(~F.col("b.relation").isin(*plain) & (F.col("b.relation") != ""), F.col("b.relation"))
+    return first.select("topic_id", F.concat_ws(" → ", "b.cause", middle, "b.effect").alias("path"))

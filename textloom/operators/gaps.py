@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -9,7 +10,8 @@ from pyspark.sql import Window
 from textloom.operators import text as page_text
 from textloom.operators.grams import ranked
 from textloom.operators.headings import words_of
-from textloom.operators.vectors import cosine
+from textloom.operators.lineage import materialise
+from textloom.operators.vectors import cosine, dot
 
 
 def content_words(text: Column, stop: list[str]) -> Column:
@@ -53,12 +55,27 @@ def gap_subtopic(queries: DataFrame, headings: DataFrame, keyword: str, stop: li
     return without_heading(rows.filter(F.array_join("words", " ") != " ".join(own)), headings, stop).select("topic_id", "id")
 
 
-def merge_gaps(gaps: DataFrame, stop: list[str], limit: int = 15) -> DataFrame:
-    """``(topic_id, rank, id, priority)``: gaps with equal first three content words once, the high ones first."""
+def heading_of(question: Column, leads: list[str]) -> Column:
+    """A question as a heading: without its marks and a leading word of ``leads``, with a capital."""
+    bare = F.trim(F.regexp_replace(question, r"\?+\s*$", ""))
+    if leads:
+        bare = F.regexp_replace(bare, rf"(?i)^(?:{'|'.join(leads)})\s+", "")
+    return F.concat(F.upper(bare.substr(1, 1)), bare.substr(2, 1 << 30))
+
+
+def merge_gaps(gaps: DataFrame, stop: list[str], limit: int = 15, leads: list[str] = [], suggest: int = 3, kinds: tuple[str, ...] = ("unanswered", "subtopic")) -> DataFrame:
+    """``(topic_id, rank, id, kind, priority, heading, suggested)`` of ``gaps(topic_id, id, kind, question, priority)``.
+
+    Gaps with equal first three content words once, the high ones first; the heading form of each, and whether it is one of the
+    first ``suggest`` high ones of ``kinds``. A gap without content words is none.
+    """
     level = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
-    rows = gaps.withColumn("norm", F.array_join(F.slice(content_words(F.col("question"), stop), 1, 3), " "))
-    rows = rows.groupBy("topic_id", "norm").agg(F.min(F.struct(level.alias("level"), "id", "priority")).alias("g"))
-    return ranked(rows.select("topic_id", "g.*"), limit, F.asc("level"), F.asc("id")).select("topic_id", "rank", "id", "priority")
+    rows = gaps.withColumn("norm", F.array_join(F.slice(content_words(F.col("question"), stop), 1, 3), " ")).filter("norm <> ''")
+    rows = rows.groupBy("topic_id", "norm").agg(F.min(F.struct(level.alias("level"), "id", "kind", "priority", "question")).alias("g"))
+    rows = ranked(rows.select("topic_id", "g.*"), limit, F.asc("level"), F.asc("id"), F.asc("kind"))
+    asked = (F.col("level") == 0) & F.col("kind").isin(*kinds)
+    place = F.sum(asked.cast("int")).over(Window.partitionBy("topic_id").orderBy("rank"))
+    return rows.select("topic_id", "rank", "id", "kind", "priority", heading_of(F.col("question"), leads).alias("heading"), (asked & (place <= suggest)).alias("suggested"))
 
 
 def topic_class(text: Column, lists: dict[str, list[str]]) -> Column:
@@ -69,30 +86,69 @@ def topic_class(text: Column, lists: dict[str, list[str]]) -> Column:
     return F.when(best["hits"] > 0, F.struct(best["class"].alias("class"), F.round(F.least(F.lit(1.0), best["hits"] / 3), 4).alias("confidence")))
 
 
-def semantic_gaps(vectors: DataFrame, limit: int = 15, block: int = 64) -> DataFrame:
+def covered_shares(cands: DataFrame, rows: DataFrame, sizes: DataFrame, above: float, block: int) -> DataFrame:
+    """``(label, cand, hits)``: how many of ``rows(label, vec_id, unit)`` of its label have a cosine over ``above`` with each candidate.
+
+    Both sides of a label are dealt to blocks of about ``block`` vectors and every pair of blocks is one product of matrices, so a task holds two
+    blocks whatever the label's size; only counts leave it. ``sizes(label, n_rows, n_cands)`` tells how many blocks there are.
+    """
+    dealt = sizes.select("label", F.ceil(F.col("n_rows") / block).cast("int").alias("parts"), F.ceil(F.col("n_cands") / block).cast("int").alias("chunks"))
+    spread = lambda df, own, all_of: df.join(dealt, "label").withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(own + "s")).cast("int")).withColumn(all_of, F.explode(F.sequence(F.lit(0), F.col(all_of + "s") - 1)))
+    columns = ["label", "part", "chunk", "asked", "vec_id", "unit"]
+    left = spread(cands.select("label", "vec_id", "unit"), "chunk", "part").withColumn("asked", F.lit(True)).select(columns)
+    right = spread(rows.select("label", "vec_id", "unit"), "part", "chunk").withColumn("asked", F.lit(False)).select(columns)
+    kinds = [f"{c} {rows.schema[s].dataType.simpleString()}" for c, s in (("label", "label"), ("cand", "vec_id"))]
+
+    def product(block_rows: pa.Table) -> pa.Table:
+        asked = block_rows.column("asked").to_numpy()
+        units = block_rows.column("unit").combine_chunks()
+        matrix = units.flatten().to_numpy().reshape(len(units), -1)
+        hits = (matrix[asked] @ matrix[~asked].T > above).sum(axis=1)
+        mine = block_rows.filter(pa.array(asked))
+        return pa.table({"label": mine.column("label"), "cand": mine.column("vec_id"), "hits": pa.array(hits, type=pa.int64())})
+
+    partial = left.unionByName(right).groupBy("label", "part", "chunk").applyInArrow(product, f"{', '.join(kinds)}, hits bigint")
+    return partial.groupBy("label", "cand").agg(F.sum("hits").alias("hits"))
+
+
+def semantic_gaps(vectors: DataFrame, limit: int = 15, first: int = 64, block: int = 2048) -> DataFrame:
     """``(label, vec_id, sim, coverage, score, priority, rank)``: vectors near the keyword vector, the smallest id, that few others cover.
 
-    A score is at most the similarity to the keyword, so vectors under 0.15 are out. The others are read in blocks of
-    falling similarity, each against all vectors of its topic, until no similarity left can reach the last rank: the result
-    is that of all vectors, and a join gives each vector ``block`` rows at most.
+    A score is at most the similarity to the keyword, so vectors under 0.15 are out. The others are taken in ranges of falling
+    similarity, about ``first`` of a label and then twice as many as before, each against all vectors of its label in blocks, until
+    no similarity left in the label can reach its last rank: the result is that of all vectors. What a range finds is written before
+    the next one. At worst, where vectors cover each other so well that no rank is reached, all pairs of a label are multiplied, in as many
+    rounds as the logarithm of its size.
     """
     key = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("key"), F.min("vec_id").alias("first"))
-    rows = vectors.join(key, "label").filter("vec_id <> first").select("label", "vec_id", "embedding", cosine(F.col("embedding"), F.col("key")).alias("sim"))
-    near = rows.filter("sim >= 0.15").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("sim"), "vec_id")))
-    best, step, found = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id"), 0, None
-    while True:
-        part = near.filter((F.col("k") > step * block) & (F.col("k") <= (step + 1) * block)).select("label", F.col("vec_id").alias("cand"), F.col("embedding").alias("c"), "sim")
-        others = part.join(rows.select("label", "vec_id", "embedding"), "label").filter("vec_id <> cand")
-        cover = others.groupBy("label", "cand").agg(F.avg(F.when(cosine(F.col("c"), F.col("embedding")) > 0.55, 1.0).otherwise(0.0)).alias("cov"))
-        scored = part.drop("c").join(cover, ["label", "cand"], "left").select("label", F.col("cand").alias("vec_id"), "sim", F.coalesce("cov", F.lit(0.5)).alias("coverage"))
-        scored = scored.withColumn("score", F.col("sim") * (1 - F.col("coverage")))
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    unit = F.transform("embedding", lambda x: F.when(F.col("norm") > 0, x.cast("double") / F.col("norm")).otherwise(0.0))
+    rows = vectors.join(key, "label").filter("vec_id <> first").withColumns({"sim": cosine(F.col("embedding"), F.col("key")), "norm": norm})
+    rows = materialise(rows.select("label", "vec_id", "sim", unit.alias("unit"), (F.col("norm") > 0).cast("long").alias("itself")))
+    bins = rows.filter("sim >= 0.15").groupBy("label", F.floor(F.col("sim") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("label").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = bins.withColumn("turn", F.floor(F.log2(F.coalesce(F.sum("n").over(before), F.lit(0)) / first + 1)).cast("int"))
+    near = rows.filter("sim >= 0.15").withColumn("bin", F.floor(F.col("sim") * 1000)).join(ranges.drop("n"), ["label", "bin"]).drop("bin")
+    ranges = materialise(ranges)
+    near, totals = materialise(near), rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    open_labels, found = ranges.select("label").distinct(), None
+    best = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
+    for turn in sorted(r.turn for r in ranges.select("turn").distinct().collect()):
+        cands = near.filter(F.col("turn") == turn).join(open_labels, "label", "left_semi")
+        sizes = materialise(cands.groupBy("label").agg(F.count(F.lit(1)).alias("n_cands")).join(totals, "label"))
+        hits = covered_shares(cands, rows.join(sizes.select("label"), "label", "left_semi"), sizes, 0.55, block)
+        scored = cands.join(sizes, "label").join(hits.withColumnRenamed("cand", "vec_id"), ["label", "vec_id"])
+        coverage = F.when(F.col("n_rows") > 1, (F.col("hits") - F.col("itself")) / (F.col("n_rows") - 1)).otherwise(0.5)
+        scored = scored.select("label", "vec_id", "sim", coverage.alias("coverage")).withColumn("score", F.col("sim") * (1 - F.col("coverage")))
         found = scored if found is None else found.unionByName(scored)
-        found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).drop("rank")
+        found = materialise(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).drop("rank"))
         bar = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-        left = near.filter(F.col("k") == (step + 1) * block + 1).join(bar, "label", "left")
-        if left.filter((F.coalesce("n", F.lit(0)) < limit) | (F.col("sim") >= F.greatest("least", F.lit(0.15)))).isEmpty():
+        left = ranges.filter(F.col("turn") > turn).groupBy("label").agg(((F.max("bin") + 1) / 1000).alias("most")).join(bar, "label", "left")
+        open_labels = materialise(left.filter((F.coalesce("n", F.lit(0)) < limit) | (F.col("most") >= F.greatest("least", F.lit(0.15)))).select("label"))
+        if open_labels.isEmpty():
             break
-        step += 1
+    if found is None:
+        found = near.select("label", "vec_id", "sim", F.lit(0.5).alias("coverage"), F.col("sim").alias("score"))
     rows = found.filter("score >= 0.15").withColumn("rank", F.row_number().over(best))
     level = F.when((F.col("coverage") < 0.25) & (F.col("sim") > 0.5), "high").when((F.col("coverage") < 0.5) & (F.col("sim") > 0.4), "medium").otherwise("low")
     return rows.select("label", "vec_id", F.round("sim", 6).alias("sim"), F.round("coverage", 6).alias("coverage"), F.round("score", 6).alias("score"), level.alias("priority"), F.col("rank").cast("long").alias("rank"))
@@ -162,6 +218,46 @@ def sequence_hits(toks: DataFrame, phrases: list[str], key: str = "doc_id") -> D
     return toks.select(key, F.explode(F.array(*[places(p) for p in phrases])).alias("h")).select(key, "h.*").filter("n > 0")
 
 
+def lemma_matches(toks: DataFrame, budgets: list[tuple[str, int]], lemmas: dict[str, str] | None = None, wider: int = 2, key: str = "doc_id") -> DataFrame:
+    """``(key, phrase, exact, fuzzy)`` of ``toks(key, words)`` for phrases with the most uses that count.
+
+    Exact places are runs of the phrase's lemmas, overlapping ones too. While fewer than the most are found, windows of the phrase's
+    length and up to ``wider`` more words that hold all its lemmas count too, from the left: the first and shortest that meets neither an
+    exact place nor an earlier window. All is done in the text's own row; a text that lacks a lemma of the phrase is not searched. ``lemmas`` is a
+    short lexicon of written forms; other words are their own lemma.
+    """
+    listed = F.create_map(*[F.lit(x) for pair in sorted((lemmas or {}).items()) for x in pair]) if lemmas else None
+    words = F.transform("words", lambda w: F.coalesce(listed[w], w)) if lemmas else F.col("words")
+    rows = toks.select(key, words.alias("words"))
+
+    def matches(phrase: str, most: int) -> Column:
+        parts = [(lemmas or {}).get(w, w) for w in phrase.lower().split()]
+        k, asked = len(parts), F.array(*[F.lit(w) for w in parts])
+        starts = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k)).otherwise(F.array().cast("array<int>"))
+        exact = F.filter(starts, lambda i: F.slice("words", i + 1, k) == asked)
+        lacks = lambda i, n: F.size(F.array_except(asked, F.slice("words", i + 1, n))) > 0
+
+        def window(i: Column, taken: Column) -> Column:
+            """Length of the shortest window at ``i``, 0 if there is none."""
+            free = lambda n: (i + n <= F.size("words")) & ~lacks(i, n) & ~F.exists(taken, lambda s: (s < i + n) & (s + k > i))
+            found = F.lit(0)
+            for n in range(k + wider, k - 1, -1):
+                found = F.when(free(n), n).otherwise(found)
+            return found
+
+        def searched(taken: Column) -> Column:
+            ends = F.filter(F.transform(F.filter(starts, lambda i: ~lacks(i, k + wider)), lambda i: F.struct(i.alias("at"), window(i, taken).alias("n"))), lambda w: w["n"] > 0)
+            room = F.lit(most) - F.size(taken)
+            take = lambda acc, w: F.when((w["at"] >= acc["free"]) & (acc["n"] < room), F.struct((w["at"] + w["n"]).alias("free"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+            return F.aggregate(ends, F.struct(F.lit(0).alias("free"), F.lit(0).alias("n")), take, lambda acc: acc["n"])
+
+        present = F.size(F.array_except(asked, "words")) == 0
+        nothing = F.struct(F.lit(phrase).alias("phrase"), F.lit(0).cast("long").alias("exact"), F.lit(0).cast("long").alias("fuzzy"))
+        return F.when(present, F.struct(F.lit(phrase).alias("phrase"), F.size(exact).cast("long").alias("exact"), searched(exact).cast("long").alias("fuzzy"))).otherwise(nothing)
+
+    return rows.select(key, F.explode(F.array(*[matches(*b) for b in budgets])).alias("h")).select(key, "h.*").filter("exact + fuzzy > 0")
+
+
 def crosscheck_lines(df: DataFrame, first: str, second: str) -> Column:
     """The first extraction without lines under 50 characters of whose longer words less than half stand in the second.
 
@@ -191,31 +287,49 @@ def flatten_payload(events: DataFrame, text: str = "props", keys: tuple = ("even
     return events.select(*keys, F.explode(F.from_json(text, "map<string,string>")).alias("name", "value"))
 
 
-SERP = "organic_results array<struct<title:string,snippet:string,link:string>>, related_questions array<struct<question:string,snippet:string,link:string>>, answer_box struct<title:string,answer:string,snippet:string,link:string>, ai_overview struct<text:string,snippet:string,sources:array<struct<title:string,link:string>>>, related_searches array<struct<query:string>>"
+def scalar(value: Column, path: str) -> Column:
+    """The text, number or truth value at ``path`` of a variant as text; null for anything else."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(~F.schema_of_variant(found).rlike("^(?:OBJECT|ARRAY|VOID)"), F.try_variant_get(value, path, "string"))
+
+
+def items(value: Column, path: str) -> Column:
+    """The items of a list at ``path`` of a variant; an object in its place is the only one, anything else is none."""
+    found = F.try_variant_get(value, path, "variant")
+    alone = F.when(F.schema_of_variant(found).startswith("OBJECT"), F.array(found))
+    return F.coalesce(F.try_variant_get(value, path, "array<variant>"), alone, F.array().cast("array<variant>"))
 
 
 def flatten_serp(payloads: DataFrame, key: str = "topic_id", text: str = "payload") -> DataFrame:
     """``(key, kind, pos, text, answer, link)``: the five kinds of search signals in a JSON payload; other text gives none.
 
     Results, questions with answers, the answer box (its answer, else its snippet, of 1000 characters), the overview (its
-    text, else its snippet, of 2000, with its first five sources) and ten queries.
+    text, else its snippet, of 2000, with its first five sources) and ten queries. The payload is read as a variant, without a schema: fields may be
+    missing, more or of another type, and every signal that can be told stays; questions and queries may also be plain texts.
     """
-    p = F.from_json(text, SERP)
-    rows = payloads.select(key, p.alias("p"))
+    rows = payloads.select(key, F.try_parse_json(F.col(text)).alias("p"))
+    p = F.col("p")
     row = lambda kind, pos, text, answer, link: F.struct(F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), text.alias("text"), answer.alias("answer"), link.alias("link"))
     none, zero = F.lit(None).cast("string"), F.lit(0)
-    listed = lambda c: F.coalesce(F.col(c), F.array().cast(rows.select(c).schema[0].dataType))
-    organic = F.transform(listed("p.organic_results"), lambda x, i: row("result", i, x["title"], x["snippet"], x["link"]))
-    asked = F.transform(listed("p.related_questions"), lambda x, i: row("question", i, x["question"], x["snippet"], x["link"]))
-    queries = F.filter(F.transform(listed("p.related_searches"), lambda x: x["query"]), lambda q: F.coalesce(q, F.lit("")) != "")
+    organic = F.transform(items(p, "$.organic_results"), lambda x, i: row("result", i, scalar(x, "$.title"), scalar(x, "$.snippet"), scalar(x, "$.link")))
+    asked = F.transform(items(p, "$.related_questions"), lambda x, i: row("question", i, F.coalesce(scalar(x, "$.question"), scalar(x, "$")), scalar(x, "$.snippet"), scalar(x, "$.link")))
+    queries = F.filter(F.transform(items(p, "$.related_searches"), lambda x: F.coalesce(scalar(x, "$.query"), scalar(x, "$"))), lambda q: F.coalesce(q, F.lit("")) != "")
     related = F.transform(F.slice(queries, 1, 10), lambda q, i: row("query", i, q, none, none))
-    box = F.coalesce(F.nullif("p.answer_box.answer", F.lit("")), F.col("p.answer_box.snippet"))
-    over = F.coalesce(F.nullif("p.ai_overview.text", F.lit("")), F.col("p.ai_overview.snippet"))
-    sources = F.array_join(F.transform(F.slice(F.coalesce("p.ai_overview.sources", F.array().cast("array<struct<title:string,link:string>>")), 1, 5), lambda s: s["link"]), " ")
-    single = F.array(F.when(box.isNotNull(), row("answer", zero, F.coalesce("p.answer_box.title", box), F.substring(box, 1, 1000), F.col("p.answer_box.link"))), F.when(over.isNotNull(), row("overview", zero, F.substring(over, 1, 2000), none, sources)))
+    box = F.coalesce(F.nullif(scalar(p, "$.answer_box.answer"), F.lit("")), scalar(p, "$.answer_box.snippet"))
+    over = F.coalesce(F.nullif(scalar(p, "$.ai_overview.text"), F.lit("")), scalar(p, "$.ai_overview.snippet"))
+    sources = F.array_join(F.transform(F.slice(items(p, "$.ai_overview.sources"), 1, 5), lambda s: scalar(s, "$.link")), " ")
+    single = F.array(F.when(box.isNotNull(), row("answer", zero, F.coalesce(scalar(p, "$.answer_box.title"), box), F.substring(box, 1, 1000), scalar(p, "$.answer_box.link"))), F.when(over.isNotNull(), row("overview", zero, F.substring(over, 1, 2000), none, sources)))
     return rows.select(key, F.explode(F.concat(organic, asked, related, F.array_compact(single))).alias("s")).select(key, "s.*").filter("text <> ''")
 
 
-def best_text(html: Column) -> Column:
-    """Main text of a page without artifacts, blanks collapsed, in one projection."""
-    return page_text.finish_text(page_text.strip_artifacts(page_text.html_main_text(html)))
+def best_text(pages: DataFrame, nav: str, stop: list[str], key: str = "page_id", html: str = "html") -> DataFrame:
+    """``(key, content)``: the lines of a page's main text that its paragraphs bear out, without artifacts and navigation, blanks collapsed.
+
+    One stage: main text by lines, checked against the text of ``p`` elements as the second extraction, then clean-up of
+    artifacts and lines.
+    """
+    paragraphs = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), "\n")
+    second = F.regexp_replace(paragraphs, "<[^>]+>", " ")
+    rows = pages.select(key, page_text.html_main_text(F.col(html), lines=True).alias("first"), second.alias("second"))
+    checked = rows.select(key, page_text.strip_artifacts(crosscheck_lines(rows, "first", "second")).alias("text"))
+    return page_text.clean_lines(checked, nav, stop, key).select(key, page_text.finish_text(F.col("text")).alias("content"))

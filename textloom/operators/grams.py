@@ -69,36 +69,72 @@ def gram_stats(grams: DataFrame) -> DataFrame:
     return rows.withColumn("freq_median", F.when(F.size("counts") > 0, half).otherwise(1)).drop("counts")
 
 
+def with_medians(ranked_grams: DataFrame, per: DataFrame, small: bool) -> DataFrame:
+    """Add ``freq_median``, the floor median of the counts of the sources in ``source_counts``, to a few ranked grams; 1 for those of signals alone.
+
+    Only the counts of the ranked grams are ordered, so statistics of all grams need plain sums alone. The join is an inner one and null
+    sources are passed over in the aggregate, so that nothing is pushed below the counts and these are read from the shuffle that the
+    statistics have made. ``small`` says that the caller has checked that the ranked grams can be broadcast.
+    """
+    own = per.join(F.broadcast(ranked_grams) if small else ranked_grams, ["topic_id", "gram"])
+    median = F.floor(F.percentile(F.when(F.col("src_idx").isNotNull(), F.col("n")), F.lit(0.5)))
+    return own.groupBy(*ranked_grams.columns).agg(F.coalesce(median, F.lit(1).cast("long")).alias("freq_median"))
+
+
+def lemma_words(toks: DataFrame, lemmas: dict[str, str]) -> DataFrame:
+    """``tokens`` with the words' lemmas as ``words`` and the words themselves as ``surfaces``; a short lexicon, other words are their own lemma."""
+    listed = F.create_map(*[F.lit(x) for pair in sorted(lemmas.items()) for x in pair])
+    return toks.withColumnRenamed("words", "surfaces").withColumn("words", F.transform("surfaces", lambda w: F.coalesce(listed[w], w)))
+
+
+def with_displays(ranked_grams: DataFrame, toks: DataFrame) -> DataFrame:
+    """Add ``display``, the most frequent way of writing, of equals the first in order, to a few ranked grams of lemmas.
+
+    Of ``lemma_words``; only the places of ranked grams leave a text's row.
+    """
+    sized = ranked_grams.select("topic_id", "gram", F.size(F.split("gram", " ")).alias("n"))
+    lists = sized.groupBy("topic_id").agg(F.collect_set("gram").alias("asked"), F.collect_set("n").alias("lengths"))  # as many as the rank limit
+    at = F.flatten(F.transform("lengths", lambda n: F.transform(F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.array_join(F.slice("words", i, n), " ").alias("gram"), i.alias("i"), n.alias("n")))))
+    found = toks.join(lists, "topic_id").select("topic_id", "surfaces", F.explode(F.filter(at, lambda x: F.array_contains("asked", x["gram"]))).alias("x"))
+    written = found.select("topic_id", "x.gram", F.array_join(F.slice("surfaces", F.col("x.i"), F.col("x.n")), " ").alias("surface"))
+    return ranked_grams.join(gram_displays(written).drop("freq"), ["topic_id", "gram"], "left")
+
+
 def shares_keyword() -> Column:
-    """True where a gram has a word of its topic's keyword."""
-    return F.arrays_overlap(F.split("gram", " "), F.split(F.lower("keyword"), r"\s+"))
+    """True where a gram has a word of its topic's keyword, which is the first thing that ``filter_grams`` splits."""
+    return F.arrays_overlap(F.split("gram", " "), F.col("own_words"))
 
 
-def filter_grams(stats: DataFrame, topics: DataFrame) -> DataFrame:
+def filter_grams(stats: DataFrame, topics: DataFrame, small: bool = False) -> DataFrame:
     """Drop rare grams, and boilerplate of one or of nearly all sources that shares no word with the keyword.
 
-    Of ``topics(topic_id, n_sources, keyword)``; grams that only signals hold stay.
+    Of ``topics(topic_id, n_sources, keyword)``; grams that only signals hold stay. ``small`` says that the caller has checked that ``topics`` can
+    be broadcast; otherwise all grams are shuffled by their topic.
     """
-    rows = stats.join(topics, "topic_id")
+    topics = topics.withColumns({"own_words": F.split(F.lower("keyword"), r"\s+"), "keyword": F.lower("keyword")})
+    rows = stats.join(F.broadcast(topics) if small else topics, "topic_id")
     cover, mean = F.col("sources") / F.col("n_sources"), F.col("freq") / F.greatest("sources", F.lit(1))
     lone = (F.col("sources") <= 1) & (F.col("freq") >= 20)
     plate = (F.col("n_sources") >= 3) & (F.col("sources") >= 2) & (cover >= 0.8) & (mean <= 1.5)
     only = F.col("in_signals") & (F.col("sources") == 0)
-    return rows.filter(((F.col("freq") >= 2) | only) & (shares_keyword() | ~(lone | plate)))
+    return rows.filter(((F.col("freq") >= 2) | only) & (~(lone | plate) | shares_keyword()))
 
 
-def weight_grams(stats: DataFrame, topics: DataFrame) -> DataFrame:
+def weight_grams(stats: DataFrame, topics: DataFrame, small: bool = False) -> DataFrame:
     """Filter grams and weigh them by frequency and spread, more where they hold the keyword or stand in signals.
 
-    The largest frequency of a topic comes from a small aggregation that is joined back, not from a window over the topic.
+    The largest frequency of a topic comes from a small aggregation that is joined back, not from a window over the topic. It reads the other
+    counts too, none of which is larger, so that both readings of ``stats`` share one shuffle.
     """
-    top = stats.groupBy("topic_id").agg(F.max("freq_total").alias("top"))
-    rows = filter_grams(stats, topics.join(top, "topic_id"))
+    stats = stats.filter(F.col("freq_total") >= F.col("freq"))  # of all; both readings ask for both columns
+    lesser = [F.col(c).cast("long") for c in ("freq", "sources", "in_signals", "freq_min", "freq_max")]
+    top = stats.groupBy("topic_id").agg(F.max(F.greatest("freq_total", *lesser)).alias("top"))
+    rows = filter_grams(stats, topics.join(top, "topic_id"), small)
     cover, mean = F.col("sources") / F.col("n_sources"), F.col("freq") / F.greatest("sources", F.lit(1))
     faint = (F.col("n_sources") >= 3) & (F.col("sources") >= 2) & (cover >= 0.6) & (mean <= 1.0) & ~shares_keyword()
-    weight = F.round(0.5 * F.col("freq") / F.col("top") + 0.5 * cover, 4) + F.when(F.contains("gram", F.lower("keyword")), 0.1).otherwise(0.0) + F.when(F.col("in_signals"), 0.08).otherwise(0.0)
+    weight = F.round(0.5 * F.col("freq") / F.col("top") + 0.5 * cover, 4) + F.when(F.contains("gram", "keyword"), 0.1).otherwise(0.0) + F.when(F.col("in_signals"), 0.08).otherwise(0.0)
     weight = F.least(F.lit(1.0), F.when(faint, weight * 0.2).otherwise(weight))
-    return rows.withColumn("weight", F.round(weight, 6)).drop("top", "keyword")
+    return rows.withColumn("weight", F.round(weight, 6)).drop("top", "keyword", "own_words")
 
 
 def ranked(rows: DataFrame, n: int, *order) -> DataFrame:
@@ -106,6 +142,11 @@ def ranked(rows: DataFrame, n: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def numbered(rows: DataFrame, *order) -> DataFrame:
+    """All rows with their place in their topic in a total order."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(*order)))
+
+
 def top_grams(weighted: DataFrame, n: int = 30) -> DataFrame:
     return ranked(weighted, n, F.desc("weight"), F.asc("gram"))
 

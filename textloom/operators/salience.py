@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from textloom.operators.grams import ranked
+from textloom.operators.grams import numbered, ranked
 from textloom.operators.headings import words_of
 from textloom.operators.terms import phrase_key
 
@@ -49,12 +49,31 @@ def topical_entities(mentions: DataFrame, topics: DataFrame, stop: list[str], li
     return rows.select("topic_id", "rank", "key", "display", "variants", "etype", "freq", "sources", "importance")
 
 
-def salience_topical(concepts: DataFrame, sources: DataFrame, headings: DataFrame, topics: DataFrame, early: int = 1500) -> DataFrame:
+def running_position(places: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(topic_id, display, position, early)``: a mean that starts at 1 and takes in the ``first`` places of sources in their order.
+
+    Of ``places(topic_id, display, src_idx, first, early)``. Each step weighs what is so far with one less than the concept's ``sources`` in
+    ``weights`` and the new place with 1. Such steps compose: a place that k others follow counts with the k-th power of the old
+    share, so the mean is a sum that partial aggregation may split, and only places in the order of sources, two numbers a source, meet.
+    """
+    follow = Window.partitionBy("topic_id", "display").orderBy(F.desc("src_idx"))
+    rows = places.withColumn("k", F.row_number().over(follow) - 1).join(weights.select("topic_id", "display", F.greatest(F.col("sources") - 1, F.lit(0)).alias("w")), ["topic_id", "display"])
+    old = F.col("w") / (F.col("w") + 1)
+    sums = rows.groupBy("topic_id", "display", "w").agg(F.sum(F.col("first") / (F.col("w") + 1) * F.pow(old, F.col("k"))).alias("new"), F.count(F.lit(1)).alias("n"), F.sum("early").alias("early"))
+    return sums.select("topic_id", "display", (F.col("new") + F.pow(old, F.col("n"))).alias("position"), "early")
+
+
+def salience_topical(concepts: DataFrame, sources: DataFrame, headings: DataFrame, topics: DataFrame, early: int = 1500, nav: list[str] = [], least_chars: int = 100) -> DataFrame:
     """``(topic_id, display, position, early, in_h1, in_h2, salience, rank)`` of the few ``concepts(topic_id, display, sources)`` of each topic.
 
     A topic's concepts travel as one short array, so sources and headings keep one row each until a concept is
-    found in them. ``position`` is the mean over sources of the first place as a share of a text.
+    found in them. ``position`` is the running mean of the first places as shares of texts of ``least_chars`` or more. Concepts of under three
+    characters, of ``nav`` words alone or with a word that begins with a dot are left out.
     """
+    parts = F.filter(F.split(F.lower("display"), r"[.\s]+"), lambda w: w != "")
+    plain = (F.size(parts) == 0) | (F.size(F.array_except(parts, F.array(*[F.lit(w) for w in nav]).cast("array<string>"))) > 0)
+    concepts = concepts.filter((F.length("display") >= 3) & plain & ~F.col("display").rlike(r"(?:^|\s)\."))
+    sources = sources.filter(F.length("content") >= least_chars)
     listed = concepts.groupBy("topic_id").agg(F.collect_set("display").alias("known"))  # as many as the concepts' rank limit
 
     def holding(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
@@ -63,7 +82,7 @@ def salience_topical(concepts: DataFrame, sources: DataFrame, headings: DataFram
 
     places = holding(sources.withColumn("low", F.lower("content")).withColumn("size", F.length("content")), F.col("low"), "src_idx", "size")
     places = places.groupBy("topic_id", "display", "src_idx").agg(F.min(F.col("at") / F.greatest("size", F.lit(1))).alias("first"), F.max(F.col("at") < early).cast("long").alias("early"))
-    places = places.groupBy("topic_id", "display").agg(F.avg("first").alias("position"), F.sum("early").alias("early"))
+    places = running_position(places, concepts)
     heads = holding(headings.withColumn("low", F.lower("heading")), F.col("low"), "level").groupBy("topic_id", "display").agg(F.count_if(F.col("level") == 1).alias("in_h1"), F.count_if(F.col("level") == 2).alias("in_h2"))
     rows = concepts.join(places, ["topic_id", "display"], "left").join(heads, ["topic_id", "display"], "left").join(topics, "topic_id")
     rows = rows.withColumn("position", F.coalesce("position", F.lit(1.0))).fillna(0, ["early", "in_h1", "in_h2"])
@@ -72,7 +91,7 @@ def salience_topical(concepts: DataFrame, sources: DataFrame, headings: DataFram
     overlap = F.least(F.lit(1.0), F.size(F.array_intersect(words_of(F.col("display")), words)) / F.greatest(F.size(words), F.lit(1)))
     score = 0.25 * F.col("sources") / F.col("n_sources") + 0.2 * (1 - F.col("position")) + 0.15 * share("early") + 0.15 * share("in_h1") + 0.15 * share("in_h2") + 0.1 * overlap
     rows = rows.withColumn("salience", F.round(F.least(F.lit(1.0), score), 6)).withColumn("position", F.round("position", 6))
-    return ranked(rows.drop("rank"), 1000, F.desc("salience"), F.asc("display")).select("topic_id", "display", "position", "early", "in_h1", "in_h2", "salience", "rank")
+    return numbered(rows.drop("rank"), F.desc("salience"), F.asc("display")).select("topic_id", "display", "position", "early", "in_h1", "in_h2", "salience", "rank")
 
 
 def roles_in_sentences(sents: DataFrame, phrases: list[str]) -> DataFrame:
@@ -101,7 +120,7 @@ def salience_roles(mentions: DataFrame, headings: DataFrame, topics: DataFrame)
     score = score + F.when(spread < 0.5, F.least(F.lit(0.05), -0.02 * F.log(spread + 0.01))).otherwise(0.0) + 0.1 * F.least(F.lit(1.0), F.col("early") / F.col("n_sources"))
     score = score + F.when(F.arrays_overlap(words_of(F.col("phrase")), words_of(F.lower("keyword"))), 0.05).otherwise(0.0)
     rows = rows.withColumns({"salience": F.round(F.least(F.lit(1.0), score), 6), "position": F.round("position", 6), "subject_ratio": F.round(ratio, 6)})
-    return ranked(rows, 1000, F.desc("salience"), F.asc("phrase")).select("topic_id", "phrase", "position", "early", "subject_ratio", "in_h1", "in_h2", "salience", "rank")
+    return numbered(rows, F.desc("salience"), F.asc("phrase")).select("topic_id", "phrase", "position", "early", "subject_ratio", "in_h1", "in_h2", "salience", "rank")
 
 
 def early_entities(salience: DataFrame, limit: int = 6, default: int = 70) -> DataFrame:

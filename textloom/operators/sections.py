@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.gaps import content_words
-from textloom.operators.grams import ranked
+from textloom.operators.grams import numbered, ranked
 from textloom.operators.headings import words_of
 
 
@@ -54,8 +54,8 @@ def score_headings(candidates: DataFrame, lists: DataFrame) -> DataFrame:
     Pool 1 holds headings of ``n`` sources, pools 2 to 4 open questions, suggestions and shallow headings. A heading stays in
     its first pool. ``lists(topic_id, grams, entities, related)`` are short arrays; holding one of each adds once.
     """
-    most = F.when(F.col("pool") == 2, 8).when(F.col("pool") == 3, 6).when(F.col("pool") == 4, 5).otherwise(1_000_000)
-    rows = candidates.filter((F.col("k") <= most) & (F.trim("heading") != ""))
+    most = F.when(F.col("pool") == 2, 8).when(F.col("pool") == 3, 6).when(F.col("pool") == 4, 5)
+    rows = candidates.filter((most.isNull() | (F.col("k") <= most)) & (F.trim("heading") != ""))
     first = rows.groupBy("topic_id", F.lower(F.trim("heading")).alias("low")).agg(F.min(F.struct("pool", "k", "heading", "n")).alias("c"))
     rows = first.select("topic_id", "low", "c.*").join(lists, "topic_id", "left")
     holds = lambda c: F.coalesce(F.exists(c, lambda p: F.contains("low", p)), F.lit(False))
@@ -64,7 +64,7 @@ def score_headings(candidates: DataFrame, lists: DataFrame) -> DataFrame:
     rows = rows.withColumns({"base": F.round(base, 3), "boost": F.round(boost, 3), "score": F.round(F.least(F.lit(1.0), base + boost), 3)})
     asked = F.when((F.col("pool") == 2) & ~F.col("heading").endswith("?"), F.concat("heading", F.lit("?"))).otherwise(F.col("heading"))
     rows = rows.withColumn("heading", asked).withColumn("class", F.when(F.col("score") >= 0.65, "must").when(F.col("score") >= 0.4, "high").otherwise("optional"))
-    return ranked(rows, 1_000_000, F.desc("score"), F.asc("pool"), F.asc("k"), F.asc("low")).select("topic_id", "rank", "heading", "pool", "base", "boost", "score", "class")
+    return numbered(rows, F.desc("score"), F.asc("pool"), F.asc("k"), F.asc("low")).select("topic_id", "rank", "heading", "pool", "base", "boost", "score", "class")
 
 
 def raw_fallback(scored: DataFrame, raw: DataFrame) -> DataFrame:
@@ -83,19 +83,49 @@ def assign_to_sections(plan: DataFrame, items: DataFrame, limits: dict[str, int]
     rows = items.join(short, "topic_id").withColumn("fits", F.transform(fits, lambda s: s["section"]))
     rows = rows.withColumn("section", F.explode(F.when(F.col("kind") == "fact", F.slice("fits", 1, 1)).otherwise(F.col("fits"))))
     most = reduce(lambda c, k: c.when(F.col("kind") == k, limits[k]), limits, F.when(F.lit(False), 0)).otherwise(0)
-    numbered = rows.select(F.struct("topic_id", "section", "kind").alias("__g"), "k", "item", most.alias("most")).withColumnRenamed("__g", "topic_id")
-    return ranked(numbered, max(limits.values()), F.asc("k"), F.asc("item")).filter(F.col("rank") <= F.col("most")).select("topic_id.topic_id", "topic_id.section", "topic_id.kind", "rank", "item")
+    asked = rows.select(F.struct("topic_id", "section", "kind").alias("__g"), "k", "item", most.alias("most")).withColumnRenamed("__g", "topic_id")
+    return ranked(asked, max(limits.values()), F.asc("k"), F.asc("item")).filter(F.col("rank") <= F.col("most")).select("topic_id.topic_id", "topic_id.section", "topic_id.kind", "rank", "item")
 
 
-def gap_depth(sections: DataFrame, least: int = 3, short: int = 120, high: int = 80) -> DataFrame:
-    """``(topic_id, heading, sources, mean_words, priority)`` of ``sections(topic_id, src, heading, words)``: headings of several sources with short sections.
+def heading_norm(heading: Column) -> Column:
+    """The lower-case words of a heading."""
+    return F.trim(F.regexp_replace(F.lower(heading), r"[^\p{L}\p{N}]+", " "))
 
-    Headings are told by their lower-case words; sections of ten words or fewer do not count.
+
+def find_sections(texts: DataFrame, headings: DataFrame, longest: int = 50) -> DataFrame:
+    """``(topic_id, src, doc_id, norm, words)``: the size of the section under each heading that a text of its topic holds.
+
+    Of ``texts(topic_id, src, doc_id, text)`` and ``headings(topic_id, norm)``. A heading stands in the first line under 100 characters
+    that shares all its words but one with it, two at least, words of three letters or more; its section are the lines after that, to the next
+    short one (6 to 79 characters) after an empty one, not within the first two, or ``longest - 1`` of them. Lines and headings meet on
+    single words by an equal-key join; a text itself stays in its row, only numbers of words of its lines leave it.
+    """
+    lines = F.transform(F.split(F.lower("text"), "\n"), lambda x: F.trim(x))
+    numbers = F.transform("lines", lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")))
+    breaks = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(F.get("lines", i)).between(6, 79) & (i > 0) & (F.get("lines", i - 1) == ""))
+    rows = texts.withColumn("lines", lines)
+    shapes = rows.select("topic_id", "src", "doc_id", numbers.alias("numbers"), breaks.alias("breaks"))
+    short = rows.select("topic_id", "doc_id", F.posexplode("lines").alias("pos", "line")).filter((F.length("line") < 100) & (F.col("line") != ""))
+    held = short.select("topic_id", "doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"(\p{L}{3,})"), F.lit(1)))).alias("word"))
+    asked = headings.select("topic_id", "norm", F.array_distinct(F.split("norm", " ")).alias("all")).select("topic_id", "norm", F.size("all").alias("n"), F.explode("all").alias("word"))
+    shared = held.join(asked, ["topic_id", "word"]).groupBy("topic_id", "doc_id", "pos", "norm", "n").agg(F.count(F.lit(1)).alias("shared"))
+    found = shared.filter(F.col("shared") >= F.greatest(F.lit(2), F.col("n") - 1)).groupBy("topic_id", "doc_id", "norm").agg(F.min("pos").alias("at"))
+    placed = found.join(shapes, ["topic_id", "doc_id"])
+    stop = F.least(F.coalesce(F.array_min(F.filter("breaks", lambda i: i > F.col("at") + 2)), F.size("numbers")), F.size("numbers"), F.col("at") + longest)
+    words = F.aggregate(F.slice("numbers", F.col("at") + 2, F.greatest(stop - F.col("at") - 1, F.lit(0))), F.lit(0), lambda a, x: a + x)
+    return placed.select("topic_id", "src", "doc_id", "norm", words.cast("long").alias("words"))
+
+
+def gap_depth(headings: DataFrame, texts: DataFrame, least: int = 3, short: int = 120, high: int = 80) -> DataFrame:
+    """``(topic_id, heading, sources, sections, mean_words, priority)``: headings of ``least`` sources or more whose sections in ``texts`` are short on average.
+
+    Of ``headings(topic_id, src, heading)``; sections of ten words or fewer do not count.
     """
-    norm = F.trim(F.regexp_replace(F.lower("heading"), r"[^\p{L}\p{N}]+", " "))
-    rows = sections.withColumn("norm", norm).filter("norm <> ''").groupBy("topic_id", "norm").agg(F.min("heading").alias("heading"), F.countDistinct("src").alias("sources"), F.avg(F.when(F.col("words") > 10, F.col("words"))).alias("mean"))
-    rows = rows.filter((F.col("sources") >= least) & (F.col("mean") < short))
-    return rows.select("topic_id", "heading", "sources", F.round("mean", 4).alias("mean_words"), F.when(F.col("mean") <= high, "high").otherwise("medium").alias("priority"))
+    rows = headings.withColumn("norm", heading_norm(F.col("heading"))).filter("norm <> ''").groupBy("topic_id", "norm").agg(F.min("heading").alias("heading"), F.countDistinct("src").alias("sources"))
+    rows = rows.filter(F.col("sources") >= least)
+    sizes = find_sections(texts, rows).filter("words > 10").groupBy("topic_id", "norm").agg(F.count(F.lit(1)).alias("sections"), F.avg("words").alias("mean"))
+    rows = rows.join(sizes, ["topic_id", "norm"]).filter(F.col("mean") < short)
+    return rows.select("topic_id", "heading", "sources", "sections", F.round("mean", 4).alias("mean_words"), F.when(F.col("mean") <= high, "high").otherwise("medium").alias("priority"))
 
 
 def split_questions(questions: DataFrame, gaps: DataFrame, stop: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -76,11 +76,26 @@ def clean_entities(entities: DataFrame, generic: list[str], stop: list[str], key
     return best.select("topic_id", "e.*")
 
 
-def drop_flagged(rows: DataFrame, flagged: DataFrame, text: str) -> DataFrame:
+def drop_flagged(rows: DataFrame, flagged: DataFrame, text: str | Column) -> DataFrame:
     """Rows whose lower-case text is not in ``flagged(flag)``."""
     return rows.join(flagged.select(F.lower("flag").alias("__f")).distinct(), F.lower(text) == F.col("__f"), "left_anti")
 
 
+def moderated(tables: dict[str, DataFrame], flagged: DataFrame, columns: dict[str, str]) -> tuple[dict[str, DataFrame], dict[str, tuple[Observation, Observation]]]:
+    """Each of ``tables`` without what ``flagged(kind, flag)`` lists for its name, and what is counted on the way, before and after.
+
+    ``columns`` names the column that is compared, in any case; of numbers, such as a triplet's index, it is the number written out. The
+    counts are metrics of the same pass: they can be asked for once the kept rows are written.
+    """
+    kept, counts = {}, {}
+    for kind, rows in tables.items():
+        before, after = Observation(), Observation()
+        own = flagged.filter(F.col("kind") == kind).select("flag")
+        kept[kind] = drop_flagged(rows.observe(before, F.count(F.lit(1)).alias("n")), own, F.col(columns[kind]).cast("string")).observe(after, F.count(F.lit(1)).alias("n"))
+        counts[kind] = (before, after)
+    return kept, counts
+
+
 def term_set_coverage(terms: DataFrame, known: DataFrame) -> DataFrame:
     """``(term, covered)``: target terms that some known term equals but for case and outer blanks."""
     have = known.select(F.lower(F.trim("gram")).alias("__t")).distinct().withColumn("__h", F.lit(True))
@@ -147,6 +162,19 @@ def placement_roles(entities: DataFrame) -> DataFrame:
     return rows.select("topic_id", "phrase", "rank", role.alias("role"), (F.col("rank") <= 3).alias("in_first_paragraph"))
 
 
+def placement_plan(entities: DataFrame, pairs: DataFrame, concepts: DataFrame, relations: DataFrame) -> DataFrame:
+    """``(topic_id, kind, rank, item)``: what an article of a topic places, all lists in one tall table.
+
+    The ten first entities by role, the five first ``pairs(topic_id, a, b, strength)`` of strength 0.2 or more, of the eight first
+    ``concepts(topic_id, rank, display, sources)`` those of two sources or more, and five ``relations(topic_id, rank, subject, relation, object)``.
+    """
+    placed = placement_roles(entities).select("topic_id", F.col("role").alias("kind"), "rank", F.col("phrase").alias("item"))
+    joint = ranked(pairs.drop("rank").filter("strength >= 0.2"), 5, F.desc("strength"), F.asc("a"), F.asc("b")).select("topic_id", F.lit("pair").alias("kind"), "rank", F.concat_ws(" + ", "a", "b").alias("item"))
+    shared = concepts.filter("rank <= 8 AND sources >= 2").select("topic_id", F.lit("concept").alias("kind"), "rank", F.col("display").alias("item"))
+    told = relations.filter("rank <= 5").select("topic_id", F.lit("relation").alias("kind"), "rank", F.concat_ws(" ", "subject", "relation", "object").alias("item"))
+    return placed.unionByName(joint).unionByName(shared).unionByName(told)
+
+
 def coverage_role(entities: DataFrame, n_sources: DataFrame) -> DataFrame:
     """``(topic_id, phrase, role)`` by the share of sources: 70 % must, 40 % should, else a differentiator."""
     share = F.col("sources") / F.col("n_sources")
@@ -185,9 +213,25 @@ def noun_runs(toks: DataFrame, noun: str, modifier: str) -> DataFrame:
     return rows.filter(F.size(words).between(2, 5) & F.element_at(words, -1).rlike(noun))
 
 
-def noun_phrases(toks: DataFrame, noun: str, modifier: str) -> DataFrame:
-    """``(topic_id, phrase, n)`` of ``noun_runs``."""
-    return noun_runs(toks, noun, modifier).groupBy("topic_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+def lexicon_runs(toks: DataFrame, lexicon: DataFrame, kinds: tuple[str, ...] = ("ADJ", "NOUN", "PROPN"), last: tuple[str, ...] = ("NOUN", "PROPN")) -> DataFrame:
+    """``(topic_id, src_idx, doc_id, pos, phrase, key)``: maximal runs of two to five words of ``kinds`` that are no stop words and end in one of ``last``.
+
+    Words meet ``lexicon(surface, lemma, pos, is_stop)`` by an equal-key join that the optimizer plans by the lexicon's size; only listed words go on. A run is
+    an island: place less number among the listed words of its text stays the same. ``key`` holds its lemmas. Texts are told by topic, source and id.
+    """
+    known = lexicon.filter(F.col("pos").isin(*kinds) & ~F.col("is_stop")).select(F.col("surface").alias("word"), "lemma", F.col("pos").alias("tag")).dropDuplicates(["word"])
+    words = toks.select("topic_id", "src_idx", "doc_id", F.posexplode("words").alias("pos", "word")).join(known, "word")
+    text = ["topic_id", "src_idx", "doc_id"]
+    isles = words.withColumn("isle", F.col("pos") - F.row_number().over(Window.partitionBy(*text).orderBy("pos")))
+    runs = isles.groupBy(*text, "isle").agg(F.count(F.lit(1)).alias("n"), F.max_by("tag", "pos").alias("tag"), F.array_sort(F.collect_list(F.struct("pos", "word", "lemma"))).alias("w"))
+    rows = runs.filter(F.col("n").between(2, 5) & F.col("tag").isin(*last))
+    joined = lambda c: F.array_join(F.transform("w", lambda x: x[c]), " ")
+    return rows.select(*text, F.col("w")[0]["pos"].cast("long").alias("pos"), joined("word").alias("phrase"), joined("lemma").alias("key"))
+
+
+def noun_phrases(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(topic_id, phrase, key, n)`` of ``lexicon_runs``."""
+    return lexicon_runs(toks, lexicon).groupBy("topic_id", "phrase", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def signal_sources(signals: DataFrame, cap: int = 20_000) -> DataFrame:
@@ -203,6 +247,24 @@ def signal_sources(signals: DataFrame, cap: int = 20_000) -> DataFrame:
     return rows.select("topic_id", F.array_join(F.transform("t", lambda x: x["text"]), " . ").alias("content"))
 
 
+#: How many rows of each list a consumer gets.
+LIST_LIMITS = {"grams": 25, "extended": 15, "headings": 20, "scored": 15, "entities": 20, "concepts": 20, "unanswered": 8, "subtopics": 8, "shallow": 5, "gaps": 15, "semantic_gaps": 10, "pairs": 15, "clusters": 8, "snippets": 5, "competitors": 10}
+
+
+def trim_lists(tables: dict[str, DataFrame], columns: dict[str, list[str]], limits: dict[str, int] = LIST_LIMITS) -> dict[str, DataFrame]:
+    """Of each table with ``topic_id`` and ``rank`` the first rows of a topic and the columns that a consumer needs; a range of counts is one text.
+
+    A list without a limit is handed on whole.
+    """
+    out = {}
+    for name, rows in tables.items():
+        kept = rows.filter(F.col("rank") <= limits[name]) if name in limits else rows
+        if {"freq_min", "freq_max"} <= set(rows.columns):
+            kept = kept.withColumn("range", F.concat_ws("-", "freq_min", "freq_max"))
+        out[name] = kept.select("topic_id", "rank", *columns[name])
+    return out
+
+
 def trim_for_consumer(grams: DataFrame, limit: int = 25) -> DataFrame:
     """``(topic_id, gram, range)``: the first grams without technical columns, counts as a range string."""
     return grams.filter(F.col("rank") <= limit).select("topic_id", "gram", F.concat_ws("-", "freq_min", "freq_max").alias("range"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import topic as T
-from textloom.functions.lists import BUDGETS, SCRIPTS
+from textloom.functions.lists import BUDGETS, SCRIPTS, SHOP, STOP
 from textloom.operators import articles as A
-from textloom.plans import tables as t
+from textloom.operators.terms import quality_reason
+from textloom.plans import tables as t, terms
 
 CHARS, TARGET = "%$#|", 400
 ENTITIES = ["license", "the", "idiot", "apache license"]
@@ -63,6 +64,10 @@ def j21_check_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.with_triples(_rows(spark, sf_dir), T.TRIPLES).select("doc_id", "triples_pass", "triples_warn", "triples_fail", "triples_pct")
 
 
+def j21_triple_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.triple_findings(_rows(spark, sf_dir), T.TRIPLES)
+
+
 def j22_mention_variety(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.with_variety(_rows(spark, sf_dir), T.NAMED, T.NOMINAL, T.PRONOMINAL)
     return rows.select("doc_id", "n_named", "n_nominal", "n_pronominal", "named_pct", "nominal_pct", "pronominal_pct", "variety_status")
@@ -72,6 +77,10 @@ def j23_check_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.with_causal(_rows(spark, sf_dir), T.CAUSAL, T.MECHANISM).select("doc_id", "causal_covered", "causal_explained", "causal_pct")
 
 
+def j23_causal_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.causal_findings(_rows(spark, sf_dir), T.CAUSAL, T.MECHANISM)
+
+
 def j24_check_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.with_opening(_rows(spark, sf_dir), T.KEYWORD, T.EXPECTED, T.DEFINITION, T.PREVIEW).select("doc_id", "opening_points", "opening_status")
 
@@ -80,6 +89,10 @@ def j25_naming_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.with_naming(_rows(spark, sf_dir), T.KEYWORD, T.NAMED).select("doc_id", "naming_stems", "naming_status")
 
 
+def j25_naming_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.naming_findings(_rows(spark, sf_dir), T.KEYWORD, T.NAMED)
+
+
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.with_variety(_rows(spark, sf_dir), T.NAMED, T.NOMINAL, T.PRONOMINAL)
     rows = A.with_triples(A.with_pairs(A.with_facts(rows, T.HARD_FACTS), T.PAIRS), T.TRIPLES)
@@ -88,7 +101,7 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j26_compliance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.compliance_score(_checked(spark, sf_dir), T.WEIGHTS, BUDGETS, len(T.PAIRS), len(T.TRIPLES), len(T.CAUSAL))
+    return A.compliance_score(_checked(spark, sf_dir), T.WEIGHTS, BUDGETS, len(T.PAIRS), len(T.TRIPLES), len(T.CAUSAL), lambda x: quality_reason(x, STOP, terms.CSS_WORDS, SHOP, terms.NAV))
 
 
 def _gaps(rows: DataFrame) -> DataFrame:
@@ -127,7 +140,7 @@ def i9_accept_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).select("doc_id", A.accept_rewrite(F.col("body"), after).alias("accepted"))
 
 
-QUERIES = [j6_fact_coverage, j10_brand_candidates, j11_meta_comments, j12_keyword_density, j13_bold_in_prose, j14_validate, j16_structure_issues, j18_fuzzy_hits, j19_check_salience, j20_check_pairs, j21_check_triples, j22_mention_variety, j23_check_causal, j24_check_opening, j25_naming_consistency, j26_compliance_score, j27_audit_gaps, j28_recommendations, j29_audit_report, j30_locate_paragraph, i6_clean_generated, i9_accept_rewrites]
+QUERIES = [j6_fact_coverage, j10_brand_candidates, j11_meta_comments, j12_keyword_density, j13_bold_in_prose, j14_validate, j16_structure_issues, j18_fuzzy_hits, j19_check_salience, j20_check_pairs, j21_check_triples, j21_triple_findings, j22_mention_variety, j23_check_causal, j23_causal_findings, j24_check_opening, j25_naming_consistency, j25_naming_findings, j26_compliance_score, j27_audit_gaps, j28_recommendations, j29_audit_report, j30_locate_paragraph, i6_clean_generated, i9_accept_rewrites]
 
 
 def _words(x: str) -> str:
@@ -137,6 +150,7 @@ def _words(x: str) -> str:
 _ART = rf"""
 am AS (SELECT doc_id, {t.ARTICLE_SQL} AS text FROM documents),
 a0 AS (SELECT doc_id, COALESCE(text, '') AS body, lower(COALESCE(text, '')) AS low FROM am),
+budgeted AS ({terms._reason('phrase', '(VALUES ' + ', '.join(f"('{p}')" for p, _, _ in BUDGETS) + ') v(phrase)', 'phrase')}),
 art AS (SELECT *, list_filter(string_split(low, chr(10)), lambda p: trim(p, ' ') <> '') AS paras, list_filter(regexp_split_to_array(low, '[.!?]+\s+'), lambda p: trim(p, ' ') <> '') AS sents, {_words('low')} AS words,
   CASE WHEN len(regexp_split_to_array(low, '(?m)^##\s')) > 1 THEN regexp_split_to_array(low, '(?m)^##\s')[1] ELSE substring(low, 1, 500) END AS intro FROM a0)"""
 
@@ -170,17 +184,32 @@ def _pairs() -> str:
     return f"SELECT doc_id, len(list_filter({each}, lambda n: n > 0)) AS pairs_found, list_sum({each})::BIGINT AS pair_places, CASE WHEN 2 * len(list_filter({each}, lambda n: n > 0)) >= {len(T.PAIRS)} THEN 'pass' ELSE 'warn' END AS pairs_status FROM art"
 
 
-def _triples() -> str:
-    def state(s: str, p: str, o: str) -> str:
+def _fzs(t: str, phrase: str) -> str:
+    p = phrase.lower()
+    words = [w for w in p.split() if len(w) > 2]
+    stems = [w if len(w) < 4 else w[: max(4, len(w) * 6 // 10)] for w in words]
+    return f"(contains({t}, '{p}') OR 2 * {_sum([_any(t, [w]) for w in stems])} >= {max(2, len(words))})" if words else f"contains({t}, '{p}')"
+
+
+def _triple_states() -> list[tuple[str, str]]:
+    out = []
+    for s, p, o in T.TRIPLES:
         both, whole = f"{_fz('low', s)} AND {_fz('low', o)}", _fz("low", p)
-        near = f"len(list_filter(paras, lambda x: {_fz('x', s)} AND {_fz('x', o)} AND ({_fz('x', p)} OR NOT {whole}))) > 0"
-        return _grade(f"{both} AND {near}", f"{both} AND {whole}")
+        near = f"len(list_filter(paras, lambda x: {_fzs('x', s)} AND {_fzs('x', o)} AND ({_fzs('x', p)} OR NOT {whole}))) > 0"
+        out.append((f"({both} AND ({whole} OR {near}))", f"({both} AND {near})"))
+    return out
+
 
-    states = "[" + ", ".join(state(*t) for t in T.TRIPLES) + "]"
+def _triples() -> str:
+    states = "[" + ", ".join(_grade(clear, found) for found, clear in _triple_states()) + "]"
     counts = ", ".join(f"len(list_filter(s, lambda x: x = '{k}')) AS triples_{k}" for k in ("pass", "warn", "fail"))
     return f"SELECT doc_id, {counts}, round(100 * len(list_filter(s, lambda x: x <> 'fail')) / {len(T.TRIPLES)}, 2) AS triples_pct FROM (SELECT doc_id, {states} AS s FROM art)"
 
 
+def _triple_rows() -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{s}' AS subject, '{p}' AS predicate, '{o}' AS object, {found} AS found, {clear} AS clear, {_grade(clear, found)} AS status FROM art" for (s, p, o), (found, clear) in zip(T.TRIPLES, _triple_states()))
+
+
 def _variety() -> str:
     kinds = {"named": T.NAMED, "nominal": T.NOMINAL, "pronominal": T.PRONOMINAL}
     counts = ", ".join(f"len(list_filter(sents, lambda s: {_any('s', f)})) AS n_{k}" for k, f in kinds.items())
@@ -188,12 +217,20 @@ def _variety() -> str:
     return f"SELECT *, CASE WHEN named_pct > 75 OR nominal_pct < 10 OR pronominal_pct < 5 THEN 'warn' ELSE 'pass' END AS variety_status FROM (SELECT *, {shares} FROM (SELECT doc_id, {counts} FROM art))"
 
 
+def _causal_states() -> list[tuple[str, str]]:
+    covered = [f"({_fz('low', a)} AND {_fz('low', b)})" for a, b in T.CAUSAL]
+    return [(c, f"({c} AND len(list_filter(sents, lambda s: ({_fz('s', a)} OR {_fz('s', b)}) AND {_any('s', T.MECHANISM)})) > 0)") for c, (a, b) in zip(covered, T.CAUSAL)]
+
+
 def _causal() -> str:
-    covered = [f"{_fz('low', a)} AND {_fz('low', b)}" for a, b in T.CAUSAL]
-    told = [f"{c} AND len(list_filter(sents, lambda s: ({_fz('s', a)} OR {_fz('s', b)}) AND {_any('s', T.MECHANISM)})) > 0" for c, (a, b) in zip(covered, T.CAUSAL)]
+    covered, told = zip(*_causal_states())
     return f"SELECT doc_id, {_sum(covered)} AS causal_covered, {_sum(told)} AS causal_explained, round(100 * {_sum(covered)} / {len(T.CAUSAL)}, 2) AS causal_pct FROM art"
 
 
+def _causal_rows() -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{a}' AS cause, '{b}' AS effect, {c} AS covered, {e} AS explained, {_grade(e, c)} AS status FROM art" for (a, b), (c, e) in zip(T.CAUSAL, _causal_states()))
+
+
 def _opening() -> str:
     head = f"array_to_string({_words('intro')}[1:100], ' ')"
     seen = _sum([_fz("head", e) for e in T.EXPECTED])
@@ -215,12 +252,13 @@ FROM (SELECT doc_id, low, (strpos(low, '{k}') - 1)::BIGINT AS first_char, round(
 
 def _score() -> str:
     count = [(f"((length(low) - length(replace(low, '{p}', ''))) // length('{p}'))", a, b) for p, a, b in BUDGETS]
-    fine, over = _sum([f"{c} BETWEEN {a} AND {b}" for c, a, b in count]), _sum([f"{c} > {b}" for c, _, b in count])
+    sound = [f"(SELECT reason IS NULL FROM budgeted WHERE phrase = '{p}')" for p, _, _ in BUDGETS]
+    fine, over = _sum([f"{ok} AND {c} BETWEEN {a} AND {b}" for ok, (c, a, b) in zip(sound, count)]), _sum([f"{ok} AND {c} > {b}" for ok, (c, _, b) in zip(sound, count)])
     named = "CASE WHEN named_pct BETWEEN 35 AND 55 THEN 100.0::DOUBLE ELSE GREATEST(0.0::DOUBLE, 100 - 2 * abs(named_pct - 45)) END"
     parts = {
         "salience": "salience_points / 5 * 100", "triples": f"LEAST(100.0::DOUBLE, (triples_pass + triples_warn) / {len(T.TRIPLES)} * 100)",
         "causal": f"causal_covered / {len(T.CAUSAL)} * 60 + causal_explained / {len(T.CAUSAL)} * 40", "pairs": f"pairs_found / {len(T.PAIRS)} * 100",
-        "variety": f"({named} + LEAST(100.0::DOUBLE, nominal_pct / 15 * 100)) / 2", "grams": f"GREATEST(0.0::DOUBLE, {fine} / {len(BUDGETS)} * 100 - 10 * {over})",
+        "variety": f"({named} + LEAST(100.0::DOUBLE, nominal_pct / 15 * 100)) / 2", "grams": f"GREATEST(0.0::DOUBLE, {fine} / GREATEST({_sum(sound)}, 1) * 100 - 10 * {over})",
         "opening": "opening_points / 4 * 100", "facts": "facts_pct",
     }
     total = " + ".join(f"{k} * {w}" for k, w in T.WEIGHTS.items())
@@ -301,6 +339,15 @@ u AS (SELECT doc_id, substring(v, 1, 5) AS s FROM r WHERE k <= 10 UNION SELECT d
 SELECT doc_id, COALESCE(m, 0) AS naming_stems, {_grade('COALESCE(m, 0) <= 3', 'COALESCE(m, 0) <= 5')} AS naming_status FROM art LEFT JOIN n USING (doc_id)"""
 
 
+def _forms() -> str:
+    """``nf(doc_id, form, n, known)``: the known forms found, and of the ten most frequent words with the stem those not known."""
+    stem = T.KEYWORD[: max(6, len(T.KEYWORD) * 6 // 10)]
+    held = "[" + ", ".join(f"'{f}'" for f in T.NAMED) + "]"
+    known = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS form, ((length(low) - length(replace(low, '{f}', ''))) // {len(f)})::BIGINT AS n, true AS known FROM art" for f in T.NAMED)
+    return rf"""v AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(low, '\p{{L}}+'), lambda w: starts_with(w, '{stem}'))) AS v FROM art), c AS (SELECT doc_id, v, count(*) AS n FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, v) AS k FROM c),
+nf AS (SELECT * FROM ({known}) WHERE n > 0 UNION ALL SELECT doc_id, v, n, false FROM r WHERE k <= 10 AND NOT list_contains({held}, v))"""
+
+
 _BOLD = rf"SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(?m)^#.*$', '', 'g'), '\*\*[^*\n]+\*\*|<strong>[^<]*</strong>')) AS span FROM (SELECT doc_id, {t.ARTICLE_SQL} AS text FROM documents)"
 _AFTER = r"regexp_replace(body, '(?m)^.*[|•].*$|^\s*[-*].*$', '', 'g')"
 TWINS = {
@@ -311,10 +358,13 @@ TWINS = {
     "j13_bold_in_prose": _BOLD,
     "j14_validate": _validated(),
     "j16_structure_issues": _issues(),
-    "j18_fuzzy_hits": f"WITH {_ART} " + " UNION ALL ".join(f"SELECT doc_id, '{p}' AS phrase FROM art WHERE {_fz('low', p)}" for p in [*T.EXPECTED, "thereunder", "idiots"]),
+    "j18_fuzzy_hits": f"WITH {_ART} SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{p}' AS phrase, {_fz('low', p)} AS whole, len(list_filter(paras, lambda x: {_fzs('x', p)})) AS paragraphs FROM art" for p in [*T.EXPECTED, "thereunder", "idiots"]) + ") WHERE whole OR paragraphs > 0",
     "j19_check_salience": f"WITH {_ART} {_salience()}",
     "j20_check_pairs": f"WITH {_ART} {_pairs()}",
     "j21_check_triples": f"WITH {_ART} {_triples()}",
+    "j21_triple_findings": f"WITH {_ART} {_triple_rows()}",
+    "j23_causal_findings": f"WITH {_ART} {_causal_rows()}",
+    "j25_naming_findings": f"WITH {_ART}, {_forms()} SELECT doc_id, form, n, known FROM nf QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, form, known) <= 10",
     "j22_mention_variety": f"WITH {_ART} {_variety()}",
     "j23_check_causal": f"WITH {_ART} {_causal()}",
     "j24_check_opening": f"WITH {_ART} {_opening()}",

@@ -117,6 +117,10 @@ def g5_mark_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.long(facts.mark_chains(facts.normalise_causal(_causal(spark, sf_dir)).distinct()), "rank")
 
 
+def g7_key_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.key_path(g5_mark_chains(spark, sf_dir))
+
+
 def l1_parse_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budget lines written from documents: their first word with a range, a single number or nothing."""
     word = F.regexp_extract(F.lower("text"), r"(\p{L}+)", 1)
@@ -125,7 +129,7 @@ def l1_parse_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.long(facts.parse_budgets(t.docs(spark, sf_dir).select(F.col("lang").alias("topic_id"), F.col("doc_id").alias("pos"), line.alias("line"))), "low", "high")
 
 
-QUERIES = [i3_apply_offset_fixes, i5_collect_issues, i7_protected_phrases, i8_reference_facts, h13_match_references, h15_relevant_publications, h8_entity_clusters, h9_rank_headings_semantic, i1_flag_instructions, i2_apply_corrections, g2_parse_triplets, g3_normalise_causal, g5_mark_chains, l1_parse_budgets]
+QUERIES = [i3_apply_offset_fixes, i5_collect_issues, i7_protected_phrases, i8_reference_facts, h13_match_references, h15_relevant_publications, h8_entity_clusters, h9_rank_headings_semantic, i1_flag_instructions, i2_apply_corrections, g2_parse_triplets, g3_normalise_causal, g5_mark_chains, g7_key_path, l1_parse_budgets]
 
 _TOPS = f"tops AS (SELECT topic_id, gram, rank FROM (WITH {_WEIGHT} SELECT * FROM topped) WHERE rank <= 30)"
 
@@ -179,3 +183,4 @@ TWINS = {
     "g5_mark_chains": f"WITH {_CAUSAL}, ok AS (SELECT *, array_to_string(string_split(lower(cause), ' ')[1:3], ' ') AS kc, array_to_string(string_split(lower(effect), ' ')[1:3], ' ') AS ke FROM cs WHERE length(cause) >= 3 AND length(effect) >= 3), ch AS (SELECT topic_id, cause, effect, relation, confidence, EXISTS (SELECT 1 FROM ok b WHERE b.topic_id = a.topic_id AND b.ke = a.kc) OR EXISTS (SELECT 1 FROM ok b WHERE b.topic_id = a.topic_id AND b.kc = a.ke) AS is_chain FROM ok a) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY is_chain DESC, confidence DESC, cause, effect, relation) AS rank FROM ch) WHERE rank <= 15",
     "l1_parse_budgets": r"WITH b AS (SELECT lang AS topic_id, doc_id, regexp_extract(lower(text), '(\p{L}+)', 1) AS phrase, length(text) % 7 + 1 AS n FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id, phrase ORDER BY doc_id DESC) AS k FROM b WHERE phrase <> '') SELECT topic_id, phrase, CASE doc_id % 3 WHEN 0 THEN n ELSE 1 END::BIGINT AS low, CASE doc_id % 3 WHEN 0 THEN n + 3 WHEN 1 THEN n ELSE 99 END::BIGINT AS high FROM r WHERE k = 1",
 }
+TWINS["g7_key_path"] = f"SELECT topic_id, cause || CASE WHEN relation NOT IN ('causes', 'leads_to', '') THEN ' → ' || relation ELSE '' END || ' → ' || effect AS path FROM ({TWINS['g5_mark_chains']}) WHERE rank = 1"

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.lists import STOP
+from textloom.functions.lists import LEXICON, STOP
 from textloom.operators import checks, gaps, grams, headings, text
 from textloom.plans import tables as t
-from textloom.plans.twins import _GRAMS, _HEADS, _LIST, _WORDS, TWINS as _BASE, _artifacts, _main_text
+from textloom.plans.twins import _GRAMS, _HEADS, _LIST, _WORDS, NAV_LINES, TWINS as _BASE, _main_text
 
 CLASSES = {"legal": ["license", "law", "the"], "health": ["heal", "doc"], "plain": ["th", "re", "la"]}
 RULES = [("of the", "style"), ("idiot", "tone"), ("license", "terms"), ("the the", "grammar"), ("worthless", "tone")]
 SEVERITY = {"grammar": 1, "tone": 2, "style": 3}
+#: Phrases and the most uses that count.
+MATCHED = [("the license", 3), ("than the words", 4), ("is licensed under", 2), ("the", 5), ("of the and", 6)]
 SEQUENCES = ["the", "than the", "is licensed under"]
+#: Words that begin a question that can be answered by yes or no.
+LEADS = ["is", "are", "does", "the", "ist", "est"]
 DEFAULTS = ["what it is", "how it works", "costs", "questions"]
 
 
@@ -37,8 +41,11 @@ def h2_gap_subtopic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h4_merge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _unanswered(spark, sf_dir).join(_questions(spark, sf_dir), ["topic_id", "id"])
-    return t.long(gaps.merge_gaps(rows, STOP), "rank")
+    """Questions that texts do not answer, and those that no heading covers."""
+    asked = _questions(spark, sf_dir)
+    open_ones = _unanswered(spark, sf_dir).join(asked, ["topic_id", "id"]).select("topic_id", "id", F.lit("unanswered").alias("kind"), "question", "priority")
+    bare = h2_gap_subtopic(spark, sf_dir).join(asked, ["topic_id", "id"]).select("topic_id", "id", F.lit("subtopic").alias("kind"), "question", F.lit("medium").alias("priority"))
+    return t.long(gaps.merge_gaps(open_ones.unionByName(bare), STOP, leads=LEADS), "rank")
 
 
 def h7_semantic_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +94,10 @@ def l2_sequence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.sequence_hits(grams.tokens(text.documents_as_sources(t.docs(spark, sf_dir))), SEQUENCES)
 
 
+def l2_lemma_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.lemma_matches(grams.tokens(text.documents_as_sources(t.docs(spark, sf_dir))), MATCHED, dict(LEXICON))
+
+
 def b3_crosscheck_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second half of a text stands for the second extraction."""
     rows = t.docs(spark, sf_dir).withColumn("second", F.expr("substring(text, cast(length(text) div 2 as int) + 1)"))
@@ -94,7 +105,7 @@ def b3_crosscheck_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b10_best_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.table(spark, sf_dir, "pages").select("page_id", gaps.best_text(F.col("html")).alias("content"))
+    return gaps.best_text(t.table(spark, sf_dir, "pages"), NAV_LINES, STOP)
 
 
 def a2_flatten_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +133,7 @@ def a7_competitor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.long(gaps.competitor_table(pages), "rank")
 
 
-QUERIES = [h1_gap_unanswered, h2_gap_subtopic, h4_merge_gaps, h7_semantic_gaps, h12_topic_class, g4_normalise_facts, g6_triplet_quality, g7_key_triplet, e6_heading_plan, i4_rank_issues, i10_fallback_variants, l2_sequence_hits, b3_crosscheck_lines, b10_best_text, a2_flatten_payload, a2_flatten_serp, a7_competitor_table]
+QUERIES = [h1_gap_unanswered, h2_gap_subtopic, h4_merge_gaps, h7_semantic_gaps, h12_topic_class, g4_normalise_facts, g6_triplet_quality, g7_key_triplet, e6_heading_plan, i4_rank_issues, i10_fallback_variants, l2_sequence_hits, l2_lemma_matches, b3_crosscheck_lines, b10_best_text, a2_flatten_payload, a2_flatten_serp, a7_competitor_table]
 
 
 def _content(x: str) -> str:
@@ -157,12 +168,32 @@ def _sequences() -> str:
     return f"WITH {_GRAMS} SELECT * FROM ({' UNION ALL '.join(each)}) WHERE n > 0"
 
 
+def _lemma_matches() -> str:
+    """Windows as one number each, start and length; the greedy choice folds over them with free place and count in one number."""
+    lemma = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LEXICON) + " ELSE w END"
+    each, known = [], dict(LEXICON)
+    for phrase, most in MATCHED:
+        parts = [known.get(w, w) for w in phrase.split()]
+        k, asked = len(parts), "[" + ", ".join(f"'{known.get(w, w)}'" for w in phrase.split()) + "]"
+        holds = lambda n: f"len(list_filter({asked}, lambda w: NOT list_contains(words[i + 1:i + {n}], w))) = 0"
+        case = " ".join(f"WHEN i + {n} <= len(words) AND {holds(n)} AND len(list_filter(ex, lambda s: s < i + {n} AND s + {k} > i)) = 0 THEN i * 64 + {n}" for n in range(k, k + 3))
+        each.append(
+            f"SELECT doc_id, '{phrase}' AS phrase, len(ex)::BIGINT AS exact, (list_reduce([0::BIGINT] || list_filter(list_transform(list_filter(range(0, len(words) - {k - 1}), lambda i: {holds(k + 2)}), lambda i: CASE {case} ELSE 0 END), lambda x: x > 0), "
+            f"lambda acc, x: CASE WHEN x // 64 >= acc % 4294967296 AND acc // 4294967296 < {most} - len(ex) THEN (acc // 4294967296 + 1) * 4294967296 + x // 64 + x % 64 ELSE acc END) // 4294967296)::BIGINT AS fuzzy "
+            f"FROM (SELECT doc_id, words, list_filter(range(0, len(words) - {k - 1}), lambda i: words[i + 1:i + {k}] = {asked}) AS ex FROM lem)"
+        )
+    return f"WITH {_GRAMS}, lem AS (SELECT doc_id, list_transform(words, lambda w: {lemma}) AS words FROM tok) SELECT * FROM ({' UNION ALL '.join(each)}) WHERE exact + fuzzy > 0"
+
+
 _LONG = r"list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: length(w) > 3)"
 _MAIN = f"mt AS ({_main_text()})"
 TWINS = {
     "h1_gap_unanswered": f"WITH {_OPEN} SELECT * FROM gap",
     "h2_gap_subtopic": f"WITH {_ASKED} SELECT topic_id, id FROM bare WHERE length(question) >= 5 AND array_to_string(words, ' ') <> 'license open'",
-    "h4_merge_gaps": f"WITH {_OPEN}, m AS (SELECT g.topic_id, g.id, priority, array_to_string(words[1:3], ' ') AS norm FROM gap g JOIN bare b USING (topic_id, id)), d AS (SELECT *, row_number() OVER (PARTITION BY topic_id, norm ORDER BY priority, id) AS k FROM m), r AS (SELECT topic_id, id, priority, row_number() OVER (PARTITION BY topic_id ORDER BY priority, id) AS rank FROM d WHERE k = 1) SELECT * FROM r WHERE rank <= 15",
+    "h4_merge_gaps": rf"""WITH {_OPEN}, al AS (SELECT topic_id, id, 'unanswered' AS kind, priority FROM gap UNION ALL SELECT topic_id, id, 'subtopic', 'medium' FROM bare WHERE length(question) >= 5 AND array_to_string(words, ' ') <> 'license open'),
+m AS (SELECT a.*, question, CASE priority WHEN 'high' THEN 0 ELSE 1 END AS level, array_to_string(words[1:3], ' ') AS norm FROM al a JOIN bare b USING (topic_id, id)), d AS (SELECT *, row_number() OVER (PARTITION BY topic_id, norm ORDER BY level, id, kind) AS k FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY level, id, kind) AS rank FROM d WHERE k = 1),
+hf AS (SELECT *, regexp_replace(trim(regexp_replace(question, '\?+\s*$', ''), ' '), '(?i)^(?:{'|'.join(LEADS)})\s+', '') AS bare FROM r WHERE rank <= 15)
+SELECT topic_id, rank, id, kind, priority, upper(bare[1]) || bare[2:] AS heading, level = 0 AND sum(CASE WHEN level = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY topic_id ORDER BY rank) <= 3 AS suggested FROM hf""",
     "h7_semantic_gaps": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), key AS (SELECT label, embedding AS key FROM k WHERE k = 1), r AS (SELECT k.label, vec_id, embedding::DOUBLE[] AS e, list_cosine_similarity(embedding::DOUBLE[], key::DOUBLE[]) AS sim FROM k JOIN key ON k.label = key.label WHERE k.k > 1), "
     "v AS (SELECT a.label, a.vec_id, avg(CASE WHEN list_cosine_similarity(a.e, b.e) > 0.55 THEN 1.0 ELSE 0.0 END) AS cov FROM r a JOIN r b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.sim >= 0.15 GROUP BY ALL), s AS (SELECT r.label, r.vec_id, sim, COALESCE(cov, 0.5) AS coverage, sim * (1 - COALESCE(cov, 0.5)) AS score FROM r LEFT JOIN v ON v.label = r.label AND v.vec_id = r.vec_id WHERE sim >= 0.15), "
     "n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.15) SELECT label, vec_id, round(sim, 6) AS sim, round(coverage, 6) AS coverage, round(score, 6) AS score, CASE WHEN coverage < 0.25 AND sim > 0.5 THEN 'high' WHEN coverage < 0.5 AND sim > 0.4 THEN 'medium' ELSE 'low' END AS priority, rank FROM n WHERE rank <= 15",
@@ -176,8 +207,8 @@ TWINS = {
     "i4_rank_issues": _ranked_issues(),
     "i10_fallback_variants": rf"WITH {_HEADS}, l AS (SELECT page_id, pos, lower(trim(heading, ' ')) AS v FROM heads) SELECT page_id, pos, v AS variant FROM l UNION ALL SELECT page_id, pos, array_to_string(list_reverse(regexp_split_to_array(v, '\s+')), ' ') FROM l WHERE regexp_matches(v, '\s')",
     "l2_sequence_hits": _sequences(),
+    "l2_lemma_matches": _lemma_matches(),
     "b3_crosscheck_lines": f"WITH d AS (SELECT doc_id, text AS a, substring(text, length(text) // 2 + 1) AS b FROM documents) SELECT doc_id, md5(CASE WHEN trim(a, ' ') = '' THEN b WHEN length(b) <= 200 THEN a ELSE array_to_string(list_filter(string_split(a, chr(10)), lambda x: length(x) >= 50 OR 2 * len(list_filter({_LONG}, lambda w: contains(lower(b), w))) >= len({_LONG})), chr(10)) END) AS digest FROM d",
-    "b10_best_text": rf"WITH {_MAIN} SELECT page_id, trim(regexp_replace(regexp_replace({_artifacts('content')}, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ') AS content FROM mt",
     "a2_flatten_payload": "SELECT event_id, unnest(json_keys(props::JSON)) AS name, json_extract_string(props::JSON, '$.' || unnest(json_keys(props::JSON))) AS value FROM events",
     "a7_competitor_table": rf"WITH {_MAIN}, h AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]{{2}})(?:/|$)', 1) AS topic_id, list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'), ' ')) AS hs FROM pages), j AS (SELECT topic_id, page_id, len({_WORDS.format('content')}) AS words, len(hs) AS n_headings, array_to_string(hs[1:12], ' | ') AS headings, substring(content, 1, 400) AS opening FROM h JOIN mt USING (page_id)), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY words DESC, page_id) AS rank FROM j) SELECT * FROM r WHERE rank <= 6",
 }

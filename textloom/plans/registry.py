@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.lists import BANNED, BUDGETS, CSS, ENTITIES, FACTS, LEXICON, PART_ENTITIES, PHRASES, SCRIPTS, SHOP, STOP, STYLE_STOP, WEIGHTED
+from textloom.functions.lists import BANNED, BUDGETS, CSS, FACTS, LEXICON, PART_ENTITIES, PHRASES, SCRIPTS, SHOP, STOP, STYLE_STOP, WEIGHTED
 from textloom.operators.terms import quality_reason
 from textloom.operators import checks, entities, facts, grams, headings, text, vectors
-from textloom.plans import articles, editing, gaps, salience, sections, stored, terms
-from textloom.plans.tables import docs as _docs, headings as _headings, long as _long, mentions as _mentions, articles as _articles, all_grams as _all_grams, table as _table, topics as _topics, weighted as _weighted
-from textloom.plans.twins import TWINS
+from textloom.plans import articles, editing, gaps, lists, salience, sections, stored, terms
+from textloom.plans.tables import docs as _docs, headings as _headings, long as _long, mentions as _mentions, pairs as _pairs, articles as _articles, all_grams as _all_grams, few_topics, table as _table, topics as _topics, weighted as _weighted
+from textloom.plans.twins import NAV_LINES, TWINS
 from textloom.streaming import budgets
 
 
@@ -50,7 +50,7 @@ def b5_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b7_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.clean_lines(_docs(spark, sf_dir), r"(?i)licen[cs]e|cookie|menu")
+    return text.clean_lines(_docs(spark, sf_dir), NAV_LINES, STOP)
 
 
 def b8_finish_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,18 @@ def d7_weight_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d8_top_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = grams.top_grams(grams.weight_grams(grams.gram_stats(_all_grams(spark, sf_dir)), _topics(spark, sf_dir)), n=30)
-    return _long(top.select("topic_id", "rank", "gram", "freq", "sources", "freq_min", "freq_median", "freq_max", "weight"), "rank")
+    per, topics = grams.source_counts(_all_grams(spark, sf_dir)), _topics(spark, sf_dir)
+    small = few_topics(topics)
+    top = grams.top_grams(grams.weight_grams(grams.gram_counts(per), topics, small), n=30)
+    return _long(grams.with_medians(top, per, small).select("topic_id", "rank", "gram", "freq", "sources", "freq_min", "freq_median", "freq_max", "weight"), "rank")
+
+
+def d8_top_displays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over lemmas, each gram with the way it is written most."""
+    toks = grams.lemma_words(grams.tokens(text.documents_as_sources(_docs(spark, sf_dir))), dict(LEXICON))
+    topics = _topics(spark, sf_dir)
+    top = grams.top_grams(grams.weight_grams(grams.gram_counts(grams.source_counts(grams.ngrams(toks))), topics, few_topics(topics)), n=30)
+    return _long(grams.with_displays(top, toks).select("topic_id", "rank", "gram", "display", "freq", "sources", "weight"), "rank")
 
 
 def d9_extended_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +106,7 @@ def j2_phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j3_opener_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.opener_hits(checks.sentences(_docs(spark, sf_dir)), ["the ", "de ", "le "])
+    return checks.opener_hits(_docs(spark, sf_dir), ["the ", "de ", "le "])
 
 
 def j4_char_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,17 +160,21 @@ def e5_topical_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f1_match_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(_mentions(spark, sf_dir).select("topic_id", "doc_id", "pos", "phrase", "etype"), "pos")
+    return _long(_mentions(spark, sf_dir).select("topic_id", "doc_id", "pos", "start_char", "end_char", "phrase", "etype"), "pos")
 
 
 def f2_entity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(entities.entity_stats(_mentions(spark, sf_dir), _topics(spark, sf_dir).drop("keyword")), "rank")
 
 
+def f2_entity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts as one text each, for comparison."""
+    rows = entities.entity_details(_mentions(spark, sf_dir, 50))
+    return _long(rows.withColumn("contexts", F.array_join("contexts", " | ")), "freq_median")
+
+
 def f13_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    sents = docs.select(F.col("lang").alias("topic_id"), F.explode(F.split("text", r"[.!?]+\s+")).alias("sentence"))
-    return _long(entities.cooccurrence(sents, [p for p, _ in ENTITIES]), "rank")
+    return _long(_pairs(spark, sf_dir), "rank")
 
 
 def g1_bundle_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,13 +224,13 @@ def k2_check_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budgets.check_parts(_table(spark, sf_dir, "conversations"), PHRASES, "%$#|", ["conv_id", "turn"], PART_ENTITIES, "is")
 
 
-QUERIES = [a3_filter_urls, a4_admit_sources, a6_with_domain, a10_strip_markup, b1_html_headings, b2_html_main_text, b4_strip_artifacts, b5_line_features, b7_clean_lines, b8_finish_text, d1_tokens, d4_gram_stats, d4_gram_displays, d7_weight_grams, d8_top_grams, d9_extended_terms, d13_repeated_trigrams, h6_keyword_cosine, j2_phrase_hits, j3_opener_hits, j4_char_hits, j5_entity_coverage, j7_uniform_paragraphs, j8_list_groups, j15_style_score]
-QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_headings, e2_heading_support, e5_topical_coverage, f1_match_entities, f2_entity_stats, f13_cooccurrence, g1_bundle_texts, h10_target_length, h11_hard_facts, h14_dedup_records, j1_sentences, j9_foreign_scripts, j17_gram_coverage, j17_gram_coverage_audit, l3_budgets_from_grams, k1_budget_batches, k2_check_parts]
+QUERIES = [a3_filter_urls, a4_admit_sources, a6_with_domain, a10_strip_markup, b1_html_headings, b2_html_main_text, b4_strip_artifacts, b5_line_features, b7_clean_lines, b8_finish_text, d1_tokens, d4_gram_stats, d4_gram_displays, d7_weight_grams, d8_top_grams, d8_top_displays, d9_extended_terms, d13_repeated_trigrams, h6_keyword_cosine, j2_phrase_hits, j3_opener_hits, j4_char_hits, j5_entity_coverage, j7_uniform_paragraphs, j8_list_groups, j15_style_score]
+QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_headings, e2_heading_support, e5_topical_coverage, f1_match_entities, f2_entity_stats, f2_entity_details, f13_cooccurrence, g1_bundle_texts, h10_target_length, h11_hard_facts, h14_dedup_records, j1_sentences, j9_foreign_scripts, j17_gram_coverage, j17_gram_coverage_audit, l3_budgets_from_grams, k1_budget_batches, k2_check_parts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES + articles.QUERIES + terms.QUERIES + gaps.QUERIES + stored.QUERIES + salience.QUERIES + sections.QUERIES + editing.QUERIES}
+    return {q.__name__: q for q in QUERIES + articles.QUERIES + terms.QUERIES + gaps.QUERIES + stored.QUERIES + salience.QUERIES + sections.QUERIES + editing.QUERIES + lists.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return TWINS | articles.TWINS | terms.TWINS | gaps.TWINS | stored.TWINS | salience.TWINS | sections.TWINS | editing.TWINS
+    return TWINS | articles.TWINS | terms.TWINS | gaps.TWINS | stored.TWINS | salience.TWINS | sections.TWINS | editing.TWINS | lists.TWINS

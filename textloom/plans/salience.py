@@ -28,7 +28,7 @@ def f9_topical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f11_salience_topical(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = t.headings(spark, sf_dir).select("topic_id", F.lit(1).alias("level"), "heading")
-    rows = salience.salience_topical(_concepts(spark, sf_dir), text.documents_as_sources(t.docs(spark, sf_dir)), heads, t.topics(spark, sf_dir))
+    rows = salience.salience_topical(_concepts(spark, sf_dir), text.documents_as_sources(t.docs(spark, sf_dir)), heads, t.topics(spark, sf_dir), nav=NAV)
     return t.long(rows, "rank", "early", "in_h1", "in_h2")
 
 
@@ -96,9 +96,9 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY n DES
 
 TWINS = {
     "f9_topical_entities": f"WITH {_CONCEPTS} SELECT topic_id, rank, key, display, variants, etype, freq, sources, importance FROM cpt",
-    "f11_salience_topical": rf"""WITH {_CONCEPTS}, {_HEAD_ROWS}, pl AS (SELECT topic_id, display, src_idx, min((strpos(lower(content), display) - 1) / GREATEST(length(content), 1)) AS first, max((strpos(lower(content), display) - 1 < 1500)::INT) AS early FROM cpt JOIN src USING (topic_id) WHERE contains(lower(content), display) GROUP BY ALL),
-pa AS (SELECT topic_id, display, avg(first) AS position, sum(early)::BIGINT AS early FROM pl GROUP BY ALL), ph AS (SELECT topic_id, display, count(*) AS in_h1 FROM cpt JOIN heads USING (topic_id) WHERE contains(lower(heading), display) GROUP BY ALL),
-z AS (SELECT topic_id, display, sources, n_sources, keyword, COALESCE(position, 1.0) AS position, COALESCE(early, 0) AS early, COALESCE(in_h1, 0) AS in_h1, 0::BIGINT AS in_h2 FROM cpt LEFT JOIN pa USING (topic_id, display) LEFT JOIN ph USING (topic_id, display) JOIN tp USING (topic_id)),
+    "f11_salience_topical": rf"""WITH {_CONCEPTS}, {_HEAD_ROWS}, con AS (SELECT * FROM cpt WHERE length(display) >= 3 AND len(list_filter(string_split(display, ' '), lambda w: NOT list_contains({NAV!r}, w))) > 0), pl AS (SELECT topic_id, display, src_idx, min((strpos(lower(content), display) - 1) / GREATEST(length(content), 1)) AS first, max((strpos(lower(content), display) - 1 < 1500)::INT) AS early FROM con JOIN src USING (topic_id) WHERE length(content) >= 100 AND contains(lower(content), display) GROUP BY ALL),
+po AS (SELECT topic_id, display, list(first ORDER BY src_idx) AS firsts, sum(early)::BIGINT AS early FROM pl GROUP BY ALL), pa AS (SELECT topic_id, display, list_reduce([1.0::DOUBLE] || firsts, lambda a, x: (a * (sources - 1) + x) / sources) AS position, early FROM po JOIN con USING (topic_id, display)), ph AS (SELECT topic_id, display, count(*) AS in_h1 FROM con JOIN heads USING (topic_id) WHERE contains(lower(heading), display) GROUP BY ALL),
+z AS (SELECT topic_id, display, sources, n_sources, keyword, COALESCE(position, 1.0) AS position, COALESCE(early, 0) AS early, COALESCE(in_h1, 0) AS in_h1, 0::BIGINT AS in_h2 FROM con LEFT JOIN pa USING (topic_id, display) LEFT JOIN ph USING (topic_id, display) JOIN tp USING (topic_id)),
 y AS (SELECT topic_id, display, round(position, 6) AS position, early, in_h1, in_h2, round(LEAST(1.0::DOUBLE, 0.25::DOUBLE * sources / n_sources + 0.2::DOUBLE * (1 - position) + 0.15::DOUBLE * LEAST(1.0::DOUBLE, early / n_sources) + 0.15::DOUBLE * LEAST(1.0::DOUBLE, in_h1 / n_sources) + 0.1::DOUBLE * LEAST(1.0::DOUBLE, len(list_intersect(string_split(display, ' '), string_split(keyword, ' '))) / len(string_split(keyword, ' ')))), 6) AS salience FROM z) SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY salience DESC, display) AS rank FROM y""",
     "f12_salience_roles": f"WITH {_ROLES} SELECT topic_id, phrase, position, early, subject_ratio, in_h1, in_h2, salience, rank FROM roles",
     "f15_extract_relations": _relations(),

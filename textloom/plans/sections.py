@@ -10,7 +10,8 @@ from textloom.operators import entities, gaps, grams, headings, sections, text
 from textloom.plans import tables as t
 from textloom.plans.gaps import DEFAULTS, _ASKED, _FACTS, _OPEN, _facts, _questions, _unanswered
 from textloom.plans.terms import _top
-from textloom.plans.twins import _HEADS, _LIST, _WEIGHT, _WORDS, TWINS as _BASE, _main_text
+from textloom.plans.tables import ARTICLE_SQL
+from textloom.plans.twins import _HEADS, _LIST, _WEIGHT, _WORDS, TWINS as _BASE
 
 LIMITS = {"fact": 6, "triple": 6, "pair": 3}
 RELATED = [("en", "license terms"), ("fr", "licence libre"), ("de", "freie lizenz")]
@@ -29,15 +30,11 @@ def a5_synthesize_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.synthesize_sources(signals, text.documents_as_sources(t.docs(spark, sf_dir))).select("topic_id", "pos", F.md5("content").alias("digest"))
 
 
-def _page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's heading and its main text as the section under it; the heading's first word is taken as the subject."""
-    words = t.table(spark, sf_dir, "pages").select("page_id", F.size(headings.words_of(text.html_main_text(F.col("html")))).alias("words"))
-    heads = t.headings(spark, sf_dir).withColumn("heading", F.split("heading", " ")[0])
-    return heads.join(words, "page_id").select("topic_id", "src", "heading", "words")
-
-
 def _depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.gap_depth(_page_sections(spark, sf_dir), least=2, short=400, high=200)
+    """Articles as texts, their headings as those of competitors."""
+    texts = t.articles(spark, sf_dir, F.col("lang").alias("topic_id"), F.coalesce("source", F.lit("")).alias("src"))
+    heads = texts.select("topic_id", "src", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^## (.+)$"), F.lit(1))).alias("heading"))
+    return sections.gap_depth(heads, texts, least=2, short=400, high=200)
 
 
 def h3_gap_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +58,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str, heads: DataFrame) -> DataFrame:
     one = headings.heading_support(heads).select("topic_id", F.lit(1).alias("pool"), F.col("rank").alias("k"), "heading", F.col("sources").alias("n"))
-    asked = gaps.merge_gaps(_unanswered(spark, sf_dir).join(_questions(spark, sf_dir), ["topic_id", "id"]), STOP).join(_questions(spark, sf_dir), ["topic_id", "id"])
+    asked = gaps.merge_gaps(_unanswered(spark, sf_dir).join(_questions(spark, sf_dir), ["topic_id", "id"]).withColumn("kind", F.lit("unanswered")), STOP).drop("heading").join(_questions(spark, sf_dir), ["topic_id", "id"])
     two = asked.select("topic_id", F.lit(2).alias("pool"), F.col("rank").alias("k"), F.substring("question", 1, 60).alias("heading"), F.lit(0).cast("long").alias("n"))
     three = heads.select("topic_id").distinct().select("topic_id", F.lit(3).alias("pool"), F.posexplode(F.array(*[F.lit(d) for d in DEFAULTS])).alias("k", "heading"), F.lit(0).cast("long").alias("n"))
     four = grams.ranked(_depth(spark, sf_dir), 5, F.asc("mean_words"), F.asc("heading")).select("topic_id", F.lit(4).alias("pool"), F.col("rank").alias("k"), "heading", F.lit(0).cast("long").alias("n"))
@@ -91,8 +88,16 @@ def e8_assign_to_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [j1_split_articles, a5_synthesize_sources, h3_gap_depth, h5_split_questions, e3_score_headings, e4_raw_fallback, e8_assign_to_sections]
 
-_DEPTH = rf"""mt AS ({_main_text()}), ps AS (SELECT topic_id, src, string_split(heading, ' ')[1] AS heading, len({_WORDS.format('content')}) AS words FROM heads JOIN mt USING (page_id)), pn AS (SELECT *, trim(regexp_replace(lower(heading), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') AS norm FROM ps),
-dp AS (SELECT topic_id, norm, min(heading) AS heading, count(DISTINCT src) AS sources, avg(words) FILTER (words > 10) AS mean FROM pn WHERE norm <> '' GROUP BY ALL), dg AS (SELECT topic_id, heading, sources, round(mean, 4) AS mean_words, CASE WHEN mean <= 200 THEN 'high' ELSE 'medium' END AS priority FROM dp WHERE sources >= 2 AND mean < 400)"""
+_DEPTH = rf"""ar AS (SELECT doc_id, lang AS topic_id, COALESCE(source, '') AS src, {ARTICLE_SQL} AS body FROM documents),
+dn AS (SELECT *, trim(regexp_replace(lower(heading), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') AS norm FROM (SELECT topic_id, src, unnest(regexp_extract_all(body, '(?m)^## (.+)$', 1)) AS heading FROM ar)),
+dp AS (SELECT topic_id, norm, min(heading) AS heading, count(DISTINCT src) AS sources FROM dn WHERE norm <> '' GROUP BY ALL HAVING count(DISTINCT src) >= 2),
+dl AS (SELECT doc_id, topic_id, unnest(range(len(string_split(body, chr(10))))) AS k, trim(unnest(string_split(lower(body), chr(10))), ' ') AS line FROM ar),
+dm AS (SELECT doc_id, topic_id, k, length(line) AS size, line, list_distinct(regexp_extract_all(line, '\p{{L}}{{3,}}')) AS ws, len({_WORDS.format('line')}) AS n, lag(line) OVER (PARTITION BY doc_id ORDER BY k) AS last FROM dl),
+df AS (SELECT m.doc_id, m.topic_id, p.norm, min(m.k) AS at FROM dm m JOIN dp p ON p.topic_id = m.topic_id AND m.size < 100 AND m.line <> '' AND len(list_intersect(ws, string_split(p.norm, ' '))) >= GREATEST(2, len(list_distinct(string_split(p.norm, ' '))) - 1) GROUP BY ALL),
+ds AS (SELECT f.doc_id, f.topic_id, f.norm, f.at, min(b.k) AS rest FROM df f LEFT JOIN dm b ON b.doc_id = f.doc_id AND b.k > f.at + 2 AND b.size BETWEEN 6 AND 79 AND b.last = '' GROUP BY ALL),
+dw AS (SELECT s.topic_id, s.norm, s.doc_id, COALESCE(sum(m.n) FILTER (m.k > s.at AND m.k < LEAST(COALESCE(s.rest, 1000000000), s.at + 50)), 0) AS words FROM ds s JOIN dm m ON m.doc_id = s.doc_id GROUP BY ALL),
+dz AS (SELECT topic_id, norm, count(*) AS sections, avg(words) AS mean FROM dw WHERE words > 10 GROUP BY ALL),
+dg AS (SELECT topic_id, heading, sources, sections, round(mean, 4) AS mean_words, CASE WHEN mean <= 200 THEN 'high' ELSE 'medium' END AS priority FROM dp JOIN dz USING (topic_id, norm) WHERE mean < 400)"""
 _LISTS = "ls AS (SELECT topic_id, COALESCE(g, []) AS grams, COALESCE(n, []) AS entities, COALESCE(r, []) AS related FROM (SELECT topic_id, list(gram) AS g FROM tops WHERE weight >= 0.3 GROUP BY 1) FULL JOIN (SELECT topic_id, list(phrase) AS n FROM ent WHERE importance >= 0.5 GROUP BY 1) USING (topic_id) FULL JOIN (SELECT topic_id, list(related) AS r FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in RELATED) + ") v(topic_id, related) GROUP BY 1) USING (topic_id))"
 _TOPS = f"tops AS (SELECT topic_id, gram, weight, rank FROM (WITH {_WEIGHT} SELECT * FROM topped) WHERE rank <= 30), ent AS ({_BASE['f2_entity_stats']})"
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.lists import ENTITIES
 from textloom.operators import entities, grams, terms, text
+from textloom.operators.lineage import shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,26 +24,24 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text)``: documents as markdown, which the tables lack.
+def articles(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """``(doc_id, more, text)``: documents as markdown, which the tables lack.
 
     The first line is the title, lines of up to three words are headings, those of up to six list items, and every third other line ends a paragraph.
     """
     n = lambda x: F.size(F.split(x, " "))
     shaped = lambda x, i: F.when(i == 0, F.concat(F.lit("# "), x)).when(n(x) <= 3, F.concat(F.lit("## "), x)).when(n(x) <= 6, F.concat(F.lit("- "), x)).when(i % 3 == 2, F.concat(x, F.lit("\n"))).otherwise(x)
-    return docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), shaped), "\n").alias("text"))
+    return docs(spark, sf_dir).select("doc_id", *more, F.array_join(F.transform(F.split("text", "\n"), shaped), "\n").alias("text"))
 
 
 #: The same as a DuckDB expression on ``text``.
 ARTICLE_SQL = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i = 1 THEN '# ' || x WHEN len(string_split(x, ' ')) <= 3 THEN '## ' || x WHEN len(string_split(x, ' ')) <= 6 THEN '- ' || x WHEN (i - 1) % 3 = 2 THEN x || chr(10) ELSE x END), chr(10))"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only for a local session that names none."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
-    return folder or tempfile.mkdtemp(prefix="textloom-")
+def rows_of(spark: SparkSession, rows: list[tuple[str, ...]], *names: str) -> DataFrame:
+    """A short list of texts as rows that the optimizer knows the size of; no Python worker makes them."""
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {quoted} AS t({', '.join(names)})")
 
 
 def long(df: DataFrame, *columns: str) -> DataFrame:
@@ -54,7 +51,7 @@ def long(df: DataFrame, *columns: str) -> DataFrame:
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(topic_id, n_sources, keyword)``."""
     sources = text.documents_as_sources(table(spark, sf_dir, "documents"))
-    keywords = spark.createDataFrame(KEYWORDS, "topic_id string, keyword string")
+    keywords = rows_of(spark, KEYWORDS, "topic_id", "keyword")
     return sources.groupBy("topic_id").agg(F.countDistinct("src_idx").alias("n_sources")).join(keywords, "topic_id")
 
 
@@ -65,8 +62,17 @@ def all_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.ngrams(grams.tokens(text.documents_as_sources(docs(spark, sf_dir)).unionByName(joined)))
 
 
+#: What is kept of so many topics, a row or some dozens each, is broadcast; of more it is shuffled.
+MANY_TOPICS = 2_000
+
+
+def few_topics(topics: DataFrame) -> bool:
+    return topics.select("topic_id").limit(MANY_TOPICS + 1).count() <= MANY_TOPICS
+
+
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grams.weight_grams(grams.gram_counts(grams.source_counts(all_grams(spark, sf_dir))), topics(spark, sf_dir))
+    known = topics(spark, sf_dir)
+    return grams.weight_grams(grams.gram_counts(grams.source_counts(all_grams(spark, sf_dir))), known, few_topics(known))
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +83,12 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(rows.select(topic.alias("topic_id"), "src", "page_id", "pos", "heading"), "pos")
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gazetteer = spark.createDataFrame(ENTITIES, "phrase string, etype string")
-    return entities.match_entities(grams.tokens(text.documents_as_sources(docs(spark, sf_dir))), gazetteer)
+def mentions(spark: SparkSession, sf_dir: str, around: int = 0) -> DataFrame:
+    gazetteer = rows_of(spark, ENTITIES, "phrase", "etype")
+    return entities.match_entities(text.documents_as_sources(docs(spark, sf_dir)), gazetteer, around)
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the first entities of each topic."""
+    found, n_sources = mentions(spark, sf_dir, 50), topics(spark, sf_dir).drop("keyword")
+    return entities.cooccurrence(found, entities.entity_stats(found, n_sources), n_sources)

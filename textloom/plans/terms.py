@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.lists import ENTITIES, SHOP, STOP
+from textloom.functions.lists import LEXICON, SHOP, STOP
 from textloom.operators import entities, grams, terms, text
 from textloom.plans import tables as t
 from textloom.plans.twins import _GRAMS, _HEADS, _LIST, _MENTIONS, _STATS, _WEIGHT, _WORDS, TWINS as _BASE
@@ -118,7 +118,12 @@ def f6_drop_single_source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f7_noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.noun_phrases(grams.tokens(_sources(spark, sf_dir)), NOUN, MODIFIER)
+    """The words of the texts with their kind by pattern are the lexicon."""
+    toks = grams.tokens(_sources(spark, sf_dir))
+    words = toks.select(F.explode("words").alias("surface")).distinct().join(spark.createDataFrame(LEXICON, "surface string, lemma string"), "surface", "left")
+    tag = F.when(F.col("surface").rlike(NOUN), "NOUN").when(F.col("surface").rlike(MODIFIER), "ADJ").otherwise("X")
+    lexicon = words.select("surface", F.coalesce("lemma", "surface").alias("lemma"), tag.alias("pos"), F.col("surface").isin(STOP).alias("is_stop"))
+    return terms.noun_phrases(toks, lexicon)
 
 
 def f8_phrase_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +148,7 @@ def f18_coverage_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f20_strong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = t.docs(spark, sf_dir).select(F.col("lang").alias("topic_id"), F.explode(F.split("text", r"[.!?]+\s+")).alias("sentence"))
-    return t.long(terms.strong_pairs(entities.cooccurrence(sents, [p for p, _ in ENTITIES])), "rank")
+    return t.long(terms.strong_pairs(t.pairs(spark, sf_dir)), "rank")
 
 
 QUERIES = [a9_trim_for_consumer, d3_add_signal_source, d6_filter_grams, d10_clean_grams, d11_gram_quality, d12_drop_flagged, d14_theme_importance, d15_term_set_coverage, d17_section_budget, d18_key_gram, d19_topic_summary, f3_flag_web_garbage, f4_clean_entities, f5_entity_quality, f6_drop_single_source_names, f7_noun_phrases, f8_phrase_key, f10_concept_tiers, f14_placement_roles, f17_must_cover, f18_coverage_role, f20_strong_pairs]
@@ -198,7 +202,8 @@ TWINS = {
     "f4_clean_entities": f"WITH {_ENT} SELECT topic_id, phrase, importance FROM ent WHERE length(phrase) BETWEEN 3 AND 80 AND phrase <> 'idiot' AND NOT list_contains({_LIST}, phrase) AND len(list_filter(string_split(phrase, ' '), lambda v: NOT list_contains({_LIST}, v))) > 0",
     "f5_entity_quality": f"WITH {_ENT} {_reason('phrase', 'ent', 'topic_id, phrase')}",
     "f6_drop_single_source_names": f"WITH {_ENT} SELECT topic_id, phrase, freq, sources FROM ent JOIN nsrc USING (topic_id) WHERE NOT (n_sources >= 3 AND etype IN ('PERSON', 'ORGANIZATION') AND sources = 1 AND freq <= 3)",
-    "f7_noun_phrases": rf"WITH {_GRAMS}, u AS (SELECT topic_id, doc_id, unnest(range(len(words))) AS pos, unnest(words) AS w FROM tok), m AS (SELECT *, regexp_matches(w, '{NOUN}') AS noun FROM u WHERE regexp_matches(w, '{NOUN}') OR regexp_matches(w, '{MODIFIER}')), i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS isle FROM m), p AS (SELECT topic_id, doc_id, isle, string_agg(w, ' ' ORDER BY pos) AS phrase, count(*) AS k, arg_max(noun, pos) AS fin FROM i GROUP BY ALL) SELECT topic_id, phrase, count(*) AS n FROM p WHERE k BETWEEN 2 AND 5 AND fin GROUP BY ALL",
+    "f7_noun_phrases": rf"""WITH {_GRAMS}, u AS (SELECT topic_id, doc_id, unnest(range(len(words))) AS pos, unnest(words) AS w FROM tok), m AS (SELECT *, CASE w {' '.join(f"WHEN '{x}' THEN '{y}'" for x, y in LEXICON)} ELSE w END AS lemma, regexp_matches(w, '{NOUN}') AS noun FROM u WHERE (regexp_matches(w, '{NOUN}') OR regexp_matches(w, '{MODIFIER}')) AND NOT list_contains({_LIST}, w)),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS isle FROM m), p AS (SELECT topic_id, doc_id, isle, string_agg(w, ' ' ORDER BY pos) AS phrase, string_agg(lemma, ' ' ORDER BY pos) AS key, count(*) AS k, arg_max(noun, pos) AS fin FROM i GROUP BY ALL) SELECT topic_id, phrase, key, count(*) AS n FROM p WHERE k BETWEEN 2 AND 5 AND fin GROUP BY ALL""",
     "f8_phrase_key": _keys(),
     "f10_concept_tiers": f"WITH {_ENT}, {_TIERS} SELECT * FROM tiers",
     "f14_placement_roles": f"WITH {_ENT} SELECT topic_id, phrase, rank, CASE WHEN rank = 1 THEN 'primary' WHEN rank <= 4 THEN 'secondary' ELSE 'supporting' END AS role, rank <= 3 AS in_first_paragraph FROM ent WHERE rank <= 10",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from textloom.functions.lists import BANNED, BUDGETS, CSS, ENTITIES, FACTS, LEXICON, PART_ENTITIES, PHRASES, SCRIPTS, SHOP, STOP, STYLE_STOP, WEIGHTED
-from textloom.operators.text import CHROME, COOKIES, ROLES
+from textloom.operators.text import CHROME_TAGS, COOKIES, LINE_TAGS, RAW, marks_of_chrome
 from textloom.plans.tables import ARTICLE_SQL, KEYWORDS
 
 _LIST = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
@@ -43,14 +43,29 @@ def _phrase(p: str) -> str:
     return f"SELECT doc_id, '{p}' AS phrase, {_COUNT.format(p)} AS n FROM documents"
 
 
+#: Lines that begin navigation.
+NAV_LINES = r"(?i)licen[cs]e|cookie|menu"
+
+
+def _visible(lines: bool = False) -> str:
+    """``visible(page_id, content)``: chrome blocks end where the depth of their element falls below that of their opening tag."""
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    ends = f"CASE WHEN lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) IN ({quoted(LINE_TAGS)}) THEN chr(10) ELSE ' ' END" if lines else "' '"
+    trimmed = r"trim(regexp_replace({}, '[ \t\n\f\r]+', ' ', 'g'), ' ')"
+    joined = f"string_agg(CASE WHEN gone THEN '' ELSE piece END || {ends}, '' ORDER BY k)"
+    content = f"array_to_string(list_filter(list_transform(string_split({joined}, chr(10)), lambda x: {trimmed.format('x')}), lambda x: x <> ''), chr(10))" if lines else trimmed.format(joined)
+    marks = marks_of_chrome().replace("'", "''")
+    return rf"""sp AS (SELECT page_id, regexp_split_to_array(x, '<[^>]+>') AS pieces, regexp_extract_all(x, '<[^>]+>') AS tags FROM (SELECT page_id, regexp_replace(html, '{RAW}', ' ', 'g') AS x FROM pages)),
+nm AS (SELECT page_id, k, tag, starts_with(tag, '</') AS closing, lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM (SELECT page_id, unnest(range(len(tags))) AS k, unnest(tags) AS tag FROM sp)),
+dp AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, name ORDER BY k) AS depth FROM nm WHERE name <> '' AND (closing OR NOT ends_with(tag, '/>'))),
+op AS (SELECT d.page_id, d.k, min(z.k) AS stop FROM dp d JOIN dp z ON z.page_id = d.page_id AND z.name = d.name AND z.closing AND z.k > d.k AND z.depth = d.depth - 1 WHERE NOT d.closing AND (d.name IN ({quoted(CHROME_TAGS)}) OR regexp_matches(d.tag, '{marks}')) GROUP BY ALL),
+pc AS (SELECT page_id, unnest(range(len(pieces))) AS k, unnest(pieces) AS piece, unnest(list_concat(tags, [''])) AS tag FROM sp),
+fl AS (SELECT *, EXISTS (SELECT 1 FROM op WHERE op.page_id = pc.page_id AND op.k < pc.k AND pc.k <= op.stop) AS gone FROM pc),
+visible AS (SELECT page_id, {content} AS content FROM fl GROUP BY page_id)"""
+
+
 def _main_text() -> str:
-    x = "html"
-    for tag in ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"):
-        x = f"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
-    for mark in (rf"role\s*=\s*[\"'']?(?:{'|'.join(ROLES)})", rf"(?:class|id)\s*=\s*[\"''][^\"''>]*(?:{'|'.join(CHROME)})"):
-        for tag in ("div", "section", "ul", "p", "form"):
-            x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*{mark}[^>]*>.*?</{tag}>', ' ', 'g')"
-    return rf"SELECT page_id, trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS content FROM pages"
+    return f"WITH {_visible()} SELECT page_id, content FROM visible"
 
 
 def _artifacts(x: str) -> str:
@@ -82,9 +97,6 @@ TWINS = {
     "b5_line_features": rf"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents), w AS (SELECT *, {_WORDS.format('line')} AS words FROM l),
 c AS (SELECT doc_id, pos, line, length(line) AS chars, len(words) AS n_words, len(list_filter(words, lambda x: list_contains({_LIST}, lower(x)))) / GREATEST(len(words), 1) AS density, len(list_filter(words, lambda x: regexp_matches(x, '^\p{{Lu}}'))) / GREATEST(len(words), 1) AS capital, regexp_matches(line, '[.!?]$') AS fin FROM w)
 SELECT doc_id, pos, chars, n_words, round(density, 6) AS density, round(capital, 6) AS capital, (chars < 5) OR (chars < 60 AND density < 0.15 AND NOT fin) OR (chars < 60 AND capital > 0.6 AND n_words <= 5) OR (n_words <= 3 AND density = 0 AND NOT fin) AS boilerplate FROM c""",
-    "b7_clean_lines": rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents), h AS (SELECT *, regexp_matches(line, '(?i)licen[cs]e|cookie|menu') AND length(line) < 150 AS hit FROM l),
-st AS (SELECT doc_id, -1::BIGINT AS pos, false AS skip, 0 AS n, '' AS line, false AS keep FROM (SELECT DISTINCT doc_id FROM h) UNION ALL SELECT h.doc_id, h.pos, CASE WHEN hit THEN true WHEN skip AND NOT ((n + 1 > 3 AND length(h.line) > 50) OR n + 1 > 8) THEN true ELSE false END, CASE WHEN hit THEN 0 WHEN skip THEN n + 1 ELSE 0 END, h.line, NOT hit AND NOT (skip AND NOT ((n + 1 > 3 AND length(h.line) > 50) OR n + 1 > 8)) FROM st JOIN h ON h.doc_id = st.doc_id AND h.pos = st.pos + 1)
-SELECT doc_id, COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '') AS text FROM st GROUP BY 1""",
     "b8_finish_text": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ')) AS digest FROM documents",
     "d1_tokens": f"WITH {_GRAMS} SELECT doc_id, len(words) AS n_tokens, md5(array_to_string(words, ' ')) AS digest FROM tok",
     "d4_gram_stats": f"WITH {_STATS} SELECT * FROM stats",
@@ -110,10 +122,44 @@ f AS (SELECT page_id, url, COALESCE(NULLIF(regexp_extract(url, '^https?://(?:www
 e AS (SELECT page_id, url, src, unnest(range(len(hs))) AS pos, trim(regexp_replace(unnest(hs), '<[^>]+>', '', 'g'), ' ') AS heading FROM f),
 heads AS (SELECT regexp_extract(url, '^https?://[^/]+/([a-z]{2})(?:/|$)', 1) AS topic_id, src, page_id, pos, heading FROM e WHERE length(heading) > 0 AND length(heading) < 200 AND NOT regexp_matches(heading, '[{}]|webkit|@media'))"""
 _NSRC = "ns AS (SELECT topic_id, count(DISTINCT src) AS n_sources FROM heads GROUP BY 1)"
+_LENGTHS = sorted({len(p.split()) for p, _ in ENTITIES})
 _MENTIONS = _GRAMS + ", gaz(phrase, etype) AS (VALUES " + ", ".join(f"('{p}', '{t}')" for p, t in ENTITIES) + "), runs AS (" + " UNION ALL ".join(
-    f"SELECT topic_id, src_idx, doc_id, unnest(range(len(words) - {k - 1})) AS pos, unnest(list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i:i + {k - 1}], ' '))) AS phrase FROM tok WHERE len(words) >= {k}" for k in (1, 2, 3, 4)
-) + "), m AS (SELECT * FROM runs JOIN gaz USING (phrase))"
-_PHRASES = sorted(p for p, _ in ENTITIES)
+    f"SELECT topic_id, src_idx, doc_id, {k} AS n_words, unnest(range(len(words) - {k - 1})) AS pos, unnest(list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i:i + {k - 1}], ' '))) AS phrase FROM tok JOIN (SELECT doc_id FROM src WHERE length(content) >= 100) USING (doc_id) WHERE len(words) >= {k}" for k in _LENGTHS
+) + "), every AS (SELECT * FROM runs JOIN gaz USING (phrase)), m AS (SELECT * FROM every e WHERE NOT EXISTS (SELECT 1 FROM every o WHERE o.doc_id = e.doc_id AND o.pos <= e.pos AND o.pos + o.n_words >= e.pos + e.n_words AND o.n_words > e.n_words))"
+
+
+def _units(name: str, mark: str) -> str:
+    """``name(doc_id, k, begin, stop, size, piece)``: parts of texts between marks and where they lie."""
+    return rf"""{name}_a AS (SELECT doc_id, regexp_split_to_array(content, '{mark}') AS parts, regexp_extract_all(content, '{mark}') AS marks FROM src),
+{name}_b AS (SELECT doc_id, unnest(range(len(parts))) AS k, unnest(parts) AS piece, unnest(list_concat(list_transform(marks, lambda x: length(x)), [1])) AS gap FROM {name}_a),
+{name} AS (SELECT doc_id, k, length(piece) AS size, piece, sum(length(piece) + gap) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) - gap AS begin, sum(length(piece) + gap) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM {name}_b)"""
+
+
+_PLACES = _MENTIONS + ", " + _units("gaps", r"\p{L}+") + ", " + _units("sentence", r"[.!?]+[ \t\n\f\r]+") + ", " + _units("paragraph", r"\n[ \t\n\f\r]*\n") + r""",
+placed AS (SELECT m.*, (a.begin + a.size)::BIGINT AS start_char, z.stop::BIGINT AS end_char FROM m JOIN gaps a ON a.doc_id = m.doc_id AND a.k = m.pos JOIN gaps z ON z.doc_id = m.doc_id AND z.k = m.pos + m.n_words - 1),
+places AS (SELECT p.*, s.k AS sentence, substring(trim(s.piece, ' '), 1, 200) AS sentence_text, g.k AS paragraph, g.size AS paragraph_chars, substring(c.content, start_char + 1, end_char - start_char) AS surface, substring(c.content, GREATEST(start_char - 50, 0) + 1, end_char + 50 - GREATEST(start_char - 50, 0)) AS context
+FROM placed p JOIN src c ON c.doc_id = p.doc_id JOIN sentence s ON s.doc_id = p.doc_id AND s.begin <= start_char AND start_char < s.stop JOIN paragraph g ON g.doc_id = p.doc_id AND g.begin <= start_char AND start_char < g.stop),
+ns AS (SELECT topic_id, count(DISTINCT src_idx) AS n_sources FROM src GROUP BY 1)"""
+_DETAILS = f"""WITH {_PLACES}, per AS (SELECT topic_id, phrase, etype, src_idx, count(*) AS n FROM places GROUP BY ALL),
+rng AS (SELECT topic_id, phrase, etype, min(n) AS freq_min, floor(quantile_cont(n, 0.5))::BIGINT AS freq_median, max(n) AS freq_max FROM per GROUP BY ALL),
+sf AS (SELECT topic_id, phrase, etype, surface FROM places QUALIFY row_number() OVER (PARTITION BY topic_id, phrase, etype ORDER BY src_idx, doc_id, start_char) = 1),
+cx AS (SELECT topic_id, phrase, etype, context, src_idx, doc_id, start_char FROM places QUALIFY row_number() OVER (PARTITION BY topic_id, phrase, etype, context ORDER BY src_idx, doc_id, start_char) = 1),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY topic_id, phrase, etype ORDER BY src_idx, doc_id, start_char, context) AS r FROM cx),
+cs AS (SELECT topic_id, phrase, etype, string_agg(context, ' | ' ORDER BY r) AS contexts FROM c3 WHERE r <= 3 GROUP BY ALL)
+SELECT topic_id, phrase, etype, surface, freq_min, freq_median, freq_max, contexts FROM rng JOIN sf USING (topic_id, phrase, etype) JOIN cs USING (topic_id, phrase, etype)"""
+
+
+def _joint(unit: str, more: str = "") -> str:
+    return f"SELECT DISTINCT x.topic_id, x.phrase AS a, y.phrase AS b, x.src_idx, x.doc_id, x.{unit}{more} FROM kept x JOIN kept y ON x.topic_id = y.topic_id AND x.doc_id = y.doc_id AND x.{unit} = y.{unit} AND x.phrase < y.phrase"
+
+
+def _cooccurrence() -> str:
+    return f"""WITH {_PLACES}, first AS ({TWINS['f2_entity_stats']}), kept AS (SELECT p.* FROM places p JOIN (SELECT DISTINCT topic_id, phrase FROM first) USING (topic_id, phrase)),
+near AS ({_joint('sentence', ', x.sentence_text')}), wide AS ({_joint('paragraph')} WHERE x.paragraph_chars >= 50),
+nn AS (SELECT topic_id, a, b, count(*) AS n, count(DISTINCT src_idx) AS sources FROM near GROUP BY ALL), cc AS (SELECT topic_id, a, b, sentence_text AS context FROM near QUALIFY row_number() OVER (PARTITION BY topic_id, a, b ORDER BY src_idx, doc_id, sentence) = 1), ww AS (SELECT topic_id, a, b, count(*) AS paragraphs FROM wide GROUP BY ALL),
+al AS (SELECT topic_id, a, b, COALESCE(n, 0) AS n, COALESCE(paragraphs, 0) AS paragraphs, COALESCE(sources, 0) AS sources, context FROM nn FULL JOIN ww USING (topic_id, a, b) LEFT JOIN cc USING (topic_id, a, b)),
+st AS (SELECT al.*, round(LEAST(1.0::DOUBLE, (3 * n + paragraphs) * CASE WHEN sources >= 2 THEN 1 + 0.2::DOUBLE * sources ELSE 1.0::DOUBLE END / 50), 6) AS strength FROM al JOIN ns USING (topic_id) WHERE n + paragraphs >= CASE WHEN n_sources <= 4 THEN 1 ELSE 2 END),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY strength DESC, a, b) AS rank FROM st) SELECT * FROM r WHERE rank <= 20"""
 
 
 def _css() -> str:
@@ -145,11 +191,28 @@ def _coverage(strict: bool) -> str:
     return f"WITH s AS (SELECT doc_id, [{', '.join(states)}] AS s FROM documents), c AS (SELECT doc_id, {counts}, array_to_string(list_transform(list_sort(list_transform(list_filter(s, lambda x: x.k = 'missing' AND x.w >= 0.3), lambda x: {{'w': -x.w, 'p': x.p}})), lambda x: x.p), ', ') AS important FROM s) SELECT *, round(100 * ({covered}) / {len(states)}, 2) AS coverage_pct FROM c"
 
 
-def _pairs() -> str:
-    return " UNION ALL ".join(f"SELECT topic_id, '{a}' AS a, '{b}' AS b FROM low WHERE contains(s, '{a}') AND contains(s, '{b}')" for i, a in enumerate(_PHRASES) for b in _PHRASES[i + 1 :])
+_SHAPES = r"length(line) < 3 OR (length(line) < 30 AND regexp_matches(line, '[→►»›]$')) OR regexp_matches(line, '^[-=_*|•·]+$') OR regexp_matches(line, '^\d+$') OR regexp_matches(line, '^\p{L}{1,4}$') OR regexp_matches(line, '^\p{L}{3,12}\.? (?:19|20)\d\d$')"
+
+
+def _clean_lines(docs: str, key: str) -> str:
+    """Lines of ``docs(key, text)``: the skip as a state that passes from line to line, then the judgement of lines."""
+    rests = "(n + 1 > 3 AND length(h.line) > 50) OR n + 1 > 8"
+    return rf"""WITH RECURSIVE given AS ({docs}), l AS (SELECT {key}, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM given), h AS (SELECT *, regexp_matches(line, '{NAV_LINES}') AND length(line) < 150 AS hit FROM l),
+st AS (SELECT {key}, -1::BIGINT AS pos, false AS skip, 0 AS n, '' AS line, false AS keep FROM (SELECT DISTINCT {key} FROM h) UNION ALL SELECT h.{key}, h.pos, CASE WHEN hit THEN true WHEN skip AND NOT ({rests}) THEN true ELSE false END, CASE WHEN hit THEN 0 WHEN skip THEN n + 1 ELSE 0 END, h.line, NOT hit AND NOT (skip AND NOT ({rests})) FROM st JOIN h ON h.{key} = st.{key} AND h.pos = st.pos + 1),
+jw AS (SELECT *, {_WORDS.format('line')} AS words, regexp_matches(line, '[.!?]$') AS fin, length(line) AS chars FROM st),
+jc AS (SELECT *, len(words) AS n_words, len(list_filter(words, lambda x: list_contains({_LIST}, lower(x)))) / GREATEST(len(words), 1) AS density, len(list_filter(words, lambda x: regexp_matches(x, '^\p{{Lu}}'))) / GREATEST(len(words), 1) AS capital FROM jw),
+jd AS (SELECT {key}, pos, line, keep AND NOT ({_SHAPES} OR (n_words BETWEEN 1 AND 2 AND capital = 1) OR (n_words < 2 AND NOT regexp_matches(line, '\d')) OR chars < 5 OR (chars < 60 AND density < 0.15 AND NOT fin) OR (chars < 60 AND capital > 0.6 AND n_words <= 5) OR (n_words <= 3 AND density = 0 AND NOT fin)) AS keep FROM jc)
+SELECT {key}, COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '') AS text FROM jd GROUP BY 1"""
+
+
+def _best_text() -> str:
+    long = r"list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: length(w) > 3)"
+    second = r"regexp_replace(array_to_string(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), chr(10)), '<[^>]+>', ' ', 'g')"
+    checked = f"SELECT page_id, CASE WHEN trim(a, ' ') = '' THEN b WHEN length(b) <= 200 THEN a ELSE array_to_string(list_filter(string_split(a, chr(10)), lambda x: length(x) >= 50 OR 2 * len(list_filter({long}, lambda w: contains(lower(b), w))) >= len({long})), chr(10)) END AS c FROM (SELECT page_id, content AS a, {second} AS b FROM visible JOIN pages USING (page_id))"
+    lines = _clean_lines(f"WITH {_visible(True)} SELECT page_id, {_artifacts('c')} AS text FROM ({checked})", "page_id")
+    return rf"SELECT page_id, trim(regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ') AS content FROM ({lines})"
 
 
-_SHAPES = r"length(line) < 3 OR (length(line) < 30 AND regexp_matches(line, '[→►»›]$')) OR regexp_matches(line, '^[-=_*|•·]+$') OR regexp_matches(line, '^\d+$') OR regexp_matches(line, '^\p{L}{1,4}$') OR regexp_matches(line, '^\p{L}{3,12}\.? (?:19|20)\d\d$')"
 TWINS |= {
     "b6_flag_nav_lines": f"WITH b AS ({TWINS['b5_line_features']}), l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) SELECT doc_id, pos, boilerplate OR {_SHAPES} OR (n_words BETWEEN 1 AND 2 AND capital = 1) AS nav FROM b JOIN l USING (doc_id, pos)",
     "b9_strip_css": _css(),
@@ -157,10 +220,9 @@ TWINS |= {
     "e2_heading_support": f"WITH {_HEADS}, {_NSRC}, c AS (SELECT topic_id, lower(heading) AS heading, count(DISTINCT src) AS sources FROM heads GROUP BY ALL), r AS (SELECT c.*, row_number() OVER (PARTITION BY topic_id ORDER BY sources DESC, heading) AS rank FROM c JOIN ns USING (topic_id) WHERE sources >= CASE WHEN n_sources <= 5 THEN 2 ELSE 3 END) SELECT * FROM r WHERE rank <= 40",
     "e5_topical_coverage": f"WITH {_HEADS}, {_NSRC}, c AS (SELECT topic_id, array_to_string(regexp_extract_all(lower(heading), '\\p{{L}}{{3,}}')[1:3], ' ') AS pattern, count(DISTINCT src) AS sources, min(heading) AS sample FROM heads WHERE length(heading) >= 5 GROUP BY ALL), "
     "r AS (SELECT topic_id, pattern, sources, sample, CASE WHEN sources / n_sources >= 0.7 THEN 'MUST' WHEN sources / n_sources >= 0.5 THEN 'HIGH' WHEN sources / n_sources >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS class, round(sources / n_sources, 6) AS ratio, row_number() OVER (PARTITION BY topic_id ORDER BY sources DESC, pattern) AS rank FROM c JOIN ns USING (topic_id) WHERE pattern <> '') SELECT * FROM r WHERE rank <= 15",
-    "f1_match_entities": f"WITH {_MENTIONS} SELECT topic_id, doc_id, pos, phrase, etype FROM m",
+    "f1_match_entities": f"WITH {_PLACES} SELECT topic_id, doc_id, pos, start_char, end_char, phrase, etype FROM places",
     "f2_entity_stats": f"WITH {_MENTIONS}, ns AS (SELECT topic_id, count(DISTINCT src_idx) AS n_sources FROM src GROUP BY 1), c AS (SELECT topic_id, phrase, etype, count(*) AS freq, count(DISTINCT src_idx) AS sources FROM m GROUP BY ALL), "
     "i AS (SELECT c.*, round(LEAST(1.0::DOUBLE, 0.3::DOUBLE + CASE WHEN etype IN ('PERSON', 'ORGANIZATION', 'PRODUCT') THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + LEAST(0.25::DOUBLE, 0.08::DOUBLE * ln(freq + 1)) + 0.25::DOUBLE * sources / n_sources), 6) AS importance FROM c JOIN ns USING (topic_id)), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY importance DESC, phrase) AS rank FROM i) SELECT * FROM r WHERE rank <= 50",
-    "f13_cooccurrence": rf"WITH low AS (SELECT lang AS topic_id, lower(unnest(regexp_split_to_array(text, '[.!?]+\s+'))) AS s FROM documents), p AS ({_pairs()}), c AS (SELECT topic_id, a, b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT *, round(LEAST(1.0::DOUBLE, 3 * n / 50), 6) AS strength, row_number() OVER (PARTITION BY topic_id ORDER BY n DESC, a, b) AS rank FROM c) SELECT * FROM r WHERE rank <= 20",
     "g1_bundle_texts": f"WITH {_GRAMS}, q AS (SELECT topic_id, src_idx, doc_id, substring(content, 1, 3000) AS piece FROM src WHERE length(content) > 100), run AS (SELECT *, COALESCE(sum(length(piece)) OVER (PARTITION BY topic_id ORDER BY src_idx, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q), b AS (SELECT topic_id, string_agg(piece, chr(10) ORDER BY src_idx, doc_id) AS bundle FROM run WHERE before < 8000 GROUP BY 1) SELECT topic_id, length(bundle) AS chars, md5(bundle) AS digest FROM b WHERE length(bundle) >= 200",
     "h10_target_length": f"WITH n AS (SELECT lang, len({_WORDS.format('text')}) AS n FROM documents), a AS (SELECT lang, floor(COALESCE(quantile_cont(n, 0.5) FILTER (n > 200), 2000))::BIGINT AS target, round(COALESCE(avg(n) FILTER (n > 200), 0.0), 4) AS mean_words FROM n GROUP BY 1) SELECT *, LEAST(180, target // 9) AS intro FROM a",
     "h11_hard_facts": "WITH v AS (" + " UNION ALL ".join(f"SELECT lang, '{k}' AS kind, regexp_replace(unnest(regexp_extract_all(text, '{p}')), '\\s+', '', 'g') AS value FROM documents" for k, p in FACTS.items()) + "), c AS (SELECT lang, kind, value, count(*) AS n FROM v WHERE length(value) > 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, kind, value) AS rank FROM c) SELECT * FROM r WHERE rank <= 25",
@@ -171,6 +233,8 @@ TWINS |= {
     "j17_gram_coverage_audit": _coverage(False),
     "l3_budgets_from_grams": f"WITH {_WEIGHT} SELECT topic_id, gram, freq_min AS low, GREATEST(freq_max, 1) AS high FROM topped WHERE rank <= 30",
 }
+TWINS |= {"b7_clean_lines": _clean_lines("SELECT doc_id, text FROM documents", "doc_id"), "b10_best_text": _best_text()}
+TWINS |= {"f2_entity_details": _DETAILS, "f13_cooccurrence": _cooccurrence()}
 TWINS |= {
     "k1_budget_batches": "WITH u AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{p}' AS phrase, {a} AS low, {b} AS high, COALESCE({_COUNT.format(p)}, 0) AS used FROM conversations" for p, a, b in BUDGETS)
     + "), s AS (SELECT *, sum(used) OVER (PARTITION BY conv_id, phrase ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM u) SELECT conv_id, turn, phrase, used, CASE WHEN used > GREATEST(high - (spent - used), 0) THEN 'OVER' ELSE 'OK' END AS status, GREATEST(low - spent, 0) AS low_left, GREATEST(high - spent, 0) AS high_left FROM s",

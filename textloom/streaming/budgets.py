@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from textloom.operators.checks import occurrences
 
@@ -42,24 +42,50 @@ def budget_batches(texts: DataFrame, budgets: list[tuple[str, int, int]], topic:
     return rows.select(topic, order, "phrase", "used", status.alias("status"), *left)
 
 
-def budget_stream(texts: DataFrame, budgets: list[tuple[str, int, int]], topic: str = "topic_id", text: str = "text") -> DataFrame:
-    """The same on a stream: each micro-batch is one batch of a topic; the state is the number of uses so far.
+class SpentBudget(StatefulProcessor):
+    """The uses of one phrase in one topic so far, as value state; each arriving text gets its own row against what is left then."""
 
-    Append mode: one row per topic and phrase for each micro-batch that holds texts of the topic.
+    def __init__(self, order: str):
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.spent = handle.getValueState("spent", "spent long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        turns = pd.concat(rows).sort_values(self.order, kind="stable", na_position="first")
+        before = (self.spent.get()[0] if self.spent.exists() else 0) + turns["used"].cumsum() - turns["used"]
+        spent = before + turns["used"]
+        left = (turns["high"] - before).clip(lower=0)
+        self.spent.update((int(spent.iloc[-1]),))
+        yield pd.DataFrame(
+            {
+                "topic": [key[0]] * len(turns),
+                "turn": turns[self.order],
+                "phrase": key[1],
+                "used": turns["used"],
+                "status": (turns["used"] > left).map({True: "OVER", False: "OK"}),
+                "low_left": (turns["low"] - spent).clip(lower=0),
+                "high_left": (turns["high"] - spent).clip(lower=0),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def budget_stream(texts: DataFrame, budgets: list[tuple[str, int, int]], topic: str = "topic_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """The rows of ``budget_batches`` on a stream, whatever the trigger: one for each text and phrase, in append mode.
+
+    Texts of one micro-batch are taken in ``order``, micro-batches as they arrive; the state is one number for a topic and phrase, kept in the
+    RocksDB store, which this asks of the session, and read again after a restart. Of a micro-batch only counts of a topic meet, no texts.
     """
-    rows = phrase_uses(texts, budgets, [topic], text)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spent, used, low, high = (state.get[0] if state.exists else 0), 0, 0, 0
-        for part in parts:
-            used += int(part["used"].sum())
-            low, high = int(part["low"].iloc[0]), int(part["high"].iloc[0])
-        status = "OVER" if used > max(high - spent, 0) else "OK"
-        state.update((spent + used,))
-        yield pd.DataFrame({topic: [key[0]], "phrase": [key[1]], "used": [used], "status": [status], "low_left": [max(low - spent - used, 0)], "high_left": [max(high - spent - used, 0)]})
-
-    schema = f"{topic} {texts.schema[topic].dataType.simpleString()}, {BUDGET}"
-    return rows.groupBy(topic, "phrase").applyInPandasWithState(step, schema, "spent long", "append", GroupStateTimeout.NoTimeout)
+    spark = texts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = phrase_uses(texts, budgets, [topic, order], text)
+    kinds = {c: texts.schema[c].dataType.simpleString() for c in (topic, order)}
+    schema = f"topic {kinds[topic]}, turn {kinds[order]}, {BUDGET}"
+    spent = rows.groupBy(topic, "phrase").transformWithStateInPandas(SpentBudget(order), schema, "Append", "None")
+    return spent.withColumnsRenamed({"topic": topic, "turn": order})
 
 
 def check_parts(texts: DataFrame, phrases: list[str], chars: str, keys: list[str], entities: list[str] = [], main: str = "", text: str = "text") -> DataFrame:
