@@ -2,7 +2,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.operators import gaps
+from textloom.operators import gaps, vectors
 
 SCHEMA = "cause string, effect string, confidence double"
 
@@ -155,3 +155,18 @@ def test_merged_gaps_have_headings_and_suggestions(spark):
     got = {r.id: r for r in gaps.merge_gaps(frame, ["wooden", "hull", "strong"], leads=["is", "are"]).collect()}
     assert sorted(got) == [0, 1, 2, 3, 4, 10] and [got[k].suggested for k in (0, 1, 2, 3, 4, 10)] == [True, True, True, False, False, False]
     assert got[0].heading == "Wooden boata hull strong" and got[10].heading == "Repair yards"
+
+
+def test_similar_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate((rng.normal(size=(150, 8)), rng.normal(size=(150, 8)) * 0.3 + 1, np.zeros((1, 8))))
+    rows = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(x)] + [(900, x[0].tolist(), None), (901, None, 1), (902, (2 * x[0]).tolist(), 0), (903, x[1].tolist(), 9)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    known = [(i, np.array(v), k) for i, v, k in rows if v is not None and k is not None and np.linalg.norm(v) > 0]
+    for least in (0.5, 0.9, 0.99):
+        want = {(k, i, j) for i, a, k in known for j, b, m in known if k == m and i < j and cos(a, b) >= least}
+        for block in (1000, 16):
+            got = vectors.similar_pairs(frame, least, block).collect()
+            assert len(got) == len(want) and {(r.label, r.a, r.b) for r in got} == want
+            assert all(abs(r.sim - cos(rows[r.a][1] if r.a < 900 else rows[303][1], rows[r.b][1] if r.b < 900 else rows[303][1])) < 1e-9 for r in got)

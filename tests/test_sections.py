@@ -66,3 +66,10 @@ def test_open_and_standard_questions(spark):
     kinds = {k: sorted(r.id for r in got if r.kind == k) for k in ("open", "standard")}
     assert kinds == {"open": [0, 1, 2, 4, 6, 8, 10, 12], "standard": [3, 5, 7, 9, 11, 13, 15, 17, 19, 21]}
     assert sum(r.faq for r in got) == 6
+
+
+def test_a_fact_is_placed_by_its_snippet(spark):
+    plan = spark.createDataFrame([("t", 1, "Costs of repair"), ("t", 2, "Fines and points")], "topic_id string, section int, heading string")
+    items = spark.createDataFrame([("t", "fact", 0, "1500 zl", "The fines rise to 1500"), ("t", "fact", 0, "12", None), ("t", "causal", 0, "rust leads to repair", None)], "topic_id string, kind string, k int, item string, snippet string")
+    got = sections.assign_to_sections(plan, items, {"fact": 6, "causal": 4}).collect()
+    assert sorted((r.section, r.kind, r.item) for r in got) == [(1, "causal", "rust leads to repair"), (2, "fact", "1500 zl")]

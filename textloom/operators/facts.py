@@ -57,14 +57,17 @@ def target_length(docs: DataFrame, topic: str = "lang", text: str = "text", defa
     return rows.withColumn("intro", F.least(F.lit(180), F.floor(F.col("target") / 9)).cast("long"))
 
 
-def hard_facts(docs: DataFrame, patterns: dict[str, str], topic: str = "lang", text: str = "text", limit: int = 25) -> DataFrame:
-    """``(topic, kind, value, n, rank)``: facts by pattern, one row per value without its spaces."""
+def hard_facts(docs: DataFrame, patterns: dict[str, str], topic: str = "lang", text: str = "text", limit: int = 25, key: str = "doc_id", around: int = 60) -> DataFrame:
+    """``(topic, kind, value, n, context, rank)``: facts by pattern, one row per value without its spaces, with what stands around it in its first document."""
     def found(kind: str, pattern: str) -> Column:
         values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(v, r"\s+", "").alias("value")))
+        start = lambda v: F.greatest(F.instr(text, v) - around, F.lit(1))
+        context = lambda v: F.col(text).substr(start(v), F.instr(text, v) + F.length(v) + around - start(v))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(v, r"\s+", "").alias("value"), context(v).alias("context")))
 
     each = F.concat(*[found(k, p) for k, p in patterns.items()])
-    rows = docs.select(topic, F.explode(each).alias("f")).groupBy(topic, "f.kind", "f.value").agg(F.count(F.lit(1)).alias("n")).filter(F.length("value") > 2)
+    rows = docs.select(topic, key, F.explode(each).alias("f")).filter(F.length("f.value") > 2)
+    rows = rows.groupBy(topic, "f.kind", "f.value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "f.context"))["context"].alias("context"))
     order = Window.partitionBy(topic).orderBy(F.desc("n"), "kind", "value")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 

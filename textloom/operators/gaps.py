@@ -200,6 +200,14 @@ def rank_issues(rows: DataFrame, rules: list[tuple[str, str]], severity: dict[st
     return rows.select(key, F.posexplode(each).alias("k", "i")).select(key, (F.col("k") + 1).cast("long").alias("rank"), "i.rule", "i.category", "i.place")
 
 
+def issue_counts(rows: DataFrame, rules: list[tuple[str, str]], skip: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, category, n)``: how many rules of each category a text breaks, before any limit; one row's own array."""
+    low = F.lower(text)
+    kinds = list(dict.fromkeys(c for r, c in rules if r not in skip))
+    counts = [F.struct(F.lit(k).alias("category"), sum([low.contains(r).cast("long") for r, c in rules if c == k and r not in skip], F.lit(0).cast("long")).alias("n")) for k in kinds]
+    return rows.select(key, F.explode(F.array(*counts)).alias("c")).select(key, "c.*").filter("n > 0")
+
+
 def fallback_variants(topics: DataFrame, text: str = "heading") -> DataFrame:
     """Add ``variant``: the keyword, and with its words reversed where it has several."""
     low = F.lower(F.trim(text))

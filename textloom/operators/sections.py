@@ -75,12 +75,13 @@ def raw_fallback(scored: DataFrame, raw: DataFrame) -> DataFrame:
 def assign_to_sections(plan: DataFrame, items: DataFrame, limits: dict[str, int]) -> DataFrame:
     """``(topic_id, section, kind, rank, item)``: an item belongs where a longer word of the section's heading stands in it.
 
-    ``plan(topic_id, section, heading)`` is short and travels as an array; ``items(topic_id, kind, k, item)``. A fact
-    goes to its first section only; each kind has its limit.
+    ``plan(topic_id, section, heading)`` is short and travels as an array; ``items(topic_id, kind, k, item)``, whose ``snippet``, if there is one, is
+    searched too. A fact goes to its first section only; each kind has its limit.
     """
+    said = F.lower(F.concat_ws(" ", "item", "snippet") if "snippet" in items.columns else F.col("item"))
     short = plan.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("section", F.filter(words_of(F.lower("heading")), lambda w: F.length(w) > 3).alias("words")))).alias("plan"))
-    fits = F.filter("plan", lambda s: F.exists(s["words"], lambda w: F.contains(F.lower("item"), w)))
-    rows = items.join(short, "topic_id").withColumn("fits", F.transform(fits, lambda s: s["section"]))
+    fits = F.filter("plan", lambda s: F.exists(s["words"], lambda w: F.contains("said", w)))
+    rows = items.withColumn("said", said).join(short, "topic_id").withColumn("fits", F.transform(fits, lambda s: s["section"]))
     rows = rows.withColumn("section", F.explode(F.when(F.col("kind") == "fact", F.slice("fits", 1, 1)).otherwise(F.col("fits"))))
     most = reduce(lambda c, k: c.when(F.col("kind") == k, limits[k]), limits, F.when(F.lit(False), 0)).otherwise(0)
     asked = rows.select(F.struct("topic_id", "section", "kind").alias("__g"), "k", "item", most.alias("most")).withColumnRenamed("__g", "topic_id")

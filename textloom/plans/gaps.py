@@ -14,7 +14,7 @@ CLASSES = {"legal": ["license", "law", "the"], "health": ["heal", "doc"], "plain
 RULES = [("of the", "style"), ("idiot", "tone"), ("license", "terms"), ("the the", "grammar"), ("worthless", "tone")]
 SEVERITY = {"grammar": 1, "tone": 2, "style": 3}
 #: Phrases and the most uses that count.
-MATCHED = [("the license", 3), ("than the words", 4), ("is licensed under", 2), ("the", 5), ("of the and", 6)]
+MATCHED = [("the license", 3), ("than the words", 4), ("is licensed under", 2), ("license", 5), ("of the and", 6)]
 SEQUENCES = ["the", "than the", "is licensed under"]
 #: Words that begin a question that can be answered by yes or no.
 LEADS = ["is", "are", "does", "the", "ist", "est"]
@@ -86,6 +86,10 @@ def i4_rank_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.rank_issues(t.docs(spark, sf_dir), RULES, SEVERITY, ["worthless"])
 
 
+def i4_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.issue_counts(t.docs(spark, sf_dir), RULES, ["worthless"])
+
+
 def i10_fallback_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.fallback_variants(t.headings(spark, sf_dir)).select("page_id", "pos", "variant")
 
@@ -133,7 +137,7 @@ def a7_competitor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.long(gaps.competitor_table(pages), "rank")
 
 
-QUERIES = [h1_gap_unanswered, h2_gap_subtopic, h4_merge_gaps, h7_semantic_gaps, h12_topic_class, g4_normalise_facts, g6_triplet_quality, g7_key_triplet, e6_heading_plan, i4_rank_issues, i10_fallback_variants, l2_sequence_hits, l2_lemma_matches, b3_crosscheck_lines, b10_best_text, a2_flatten_payload, a2_flatten_serp, a7_competitor_table]
+QUERIES = [h1_gap_unanswered, h2_gap_subtopic, h4_merge_gaps, h7_semantic_gaps, h12_topic_class, g4_normalise_facts, g6_triplet_quality, g7_key_triplet, e6_heading_plan, i4_rank_issues, i4_issue_counts, i10_fallback_variants, l2_sequence_hits, l2_lemma_matches, b3_crosscheck_lines, b10_best_text, a2_flatten_payload, a2_flatten_serp, a7_competitor_table]
 
 
 def _content(x: str) -> str:
@@ -205,6 +209,7 @@ SELECT topic_id, rank, id, kind, priority, upper(bare[1]) || bare[2:] AS heading
     "g7_key_triplet": f"WITH {_FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY confidence DESC, subject, predicate, object) AS k FROM facts) SELECT topic_id, subject || ' → ' || predicate || ' → ' || object AS path FROM r WHERE k = 1",
     "e6_heading_plan": f"WITH p AS ({_BASE['e5_topical_coverage']}), a AS (SELECT topic_id, CASE WHEN class IN ('MUST', 'HIGH') THEN 1 ELSE 2 END AS level, rank AS k, sample AS heading FROM p UNION ALL SELECT topic_id, 3, unnest(range({len(DEFAULTS)})), unnest([{', '.join(repr(d) for d in DEFAULTS)}]) FROM (SELECT DISTINCT topic_id FROM p)), r AS (SELECT topic_id, heading, row_number() OVER (PARTITION BY topic_id ORDER BY level, k) AS rank FROM a) SELECT * FROM r WHERE rank <= 8",
     "i4_rank_issues": _ranked_issues(),
+    "i4_issue_counts": f"SELECT doc_id, category, count(*) AS n FROM ({_ranked_issues()}) GROUP BY ALL",
     "i10_fallback_variants": rf"WITH {_HEADS}, l AS (SELECT page_id, pos, lower(trim(heading, ' ')) AS v FROM heads) SELECT page_id, pos, v AS variant FROM l UNION ALL SELECT page_id, pos, array_to_string(list_reverse(regexp_split_to_array(v, '\s+')), ' ') FROM l WHERE regexp_matches(v, '\s')",
     "l2_sequence_hits": _sequences(),
     "l2_lemma_matches": _lemma_matches(),

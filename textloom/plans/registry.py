@@ -133,6 +133,11 @@ def h6_keyword_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.keyword_cosine(_table(spark, sf_dir, "embeddings"))
 
 
+def h6_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.similar_pairs(_table(spark, sf_dir, "embeddings"), 0.3)
+    return rows.withColumn("sim", F.round("sim", 6))
+
+
 def b6_flag_nav_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text.flag_nav_lines(text.line_features(text.lines_of(_docs(spark, sf_dir)), STOP))
     return _long(rows.select("doc_id", "pos", "nav"), "pos")
@@ -224,7 +229,7 @@ def k2_check_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budgets.check_parts(_table(spark, sf_dir, "conversations"), PHRASES, "%$#|", ["conv_id", "turn"], PART_ENTITIES, "is")
 
 
-QUERIES = [a3_filter_urls, a4_admit_sources, a6_with_domain, a10_strip_markup, b1_html_headings, b2_html_main_text, b4_strip_artifacts, b5_line_features, b7_clean_lines, b8_finish_text, d1_tokens, d4_gram_stats, d4_gram_displays, d7_weight_grams, d8_top_grams, d8_top_displays, d9_extended_terms, d13_repeated_trigrams, h6_keyword_cosine, j2_phrase_hits, j3_opener_hits, j4_char_hits, j5_entity_coverage, j7_uniform_paragraphs, j8_list_groups, j15_style_score]
+QUERIES = [a3_filter_urls, a4_admit_sources, a6_with_domain, a10_strip_markup, b1_html_headings, b2_html_main_text, b4_strip_artifacts, b5_line_features, b7_clean_lines, b8_finish_text, d1_tokens, d4_gram_stats, d4_gram_displays, d7_weight_grams, d8_top_grams, d8_top_displays, d9_extended_terms, d13_repeated_trigrams, h6_keyword_cosine, h6_similar_pairs, j2_phrase_hits, j3_opener_hits, j4_char_hits, j5_entity_coverage, j7_uniform_paragraphs, j8_list_groups, j15_style_score]
 QUERIES += [b6_flag_nav_lines, b9_strip_css, d16_keyphrase_priority, e1_clean_headings, e2_heading_support, e5_topical_coverage, f1_match_entities, f2_entity_stats, f2_entity_details, f13_cooccurrence, g1_bundle_texts, h10_target_length, h11_hard_facts, h14_dedup_records, j1_sentences, j9_foreign_scripts, j17_gram_coverage, j17_gram_coverage_audit, l3_budgets_from_grams, k1_budget_batches, k2_check_parts]
 
 

@@ -194,6 +194,16 @@ def _coverage(strict: bool) -> str:
 _SHAPES = r"length(line) < 3 OR (length(line) < 30 AND regexp_matches(line, '[→►»›]$')) OR regexp_matches(line, '^[-=_*|•·]+$') OR regexp_matches(line, '^\d+$') OR regexp_matches(line, '^\p{L}{1,4}$') OR regexp_matches(line, '^\p{L}{3,12}\.? (?:19|20)\d\d$')"
 
 
+def _displays() -> str:
+    """The flagship over lemmas without signals; of each ranked gram the way it is written most."""
+    lemma = "CASE w " + " ".join(f"WHEN '{x}' THEN '{y}'" for x, y in LEXICON) + " ELSE w END"
+    plain = r"tok AS (SELECT topic_id, src_idx, doc_id, regexp_extract_all(lower(content), '(\p{L}+)', 1) AS words FROM src)"
+    both = plain.replace("tok AS", "tk AS").replace("AS words", "AS surfaces") + f", tok AS (SELECT topic_id, src_idx, doc_id, surfaces, list_transform(surfaces, lambda w: {lemma}) AS words FROM tk)"
+    weight = _WEIGHT.replace(plain, both).replace(" UNION ALL SELECT * FROM sig", "")
+    runs = " UNION ALL ".join(f"SELECT topic_id, unnest(list_transform(range(1, len(words) - {n - 2}), lambda i: array_to_string(words[i:i + {n - 1}], ' '))) AS gram, unnest(list_transform(range(1, len(words) - {n - 2}), lambda i: array_to_string(surfaces[i:i + {n - 1}], ' '))) AS surface FROM tok" for n in (2, 3, 4))
+    return f"WITH {weight}, runs AS ({runs}), c AS (SELECT topic_id, gram, surface, count(*) AS n FROM runs JOIN (SELECT topic_id, gram FROM topped WHERE rank <= 30) USING (topic_id, gram) GROUP BY ALL), d AS (SELECT topic_id, gram, surface AS display FROM c QUALIFY row_number() OVER (PARTITION BY topic_id, gram ORDER BY n DESC, surface) = 1) SELECT topic_id, rank, gram, display, freq, sources, weight FROM topped JOIN d USING (topic_id, gram) WHERE rank <= 30"
+
+
 def _clean_lines(docs: str, key: str) -> str:
     """Lines of ``docs(key, text)``: the skip as a state that passes from line to line, then the judgement of lines."""
     rests = "(n + 1 > 3 AND length(h.line) > 50) OR n + 1 > 8"
@@ -225,7 +235,7 @@ TWINS |= {
     "i AS (SELECT c.*, round(LEAST(1.0::DOUBLE, 0.3::DOUBLE + CASE WHEN etype IN ('PERSON', 'ORGANIZATION', 'PRODUCT') THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + LEAST(0.25::DOUBLE, 0.08::DOUBLE * ln(freq + 1)) + 0.25::DOUBLE * sources / n_sources), 6) AS importance FROM c JOIN ns USING (topic_id)), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY importance DESC, phrase) AS rank FROM i) SELECT * FROM r WHERE rank <= 50",
     "g1_bundle_texts": f"WITH {_GRAMS}, q AS (SELECT topic_id, src_idx, doc_id, substring(content, 1, 3000) AS piece FROM src WHERE length(content) > 100), run AS (SELECT *, COALESCE(sum(length(piece)) OVER (PARTITION BY topic_id ORDER BY src_idx, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q), b AS (SELECT topic_id, string_agg(piece, chr(10) ORDER BY src_idx, doc_id) AS bundle FROM run WHERE before < 8000 GROUP BY 1) SELECT topic_id, length(bundle) AS chars, md5(bundle) AS digest FROM b WHERE length(bundle) >= 200",
     "h10_target_length": f"WITH n AS (SELECT lang, len({_WORDS.format('text')}) AS n FROM documents), a AS (SELECT lang, floor(COALESCE(quantile_cont(n, 0.5) FILTER (n > 200), 2000))::BIGINT AS target, round(COALESCE(avg(n) FILTER (n > 200), 0.0), 4) AS mean_words FROM n GROUP BY 1) SELECT *, LEAST(180, target // 9) AS intro FROM a",
-    "h11_hard_facts": "WITH v AS (" + " UNION ALL ".join(f"SELECT lang, '{k}' AS kind, regexp_replace(unnest(regexp_extract_all(text, '{p}')), '\\s+', '', 'g') AS value FROM documents" for k, p in FACTS.items()) + "), c AS (SELECT lang, kind, value, count(*) AS n FROM v WHERE length(value) > 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, kind, value) AS rank FROM c) SELECT * FROM r WHERE rank <= 25",
+    "h11_hard_facts": "WITH u AS (" + " UNION ALL ".join(f"SELECT lang, doc_id, text, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS raw FROM documents" for k, p in FACTS.items()) + "), v AS (SELECT lang, kind, regexp_replace(raw, '\\s+', '', 'g') AS value, struct_pack(d := doc_id, c := substring(text, GREATEST(strpos(text, raw) - 60, 1), strpos(text, raw) + length(raw) + 60 - GREATEST(strpos(text, raw) - 60, 1))) AS spot FROM u), c AS (SELECT lang, kind, value, count(*) AS n, struct_extract(min(spot), 'c') AS context FROM v WHERE length(value) > 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, kind, value) AS rank FROM c) SELECT * FROM r WHERE rank <= 25",
     "h14_dedup_records": r"WITH s AS (SELECT conv_id, turn, upper(regexp_replace(text, '\s+', '', 'g')) AS s FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY conv_id, turn) AS k FROM s) SELECT conv_id, turn FROM r WHERE k = 1 OR s IS NULL OR s = ''",
     "j1_sentences": r"WITH p AS (SELECT doc_id, regexp_split_to_array(text, '[.!?]+\s+') AS a FROM documents), q AS (SELECT doc_id, unnest(range(len(a))) AS pos, trim(unnest(a), ' ') AS s FROM p) SELECT doc_id, pos, md5(s) AS digest FROM q WHERE s <> ''",
     "j9_foreign_scripts": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS script, unnest(regexp_extract_all(translate(text, 'zjqx', 'жй中م'), '{p}')[1:{n}]) AS run FROM documents" for k, (p, n) in SCRIPTS.items()),
@@ -233,6 +243,8 @@ TWINS |= {
     "j17_gram_coverage_audit": _coverage(False),
     "l3_budgets_from_grams": f"WITH {_WEIGHT} SELECT topic_id, gram, freq_min AS low, GREATEST(freq_max, 1) AS high FROM topped WHERE rank <= 30",
 }
+TWINS["h6_similar_pairs"] = "SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS sim FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.3"
+TWINS["d8_top_displays"] = _displays()
 TWINS |= {"b7_clean_lines": _clean_lines("SELECT doc_id, text FROM documents", "doc_id"), "b10_best_text": _best_text()}
 TWINS |= {"f2_entity_details": _DETAILS, "f13_cooccurrence": _cooccurrence()}
 TWINS |= {
