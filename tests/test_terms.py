@@ -55,7 +55,7 @@ def test_moderation_counts_in_the_same_pass(spark):
     kept, counts = terms.moderated(tables, flagged, {"gram": "item", "triplet": "index", "entity": "item"})
     rows = {kind: df.collect() for kind, df in kept.items()}
     assert [r.item for r in rows["gram"]] == ["c d"] and sorted(r["index"] for r in rows["triplet"]) == [0, 2] and rows["entity"] == []
-    assert {k: (b.get["n"], a.get["n"]) for k, (b, a) in counts.items()} == {"gram": (3, 1), "triplet": (3, 2), "entity": (0, 0)}
+    assert {k: (terms.observed_count(b), terms.observed_count(a)) for k, (b, a) in counts.items()} == {"gram": (3, 1), "triplet": (3, 2), "entity": (0, 0)}
 
 
 def test_lists_are_trimmed_for_a_consumer(spark):

@@ -96,6 +96,11 @@ def moderated(tables: dict[str, DataFrame], flagged: DataFrame, columns: dict[st
     return kept, counts
 
 
+def observed_count(metric: Observation) -> int:
+    """The count of a metric of ``moderated``; rows that the optimizer finds empty leave the plan with their metric, and count 0."""
+    return metric.get["n"] if metric._jo.getRow().length() else 0
+
+
 def term_set_coverage(terms: DataFrame, known: DataFrame) -> DataFrame:
     """``(term, covered)``: target terms that some known term equals but for case and outer blanks."""
     have = known.select(F.lower(F.trim("gram")).alias("__t")).distinct().withColumn("__h", F.lit(True))

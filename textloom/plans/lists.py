@@ -38,9 +38,9 @@ def moderated_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[s
     """The kept rows of all lists, written in one pass, and how many each list had before and has after it."""
     lists, flagged = _moderation(spark, sf_dir)
     kept, counts = operators.moderated(lists, flagged, {"gram": "item", "entity": "item", "triplet": "index"})
-    tall = [rows.select(F.lit(kind).alias("kind"), "topic_id", F.col("index") if "index" in rows.columns else F.lit(None).cast("long").alias("index"), "item") for kind, rows in kept.items()]
+    tall = [rows.select(F.lit(kind).alias("kind"), "topic_id", F.col("index") if "index" in rows.columns else F.lit(-1).cast("long").alias("index"), "item") for kind, rows in kept.items()]
     written = materialise(reduce(DataFrame.unionByName, tall))
-    return written, {kind: (before.get["n"], after.get["n"]) for kind, (before, after) in counts.items()}
+    return written, {kind: (operators.observed_count(before), operators.observed_count(after)) for kind, (before, after) in counts.items()}
 
 
 def d12_moderated_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +90,8 @@ QUERIES = [d12_moderated_lists, a9_trim_lists, f14_placement_plan]
 
 def _moderated() -> str:
     names = ", ".join(f"'{e.lower()}'" for e in FLAGGED_ENTITIES)
-    return f"""WITH {terms._BENCH}, g AS (SELECT 'gram' AS kind, topic_id, NULL::BIGINT AS index, gram AS item, lower(gram) IN (SELECT term FROM bp) AS flagged FROM (WITH {_WEIGHT} SELECT * FROM topped) WHERE rank <= 30),
-e AS (SELECT 'entity' AS kind, topic_id, NULL::BIGINT AS index, phrase AS item, phrase IN ({names}) AS flagged FROM ({_BASE['f2_entity_stats']})),
+    return f"""WITH {terms._BENCH}, g AS (SELECT 'gram' AS kind, topic_id, -1::BIGINT AS index, gram AS item, lower(gram) IN (SELECT term FROM bp) AS flagged FROM (WITH {_WEIGHT} SELECT * FROM topped) WHERE rank <= 30),
+e AS (SELECT 'entity' AS kind, topic_id, -1::BIGINT AS index, phrase AS item, phrase IN ({names}) AS flagged FROM ({_BASE['f2_entity_stats']})),
 {gaps._FACTS}, f AS (SELECT 'triplet' AS kind, topic_id, doc_id * 10000 + pos AS index, subject || ' ' || predicate || ' ' || object AS item, subject = 'The' AS flagged FROM facts),
 al AS (SELECT * FROM g UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f), n AS (SELECT kind, count(*) AS n_before, count(*) FILTER (NOT flagged) AS n_after FROM al GROUP BY 1)
 SELECT kind, topic_id, index, item, n_before, n_after FROM al JOIN n USING (kind) WHERE NOT flagged"""
