@@ -130,19 +130,23 @@ def match_entities(sources: DataFrame, gazetteer: DataFrame, around: int = 0, li
 def _places(batches: Iterator[pa.RecordBatch], found_in: Callable[[list[str]], list[tuple]], around: int, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Rows of ``PLACES`` for what ``found_in`` finds in the words of each text, ``size`` or a text's at a time."""
     for batch in batches:
+        names = [*batch.schema.names[:3], *PLACES]
+
+        def written(at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            keys = [batch.column(i).take(pa.array(at, type=pa.int64())) for i in range(3)]
+            return pa.RecordBatch.from_arrays([*keys, *[pa.array(c, type=t) for c, t in zip(zip(*rows), PLACES.values())]], names=names)
+
         at, rows = [], []
         for k, content in enumerate(batch.column(3)):
             text = content.as_py()
             if found := found_in([w.lower() for w in WORD.findall(text)]):
                 rows += _described(text, found, around)
                 at += [k] * (len(rows) - len(at))
-            if rows and (len(rows) >= size or k + 1 == batch.num_rows):
-                keys = [batch.column(i).take(pa.array(at, type=pa.int64())) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, type=t) for c, t in zip(zip(*rows), PLACES.values())]], names=[*batch.schema.names[:3], *PLACES])
+            if len(rows) >= size:
+                yield written(at, rows)
                 at, rows = [], []
         if rows:
-            keys = [batch.column(i).take(pa.array(at, type=pa.int64())) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, type=t) for c, t in zip(zip(*rows), PLACES.values())]], names=[*batch.schema.names[:3], *PLACES])
+            yield written(at, rows)
 
 
 def entity_stats(mentions: DataFrame, n_sources: DataFrame, priority: tuple = ("PERSON", "ORGANIZATION", "PRODUCT"), limit: int = 50) -> DataFrame:
