@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import xxhash
 
-from textloom.llm.simhash import covering_triples, drop_near_duplicates, near_duplicate_groups, simhash_components
+from textloom.llm.simhash import covering_triples, drop_near_duplicates, near_duplicate_groups, simhash_components, simhash_groups
 
 DOCS = "doc_id bigint, text string, lang string"
 
@@ -163,3 +163,19 @@ def test_drop_tells_rows_without_or_with_shared_ids_apart(spark):
     rows = [(1, text, "x"), (None, text, "x"), (None, "second words of another kind", "x"), (None, "third text entirely", "x"), (None, "third text entirely", "y"), (5, "shared id and first text", "x"), (5, "other words under that id", "x"), (5, "other words under that id", "x")]
     left = drop_near_duplicates(spark.createDataFrame(rows, DOCS))
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "second words of another kind"), (0, "third text entirely"), (1, text), (5, "other words under that id"), (5, "shared id and first text")]
+
+
+def test_drop_takes_its_groups_from_the_fingerprint_index(spark, monkeypatch):
+    from textloom.llm import simhash
+
+    asked, own = [], simhash.index_links
+    monkeypatch.setattr(simhash, "index_links", lambda nodes, *more: asked.append(more[0]) or own(nodes, *more))
+    texts = boundary_texts()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    left = {r.doc_id for r in drop_near_duplicates(docs).collect()}
+    assert asked == [4]
+    want = brute_components(dict(enumerate(texts)), lambda a, b: jaccard(a, b) >= 0.8)
+    got = {r.doc_id: r.group_id for r in simhash_groups(docs).collect()}
+    assert left == {i for i, g in got.items() if i == g} and all(want[i] == want[g] for i, g in got.items())
+    linked = [i for i in want if want[i] != i]
+    assert sum(got[i] != i for i in linked) >= 0.9 * len(linked)
