@@ -59,3 +59,12 @@ def test_a_task_takes_equal_runs_together(monkeypatch):
     found = [r for b in grams._counted(iter(batches), True) for r in b.to_pylist()]
     assert figures(found) == plain(rows) and len(found) == len(plain(rows))
     assert list(grams._counted(iter([]), True)) == []
+
+
+def test_trigrams_of_a_text_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(1, "one two three " * 5), (1, "one two three four"), (None, "seven eight nine " * 4), (2, None)], "doc_id int, text string")
+    found = grams.repeated_trigrams(rows, ["the"])
+    got = {(r.doc_id, r.gram): r.n for r in found.collect()}
+    assert got == {(1, "one two three"): 5, (1, "two three one"): 4, (1, "three one two"): 4, (None, "seven eight nine"): 4}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+    assert "REPARTITION" in found._jdf.queryExecution().executedPlan().toString()
