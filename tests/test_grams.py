@@ -68,3 +68,73 @@ def test_trigrams_of_a_text_are_not_shuffled(spark):
     assert got == {(1, "one two three"): 5, (1, "two three one"): 4, (1, "three one two"): 4, (None, "seven eight nine"): 4}
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
     assert "REPARTITION" in found._jdf.queryExecution().executedPlan().toString()
+
+
+ODD = [*"abcde", "é", "0", "!", "\x01", "a1"]  # some look like short forms
+
+
+def odd_texts(n, seed):
+    rng = random.Random(seed)
+    for k in range(n):
+        words = None if k % 17 == 0 else [ODD[min(rng.randrange(10), rng.randrange(10))] for _ in range(rng.randrange(9))]
+        yield rng.choice(["t", "u", None]), rng.choice(["s0", "s1", None]), k, words
+
+
+def test_packed_runs_have_the_counts_of_all_grams(spark):
+    rows = list(odd_texts(400, 5))
+    frame = spark.createDataFrame(rows, "topic_id string, src_idx string, doc_id int, words array<string>")
+    want = plain((t, s, w or []) for t, s, _, w in rows)
+    stats, tops = grams.text_gram_stats(frame, 30_000_000)
+    assert figures(stats.collect()) == want
+    assert {r["topic_id"]: r["top"] for r in tops.collect()} == {t: max(v[1] for (x, _), v in want.items() if x == t) for t in "tu"}
+    fewer = figures(grams.text_gram_stats(frame, single=False)[0].collect())
+    assert fewer == {k: v for k, v in want.items() if v[:2] != (1, 1)} and len(fewer) < len(want)
+
+
+def test_packs_do_not_depend_on_batches(monkeypatch):
+    monkeypatch.setattr(grams, "HELD_RUNS", 25)
+    rows = [r for r in odd_texts(300, 9) if r[0]]
+    schema = pa.schema([("topic_id", pa.string()), ("src_idx", pa.string()), ("words", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, (t, s, w))) for t, s, _, w in rows[k : k + 40]], schema) for k in range(0, len(rows), 40)]
+    forms = {"a": "0", "b": "!", "é": "00"}
+    packs = [r for b in grams._packed(iter(batches), 3, forms, 4) for r in b.to_pylist()]
+    parts = {p: pa.RecordBatch.from_pylist([{c: r[c] for c in r if c != "part"} for r in packs if r["part"] == p]) for p in range(3)}
+    found = [r for x in parts.values() for b in grams._counted_packs(iter([x]), True, {v: k for k, v in forms.items()}) for r in b.to_pylist()]
+    want = plain((t, s, w or []) for t, s, _, w in rows)
+    assert figures(found) == want and len(found) == len(want)  # no gram in two parts
+
+
+def test_little_is_shuffled_of_frequent_words(spark):
+    rng = random.Random(1)
+    rows = [("t", f"s{k % 3}", k, ["frequent" + rng.choice("abcdefghij") for _ in range(200)]) for k in range(100)]
+    frame = spark.createDataFrame(rows, "topic_id string, src_idx string, doc_id int, words array<string>")
+    packed = grams.packed_runs(frame, 4, grams.short_forms(frame)).collect()
+    runs = grams.gram_runs(frame).collect()
+    assert len(packed) < len(runs) / 50
+    assert sum(len(r["runs"]) for r in packed) < sum(len(r["run"]) for r in runs) / 4
+
+
+def test_displays_of_packed_pairs(spark):
+    rows = list(odd_texts(300, 11))
+    frame = spark.createDataFrame(rows, "topic_id string, src_idx string, doc_id int, words array<string>")
+    lemmas = {"b": "a", "c": "a", "é": "e"}
+    toks = grams.lemma_words(frame, lemmas)
+    per = defaultdict(Counter)
+    for topic, _, _, words in rows:
+        for x in zip(words or [], (words or [])[1:]):
+            per[topic, " ".join(lemmas.get(w, w) for w in x)][" ".join(x)] += 1
+    want = {k: (min(c, key=lambda s: (-c[s], s.encode())), sum(c.values())) for k, c in per.items()}
+    found = grams.text_gram_displays(toks).collect()
+    assert {(r["topic_id"], r["gram"]): (r["display"], r["freq"]) for r in found} == want and len(found) == len(want)
+
+
+def test_extended_terms_of_the_first_grams_alone(spark):
+    rng = random.Random(4)
+    rows = [("t", f"g{k}", rng.randrange(2, 9), 10, rng.random()) for k in range(200)] + [("u", "x", 3, 10, 0.5)]
+    weighted = spark.createDataFrame(rows, "topic_id string, gram string, sources int, n_sources int, weight double")
+    top = grams.top_grams(weighted, 30)
+    known = {r["gram"] for r in top.collect()}
+    want = sorted((r for r in rows if r[0] == "t" and r[1] not in known and 3 <= r[2] <= 8), key=lambda r: (-r[2], -r[4], r[1]))[:15]
+    extended = grams.extended_terms(weighted, top)
+    assert [r["gram"] for r in extended.orderBy("rank").collect()] == [r[1] for r in want]
+    assert extended._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 3  # ranked before the join too
