@@ -79,3 +79,13 @@ def test_early_entities_and_brands(spark):
     assert [(r.phrase, r.subject_pct) for r in salience.early_entities(rows).collect()] == [("a", 50), ("b", 70)]
     queries = spark.createDataFrame([("t", "Acme shoes"), ("t", "acme"), ("u", None)], "topic_id string, text string")
     assert [tuple(r) for r in salience.match_brands(queries, ["ACME", "other"]).collect()] == [("t", "acme")]
+
+
+def test_texts_are_not_shuffled_by_few_topics(spark):
+    concepts = spark.createDataFrame([("t", "red fox", 2), ("t", "menu", 1)], "topic_id string, display string, sources int")
+    sources = spark.createDataFrame([("t", "a", "a red fox " + "x" * 100), ("t", "b", "y" * 100 + " red fox")], "topic_id string, src_idx string, content string")
+    heads = spark.createDataFrame([("t", 1, "The red fox")], "topic_id string, level int, heading string")
+    topics = spark.createDataFrame([("t", 2, "red")], TOPICS)
+    small = salience.salience_topical(concepts, sources, heads, topics, small=True)
+    assert sorted(small.collect()) == sorted(salience.salience_topical(concepts, sources, heads, topics).collect())
+    assert small._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2  # texts and headings

@@ -63,18 +63,20 @@ def running_position(places: DataFrame, weights: DataFrame) -> DataFrame:
     return sums.select("topic_id", "display", (F.col("new") + F.pow(old, F.col("n"))).alias("position"), "early")
 
 
-def salience_topical(concepts: DataFrame, sources: DataFrame, headings: DataFrame, topics: DataFrame, early: int = 1500, nav: list[str] = [], least_chars: int = 100) -> DataFrame:
+def salience_topical(concepts: DataFrame, sources: DataFrame, headings: DataFrame, topics: DataFrame, early: int = 1500, nav: list[str] = [], least_chars: int = 100, small: bool = False) -> DataFrame:
     """``(topic_id, display, position, early, in_h1, in_h2, salience, rank)`` of the few ``concepts(topic_id, display, sources)`` of each topic.
 
     A topic's concepts travel as one short array, so sources and headings keep one row each until a concept is
     found in them. ``position`` is the running mean of the first places as shares of texts of ``least_chars`` or more. Concepts of under three
-    characters, of ``nav`` words alone or with a word that begins with a dot are left out.
+    characters, of ``nav`` words alone or with a word that begins with a dot are left out. ``small`` says that the caller has checked that
+    the topics are few, so that their arrays are broadcast; otherwise texts are shuffled by their topic.
     """
     parts = F.filter(F.split(F.lower("display"), r"[.\s]+"), lambda w: w != "")
     plain = (F.size(parts) == 0) | (F.size(F.array_except(parts, F.array(*[F.lit(w) for w in nav]).cast("array<string>"))) > 0)
     concepts = concepts.filter((F.length("display") >= 3) & plain & ~F.col("display").rlike(r"(?:^|\s)\."))
     sources = sources.filter(F.length("content") >= least_chars)
     listed = concepts.groupBy("topic_id").agg(F.collect_set("display").alias("known"))  # as many as the concepts' rank limit
+    listed = F.broadcast(listed) if small else listed
 
     def holding(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
         found = F.filter(F.transform("known", lambda k: F.struct(k.alias("display"), (F.instr(text, k) - 1).alias("at"))), lambda x: x["at"] >= 0)

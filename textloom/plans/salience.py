@@ -28,7 +28,8 @@ def f9_topical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f11_salience_topical(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = t.headings(spark, sf_dir).select("topic_id", F.lit(1).alias("level"), "heading")
-    rows = salience.salience_topical(_concepts(spark, sf_dir), text.documents_as_sources(t.docs(spark, sf_dir)), heads, t.topics(spark, sf_dir), nav=NAV)
+    topics = t.topics(spark, sf_dir)
+    rows = salience.salience_topical(_concepts(spark, sf_dir), text.documents_as_sources(t.docs(spark, sf_dir)), heads, topics, nav=NAV, small=t.few_topics(topics))
     return t.long(rows, "rank", "early", "in_h1", "in_h2")
 
 
