@@ -70,3 +70,11 @@ def test_semantic_ranking(spark):
     cands = [("t", 1, [1.0, 0.0]), ("t", 2, [0.0, 2.0]), ("t", 3, [0.0, 0.0])]
     got = meaning.rank_headings_semantic(spark.createDataFrame(cands, "topic_id string, id int, embedding array<double>"), spark.createDataFrame(refs, "topic_id string, kind string, k int, embedding array<double>")).collect()
     assert [(r.id, r["score"], r.priority) for r in got] == [(1, 0.6, "high"), (2, 0.4, "optional"), (3, 0.0, "optional")]
+
+
+def test_texts_are_not_shuffled_by_few_topics(spark):
+    pubs = spark.createDataFrame([("t", 1, "a weighted blanket"), ("t", 2, "nothing"), ("u", 3, "a weighted blanket")], "topic_id string, id int, body string")
+    topics = spark.createDataFrame([("t", 2, "weighted blanket"), ("u", 1, "other")], "topic_id string, n_sources int, keyword string")
+    found = editing.relevant_publications(pubs, topics, [], ["review", "none"], small=True)
+    assert [r["id"] for r in found.collect()] == [1]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
