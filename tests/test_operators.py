@@ -210,3 +210,10 @@ def test_line_checks_equal_a_plain_reading(spark):
     assert {(r.doc_id, r.opener): r.n for r in checks.opener_hits(frame, ["The ", "de "]).collect()} == want_openers
     assert {tuple(r) for r in checks.uniform_paragraphs(frame).collect()} == want_even
     assert {r.doc_id: (r.groups, r.items) for r in checks.list_groups(frame).collect()} == want_lists
+
+
+def test_few_pages_are_held_at_once(spark):
+    frame = spark.createDataFrame([("<p>a</p><nav>b</nav>",), (None,)], "h string")
+    rows = frame.select(text.html_main_text(F.col("h")).alias("t"))
+    assert [r["t"] for r in rows.collect()] == ["a", None]
+    assert "BatchEvalPython" in rows._jdf.queryExecution().executedPlan().toString()  # a hundred rows, not ten thousand
