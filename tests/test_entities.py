@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from textloom.operators import entities
@@ -74,3 +75,23 @@ def test_pairs_in_sentences_and_paragraphs(spark):
     assert (got["bob", "cy"].n, got["bob", "cy"].paragraphs, got["bob", "cy"].sources) == (1, 1, 1)
     five = spark.createDataFrame([("t", 5)], "topic_id string, n_sources int")
     assert {(r.a, r.b) for r in entities.cooccurrence(found, entities.entity_stats(found, five), five).collect()} == {("ann", "bob"), ("ann", "cy"), ("bob", "cy")}
+
+
+def test_words_and_places_by_the_short_way():
+    rng = random.Random(3)
+    for text in ("Red fox, RED 2nd fox_x", "Réd ²fox İx", "", "a-b c'd"):
+        assert entities.words_in(text) == [w.lower() for w in entities.WORD.findall(text)]
+    phrases = [("a b", "X"), ("b", "X"), ("a b a c", "Y"), ("c a", "Y")]
+    automaton = entities.PhraseAutomaton(phrases)
+    assert automaton.known == {"a", "b", "c"}
+    for _ in range(300):
+        words = [rng.choice("abcxy") for _ in range(rng.randrange(12))]
+        want = sorted((i, len(p.split()), p, k) for p, k in phrases for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        assert sorted(automaton.find(words)) == want
+
+
+def test_few_places_are_held_at_once():
+    batch = pa.RecordBatch.from_pylist([{"topic_id": "t", "src_idx": "s", "doc_id": k, "content": "a b " * 100} for k in range(200)])
+    automaton = entities.PhraseAutomaton([("a b", "X")])
+    sizes = [b.num_rows for b in entities._places(iter([batch]), automaton.find, 50)]
+    assert sum(sizes) == 20_000 and max(sizes) <= 4_100
