@@ -93,6 +93,7 @@ def test_packed_runs_have_the_counts_of_all_grams(spark):
 
 def test_packs_do_not_depend_on_batches(monkeypatch):
     monkeypatch.setattr(grams, "HELD_RUNS", 25)
+    monkeypatch.setattr(grams, "PACKED_WORDS", 25)
     rows = [r for r in odd_texts(300, 9) if r[0]]
     schema = pa.schema([("topic_id", pa.string()), ("src_idx", pa.string()), ("words", pa.list_(pa.string()))])
     batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, (t, s, w))) for t, s, _, w in rows[k : k + 40]], schema) for k in range(0, len(rows), 40)]
