@@ -170,6 +170,19 @@ def test_lines_are_judged_after_the_skip(spark):
     assert kept == [long, "it is as it was on the day of the visit.", "a b ."]
 
 
+def test_links_causes_and_effects_share_one_shuffle_of_the_texts(spark, tmp_path):
+    rows = [("t", "a b c d", "e f g", "causes", 0.5), ("t", "a b c d", "e f g", "causes", 0.5), ("t", "e f g h", "i j k", "causes", 0.4), (None, "l m n", "a b c", "causes", 0.9), (None, "a b c", "o p q", "causes", 0.8)]
+    spark.createDataFrame(rows, "topic_id string, cause string, effect string, relation string, confidence double").write.parquet(str(tmp_path / "links"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        links = facts.mark_chains(facts.different_links(facts.normalise_causal(spark.read.parquet(str(tmp_path / "links")))))
+        plan = links._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    assert sorted((r.topic_id or "", r.cause, r.is_chain) for r in links.collect()) == [("", "a b c", False), ("", "l m n", False), ("t", "a b c d", True), ("t", "e f g h", True)]
+
+
 def test_page_text_as_a_chain(spark):
     body = "The first paragraph of the page is long enough to be kept whole in the end [1]."
     other = "It is also as it was in the second one, see https://example.com/x for the rest."
