@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from textloom.operators import articles as A
+from textloom.plans.articles import j29_audit_report
 
 TEXT = "# The license guide\nThis License is short. It holds.\n## License terms\nA license is given. Software Foundation gave it.\n## Other license\n**bold** TODO later."
 
@@ -86,3 +87,11 @@ def test_grams_against_which_a_reason_speaks_do_not_count(spark):
     assert of(None) == 40.0
     assert of(lambda p: F.when(p == "bad", "x")) == round(200 / 3 - 10, 2)
     assert of(lambda p: F.when(p != "", "x")) == 0.0
+
+
+def test_the_report_is_one_pass_and_keeps_what_a_join_by_key_gives(spark):
+    plan = j29_audit_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+    rows = [(1, (5,), 50.0, 2), (2, (6,), 60.0, 0), (2, (7,), 70.0, 3), (None, (8,), 80.0, 1)]
+    got = A.audit_report(spark.createDataFrame(rows, "doc_id long, article struct<n_words:long>, score double, n_gaps long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 5, 50.0, 2), (2, 6, 60.0, 3), (2, 6, 70.0, 3), (2, 7, 60.0, 3), (2, 7, 70.0, 3)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import topic as T
@@ -100,16 +100,19 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.with_salience(rows, T.KEYWORD, T.EXPECTED)
 
 
+def _scored(spark: SparkSession, sf_dir: str, *also: Column) -> DataFrame:
+    return A.compliance_score(_checked(spark, sf_dir), T.WEIGHTS, BUDGETS, len(T.PAIRS), len(T.TRIPLES), len(T.CAUSAL), lambda x: quality_reason(x, STOP, terms.CSS_WORDS, SHOP, terms.NAV), also=also)
+
+
 def j26_compliance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.compliance_score(_checked(spark, sf_dir), T.WEIGHTS, BUDGETS, len(T.PAIRS), len(T.TRIPLES), len(T.CAUSAL), lambda x: quality_reason(x, STOP, terms.CSS_WORDS, SHOP, terms.NAV))
+    return _scored(spark, sf_dir)
 
 
-def _gaps(rows: DataFrame) -> DataFrame:
-    return A.audit_gaps(rows, T.KEYWORD, ENTITIES, T.QUESTIONS, T.CAUSAL, TARGET)
+GAPS = (T.KEYWORD, ENTITIES, T.QUESTIONS, T.CAUSAL, TARGET)
 
 
 def j27_audit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(A.with_variety(_rows(spark, sf_dir), T.NAMED, T.NOMINAL, T.PRONOMINAL))
+    return A.audit_gaps(A.with_variety(_rows(spark, sf_dir), T.NAMED, T.NOMINAL, T.PRONOMINAL), *GAPS)
 
 
 def j28_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,12 +120,10 @@ def j28_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j29_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per article: the score, words, their ratio to the target, headings and the number of gaps."""
-    rows = _rows(spark, sf_dir)
+    """One row per article: the score, words, their ratio to the target, headings and the number of gaps; all from one pass over the texts."""
     n = F.size("words")
-    facts = rows.select("doc_id", n.cast("long").alias("n_words"), F.round(n / TARGET, 4).alias("ratio"), F.size(F.regexp_extract_all("body", F.lit(r"((?m)^##\s)"), F.lit(1))).cast("long").alias("n_h2"))
-    gaps = j27_audit_gaps(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gaps"))
-    return facts.join(j26_compliance_score(spark, sf_dir).select("doc_id", "score"), "doc_id").join(gaps, "doc_id", "left").fillna(0, ["n_gaps"])
+    article = F.struct(n.cast("long").alias("n_words"), F.round(n / TARGET, 4).alias("ratio"), F.size(F.regexp_extract_all("body", F.lit(r"((?m)^##\s)"), F.lit(1))).cast("long").alias("n_h2"))
+    return A.audit_report(_scored(spark, sf_dir, article.alias("article"), F.size(A.found_gaps(*GAPS)).cast("long").alias("n_gaps")))
 
 
 def j30_locate_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
