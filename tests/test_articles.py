@@ -89,6 +89,14 @@ def test_grams_against_which_a_reason_speaks_do_not_count(spark):
     assert of(lambda p: F.when(p != "", "x")) == 0.0
 
 
+def test_only_texts_with_a_remark_are_searched_for_its_context(spark):
+    long = "a" * 1_000_000  # 31 places for each character before
+    rows = spark.createDataFrame([(1, long), (2, "x\nsome TODO here\ny"), (3, None)], "doc_id long, text string")
+    found = A.meta_comments(A.prepared(rows), ["todo", "worth noting"])
+    assert [tuple(r) for r in found.collect()] == [(2, "some TODO here")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RLIKE(") == 2
+
+
 def test_the_report_is_one_pass_and_keeps_what_a_join_by_key_gives(spark):
     plan = j29_audit_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1
