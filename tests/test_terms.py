@@ -4,6 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from textloom.operators import terms
+from textloom.plans.terms import d11_gram_quality
 
 
 def test_first_reason_wins(spark):
@@ -91,3 +92,14 @@ def test_signals_stop_after_the_cap(spark):
 def test_phrase_keys(spark):
     rows = spark.createDataFrame([("Best red Cars!",), ("the car",), ("1234 56",), ("",), (None,)], "g string")
     assert [r[0] for r in rows.select(terms.phrase_key(F.col("g"), ["the"])).collect()] == ["best cars red", None, None, None, None]
+
+
+def test_flagged_phrases_are_split_once_and_have_the_reasons(spark):
+    phrases = ["", "the of", "a b", "go go", "boat red boat", "5 kg of nuts", "font red nuts", "add to cart now", "x{y} nuts", "camelCase nuts", "a_b_c nuts", "123 456", "menu", "red nuts", None]
+    lists = ["the", "of"], ["font"], ["add to cart"], ["menu"]
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(phrases)], "id int, g string")
+    found = terms.flagged_phrases(rows, "g", *lists)
+    want = rows.select("id", "g", terms.quality_reason(F.col("g"), *lists).alias("reason")).filter("reason IS NOT NULL")
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() > 9
+    plan = d11_gram_quality(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(gram") == 1
