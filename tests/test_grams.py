@@ -115,6 +115,18 @@ def test_little_is_shuffled_of_frequent_words(spark):
     assert sum(len(r["runs"]) for r in packed) < sum(len(r["run"]) for r in runs) / 4
 
 
+def test_what_goes_to_a_task_is_compressed_together(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    rows = [(1 + k % 2, f"s{k % 20}", k, [words[int(300 * rng.random() ** 2)] for _ in range(300)]) for k in range(200)]
+    frame = spark.createDataFrame(rows, "topic_id int, src_idx string, doc_id int, words array<string>").coalesce(1)
+    packed = grams.packed_runs(frame, 50, grams.short_forms(frame)).collect()
+    assert len(packed) == 50  # not one for every topic and source too
+    runs = sum(max(len(r[3]) - 1, 0) for r in rows)
+    assert sum(len(r["runs"]) for r in packed) < 9 * runs  # 4 words of 1 to 3 characters and what parts them
+    assert figures(grams.text_gram_stats(frame)[0].collect()) == plain((t, s, w) for t, s, _, w in rows)
+
+
 def test_displays_of_packed_pairs(spark):
     rows = list(odd_texts(300, 11))
     frame = spark.createDataFrame(rows, "topic_id string, src_idx string, doc_id int, words array<string>")
