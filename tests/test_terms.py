@@ -3,8 +3,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from textloom.functions.lists import STOP
 from textloom.operators import terms
-from textloom.plans.terms import d11_gram_quality
+from textloom.plans.terms import by_ending, d11_gram_quality
 
 
 def test_first_reason_wins(spark):
@@ -46,6 +47,19 @@ def test_noun_phrases_follow_the_lexicon(spark):
     assert {r.pos for r in terms.lexicon_runs(toks, listed).filter("doc_id = 900").collect()} == {0}
 
 
+def test_noun_phrases_of_a_rule_join_nothing(spark):
+    rng = random.Random(6)
+    known = {"nation": ("nation", "NOUN", False), "licensed": ("license", "ADJ", False), "moving": ("moving", "ADJ", False), "den": ("den", "ADJ", "den" in STOP), "payment": ("payment", "NOUN", False)}
+    texts = [("t", "a", i, rng.choices([*known, "tree", "é"], k=rng.randrange(30))) for i in range(120)] + [("t", None, 900, ["moving", "nation"]), ("t", "a", 901, None), ("t", "a", 902, [])]
+    toks = spark.createDataFrame(texts, "topic_id string, src_idx string, doc_id int, words array<string>")
+    found = terms.noun_phrases(toks, by_ending)
+    assert {(r.phrase, r.key): r.n for r in found.collect()} == dict(Counter(run for *_, words in texts for run in plain_runs(words or [], known)))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    runs = terms.lexicon_runs(toks, by_ending)
+    assert {r.pos for r in runs.filter("doc_id = 900").collect()} == {0}
+    assert runs.filter("doc_id = 900").first().key == "moving nation"
+
+
 def test_moderation_counts_in_the_same_pass(spark):
     tables = {
         "gram": spark.createDataFrame([("t", "a b"), ("t", "A B"), ("t", "c d")], "topic_id string, item string"),
