@@ -179,3 +179,10 @@ def test_drop_takes_its_groups_from_the_fingerprint_index(spark, monkeypatch):
     assert left == {i for i, g in got.items() if i == g} and all(want[i] == want[g] for i, g in got.items())
     linked = [i for i in want if want[i] != i]
     assert sum(got[i] != i for i in linked) >= 0.9 * len(linked)
+
+
+def test_index_and_completion_lose_no_link(spark):
+    texts = boundary_texts()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.group_id for r in simhash_groups(docs).collect()}
+    assert got == brute_components(dict(enumerate(texts)), lambda a, b: jaccard(a, b) >= 0.8)

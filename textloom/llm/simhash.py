@@ -201,24 +201,26 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int =
     return hashes[by], counts[by]
 
 
-def shingle_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``(doc_id, row, content, size, s0 .. s3, wide, prefix)`` per row of ``docs``.
+def shingle_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, words: int = 0) -> DataFrame:
+    """``(doc_id, row, content, size, s0 .. s3, wide, prefix)`` per row of ``docs``, and the ``f0 .. f<words-1>`` of ``fingerprints``.
 
     ``row`` is the XXH64 of the text, ``content`` hashes its set of shingles and ``size`` counts them. A bit
     of ``s`` is the parity of the shingles that fall to it, so two sets differ in at least as many shingles
     as their bits differ; ``wide`` is the same with a bit for each shingle, rounded up to a power of two.
     ``prefix`` has the rarest shingles, so many that sets of Jaccard ``similarity`` share one.
     """
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
+    common, names = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle)), [f"f{w}" for w in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = common.value
         for batch in batches:
             n = batch.num_rows
             content, size, bits = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64), np.zeros((n, 4), dtype=np.uint64)
-            prefixes, wide = [], []
+            prefixes, wide, prints = [], [], np.zeros((n, words), dtype=np.uint64)
             for k, text in enumerate(batch.column(2)):
-                h = np.unique(shingle_hashes(text.as_py(), shingle))
+                h = shingle_hashes(text.as_py(), shingle)
+                prints[k] = fingerprint(h, words)
+                h = np.unique(h)
                 wide.append(parities(h, 1 << max(8, (len(h) - 1).bit_length())).tobytes())
                 content[k], size[k] = xxhash.xxh64_intdigest(h.tobytes(), 42), len(h)
                 bits[k] = parities(h >> np.uint64(56), 256).view(np.uint64)
@@ -228,11 +230,11 @@ def shingle_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
                 prefixes.append(h[: max(0, len(h) - math.ceil(similarity * len(h) - SLACK) + 1)].view(np.int64))
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32))
             values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
-            columns = [pa.array(content.view(np.int64)), pa.array(size), *[pa.array(bits[:, w].view(np.int64)) for w in range(4)], pa.array(wide, type=pa.binary()), pa.ListArray.from_arrays(offsets, values)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "content", "size", *PARITIES, "wide", "prefix"])
+            columns = [pa.array(content.view(np.int64)), pa.array(size), *[pa.array(bits[:, w].view(np.int64)) for w in range(4)], pa.array(wide, type=pa.binary()), pa.ListArray.from_arrays(offsets, values), *[pa.array(prints[:, w].view(np.int64)) for w in range(words)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "content", "size", *PARITIES, "wide", "prefix", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}, row bigint, content bigint, size bigint", *[f"{s} bigint" for s in PARITIES], "wide binary, prefix array<bigint>"])
+    schema = ", ".join([f"doc_id {kind}, row bigint, content bigint, size bigint", *[f"{s} bigint" for s in PARITIES], "wide binary, prefix array<bigint>", *[f"{f} bigint" for f in names]])
     return docs.select(F.col(id_col).alias("doc_id"), row_of(text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -331,18 +333,23 @@ def kept_rows(prints: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 54) -> DataFrame:
-    """The columns of ``near_duplicate_groups`` through the inverted index of 256-bit fingerprints, with an exact check of its links.
+    """The columns and the groups of ``near_duplicate_groups``, found through the inverted index of 256-bit fingerprints and completed.
 
     60 posting lists of two byte positions each find a pair of similarity 0.8 with a probability of about 0.95, and nearly
     all above 0.9. Of the pairs of a block within ``max_distance`` bits the links of a minimum spanning forest are checked on the shingle
-    sets themselves, so the links that are written grow with the texts, not with their pairs.
+    sets themselves. What a forest leaves out or the index misses follows: every pair of two groups so far that shares a shingle of its
+    prefixes and that length, places and parities allow is checked on the sets, so no link is lost. Pairs of one group are not made.
     """
     names = [f"f{w}" for w in range(4)]
-    keyed = docs.select(F.struct(F.col(id_col).alias("doc_id"), row_of(text_col).alias("row")).alias("key"), text_col)
-    prints = materialise(fingerprints(keyed, "key", text_col, shingle, words=4).select("doc_id.doc_id", "doc_id.row", "content", *names))
-    nodes = materialise(prints.groupBy("content").agg(F.min(F.struct("row", *names)).alias("x")).select("content", "x.*"))
-    links = materialise(index_links(nodes, 4, grouped_pairs(), max_distance, 2).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    return kept_rows(prints, materialise(connected_components(jaccard_pairs(docs, text_col, nodes, links, shingle, similarity))))
+    prints = materialise(shingle_prefixes(docs, id_col, text_col, shingle, similarity, words=4))
+    nodes = materialise(prints.drop("doc_id").dropDuplicates(["content"]))
+    asked = materialise(index_links(nodes.select("content", *names), 4, grouped_pairs(), max_distance, 2).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    links = similar_pairs(docs, text_col, nodes, asked, shingle, similarity)
+    component = materialise(connected_components(links))
+    known = shared_rows(nodes).join(component.withColumnRenamed("id", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
+    further = prefix_pairs(materialise(known), similarity, True).select("src", "dst").distinct().join(asked, ["src", "dst"], "left_anti")
+    more = similar_pairs(docs, text_col, nodes, materialise(further), shingle, similarity)
+    return kept_rows(prints, connected_components(links.unionByName(more)))
 
 
 def shared_rows(nodes: DataFrame, bits: int = 25) -> DataFrame:
@@ -438,7 +445,7 @@ def jaccard_pairs(docs: DataFrame, text_col: str, nodes: DataFrame, asked: DataF
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id, once even if that row is repeated.
 
-    The groups are those of the fingerprint index. Rows without an id stay only if no member of their group has one, and then once.
+    The groups are those of ``simhash_groups``. Rows without an id stay only if no member of their group has one, and then once.
     """
     groups = simhash_groups(docs, id_col, text_col, shingle, similarity)
     key = free_name(docs, "key")
