@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from textloom.operators import sections
@@ -73,3 +75,16 @@ def test_a_fact_is_placed_by_its_snippet(spark):
     items = spark.createDataFrame([("t", "fact", 0, "1500 zl", "The fines rise to 1500"), ("t", "fact", 0, "12", None), ("t", "causal", 0, "rust leads to repair", None)], "topic_id string, kind string, k int, item string, snippet string")
     got = sections.assign_to_sections(plan, items, {"fact": 6, "causal": 4}).collect()
     assert sorted((r.section, r.kind, r.item) for r in got) == [(1, "causal", "rust leads to repair"), (2, "fact", "1500 zl")]
+
+
+def test_lines_stay_in_their_texts_and_meet_headings_alike_by_a_join(spark):
+    rng, words = random.Random(4), ["the", "of", "care", "boat", "été", "ab", "part2", "wood", "long", "river", "\u00c9t\u00c9"]
+    line = lambda most: " ".join(rng.choices(words, k=rng.randint(0, most)))
+    texts = [("t" if i % 3 else "u", "s", i, "\n".join(line(rng.choice([3, 8, 30])) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [("t", "s", None, "the boat"), ("t", None, 90, None), (None, "s", 91, "the boat")]
+    heads = sorted({(t, " ".join(line(6).lower().split())) for t in "tuv" for _ in range(80)})
+    texts, heads = spark.createDataFrame(texts, "topic_id string, src string, doc_id int, text string"), spark.createDataFrame(heads, "topic_id string, norm string")
+    found = sections.find_sections(texts, heads)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = sorted(map(tuple, found.collect()))
+    assert len(got) > 200 and got == sorted(map(tuple, sections.find_sections(texts, heads, whole_table=0).collect()))
