@@ -151,3 +151,30 @@ def test_extended_terms_of_the_first_grams_alone(spark):
     extended = grams.extended_terms(weighted, top)
     assert [r["gram"] for r in extended.orderBy("rank").collect()] == [r[1] for r in want]
     assert extended._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 3  # ranked before the join too
+
+
+def test_displays_are_sought_where_a_gram_begins(spark):
+    words = "the car drives a car the cars drive".split()
+    rows = [("t", "s", i, [w for k, w in enumerate(words * 3) if (i + k) % 5]) for i in range(20)] + [("t", "s", 90, None), ("u", "s", 91, ["the", "car"])]
+    toks = grams.lemma_words(spark.createDataFrame(rows, "topic_id string, src_idx string, doc_id int, words array<string>"), {"cars": "car", "drives": "drive"})
+    top = spark.createDataFrame([("t", "the car", 1), ("t", "car drive", 2), ("t", "a car the", 3), ("t", "no such", 4), ("u", "the car", 1)], "topic_id string, gram string, rank int")
+    shown = grams.with_displays(top, toks, True)
+    assert "MapInArrow" in shown._jdf.queryExecution().executedPlan().toString()
+    lemma, want = {"cars": "car", "drives": "drive"}, {}
+    for r in top.collect():
+        n, uses = len(r.gram.split()), {}
+        for topic, _, _, w in rows:
+            for i in range(len(w or []) - n + 1 if topic == r.topic_id else 0):
+                if " ".join(lemma.get(x, x) for x in w[i : i + n]) == r.gram:
+                    uses[" ".join(w[i : i + n])] = uses.get(" ".join(w[i : i + n]), 0) + 1
+        want[r.topic_id, r.gram] = min(uses, key=lambda s: (-uses[s], s)) if uses else None
+    assert {(r.topic_id, r.gram): r.display for r in shown.collect()} == want and want["t", "no such"] is None
+
+
+def test_both_lists_of_one_pass_are_those_of_all_grams(spark):
+    rows = [("t", f"g{i:03}", i % 11, i % 7 + 1, 10 if i % 3 else 2, ((i * 37) % 100) / 100) for i in range(200)]
+    weighted = spark.createDataFrame(rows, "topic_id string, gram string, freq long, sources long, n_sources long, weight double")
+    some = grams.listed_grams(weighted, 4, 6)
+    assert some.count() <= 6 + 4 + 4 + 6 and some.columns == weighted.columns
+    for of in (lambda w: grams.top_grams(w, 6), lambda w: grams.extended_terms(w, grams.top_grams(w, 6), 4, 6)):
+        assert sorted(map(tuple, of(some).collect())) == sorted(map(tuple, of(weighted).collect()))
