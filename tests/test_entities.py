@@ -95,3 +95,20 @@ def test_few_places_are_held_at_once():
     automaton = entities.PhraseAutomaton([("a b", "X")])
     sizes = [b.num_rows for b in entities._places(iter([batch]), automaton.find, 50)]
     assert sum(sizes) == 20_000 and max(sizes) <= 4_100
+
+
+def test_pairs_read_their_mentions_once(spark):
+    rows = [("t", f"s{i % 3}", i, i // 4, i // 8, p, "ORG", f"text {i // 4}", 90) for i in range(16) for p in ("a", "b")]
+    mentions = spark.createDataFrame(rows, "topic_id string, src_idx string, doc_id int, sentence long, paragraph long, phrase string, etype string, sentence_text string, paragraph_chars long")
+    few = spark.sql("SELECT 't' AS topic_id, explode(array('a', 'b')) AS phrase")
+    got = entities.cooccurrence(mentions, few, spark.sql("SELECT 't' AS topic_id, 3L AS n_sources"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    assert [(r.a, r.b, r.n, r.paragraphs, r.sources, r.context) for r in got.collect()] == [("a", "b", 16, 16, 3, "text 0")]
+
+
+def test_uses_alone_are_counted_without_places(spark):
+    sources = spark.createDataFrame([("t", "s", 1, "The License of a License. " * 8)], "topic_id string, src_idx string, doc_id int, content string")
+    gazetteer = spark.createDataFrame([("license", "TERM")], "phrase string, etype string")
+    whole, bare = (entities.match_entities(sources, gazetteer, placed=p) for p in (True, False))
+    assert bare.columns == whole.columns and bare.select("doc_id", "pos", "n_words", "phrase", "etype").collect() == whole.select("doc_id", "pos", "n_words", "phrase", "etype").collect()
+    assert bare.filter("start_char IS NOT NULL OR sentence IS NOT NULL").count() == 0 and bare.count() == 16

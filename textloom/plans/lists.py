@@ -51,7 +51,7 @@ def d12_moderated_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _consumed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    weighted = t.weighted(spark, sf_dir)
+    weighted = grams.listed_grams(t.weighted(spark, sf_dir))
     top = grams.top_grams(weighted)
     return {
         "grams": top,
